@@ -1,13 +1,50 @@
 """Queries opN_<name> over the driver's tables, and their SQL."""
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from .bpe import transcode
 from .common import read
 from .exact_dedup import report
+from .lm import score
+from .mixing import plan
 from .simhash import near_duplicates
 
 
+def op3_curriculum_mixing(spark, sf_dir):
+    planned = plan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return planned.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+
+
+def op4_backoff_lm_scoring(spark, sf_dir):
+    return score(read(spark, sf_dir, "documents"))
+
+
+class Digest:
+    """Digests of a text's ids and of their decoding, piece by piece."""
+
+    def __init__(self):
+        self.n, self.of_ids, self.of_text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def ids(self, raw: bytes) -> None:
+        self.n += len(raw) // 4
+        self.of_ids.update(raw)
+
+    def text(self, text: str) -> None:
+        self.of_text.update(text.encode())
+
+    def result(self):
+        return self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()
+
+
+def op7_bpe_encode_decode(spark, sf_dir, path=None):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return transcode(docs, path or public_tokenizers.path("word_bpe_49k.json"), Digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=["doc_id"], joined=True)
+
+
 def op8_exact_dedup(spark, sf_dir):
     return report(read(spark, sf_dir, "documents"))
 
@@ -17,7 +54,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op8_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_curriculum_mixing, op4_backoff_lm_scoring, op7_bpe_encode_decode, op8_exact_dedup, op10_simhash_near_dedup)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
