@@ -30,13 +30,13 @@ def _sha(text_col: str):
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """Groups of two or more equal texts: sha, keep_id, group_size, keep_rows (rows with keep_id)."""
-    norm = _normal(text_col)
-    rows = docs.select(
-        F.col(id_col).alias("id"), norm.alias("norm"), F.octet_length(norm).alias("len"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("prefix")
-    )
-    lengths = rows.groupBy("len").count().filter("count > 1").select("len")
-    prefixes = rows.join(lengths, "len", "left_semi").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
-    whole = rows.join(lengths, "len", "left_semi").join(prefixes, ["len", "prefix"], "left_semi").select("id", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    raw = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), F.octet_length(raw).alias("len"), F.xxhash64(ascii_lower(F.substring(raw, 1, prefix_chars))).alias("prefix"))
+    narrow = rows.drop("raw")
+    lengths = narrow.groupBy("len").count().filter("count > 1").select("len")
+    prefixes = narrow.join(lengths, "len", "left_semi").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
+    # What survives is a share of all rows and grows with them: never broadcast. Whole texts move once.
+    whole = rows.join(prefixes.hint("merge"), ["len", "prefix"], "left_semi").select("id", _sha("raw").alias("sha"))
     by_id = whole.groupBy("sha", "id").agg(F.count("*").alias("n"))
     return (
         by_id.groupBy("sha")
