@@ -11,7 +11,9 @@ from .common import read
 from .exact_dedup import report
 from .lm import score
 from .mixing import plan
+from .sharding import shard
 from .simhash import near_duplicates
+from .topk import top_k
 
 
 def op3_curriculum_mixing(spark, sf_dir):
@@ -23,6 +25,11 @@ def op4_backoff_lm_scoring(spark, sf_dir):
     return score(read(spark, sf_dir, "documents"))
 
 
+def op5_minimax_sharding(spark, sf_dir):
+    placed = shard(read(spark, sf_dir, "documents"))
+    return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
 class Digest:
     """Digests of a text's ids and of their decoding, piece by piece."""
 
@@ -49,12 +56,16 @@ def op8_exact_dedup(spark, sf_dir):
     return report(read(spark, sf_dir, "documents"))
 
 
+def op9_ball_tree_top_k(spark, sf_dir):
+    return top_k(read(spark, sf_dir, "embeddings"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_curriculum_mixing, op4_backoff_lm_scoring, op7_bpe_encode_decode, op8_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op3_curriculum_mixing, op4_backoff_lm_scoring, op5_minimax_sharding, op7_bpe_encode_decode, op8_exact_dedup, op9_ball_tree_top_k, op10_simhash_near_dedup)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -64,4 +75,13 @@ ORACLE_SQL = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY norm)""",
+    "op9_ball_tree_top_k": """
+        WITH e AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+          FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+        FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
 }
