@@ -11,9 +11,22 @@ from .common import read
 from .exact_dedup import report
 from .lm import score
 from .mixing import plan
+from .resampling import resample
 from .sharding import shard
 from .simhash import near_duplicates
 from .topk import top_k
+from .toxicity import classify
+from .warc import derive, responses
+
+
+def op1_warc_derivatives(spark, sf_dir):
+    return derive(responses(read(spark, sf_dir, "pages")), keep=["page_id"])
+
+
+def op2_toxicity_chain(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, read(spark, sf_dir, "labels"))
+    return scored.select("doc_id", F.col("scores.low_quality").alias("p_low_quality"), F.col("scores.toxic").alias("p_toxic"), (F.col("scores.toxic") >= 0.5).alias("toxic"))
 
 
 def op3_curriculum_mixing(spark, sf_dir):
@@ -30,6 +43,13 @@ def op5_minimax_sharding(spark, sf_dir):
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op6_importance_resampling(spark, sf_dir):
+    """As many rows are kept as the labels say are of good quality, drawn towards the text of good quality."""
+    labels = read(spark, sf_dir, "labels")
+    share = labels.agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    return resample(read(spark, sf_dir, "documents"), labels.filter("quality = 1"), share=share or 0.0)
+
+
 class Digest:
     """Digests of a text's ids and of their decoding, piece by piece."""
 
@@ -65,7 +85,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_curriculum_mixing, op4_backoff_lm_scoring, op5_minimax_sharding, op7_bpe_encode_decode, op8_exact_dedup, op9_ball_tree_top_k, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity_chain, op3_curriculum_mixing, op4_backoff_lm_scoring, op5_minimax_sharding, op6_importance_resampling, op7_bpe_encode_decode, op8_exact_dedup, op9_ball_tree_top_k, op10_simhash_near_dedup)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
