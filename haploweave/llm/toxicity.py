@@ -8,7 +8,7 @@ predictions as good as those they will meet, not from memorised ones. At scoring
 time the models fitted on all training rows are chained.
 
 Features: presence of words (split at ASCII white space, A-Z lower-cased, also
-with punctuation stripped), from a vocabulary of at most ``max_features`` words
+with punctuation stripped, and beginnings of 5 bytes of longer words), from a vocabulary of at most ``max_features`` words
 that the labels tell apart best, and shares of capitals, digits, punctuation and
 repeated words. Presence is not divided by length: one insult counts the same in
 a text of any length.
@@ -38,12 +38,13 @@ from pyspark.sql import types as T
 from .common import as_binary, words_of
 
 STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-SHAPES = 4
+SHAPES, PREFIX = 4, 5
 
 
 def word_set(raw: bytes | None) -> set[bytes]:
     words = set(words_of(raw))
-    return words | {w.strip(STRIP) for w in words}
+    words |= {w.strip(STRIP) for w in words}
+    return words | {w[:PREFIX] + b"*" for w in words if len(w) > PREFIX}
 
 
 def shapes(raw: bytes | None) -> list[float]:
