@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Elements whose content is no text, and elements that end a line.
 SILENT = frozenset("script style template noscript iframe object svg head".split())
@@ -175,10 +176,10 @@ def derive_one(source_id: str, uri: str | None, date: str, headers: dict[str, st
     return out
 
 
-RECORD = T.StructType.fromDDL(
-    "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, content_type string, "
-    "source_block_digest string, source_payload_digest string, block_digest string, content_length long, block string"
-)
+RECORD_COLUMNS = (
+    "record_type", "record_id", "refers_to", "concurrent_to", "target_uri", "date", "content_type", "source_block_digest", "source_payload_digest", "block_digest", "content_length", "block",
+)
+RECORD = T.StructType([T.StructField(c, T.LongType() if c == "content_length" else T.StringType()) for c in RECORD_COLUMNS])
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
@@ -197,12 +198,9 @@ def derive(source: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     kept = [source.schema[c] for c in keep]
     out = T.StructType([*kept, *RECORD.fields])
     rows = source.select(*keep, *[F.col(f.name).alias(f"__{f.name}") for f in T.StructType.fromDDL(RESPONSE)])
-    n = len(keep)
+    n, schema = len(keep), to_arrow_schema(out)
 
     def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        schema = to_arrow_schema(out)
         for batch in batches:
             columns = [c for c in batch.columns]
             for at in range(0, batch.num_rows, 256):
