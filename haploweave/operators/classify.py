@@ -86,7 +86,7 @@ def noisy_support(noisy: DataFrame, reads: DataFrame, read_noisy: DataFrame, opt
 
 def support_is_enough(total, noisy, options: Options):
     """Enough reads are noisy, and a large enough share in single precision."""
-    enough = (noisy >= options.min_alt_depth) & ((total == 0) | (noisy.cast("float") / total.cast("float") >= F.lit(options.min_af).cast("float")))
+    enough = (noisy >= options.min_alt_depth) & ((total == 0) | ((noisy.cast("float") / total.cast("float")).cast("float") >= F.lit(options.min_af).cast("float")))
     return enough & (total >= options.min_noisy_reg_total_depth) if options.min_noisy_reg_total_depth > 0 else enough
 
 

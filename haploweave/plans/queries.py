@@ -16,8 +16,15 @@ from . import tiles
 from .fixtures import CTE, Fixtures
 
 OPTIONS = Options()
-HAP = (F.col("read_id") % 2 + 1).cast("int")
-REF_LEN = F.when(F.col("type") == "SNP", 1).when(F.col("type") == "INS", 0).otherwise(F.col("zyg") + 20).cast("int")
+
+
+def haplotype():
+    """The truth that observations are made from."""
+    return (F.col("read_id") % 2 + 1).cast("int")
+
+
+def ref_len():
+    return F.when(F.col("type") == "SNP", 1).when(F.col("type") == "INS", 0).otherwise(F.col("zyg") + 20).cast("int")
 
 
 def usable_reads(fx: Fixtures) -> DataFrame:
@@ -94,7 +101,7 @@ def interval_islands(spark, sf_dir):
 
 
 def spans(fx: Fixtures) -> DataFrame:
-    s = fx.sites().withColumnRenamed("typ", "type").withColumn("ref_len", REF_LEN)
+    s = fx.sites().withColumnRenamed("typ", "type").withColumn("ref_len", ref_len())
     return classify.with_span(s)
 
 
@@ -133,7 +140,7 @@ def exact_dedupe_prefer_region(spark, sf_dir):
 
 
 def candidate_order(spark, sf_dir):
-    s = Fixtures(spark, sf_dir).sites().withColumnRenamed("typ", "type").withColumn("ref_len", REF_LEN)
+    s = Fixtures(spark, sf_dir).sites().withColumnRenamed("typ", "type").withColumn("ref_len", ref_len())
     return sites.order_candidates(s).select("site_id", "tid", "ord")
 
 
@@ -156,7 +163,7 @@ def quality_quartiles(spark, sf_dir):
 
 
 def with_hap(fx: Fixtures) -> DataFrame:
-    return observations(fx).filter(F.col("q") >= OPTIONS.min_bq).withColumn("hap", HAP)
+    return observations(fx).filter(F.col("q") >= OPTIONS.min_bq).withColumn("hap", haplotype())
 
 
 def hap_allele_argmax(spark, sf_dir):
@@ -211,7 +218,7 @@ def boundary_vote(spark, sf_dir):
 
 
 def blocks(fx: Fixtures) -> DataFrame:
-    reads = fx.reads().select("read_id", HAP.alias("hap"), "tid", ((F.col("beg") - 1) - (F.col("beg") - 1) % 20000).alias("block"))
+    reads = fx.reads().select("read_id", haplotype().alias("hap"), "tid", ((F.col("beg") - 1) - (F.col("beg") - 1) % 20000).alias("block"))
     return stitch.thread_support(reads, fx.hs(), fx.sidecar(), ["tid", "block"])
 
 
