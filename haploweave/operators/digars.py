@@ -313,7 +313,7 @@ def parse_alignments(alignments: DataFrame, contigs: dict[str, int], options: Op
                 window = Window(a["ref_seq"], a["ref_beg"]) if has_ref and a.get("ref_seq") else None
                 p = parse(a, contigs.get(a["chrom"], 0), window, options)
                 p["noisy"] = [{"beg": b, "fin": f, "label": n} for b, f, n in p["noisy"]]
-                out.append({k: a[k] for k in ("read_id", "qname", "tid", "mapq", "flag", "nm", "input_idx", "qual", "hs")} | p | {"rev": bool(a["flag"] & REVERSE)})
+                out.append({k: a[k] for k in ("read_id", "qname", "tid", "mapq", "flag", "nm", "input_idx", "seq", "qual", "hs")} | p | {"rev": bool(a["flag"] & REVERSE)})
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return rows.mapInArrow(run, READ)

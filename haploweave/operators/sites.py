@@ -37,7 +37,7 @@ def site_of(op: dict) -> dict:
 def site_key(site: dict) -> tuple:
     """Sort key of a site within a contig; also of clips, which sort by type only."""
     at = site["pos"] - (site["type"] != "SNP")
-    return at, EVENT_CODE[site["type"]], site["ref_len"], len(site["alt"]), base_codes(site["alt"])
+    return at, EVENT_CODE[site["type"]], site["ref_len"], len(site["alt"]), tuple(base_codes(site["alt"]))
 
 
 def compare_fuzzy(a: dict, b: dict, min_sv_len: int) -> int:

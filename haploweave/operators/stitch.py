@@ -97,8 +97,9 @@ def fold_blocks(blocks: list[tuple[int, Support]], margin: int, least: int) -> d
 class Tile:
     """What stitching needs of a tile: per site phase set and consensus, per read haplotype and phase set."""
 
-    def __init__(self, sites: list[dict], reads: list[dict], hap: list[int], phase_set: list[int], up: list[int] = (), down: list[int] = ()):
+    def __init__(self, sites: list[dict], reads: list[dict], hap: list[int], phase_set: list[int], up: list[int] = (), down: list[int] = (), support: dict[int, Support] | None = None):
         self.sites, self.reads, self.hap, self.phase_set = sites, reads, hap, phase_set
+        self.support = support  # of phase sets, where it was counted before
         self.up, self.down = list(up), list(down)  # reads shared with the tile before and after, paired in order
 
     @classmethod
@@ -113,6 +114,10 @@ class Tile:
                 if new is not None:
                     s["phase_set"] = new
         if touch_reads:
+            if self.support is not None and old in self.support:
+                own = merged({}, self.support.pop(old), flip)
+                at = old if new is None else new
+                self.support[at] = merged(self.support.get(at, {}), own, False)
             for r in range(len(self.reads)):
                 if self.phase_set[r] == old:
                     if flip and self.hap[r] and not self.reads[r]["skipped"]:
@@ -122,6 +127,8 @@ class Tile:
 
     def blocks(self, threads: dict[int, list[int]]) -> dict[int, Support]:
         """Thread support of each phase set; threads: by set id."""
+        if self.support is not None:
+            return {ps: merged({}, s, False) for ps, s in self.support.items()}
         out: dict[int, Support] = defaultdict(dict)
         for r, read in enumerate(self.reads):
             if read["skipped"] or self.hap[r] not in (1, 2) or self.phase_set[r] < 0:
@@ -191,21 +198,49 @@ def stitch(tiles: list[Tile], options: Options, threads: dict[int, list[int]] |
         by_threads(tiles, o.pgbam_relaxed_cleanup_margin, o.pgbam_relaxed_cleanup_min_winning)
 
 
-def fold_votes(votes: DataFrame, contig: str = "tid") -> DataFrame:
-    """(contig, chunk_id, phase_set) to (new_phase_set, flip), from boundary votes (contig, chunk_id of the right tile, score,
-    left_ps, right_ps): a fold along each contig over one row a tile."""
+FOLDED = "tid int, chunk_id long, phase_set long, new_phase_set long, flip boolean, of_reads boolean"
+
+
+def fold_contig(tiles: list[dict], options: Options, by_threads: bool) -> list[tuple]:
+    """Stitches the tiles of a contig from summaries: rows of FOLDED, for sites and for reads.
+
+    A tile: tid, chunk_id, phase_sets (of its sites), and reads that it shares with a neighbour: read_id, hap, phase_set, in_prev,
+    in_next; with threads also support, (phase_set, thread, h1, h2). Shared reads are paired by identity."""
+    tiles = sorted(tiles, key=lambda t: t["chunk_id"])
+    made = []
+    for n, t in enumerate(tiles):
+        sites = [{"phase_set": ps, "cons": [0, 1, 2], "origin": ps} for ps in t["phase_sets"]]
+        blank = {"skipped": False}
+        reads, hap, ps = [], [], []
+        for x in t["phase_sets"]:  # one read a phase set shows what becomes of reads
+            reads.append(blank), hap.append(1), ps.append(x)
+        number = {}
+        for r in t["reads"]:
+            number[r["read_id"]] = len(reads)
+            reads.append(blank), hap.append(r["hap"]), ps.append(r["phase_set"])
+        before = {r["read_id"] for r in tiles[n - 1]["reads"] if r["in_next"]} if n else set()
+        after = {r["read_id"] for r in tiles[n + 1]["reads"] if r["in_prev"]} if n + 1 < len(tiles) else set()
+        up = [number[i] for i in sorted(r["read_id"] for r in t["reads"] if r["in_prev"]) if i in before]
+        down = [number[i] for i in sorted(r["read_id"] for r in t["reads"] if r["in_next"]) if i in after]
+        support: dict[int, Support] = {}
+        for x, thread, h1, h2 in t.get("support") or ():
+            support.setdefault(x, {})[thread] = [h1, h2]
+        made.append(Tile(sites, reads, hap, ps, up, down, support))
+    stitch(made, options, {} if by_threads else None)
+    out = []
+    for t, tile in zip(tiles, made):
+        for k, s in enumerate(tile.sites):
+            out.append((t["tid"], t["chunk_id"], s["origin"], s["phase_set"], s["cons"][1] == 2, False))
+            out.append((t["tid"], t["chunk_id"], s["origin"], tile.phase_set[k], tile.hap[k] == 2, True))
+    return out
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, renamed, turned = [], {}, {}
-        for r in rows.sort_values("chunk_id").itertuples():
-            if r.score == 0 or r.right_ps < 0:
-                continue
-            left = r.left_ps
-            flip = (r.score > 0) != turned.get(left, False)
-            new = renamed.get(left, left) if left >= 0 else r.right_ps
-            renamed[r.right_ps], turned[r.right_ps] = new, flip
-            out.append((getattr(r, contig), r.chunk_id, r.right_ps, new, flip))
-        return pd.DataFrame(out, columns=[contig, "chunk_id", "phase_set", "new_phase_set", "flip"]).astype({contig: "int32", "chunk_id": "int64", "phase_set": "int64", "new_phase_set": "int64", "flip": "bool"})
-
-    fold.__annotations__ = {}
-    return votes.groupBy(contig).applyInPandas(fold, f"{contig} int, chunk_id long, phase_set long, new_phase_set long, flip boolean")
+
+def fold(summaries: DataFrame, options: Options, by_threads: bool = False) -> DataFrame:
+    """fold_contig for each contig; summaries has one row a tile (tid, chunk_id, phase_sets, reads, support)."""
+    columns = [c.split()[0] for c in FOLDED.split(", ")]
+    kinds = {"tid": "int32", "chunk_id": "int64", "phase_set": "int64", "new_phase_set": "int64", "flip": "bool", "of_reads": "bool"}
+
+    def run(rows):
+        return pd.DataFrame(fold_contig(rows.to_dict("records"), options, by_threads), columns=columns).astype(kinds)
+
+    return summaries.groupBy("tid").applyInPandas(run, FOLDED)

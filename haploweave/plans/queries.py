@@ -257,11 +257,69 @@ def pivot_variant(spark, sf_dir):
     return phase.pivots(found.select("site_id", "tid", "pos", "type", "total_cov", "category"), ["tid"], ["pos", "site_id"]).select("tid", "site_id", "category", "total_cov")
 
 
+def simulated(spark: SparkSession):
+    """A made-up run of 30,000 bases: nothing of the driver's tables can be aligned."""
+    from ..schemas import ALIGNMENT
+    from . import simulate
+
+    ref = simulate.genome(30_000)
+    rows = [tuple(a.values()) for a in simulate.alignments(ref, simulate.variants(ref, 400))]
+    return (
+        spark.createDataFrame(rows, ALIGNMENT), spark.createDataFrame(simulate.reference_rows(ref), "chrom string, tile long, beg long, seq string"),
+        spark.createDataFrame([(0, "chr1", len(ref))], "tid int, name string, len long"),
+    )
+
+
+def collect_candidates(spark, sf_dir):
+    """The whole run on simulated reads: candidates after stitching."""
+    from .collect import collect_variation
+
+    found = collect_variation(spark, *simulated(spark), Options(chunk_size=10_000, output_alignment=True)).candidates
+    return found.select("tid", "pos", "type", "ref_len", "alt", *sites.COUNTERS, "af", "category", "init_category", "phase_set", "hap_alt", "hap_ref")
+
+
+def phased_read_table(spark, sf_dir):
+    """Reads of simulated tiles with haplotype and phase set."""
+    from .collect import collect_variation
+
+    return collect_variation(spark, *simulated(spark), Options(chunk_size=10_000, output_alignment=True)).reads.select("chunk_id", "read_id", "qname", "beg", "fin", "skipped", "hap", "phase_set")
+
+
+def digar_events(spark, sf_dir):
+    """Events of simulated alignments."""
+    from ..operators.digars import parse_alignments
+
+    alignments, _, contigs = simulated(spark)
+    reads = parse_alignments(alignments, {"chr1": 30_000}, OPTIONS)
+    return reads.select("read_id", F.explode("digars").alias("d")).select("read_id", "d.*")
+
+
+def low_complexity_mask(spark, sf_dir):
+    """DUST intervals of a made-up genome with repeats in it, by tile with an overlap of one window."""
+    import pyarrow as pa
+
+    from ..functions.dust import low_complexity
+    from . import simulate
+
+    ref = simulate.genome(20_000)
+    for at in range(500, 20_000, 700):
+        ref = ref[:at] + "AC" * 20 + ref[at + 40 :]
+    rows = spark.createDataFrame([(i, ref[max(0, i - 40) : i + 2040]) for i in range(0, len(ref), 2000)], "beg long, seq string")
+
+    def run(batches):
+        for batch in batches:
+            for beg, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = [(b, e) for b, e in low_complexity(seq, beg=max(1, beg - 39))]
+                yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["tid", "beg", "fin"])
+
+    return ranges.islands(rows.mapInArrow(run, "tid int, beg long, fin long")).select("tid", "beg", "fin")
+
+
 QUERIES = {
     "site_classification": site_classification, "strand_bias_fisher": strand_bias_fisher, "ont_classification": ont_classification, "read_filter": read_filter_query, "multi_input_union": multi_input_union,
     "tile_neighbors": tile_neighbors, "tile_cutting": tile_cutting, "tile_reads": tile_reads, "interval_overlap_join": interval_overlap_join, "interval_containment": interval_containment, "interval_islands": interval_islands,
     "site_density": site_density, "noisy_mask": noisy_mask, "noisy_support": noisy_support, "low_complexity_extend": low_complexity_extend, "exact_dedupe_prefer_region": exact_dedupe_prefer_region,
     "candidate_order": candidate_order, "read_support": read_support, "noise_window_snp": noise_window_snp, "quality_histogram": quality_histogram_query, "quality_quartiles": quality_quartiles,
     "hap_allele_argmax": hap_allele_argmax, "adjacent_het_links": adjacent_het_links, "phase_set_carry": phase_set_carry, "read_phase_set": read_phase_set, "boundary_vote": boundary_vote,
-    "thread_support": thread_support, "thread_concordance": thread_concordance, "vcf_projection": vcf_projection, "phased_gt": phased_gt, "pivot_variant": pivot_variant,
+    "thread_support": thread_support, "thread_concordance": thread_concordance, "vcf_projection": vcf_projection, "phased_gt": phased_gt, "pivot_variant": pivot_variant, "collect_candidates": collect_candidates, "phased_read_table": phased_read_table, "digar_events": digar_events, "low_complexity_mask": low_complexity_mask,
 }

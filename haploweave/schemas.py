@@ -34,7 +34,7 @@ ALIGNMENT = (
     "nm int, md string, cs string, sa string, hs array<bigint>, input_idx int"
 )
 READ = (
-    "read_id bigint, qname string, tid int, beg bigint, fin bigint, rev boolean, mapq int, flag int, nm int, input_idx int, qual binary, hs array<bigint>, "
+    "read_id bigint, qname string, tid int, beg bigint, fin bigint, rev boolean, mapq int, flag int, nm int, input_idx int, seq string, qual binary, hs array<bigint>, "
     f"digars array<{DIGAR}>, noisy array<{INTERVAL}>, events int, palindrome boolean, skipped boolean"
 )
 COUNTS = "total_cov int, ref_cov int, alt_cov int, low_qual_cov int, forward_ref int, reverse_ref int, forward_alt int, reverse_alt int"
