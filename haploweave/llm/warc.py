@@ -261,7 +261,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in parse(raw or b""):
                     low = {k.lower(): v for k, v in fields.items()}
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([low.get("warc-type")]), pa.array([low.get("warc-record-id")]), pa.array([low.get("warc-target-uri")]), pa.array([low.get("warc-date")]), pa.array([list(fields.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())],
+                        [*(pa.array([low.get(k)], pa.string()) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")), pa.array([list(fields.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())],
                         ["record_type", "record_id", "target_uri", "date", "headers", "block"],
                     )
 
