@@ -26,7 +26,7 @@ def op1_warc_derivatives(spark, sf_dir):
 def op2_toxicity_chain(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = classify(docs, read(spark, sf_dir, "labels"))
-    return scored.select("doc_id", F.col("scores.low_quality").alias("p_low_quality"), F.col("scores.toxic").alias("p_toxic"), (F.col("scores.toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", F.col("scores.low_quality").alias("p_low_quality"), F.col("scores.toxic").alias("p_toxic"), F.col("scores.is_toxic").alias("toxic"))
 
 
 def op3_curriculum_mixing(spark, sf_dir):

@@ -9,10 +9,13 @@ time the models fitted on all training rows are chained.
 
 Features: presence of words (split at ASCII white space, A-Z lower-cased, also
 with punctuation stripped, and beginnings of 5 bytes of longer words), from a vocabulary of at most ``max_features`` words
-that the labels tell apart best, and shares of capitals, digits, punctuation and
+that the labels tell apart best (by ``min_errors`` standard errors at least), and shares of capitals, digits, punctuation and
 repeated words. Presence is not divided by length: one insult counts the same in
 a text of any length.
 
+A row is given a category from a threshold on that is chosen on the out-of-fold
+predictions too, as the best F1 there.
+
 Training is on a sample of at most ``max_rows`` labelled rows (lowest hashes of
 the id; the bound is what makes collecting their features and broadcasting the
 model safe). All other steps see all rows: word counts are aggregated in the
@@ -20,7 +23,7 @@ cluster, scoring maps over partitions and keeps nothing.
 
 Defined results: a null text is scored as the empty text; rows with a null label
 or without a text are not trained on; a category whose training labels are all
-alike (or without rows) predicts that constant (0 without rows); repeated labels
+alike (or without rows) predicts that constant (0 without rows, below the threshold of a half); repeated labels
 of an id count once, the largest; columns of the input are passed on under their
 own names, scores go into one struct column so that they cannot clash.
 """
@@ -62,7 +65,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, width: int, ridge: float = 0.1, steps: int = 60) -> np.ndarray:
     """Weights (bias last) of ridge logistic regression on a sparse matrix, by accelerated gradient steps scaled by column."""
     if len(y) == 0 or y.min() == y.max():
         w = np.zeros(width + 1)
@@ -81,11 +84,26 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.nda
     return w
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """Probability from which on a row counts as positive: best F1 over the given predictions, in the middle (of the
+    logarithms) of the gap it falls into; a half where there is nothing to choose by."""
+    if len(y) == 0 or y.min() == y.max():
+        return 0.5
+    order = np.argsort(-p, kind="stable")
+    hits, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = 2 * hits / (n + y.sum())
+    f1[:-1][p[order][:-1] == p[order][1:]] = -1  # equal predictions can't be parted
+    last = int(np.argmax(f1))
+    if last + 1 == len(y):
+        return float(p[order[last]])
+    return float(np.sqrt(max(p[order[last]], 1e-12) * max(p[order[last + 1]], 1e-12)))
+
+
 class Chain:
-    """The fitted models: for each category the weights of words, shapes, earlier probabilities and bias."""
+    """The fitted models: for each category the weights of words, shapes, earlier probabilities and bias, and its threshold."""
 
-    def __init__(self, categories: Sequence[str], vocabulary: list[bytes], weights: list[np.ndarray]):
-        self.categories, self.weights = list(categories), weights
+    def __init__(self, categories: Sequence[str], vocabulary: list[bytes], weights: list[np.ndarray], thresholds: list[float]):
+        self.categories, self.weights, self.thresholds = list(categories), weights, thresholds
         self.place = {w: i for i, w in enumerate(vocabulary)}
 
     def probabilities(self, raw: bytes | None) -> list[float]:
@@ -100,7 +118,7 @@ class Chain:
         return out
 
 
-def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, max_features: int = 20_000, folds: int = 5) -> Chain:
+def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id", text_col: str = "text", max_rows: int = 12_000, max_features: int = 10_000, min_errors: float = 4.0, folds: int = 5) -> Chain:
     """Chain fitted on labelled rows: id, text and a 0/1 column for each category. At most max_rows of them are to be passed."""
 
     def parts(batches):
@@ -117,10 +135,11 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     rows = rows.mapInArrow(parts, "id long, y array<int>, words array<binary>, shapes array<double>").persist()
     totals = rows.agg(F.count("*"), *[F.sum(F.col("y")[k]) for k in range(len(categories))]).first()
     n, sums = totals[0], [s or 0 for s in totals[1:]]
-    # How far a word's rows are from the average of each category, in standard errors: the best max_features words.
+    # How far a word's rows are from the average of each category, in standard errors: the best max_features words,
+    # but none that chance explains.
     words = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), *[F.sum(F.col("y")[k]).alias(f"s{k}") for k in range(len(categories))]).filter("n > 1")
     score = F.greatest(F.lit(0.0), *[F.abs(F.col(f"s{k}") - F.col("n") * (s / n)) / F.sqrt(F.col("n") * max(s / n * (1 - s / n), 1e-9)) for k, s in enumerate(sums)]) if n else F.lit(0.0)
-    vocabulary = [bytes(r[0]) for r in words.orderBy(score.desc(), "w").limit(max_features).collect()]
+    vocabulary = [bytes(r[0]) for r in words.filter(score >= min_errors).orderBy(score.desc(), "w").limit(max_features).collect()]
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def encoded(batches):
@@ -137,25 +156,26 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     col = np.concatenate(at) if at else np.zeros(0, int)
     dense = np.array([r["shapes"] for r in train], float).reshape(len(train), SHAPES)
     weights: list[np.ndarray] = []
+    thresholds: list[float] = []
     for k in range(len(categories)):
         y = np.array([r["y"][k] for r in train], float)
         more = dense.shape[1]
         rows_, cols_ = np.concatenate([row, np.repeat(np.arange(len(train)), more)]), np.concatenate([col, np.tile(wide + np.arange(more), len(train))])
         vals_ = np.concatenate([np.ones(len(col)), dense.ravel()])
         weights.append(fit_logistic(rows_, cols_, vals_, y, wide + more))
-        if k + 1 < len(categories):
-            early = np.zeros(len(train))
-            for f in range(folds):
-                out = fold == f
-                if not out.any():
-                    continue
-                use = ~out[rows_]
-                number = np.cumsum(~out) - 1
-                w = fit_logistic(number[rows_[use]], cols_[use], vals_[use], y[~out], wide + more)
-                z = np.bincount(rows_, vals_ * w[cols_], len(train)) + w[-1]
-                early[out] = sigmoid(z)[out]
-            dense = np.column_stack([dense, early])
-    return Chain(categories, vocabulary, weights)
+        early = np.zeros(len(train))
+        for f in range(folds):
+            out = fold == f
+            if not out.any():
+                continue
+            use = ~out[rows_]
+            number = np.cumsum(~out) - 1
+            w = fit_logistic(number[rows_[use]], cols_[use], vals_[use], y[~out], wide + more)
+            z = np.bincount(rows_, vals_ * w[cols_], len(train)) + w[-1]
+            early[out] = sigmoid(z)[out]
+        thresholds.append(best_threshold(early, y))
+        dense = np.column_stack([dense, early])
+    return Chain(categories, vocabulary, weights, thresholds)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = 12_000) -> DataFrame:
@@ -167,24 +187,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "scores") -> DataFrame:
-    """docs and a struct of the chain's probabilities."""
+    """docs and a struct of the chain's probabilities, each with whether it reaches the category's threshold (is_...)."""
     names, place = list(docs.columns), docs.columns.index(text_col)
-    struct = T.StructType([T.StructField(c, T.DoubleType()) for c in chain.categories])
+    fields = [*chain.categories, *(f"is_{c}" for c in chain.categories)]
+    struct = T.StructType([T.StructField(c, T.BooleanType() if k >= len(chain.categories) else T.DoubleType()) for k, c in enumerate(fields)])
     out = T.StructType([*docs.schema.fields, T.StructField(into, struct)])
-    sent = docs.sparkSession.sparkContext.broadcast((chain.categories, list(chain.place), chain.weights))
+    sent = docs.sparkSession.sparkContext.broadcast((chain.categories, list(chain.place), chain.weights, chain.thresholds))
 
     def run(batches):
         model = Chain(*sent.value)
         for batch in batches:
             found = np.array([model.probabilities(t) for t in as_binary(batch.column(place)).to_pylist()], float).reshape(-1, len(model.categories))
-            column = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(found.shape[1])], model.categories)
+            values = [pa.array(found[:, k]) for k in range(found.shape[1])] + [pa.array(found[:, k] >= t) for k, t in enumerate(model.thresholds)]
+            column = pa.StructArray.from_arrays(values, fields)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], [*names, into])
 
     return docs.mapInArrow(run, out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "scores", max_rows: int = 12_000) -> DataFrame:
-    """docs and the probabilities of two categories, the second chained on the first: low_quality (quality is 0), toxic."""
+    """docs and the scores of two categories, the second chained on the first: low_quality (quality is 0), toxic."""
     chosen = labelled_sample(docs.select(id_col, text_col), labels.select(id_col, "quality", "toxic"), id_col, max_rows)
     train = chosen.select(id_col, text_col, (F.col("__quality") == 0).cast("int").alias("low_quality"), F.col("__toxic").alias("toxic"))
     return score(docs, fit(train, ["low_quality", "toxic"], id_col, text_col, max_rows), text_col, into)

@@ -93,8 +93,8 @@ def test_toxicity_chain(spark):
     assert len(found) == len(rows) + len(odd)
     truth = {i: (q == 0, t == 1) for i, q, t in labels}
     held = [(truth[r.doc_id], r.p) for r in found if r.doc_id is not None and r.doc_id < 10_000 and r.doc_id % 5 == 0]
-    assert np.mean([t[1] == (p.toxic >= 0.5) for t, p in held]) > 0.97
-    assert np.mean([t[0] == (p.low_quality >= 0.5) for t, p in held]) > 0.97
+    assert np.mean([t[1] == p.is_toxic for t, p in held]) > 0.97
+    assert np.mean([t[0] == p.is_low_quality for t, p in held]) > 0.97
     special = {r.doc_id: r.p.toxic for r in found if r.doc_id is None or r.doc_id >= 10_000}
     assert special[None] > 0.5 and special[10_000] == special[10_001] < 0.5
     assert toxicity.classify(docs.limit(0), known, into="p").count() == 0
@@ -107,7 +107,7 @@ def test_chain_feeds_out_of_fold_probabilities(spark):
     rows, labels = toxic_corpus(600)
     both = spark.createDataFrame([(i, t, int(q == 0), int(q == 0)) for (i, t), (_, q, _) in zip(rows, labels)], "doc_id long, text string, a int, b int")
     chain = toxicity.fit(both, ["a", "b"])
-    assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][-2] > 0.5
+    assert len(chain.weights[1]) == len(chain.weights[0]) + 1 and chain.weights[1][-2] > 0.5 and len(chain.thresholds) == 2
 
 
 def test_resampling(spark):

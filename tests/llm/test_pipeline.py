@@ -13,6 +13,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from haploweave.llm import mixing  # noqa: E402
 from haploweave.llm.simhash import fingerprint  # noqa: E402
+from haploweave.llm.toxicity import classify  # noqa: E402
 
 
 def test_stages(spark, tmp_path):
@@ -28,9 +29,10 @@ def test_stages(spark, tmp_path):
             assert docs.columns == columns
         steps.append(docs.toPandas())
     all_, clean, once, apart, mixed, encoded = steps
-    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas().set_index("doc_id")
-    gone = set(all_.doc_id) - set(clean.doc_id)
-    assert {i for i in gone if i in labels.index} == set(labels.index[labels.toxic == 1])
+    scored = classify(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"), into="p")
+    assert set(all_.doc_id) - set(clean.doc_id) == {r.doc_id for r in scored.filter("p.is_toxic").select("doc_id").collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet").toPandas()
+    assert not set(labels.doc_id[labels.toxic == 0]) - set(clean.doc_id)  # known clean rows stay
     lower = lambda t: (t or "").encode().lower()
     keep = {}
     for i, t in zip(clean.doc_id, clean.text):
