@@ -2,13 +2,14 @@
 
 Model. n-grams of order 1..N over words and one end token a text. The unigram is
 add-one over training tokens with one more slot for unseen words; higher orders
-are smoothed by a Dirichlet prior on the next lower order,
-    p(w|h) = (c(hw) + K p(w|h')) / (c(h) + K),
-so all probabilities of a history sum to one. As an automaton: each history seen
+are smoothed by a prior on the next lower order that is worth K(h) observations,
+    p(w|h) = (c(hw) + K(h) p(w|h')) / (c(h) + K(h)),  K(h) = prior + share c(h),
+so all probabilities of a history sum to one, whatever K; the share keeps a frequent
+history from trusting its own counts too much. As an automaton: each history seen
 in training is a state, each seen n-gram an arc from its history's state with
 weight log10 p(w|h), and a state's failure arc to its shortened history weighs
-log10(K / (c(h) + K)); a word without an arc takes failure arcs until it has one
-(the root has one for every word). A text is read once from left to right.
+log10(K(h) / (c(h) + K(h))); a word without an arc takes failure arcs until it has
+one (the root has one for every word). A text is read once from left to right.
 
 Distribution. Texts are dealt to blocks by a hash of id and text. A block counts
 its own n-grams once (64-bit keys, sorted), and sends each slice of the key space
@@ -19,8 +20,8 @@ n-gram of the whole corpus is counted, none is capped or dropped, and no model
 has to fit into one machine: blocks and shards are as many as the session has
 shuffle partitions. A frequent n-gram costs one entry a block.
 
-Keys of different n-grams could meet only by a collision of 64-bit hashes
-(chance below 1e-6 for a billion distinct n-grams... per pair 5e-20).
+Keys of different n-grams could meet only by a collision of 64-bit hashes: 5e-20 a
+pair, so for a billion distinct n-grams one in forty that any two meet.
 
 Defined results: null texts are empty texts (the end token only); a null id is
 hashed like an empty string; with no training rows N = V = 0 and all is uniform
@@ -88,19 +89,20 @@ def ngrams_of(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[tuple[
     return out
 
 
-def probabilities(counts: list[np.ndarray], contexts: list[np.ndarray], total: int, distinct: int, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def probabilities(counts: list[np.ndarray], contexts: list[np.ndarray], total: int, distinct: int, prior: float, share: float) -> tuple[np.ndarray, np.ndarray]:
     """log10 weights of one traversal, token by token: add-one unigram, smoothed model.
 
     counts[k]: of the (k+1)-gram that ends at the token; contexts[k]: of its history (0 where the state has none)."""
     uni = (counts[0] + 1.0) / (total + distinct + 1.0)
     p = uni
     for c, h in zip(counts[1:], contexts[1:]):
-        # Arc: c > 0. Failure arc: c = 0, weight prior / (h + prior). No such state: h = 0, p stays.
-        p = (c + prior * p) / (h + prior)
+        # Arc: c > 0. Failure arc: c = 0, weight k / (h + k). No such state: h = 0, p stays.
+        k = prior + share * h
+        p = (c + k * p) / (h + k)
     return np.log10(uni), np.log10(p)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, prior: float = 4.0, modulus: int = 7, remainder: int = 2) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, prior: float = 4.0, share: float = 2.0, modulus: int = 7, remainder: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     blocks = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
@@ -167,7 +169,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         for k in range(2, order + 1):
             contexts.append(np.where(first, ends, before) if k == 2 else np.where(first, 0.0, np.concatenate([[0.0], counts[k - 2][:-1]])))
             contexts[-1] = np.where(grams[k - 1][1], contexts[-1], 0.0)
-        uni, model = probabilities(counts, contexts, total, distinct, prior)
+        uni, model = probabilities(counts, contexts, total, distinct, prior, share)
         add = lambda x: np.add.reduceat(x, starts[:-1])
         return pa.table(
             {

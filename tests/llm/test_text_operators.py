@@ -118,7 +118,7 @@ def test_links_match_brute_force(spark):
 
 def test_lm_scores(docs):
     rows = sample_rows()
-    order, prior = 3, 4.0
+    order, prior, share = 3, 4.0, 2.0
 
     def tokens(r):
         return [w.decode() for w in (r[1] or "").encode().lower().split()] + ["</s>"]
@@ -142,7 +142,8 @@ def test_lm_scores(docs):
             return (counts[g] + 1) / (total + distinct + 1)
         if not histories[g[:-1]]:
             return p(g[1:])
-        return (counts[g] + prior * p(g[1:])) / (histories[g[:-1]] + prior)
+        k = prior + share * histories[g[:-1]]
+        return (counts[g] + k * p(g[1:])) / (histories[g[:-1]] + k)
 
     want = {}
     for r in rows:
@@ -150,7 +151,7 @@ def test_lm_scores(docs):
         base = sum(math.log10(p((w,))) for w in t[1:])
         model = sum(math.log10(p(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(1, len(t)))
         want[r[0]] = (out(r), len(t) - 1, sum(counts[(w,)] > 0 for w in t[1:]), total, base, model)
-    got = lm.score(docs, order=order).collect()
+    got = lm.score(docs, order=order, prior=prior, share=share).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
