@@ -183,19 +183,19 @@ def stitch(tiles: list[Tile], options: Options, threads: dict[int, list[int]] |
 
     if threads is not None:
         for t in tiles:
-            by_threads([t], o.pgbam_primary_margin, o.pgbam_primary_min_winning)
+            by_threads([t], o.thread_primary_margin, o.thread_primary_min_winning)
     for left, right in zip(tiles, tiles[1:]):
         if not stitch_pair(left, right, o.output_alignment) and threads is not None:
             a, b = left.blocks(threads), right.blocks(threads)
             if a and b:
                 last, first = max(a), min(b)
-                flip = decide(a[last], b[first], o.pgbam_primary_margin, o.pgbam_primary_min_winning) if last != first else None
+                flip = decide(a[last], b[first], o.thread_primary_margin, o.thread_primary_min_winning) if last != first else None
                 if flip is not None:
                     right.rename(first, last, flip, True)
-    if threads is not None and o.pgbam_cleanup_pass:
-        by_threads(tiles, o.pgbam_cleanup_margin, o.pgbam_cleanup_min_winning)
-    if threads is not None and o.pgbam_relaxed_cleanup_pass:
-        by_threads(tiles, o.pgbam_relaxed_cleanup_margin, o.pgbam_relaxed_cleanup_min_winning)
+    if threads is not None and o.thread_cleanup_pass:
+        by_threads(tiles, o.thread_cleanup_margin, o.thread_cleanup_min_winning)
+    if threads is not None and o.thread_relaxed_cleanup_pass:
+        by_threads(tiles, o.thread_relaxed_cleanup_margin, o.thread_relaxed_cleanup_min_winning)
 
 
 FOLDED = "tid int, chunk_id long, phase_set long, new_phase_set long, flip boolean, of_reads boolean"

@@ -65,15 +65,15 @@ class Options:
     refine_aln: bool = False
     output_alignment: bool = False
     # Graph threads
-    pgbam_file: str | None = None
-    pgbam_primary_margin: int = 2
-    pgbam_primary_min_winning: int = 2
-    pgbam_cleanup_pass: bool = True
-    pgbam_cleanup_margin: int = 2
-    pgbam_cleanup_min_winning: int = 1
-    pgbam_relaxed_cleanup_pass: bool = True
-    pgbam_relaxed_cleanup_margin: int = 1
-    pgbam_relaxed_cleanup_min_winning: int = 1
+    sidecar_file: str | None = None
+    thread_primary_margin: int = 2
+    thread_primary_min_winning: int = 2
+    thread_cleanup_pass: bool = True
+    thread_cleanup_margin: int = 2
+    thread_cleanup_min_winning: int = 1
+    thread_relaxed_cleanup_pass: bool = True
+    thread_relaxed_cleanup_margin: int = 1
+    thread_relaxed_cleanup_min_winning: int = 1
     verbose: int = 0
 
     def __post_init__(self):
@@ -82,7 +82,7 @@ class Options:
         for name in ("chunk_size", "threads", "min_depth"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
-        for name in ("min_mapq", "min_bq", "min_alt_depth", "noisy_slide_win", "noisy_max_xgaps", "min_sv_len", "min_noisy_reg_total_depth", "pgbam_primary_margin", "pgbam_cleanup_margin", "pgbam_relaxed_cleanup_margin"):
+        for name in ("min_mapq", "min_bq", "min_alt_depth", "noisy_slide_win", "noisy_max_xgaps", "min_sv_len", "min_noisy_reg_total_depth", "thread_primary_margin", "thread_cleanup_margin", "thread_relaxed_cleanup_margin"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
         if not 0 <= self.min_af <= self.max_af <= 1:
@@ -137,12 +137,12 @@ def parse_arguments(argv: list[str]) -> tuple[Options, dict]:
         p.add_argument(*([f"-{short}"] if short else []), f"--{long}")
     a = p.parse_args(argv)
     values = {k.rpartition("/")[2].replace("-", "_"): None for k in numbers}
-    values = {k: v for k in values if (v := getattr(a, k)) is not None}
+    values = {k.replace("pgbam_", "thread_"): v for k in values if (v := getattr(a, k)) is not None}
     aligned = bool(a.out_sam or a.out_bam or a.out_cram)
     options = Options(
         technology=a.technology or "hifi", regions=tuple(a.region + a.more_regions), region_file=a.region_file, autosome=a.autosome, include_filtered=a.include_filtered, amb_base=a.amb_base,
-        refine_aln=a.refine_aln, output_alignment=aligned, read_support=bool(a.read_support), pgbam_file=a.pgbam_file, pgbam_cleanup_pass=not a.no_pgbam_cleanup_pass,
-        pgbam_relaxed_cleanup_pass=not a.no_pgbam_relaxed_cleanup_pass, **values,
+        refine_aln=a.refine_aln, output_alignment=aligned, read_support=bool(a.read_support), sidecar_file=a.pgbam_file, thread_cleanup_pass=not a.no_pgbam_cleanup_pass,
+        thread_relaxed_cleanup_pass=not a.no_pgbam_relaxed_cleanup_pass, **values,
     )
     paths = {"reference": a.reference, "input": a.input, "input_is_list": a.input_is_list, "extra": a.extra_bam} | {n.rpartition("/")[2].replace("-", "_"): getattr(a, n.rpartition("/")[2].replace("-", "_")) for n in outputs}
     return options, paths

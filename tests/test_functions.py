@@ -84,5 +84,7 @@ def test_options():
             Options(**bad)
     o, paths = parse_arguments(["ref.fa", "in.bam", "chr1:1-5", "--ont", "-q", "20", "--min-af", "0.1", "-r", "chr2", "-o", "x.tsv", "-S", "x.sam"])
     assert (o.technology, o.min_mapq, o.min_af, o.regions, o.output_alignment, paths["output"]) == ("ont", 20, 0.1, ("chr1:1-5", "chr2"), True, "x.tsv")
+    o, _ = parse_arguments(["r", "i", "--pgbam-file", "x", "--pgbam-cleanup-margin", "3", "--no-pgbam-relaxed-cleanup-pass"])
+    assert (o.sidecar_file, o.thread_cleanup_margin, o.thread_relaxed_cleanup_pass) == ("x", 3, False)
     with pytest.raises(SystemExit):
         parse_arguments(["ref.fa", "in.bam", "--ont", "--hifi"])

@@ -11,7 +11,7 @@ from haploweave.schemas import ALIGNMENT
 from haploweave.sinks import alignments as out
 from haploweave.sinks import tables, vcf
 from haploweave.sources import alignments as src
-from haploweave.sources import pgbam, text
+from haploweave.sources import sidecar, text
 
 
 def test_regions(spark, tmp_path):
@@ -47,13 +47,13 @@ def test_fasta(spark, tmp_path):
 
 
 def test_sidecar(spark, tmp_path):
-    good = pgbam.encode([(7, [1, 2]), (9, [])], b"fp")
-    assert pgbam.decode(good) == [(7, [1, 2]), (9, [])]
+    good = sidecar.encode([(7, [1, 2]), (9, [])], b"fp")
+    assert sidecar.decode(good) == [(7, [1, 2]), (9, [])]
     (tmp_path / "s.pgbam").write_bytes(good)
-    assert sorted(map(tuple, pgbam.read(spark, str(tmp_path / "s.pgbam")).collect())) == [(7, 1), (7, 2)]
-    for bad in (b"XXXX" + good[4:], good[:4] + struct.pack("<I", 2) + good[8:], good[:-3], pgbam.encode([(7, [1]), (7, [2])])):
+    assert sorted(map(tuple, sidecar.read(spark, str(tmp_path / "s.pgbam")).collect())) == [(7, 1), (7, 2)]
+    for bad in (b"XXXX" + good[4:], good[:4] + struct.pack("<I", 2) + good[8:], good[:-3], sidecar.encode([(7, [1]), (7, [2])])):
         with pytest.raises(ValueError):
-            pgbam.decode(bad)
+            sidecar.decode(bad)
 
 
 @pytest.fixture(scope="module")

@@ -224,3 +224,20 @@ def test_multi_tile_stitching_follows_reads(spark):
 
     found = collect_variation(spark, *simulated(spark), Options(chunk_size=10_000, output_alignment=True)).candidates
     assert found.filter("category like '%HET%' and total_cov >= 10").select("phase_set").distinct().count() == 1
+
+
+def test_threads_join_phase_sets_that_no_read_links(spark):
+    from haploweave.plans.collect import collect_variation
+    from haploweave.schemas import ALIGNMENT
+
+    ref = simulate.genome(20_000)
+    rows = [a | {"hs": [a["read_id"] % 2, 7]} for a in simulate.alignments(ref, simulate.variants(ref, 400)) if a["pos"] + 3000 < 9000 or a["pos"] > 9000]
+    reads = spark.createDataFrame([tuple(a.values()) for a in rows], ALIGNMENT)
+    tiles = spark.createDataFrame(simulate.reference_rows(ref), "chrom string, tile long, beg long, seq string")
+    contigs = spark.createDataFrame([(0, "chr1", len(ref))], "tid int, name string, len long")
+    threads = spark.createDataFrame([(0, 100), (0, 101), (1, 200), (1, 201), (1, 100)], "set_id long, thread long")
+    sets = lambda **more: {r[0] for r in collect_variation(spark, reads, tiles, contigs, Options(**more.pop("o", {})), **more).candidates.filter("category like '%HET%'").select("phase_set").distinct().collect()}
+    apart, joined = sets(), sets(sidecar=threads)
+    assert len(apart) == 2 and joined == {min(apart)}
+    far = sets(sidecar=threads, o={"chunk_size": 9000})
+    assert far == {min(apart)}
