@@ -241,6 +241,7 @@ def fold(summaries: DataFrame, options: Options, by_threads: bool = False) -> Da
     kinds = {"tid": "int32", "chunk_id": "int64", "phase_set": "int64", "new_phase_set": "int64", "flip": "bool", "of_reads": "bool"}
 
     def run(rows):
-        return pd.DataFrame(fold_contig(rows.to_dict("records"), options, by_threads), columns=columns).astype(kinds)
+        tiles = [{k: v if isinstance(v, (int, float)) else list(v) for k, v in r.items()} for r in rows.to_dict("records")]
+        return pd.DataFrame(fold_contig(tiles, options, by_threads), columns=columns).astype(kinds)
 
     return summaries.groupBy("tid").applyInPandas(run, FOLDED)
