@@ -120,3 +120,42 @@ def test_stream_of_alignments(spark, run, tmp_path):
     q = stream(spark, str(tmp_path / "in"), grid, Options(), lambda rows, touched, n: seen.append((rows.count(), touched.count())), str(tmp_path / "cp"), once=True)
     q.awaitTermination(120)
     assert sum(n for n, _ in seen) == reads.count() and max(t for _, t in seen) == 4
+
+
+def test_refined_alignments(spark, run):
+    from haploweave.plans.refine import refine
+
+    reads, result, _ = run
+    with_tags = reads.withColumn("nm", F.lit(0)).withColumn("md", F.lit("x"))
+    before = {r.read_id: r for r in with_tags.collect()}
+    for r in refine(with_tags, result).collect():
+        a = before[r.read_id]
+        assert (r.pos, r.seq) == (a.pos, a.seq) and set(r.cigar) <= set("0123456789=XID")
+        if r.cigar != a.cigar:
+            assert r.nm == sum(int(n) for n, op in src_ops(r.cigar) if op in "XID") and r.md != "x"
+        assert sum(int(n) for n, op in src_ops(r.cigar) if op in "=XI") == len(a.seq)
+
+
+def src_ops(cigar):
+    import re
+
+    return re.findall(r"(\d+)([MIDNSHP=X])", cigar)
+
+
+def test_command_line(spark, run, tmp_path):
+    from haploweave.cli import run as command
+
+    reads, result, contigs = run
+    ref = simulate.genome(20_000)
+    (tmp_path / "r.fa").write_text(">chr1\n" + "\n".join(ref[i : i + 60] for i in range(0, len(ref), 60)) + "\n")
+    tagged = out.stripped(reads)
+    out.write_bam(tagged.coalesce(1), str(tmp_path / "b"), contigs)
+    bam = sorted((tmp_path / "b").glob("*.bam"))
+    arguments = [str(tmp_path / "r.fa"), str(bam[0]), *[x for b in bam[1:] for x in ("-X", str(b))], "-o", str(tmp_path / "tsv"), "--phased-vcf-output", str(tmp_path / "v"), "-S", str(tmp_path / "s"), "--refine-aln", "--phase-read-tsv", str(tmp_path / "p"), "--read-support", str(tmp_path / "rs")]
+    numbers = command(arguments, spark)
+    assert numbers["reads"] == reads.count() and numbers["CLEAN_HET_SNP"] > 10
+    want = sorted((r.POS, r.TYPE, r.ALT) for r in tables.candidate_rows(with_bases(result)).collect())
+    got = spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv"))
+    assert sorted((int(r.POS), r.TYPE, r.ALT) for r in got.collect()) == want
+    assert spark.read.text(str(tmp_path / "s/records")).filter("value LIKE '%HP:i:%'").count() > 0
+    assert spark.read.text(str(tmp_path / "v/records")).count() > 10
