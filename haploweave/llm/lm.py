@@ -55,6 +55,19 @@ def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def pack(n: np.ndarray) -> bytes:
+    """Counts as a byte each; those of 255 and more apart, with their places."""
+    large = np.flatnonzero(n >= 255)
+    return np.int64(len(large)).tobytes() + large.astype(np.int64).tobytes() + n[large].astype(np.int64).tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes()
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    k = int(np.frombuffer(raw, np.int64, 1)[0])
+    n = np.frombuffer(raw, np.uint8, offset=8 + 16 * k).astype(np.int64)
+    n[np.frombuffer(raw, np.int64, k, 8)] = np.frombuffer(raw, np.int64, k, 8 + 8 * k)
+    return n
+
+
 class Words(dict):
     """Word to its 64-bit key, remembered while a block is read."""
 
@@ -118,11 +131,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         edges = np.array([s * 2**64 // blocks for s in range(blocks)], np.uint64)
         for k, (grams, there) in enumerate(ngrams_of(tokens, starts, order), 1):
             keys, where = np.unique(grams[there], return_inverse=True)
-            n = np.bincount(where, weights=trained[there], minlength=len(keys)).astype(np.uint32)
+            n = np.bincount(where, weights=trained[there], minlength=len(keys)).astype(np.int64)
             cut = [*np.searchsorted(keys, edges).tolist(), len(keys)]
             for s in range(blocks):
                 found["block"].append(block), found["shard"].append(s), found["order"].append(k)
-                found["keys"].append(keys[cut[s] : cut[s + 1]].tobytes()), found["counts"].append(n[cut[s] : cut[s + 1]].tobytes())
+                found["keys"].append(keys[cut[s] : cut[s + 1]].tobytes()), found["counts"].append(pack(n[cut[s] : cut[s + 1]]))
         return pa.table(found, schema=asked)
 
     def summed(key, table):
@@ -133,14 +146,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             mine = [i for i, o in enumerate(sent["order"]) if o == k]
             keys = [np.frombuffer(sent["keys"][i], np.uint64) for i in mine]
             every, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([np.frombuffer(sent["counts"][i], np.uint32) for i in mine]), minlength=len(every)).astype(np.int64)
+            n = np.bincount(where, weights=np.concatenate([unpack(sent["counts"][i]) for i in mine]), minlength=len(every)).astype(np.int64)
             at = 0
             for i, own in zip(mine, keys):
                 c = n[where[at : at + len(own)]]
                 at += len(own)
-                wide = bool(len(c)) and int(c.max()) >= 2**31
                 back["block"].append(sent["block"][i]), back["shard"].append(sent["shard"][i]), back["order"].append(k)
-                back["counts"].append(c.tobytes() if wide else c.astype(np.uint32).tobytes())
+                back["counts"].append(pack(c))
                 back["n"].append(int(n.sum()) if k == 1 else 0), back["v"].append(int((n > 0).sum()) if k == 1 else 0)
         return pa.table(back, schema=answered)
 
@@ -156,8 +168,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         grams = ngrams_of(tokens, starts, order)
         for k, (g, there) in enumerate(grams, 1):
             keys, where = np.unique(g[there], return_inverse=True)
-            sizes = np.diff([*np.searchsorted(keys, np.array([s * 2**64 // blocks for s in range(blocks)], np.uint64)), len(keys)])
-            parts = [np.frombuffer(raw, np.int64 if len(raw) == 8 * size else np.uint32) for raw, size in zip((c for c, o in zip(told["counts"], told["order"]) if o == k), sizes)]
+            parts = [unpack(raw) for raw, o in zip(told["counts"], told["order"]) if o == k]
             c = np.zeros(len(g))
             c[there] = np.concatenate(parts)[where]
             counts.append(c)
