@@ -19,8 +19,8 @@ def _bins(df: DataFrame, beg: str, fin: str, size: int, name: str) -> DataFrame:
     return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(beg) / size), F.floor(F.col(fin) / size))))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("tid",), left_span: tuple[str, str] = ("beg", "fin"), right_span: tuple[str, str] = ("beg", "fin"), prefix: str = "r_", how: str = "inner", bin_size: int = BIN) -> DataFrame:
-    """Pairs of overlapping intervals: left's columns, then right's with the prefix. how: inner, left, left_semi or left_anti."""
+def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("tid",), left_span: tuple[str, str] = ("beg", "fin"), right_span: tuple[str, str] = ("beg", "fin"), prefix: str = "r_", bin_size: int = BIN) -> DataFrame:
+    """Pairs of overlapping intervals: left's columns, then right's with the prefix."""
     r = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
     rb, rf = prefix + right_span[0], prefix + right_span[1]
     left_bins = _bins(left.filter(F.col(left_span[0]) <= F.col(left_span[1])), *left_span, bin_size, "__bin")
@@ -30,19 +30,7 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[str] = ("tid",)
         condition &= F.col(c) == F.col(prefix + c)
     condition &= (F.col(left_span[0]) <= F.col(rf)) & (F.col(left_span[1]) >= F.col(rb))
     condition &= F.floor(F.greatest(F.col(left_span[0]), F.col(rb)) / bin_size) == F.col("__bin")
-    pairs = left_bins.join(right_bins, condition).drop("__bin", "__rbin")
-    if how == "inner":
-        return pairs
-    keyed = left.withColumn("__row", F.xxhash64(*left.columns))
-    ids = pairs.select(*[F.col(c).alias(f"__k_{c}") for c in left.columns]).distinct()
-    match = None
-    for c in left.columns:
-        x = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        match = x if match is None else match & x
-    if how in ("left_semi", "left_anti"):
-        return left.join(ids, match, how)
-    lone = keyed.drop("__row").join(ids, match, "left_anti")
-    return pairs.unionByName(lone, allowMissingColumns=True)
+    return left_bins.join(right_bins, condition).drop("__bin", "__rbin")
 
 
 def containment_semi_join(inner: DataFrame, outer: DataFrame, on: Sequence[str] = ("tid",), span: tuple[str, str] = ("beg", "fin"), outer_span: tuple[str, str] = ("beg", "fin"), bin_size: int = BIN) -> DataFrame:
@@ -56,14 +44,23 @@ def containment_semi_join(inner: DataFrame, outer: DataFrame, on: Sequence[str]
     return inner.join(o, condition, "left_semi")
 
 
-def islands(intervals: DataFrame, on: Sequence[str] = ("tid",), beg: str = "beg", fin: str = "fin", gap: int = 1, label: str | None = None) -> DataFrame:
-    """Merges intervals that overlap or are at most ``gap`` apart in bases counted as next - end; label: the largest of an island."""
+def islands(intervals: DataFrame, on: Sequence[str] = ("tid",), beg: str = "beg", fin: str = "fin", gap: int = 1, label: str | None = None, stretch: int = 1 << 20) -> DataFrame:
+    """Merges intervals that overlap or are at most ``gap`` apart in bases counted as next - end; n: how many an island holds;
+    label: the largest of an island.
+
+    Twice: first within stretches of a contig, so that a contig with most of the rows is spread over many tasks, then over
+    what is left of them."""
+    rows = intervals.select(*on, beg, fin, F.lit(1).cast("long").alias("n"), *([label] if label else [])).withColumn("__stretch", F.floor(F.col(beg) / stretch))
+    return _merged(_merged(rows, [*on, "__stretch"], beg, fin, gap, label), list(on), beg, fin, gap, label)
+
+
+def _merged(rows: DataFrame, on: list[str], beg: str, fin: str, gap: int, label: str | None) -> DataFrame:
     order = Window.partitionBy(*on).orderBy(beg, fin)
     before = F.max(fin).over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(before.isNull() | (F.col(beg) > before + gap), 1).otherwise(0)
-    numbered = intervals.withColumn("__new", starts).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = rows.withColumn("__new", starts).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     extra = [F.max(label).alias(label)] if label else []
-    return numbered.groupBy(*on, "__island").agg(F.min(beg).alias(beg), F.max(fin).alias(fin), F.count("*").alias("n"), *extra).drop("__island")
+    return numbered.groupBy(*on, "__island").agg(F.min(beg).alias(beg), F.max(fin).alias(fin), F.sum("n").alias("n"), *extra).drop("__island")
 
 
 def extend_over(intervals: DataFrame, masks: DataFrame, on: Sequence[str] = ("tid",), span: tuple[str, str] = ("beg", "fin"), mask_span: tuple[str, str] = ("beg", "fin"), key: Sequence[str] | None = None, bin_size: int = BIN) -> DataFrame:
