@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, checkpoint
 
 
 def _normal(text_col: str):
@@ -59,9 +59,12 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' columns."""
-    groups = duplicate_groups(docs, id_col, text_col).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+    groups = checkpoint(duplicate_groups(docs, id_col, text_col).select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows")))
     joined = docs.withColumn("__sha", _sha(text_col)).join(groups, "__sha", "left")
     stays = joined.filter(F.col("__rows").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
+    if groups.filter("__rows > 1").isEmpty():
+        return stays.select(*docs.columns)
+    # Some kept document is there in several rows: one of them is enough.
     once = stays.filter(F.coalesce("__rows", F.lit(1)) == 1)
     again = stays.filter(F.col("__rows") > 1).dropDuplicates(["__sha"])
     return once.unionByName(again).select(*docs.columns)
