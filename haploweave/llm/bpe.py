@@ -32,6 +32,8 @@ from bisect import bisect_right
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 PIECE = 1 << 16
 NONE = 1 << 30
@@ -335,36 +337,32 @@ def transcode(docs: DataFrame, path: str, emit, columns: str, text_col: str = "t
     kept = docs.columns if keep is None else keep
     made = [c.strip().split()[0] for c in columns.split(",")]
     schema = docs.select(*kept).schema
-    from pyspark.sql.types import StructType
-
-    out = StructType([*schema.fields, *StructType.fromDDL(columns).fields])
+    more = StructType.fromDDL(columns)
+    out, types = StructType([*schema.fields, *more.fields]), [to_arrow_type(f.dataType) for f in more]
     position = docs.columns.index(text_col)
     places = [docs.columns.index(c) for c in kept]
 
     def run(batches):
         v = Vocabulary.load(path)
         cache = Cache(v)
-        for batch in batches:
-            rows = []
-            for text in batch.column(position).to_pylist():
-                encoder, decoder, to = Encoder(v, cache), Decoder(v, joined), emit()
-                text = text or ""
-                for at in range(0, len(text) + 1, PIECE):
-                    piece = text[at : at + PIECE]
-                    raw = encoder.feed(piece)
-                    if at + PIECE > len(text):
-                        raw += encoder.finish()
-                    to.ids(raw)
-                    ids = array("I")
-                    ids.frombytes(raw)
-                    for i in range(0, len(ids), at_once):
-                        to.text(decoder.feed(ids[i : i + at_once]))
-                to.text(decoder.finish())
-                rows.append(to.result())
-            values = list(zip(*rows)) if rows else [[] for _ in made]
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            arrays = [pa.array(x, to_arrow_type(out[len(kept) + i].dataType)) for i, x in enumerate(values)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *arrays], [*kept, *made])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 128):
+                batch, rows = whole.slice(first, 128), []
+                for text in batch.column(position).to_pylist():
+                    encoder, decoder, to = Encoder(v, cache), Decoder(v, joined), emit()
+                    text = text or ""
+                    for at in range(0, len(text) + 1, PIECE):
+                        raw = encoder.feed(text[at : at + PIECE])
+                        if at + PIECE > len(text):
+                            raw += encoder.finish()
+                        to.ids(raw)
+                        ids = array("I")
+                        ids.frombytes(raw)
+                        for i in range(0, len(ids), at_once):
+                            to.text(decoder.feed(ids[i : i + at_once]))
+                    to.text(decoder.finish())
+                    rows.append(to.result())
+                arrays = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *arrays], [*kept, *made])
 
     return docs.mapInArrow(run, out)
