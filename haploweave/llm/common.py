@@ -33,6 +33,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_labels(spark: SparkSession, n: int, most: int = 4096) -> list[int]:
+    """n group labels that a hash partitioning into n parts deals one to each part (plain numbers would leave some parts
+    empty and others with several). Beyond ``most`` labels, whose list would weigh on the plan, plain numbers."""
+    if n > most:
+        return list(range(n))
+    tried = spark.range(0, 40 + n * 16).select(F.col("id").cast("int").alias("id"))
+    first = {r["p"]: r["id"] for r in tried.groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()}
+    spare = iter(range(40 + n * 16, 41 + n * 17))
+    return [first[p] if p in first else next(spare) for p in range(n)]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session shares between driver and executors, spark.checkpoint.dir.
 

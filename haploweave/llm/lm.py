@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, partitions, words_of
+from .common import as_binary, even_labels, partitions, words_of
 
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end ", 1)), np.uint64(xxhash.xxh64_intdigest(b" start ", 1))
 
@@ -119,7 +119,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     blocks = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "raw"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    labels = even_labels(docs.sparkSession, blocks)  # of blocks, and of shards
+    number = F.pmod(F.xxhash64("id", "raw"), F.lit(blocks)).cast("int")
+    block = F.get(F.array(*[F.lit(x) for x in labels]), number) if labels != list(range(blocks)) else number
+    rows = rows.withColumn("block", block).repartition(blocks, "block")
 
     def counted(key, table):
         """A block's distinct n-grams, by shard, with their training counts."""
@@ -134,7 +137,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             n = np.bincount(where, weights=trained[there], minlength=len(keys)).astype(np.int64)
             cut = [*np.searchsorted(keys, edges).tolist(), len(keys)]
             for s in range(blocks):
-                found["block"].append(block), found["shard"].append(s), found["order"].append(k)
+                found["block"].append(block), found["shard"].append(labels[s]), found["order"].append(k)
                 found["keys"].append(keys[cut[s] : cut[s + 1]].tobytes()), found["counts"].append(pack(n[cut[s] : cut[s + 1]]))
         return pa.table(found, schema=asked)
 
@@ -162,13 +165,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         if not ids:
             return pa.table({f.name: pa.array([], f.type) for f in result}, schema=result)
         tokens, starts = tokens_of(raws)
-        told = answers.sort_by([("order", "ascending"), ("shard", "ascending")]).to_pydict()
+        told = answers.to_pydict()
+        place = {x: s for s, x in enumerate(labels)}
+        told["slices"] = sorted(range(answers.num_rows), key=lambda i: (told["order"][i], place[told["shard"][i]]))
         total, distinct = sum(told["n"]), sum(told["v"])
         counts, contexts, full = [], [None], {}
         grams = ngrams_of(tokens, starts, order)
         for k, (g, there) in enumerate(grams, 1):
             keys, where = np.unique(g[there], return_inverse=True)
-            parts = [unpack(raw) for raw, o in zip(told["counts"], told["order"]) if o == k]
+            parts = [unpack(told["counts"][i]) for i in told["slices"] if told["order"][i] == k]
             c = np.zeros(len(g))
             c[there] = np.concatenate(parts)[where]
             counts.append(c)
