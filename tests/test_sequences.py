@@ -241,3 +241,11 @@ def test_threads_join_phase_sets_that_no_read_links(spark):
     assert len(apart) == 2 and joined == {min(apart)}
     far = sets(sidecar=threads, o={"chunk_size": 9000})
     assert far == {min(apart)}
+
+
+def test_long_alignments_are_cut_at_shared_words():
+    a = simulate.genome(3000, 12)
+    b = a[:700] + a[760:1500] + "ACGTT" * 4 + a[1500:2000] + ("A" if a[2000] != "A" else "C") + a[2001:]
+    x, y = gapped(a, b)
+    assert x.replace("-", "") == a and y.replace("-", "") == b
+    assert (y.count("-"), x.count("-"), sum(p != q for p, q in zip(x, y) if "-" not in (p, q))) == (60, 20, 1)
