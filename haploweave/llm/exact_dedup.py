@@ -33,10 +33,11 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     raw = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), raw.alias("raw"), F.octet_length(raw).alias("len"), F.xxhash64(ascii_lower(F.substring(raw, 1, prefix_chars))).alias("prefix"))
     narrow = rows.drop("raw")
-    lengths = narrow.groupBy("len").count().filter("count > 1").select("len")
+    # Joined by an expression, so that both sides are exchanged for the join and a hot length can be split there.
+    lengths = narrow.groupBy("len").count().filter("count > 1").select((F.col("len") * 2).alias("twice"))
     # One struct as key: so that a hot length is counted in every task that its rows are split over, not where the join put them.
     pair = F.struct("len", "prefix").alias("pair")
-    prefixes = narrow.join(lengths, "len", "left_semi").select(pair).groupBy("pair").count().filter("count > 1").select("pair.len", "pair.prefix")
+    prefixes = narrow.join(lengths, F.col("len") * 2 == F.col("twice"), "left_semi").select(pair).groupBy("pair").count().filter("count > 1").select("pair.len", "pair.prefix")
     # What survives is a share of all rows and grows with them: never broadcast. Whole texts move once.
     whole = rows.join(prefixes.hint("merge"), ["len", "prefix"], "left_semi").select("id", _sha("raw").alias("sha"))
     by_id = whole.groupBy("sha", "id").agg(F.count("*").alias("n"))
