@@ -52,7 +52,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     groups = duplicate_groups(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), _sha(text_col).alias("sha"))
-    joined = rows.join(groups, "sha", "left")
+    # Joined by an expression again: a hot digest is split.
+    joined = rows.join(groups.select(F.reverse("sha").alias("ahs"), "keep_id", "group_size"), F.reverse("sha") == F.col("ahs"), "left")
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
