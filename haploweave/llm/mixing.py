@@ -2,14 +2,15 @@
 
 Each source has a weight schedule w_s(t) over training time t in [0, 1]: a
 piecewise linear curve given by its values at evenly spaced knots, integrated
-exactly. Its share of the training words is the integral; a source's target is
-its share of all words, at most ``most_repeats`` times the source's size, and
+exactly. Its share of the training words is its constant weight times the integral;
+a source's target is its share of all words, at most ``most_repeats`` times the source's size, and
 what exceeds that is shared out again by weight until no source is above. A
 source is read in a fixed shuffled order (hash of the row), over and over, until
 its demand is met; the last document is cut at a word. A reading that starts
 after x words of its source gets the training time t at which the cumulative
-demand of the source, target * W_s(t) / W_s(1), reaches x; documents are then
-range-sorted by that position.
+demand of the source, target * W_s(t) / W_s(1), reaches x; readings (in ``mix``)
+or documents by their first reading (in ``ordered``) are range-sorted by that
+position, ties by place in the source, source and row.
 
 Distribution. Word counts come from one scan; a source's running sums are built
 in two levels, buckets of a hash within a source and rows within a bucket, with
@@ -88,14 +89,15 @@ CURRICULUM = (Schedule((2.0, 1.0, 0.0)), Schedule((1.0, 1.0)), Schedule((0.0, 1.
 
 
 def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1.0, 2.0, 3.0), schedules: Sequence[Schedule] = CURRICULUM, most_repeats: float = 3.0, keep: Sequence[str] | None = None) -> DataFrame:
-    """Columns of docs (or those of ``keep``) and __size, __source_size, __target, __start (words of its source before it), __taken, __schedule, __demand."""
+    """Columns of docs (or those of ``keep``) and __size, __source_size, __target, __start (words of its source before it), __taken, __schedule, __demand, __key (hash of the row)."""
     buckets = partitions(docs.sparkSession)
     rows = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
     per_source = rows.groupBy(F.col(source_col).alias("s")).agg(F.sum("__size").alias("n")).collect()
     sizes = {r["s"]: r["n"] for r in per_source}
     weight = source_weights(list(sizes), weights)
     order = list(source_weights(list(sizes), range(len(sizes))).items())
-    target = share_out(sizes, weight, sum(sizes.values()), most_repeats)
+    share = {s: weight[s] * schedules[i % len(schedules)].integral() for s, i in order}
+    target = share_out(sizes, share, sum(sizes.values()), most_repeats)
     demand = {s: round(t) for s, t in target.items()}
     facts = [(s, sizes[s], target[s], demand[s], i % len(schedules)) for s, i in order]
     table = docs.sparkSession.createDataFrame(facts, "s string, __source_size long, __target double, __demand long, __schedule int")
@@ -119,19 +121,43 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", we
     full = F.when(F.col("__source_size") > 0, F.expr("__demand div __source_size")).otherwise(F.lit(0))
     rest = F.col("__demand") - full * F.col("__source_size")
     part = F.greatest(F.least(rest - start, F.col("__size")), F.lit(0))
-    return placed.select(*kept, F.col("__s").alias("__source"), "__size", "__source_size", "__target", start.alias("__start"), full.alias("__full"), part.alias("__part"), (full * F.col("__size") + part).alias("__taken"), "__demand", "__schedule")
+    return placed.select(*kept, F.col("__s").alias("__source"), "__size", "__source_size", "__target", start.alias("__start"), full.alias("__full"), part.alias("__part"), (full * F.col("__size") + part).alias("__taken"), "__demand", "__schedule", "__key")
 
 
-def readings(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
-    """A row for each reading of a document: planned columns, __words (taken in it), __position in [0, 1]."""
-    whole = F.when(F.col("__full") > 0, F.sequence(F.lit(0), F.col("__full") - 1)).otherwise(F.array().cast("array<bigint>"))
+def timed(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
+    """Planned columns and __readings: epoch, words and position of each reading of the document, in order."""
+    whole = F.when(F.col("__full") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("__full") - 1)).otherwise(F.array().cast("array<bigint>"))
     epochs = F.concat(whole, F.when(F.col("__part") > 0, F.array(F.col("__full"))).otherwise(F.array().cast("array<bigint>")))
-    rows = planned.withColumn("__epoch", F.explode(epochs))
-    part = F.when(F.col("__demand") > 0, (F.col("__epoch") * F.col("__source_size") + F.col("__start")) / F.col("__demand")).otherwise(F.lit(0.0))
-    place = F.lit(None).cast("double")
-    for i, s in enumerate(schedules):
-        place = F.when(F.col("__schedule") == i, s.inverse(part)).otherwise(place)
-    return rows.withColumn("__words", F.when(F.col("__epoch") < F.col("__full"), F.col("__size")).otherwise(F.col("__part"))).withColumn("__position", place)
+
+    def reading(epoch):
+        part = F.when(F.col("__demand") > 0, (epoch * F.col("__source_size") + F.col("__start")) / F.col("__demand")).otherwise(F.lit(0.0))
+        place = F.lit(None).cast("double")
+        for i, s in enumerate(schedules):
+            place = F.when(F.col("__schedule") == i, s.inverse(part)).otherwise(place)
+        words = F.when(epoch < F.col("__full"), F.col("__size")).otherwise(F.col("__part"))
+        return F.struct(epoch.alias("epoch"), words.alias("words"), place.alias("position"))
+
+    return planned.withColumn("__readings", F.transform(epochs, reading))
+
+
+def readings(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
+    """A row for each reading of a document: planned columns, __epoch, __words (taken in it), __position in [0, 1]."""
+    rows = timed(planned, schedules).withColumn("__reading", F.explode("__readings"))
+    parts = [F.col(f"__reading.{c}").alias(f"__{c}") for c in ("epoch", "words", "position")]
+    return rows.select(*planned.columns, *parts)
+
+
+def ordered(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """A row for each document, range-sorted by its first reading (unread ones last): planned columns, with __taken summed
+    over the readings, and __positions, the training times of its readings."""
+    rows = timed(plan(docs, text_col, source_col, **options), options.get("schedules", CURRICULUM))
+    rows = rows.withColumn("__taken", F.aggregate("__readings.words", F.lit(0).cast("bigint"), lambda n, w: n + w)).withColumn("__positions", F.col("__readings.position"))
+    order = [F.get("__positions", F.lit(0)).asc_nulls_last(), "__start", "__source", "__key"]
+    return rows.drop("__readings").repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+#: What readings are sorted by.
+ORDER = ("__position", "__start", "__epoch", "__source", "__key")
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
@@ -142,7 +168,7 @@ def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", len
     out = rows.withColumn(text_col, text)
     if length_col:
         out = out.withColumn(length_col, F.when(F.col("__words") < F.col("__size"), F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
-    return out.repartitionByRange("__position", "__start", "__epoch").sortWithinPartitions("__position", "__start", "__epoch").select(*docs.columns)
+    return out.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*docs.columns)
 
 
 def _first_words(text_col: str):

@@ -10,7 +10,7 @@ from .bpe import transcode
 from .common import read
 from .exact_dedup import report
 from .lm import score
-from .mixing import plan
+from .mixing import ordered
 from .resampling import resample
 from .sharding import shard
 from .simhash import near_duplicates
@@ -30,8 +30,9 @@ def op2_toxicity_chain(spark, sf_dir):
 
 
 def op3_curriculum_mixing(spark, sf_dir):
-    planned = plan(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return planned.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    """Words taken of each document and the training times of its readings, in the order of the first."""
+    planned = ordered(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return planned.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__positions").alias("positions"))
 
 
 def op4_backoff_lm_scoring(spark, sf_dir):
