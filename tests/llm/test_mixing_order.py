@@ -48,3 +48,26 @@ def test_shares_follow_the_integral(spark):
     schedules = (mixing.Schedule((3.0, 3.0)), mixing.Schedule((0.0, 2.0)))
     planned = mixing.plan(docs, weights=(1.0, 1.0), schedules=schedules).collect()
     assert {(r["__source"], r["__target"]) for r in planned} == {("a", 750.0), ("b", 250.0)}
+
+
+def test_pipeline_keeps_the_training_order(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+    want = mixing.readings(mixing.plan(docs)).orderBy(*mixing.ORDER).collect()
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r.position for r in rows) == list(range(len(want)))
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in want]
+
+
+def test_places_follow_the_files(spark, tmp_path):
+    import corpus_pipeline
+
+    # Later files are larger, so that a scan takes them first.
+    rows = spark.createDataFrame([(i, "é" * (i % 7) + str(i) * i) for i in range(400)], "n long, text string").repartitionByRange(6, "n").sortWithinPartitions("n")
+    rows.write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "w"))
+    found = corpus_pipeline.numbered(spark.read.parquet(str(tmp_path / "w")))
+    assert found.columns == ["n", "text", "__place"]
+    assert all(r["n"] == r["__place"] for r in found.collect()) and found.count() == 400
