@@ -3,7 +3,7 @@
 For each response there is one ``metadata`` record (application/warc-fields: HTTP
 status, the source's HTTP headers, its record id, date and digests, the page's
 title, charset and counts) and, where the payload is text, one ``conversion``
-record (text/plain). Both name their source by WARC-Refers-To, with its target
+record (text/plain): the visible text of HTML, other text types as they are. Both name their source by WARC-Refers-To, with its target
 URI and date, and each other by WARC-Concurrent-To; both carry a SHA-1 block
 digest, and the digests of the source are handed on as they are, or computed
 where it has none. Record ids are name-based (a hash of source id and type), so
@@ -16,7 +16,9 @@ record separator, so both work on any file system that Spark knows.
 
 Defined results: a null payload is an empty one; a null or empty URI gives records
 without a target URI; no HTTP header block gives no status; broken markup never
-fails: an unclosed comment, tag, script or style ends at the end of the page;
+fails: an unclosed comment, tag, script or style ends at the end of the page, an
+unclosed title at the next tag, and other unclosed elements hide nothing; a head
+needs no end, as text in it counts as the body's;
 bytes that are not in the stated charset become U+FFFD; rows are mapped one by
 one, so repeated rows give repeated records and an empty table gives none; other
 columns of the input are passed on by ``keep``.
@@ -39,9 +41,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Elements whose content is no text, and elements that end a line.
-SILENT = frozenset("script style template noscript iframe object svg head".split())
+SILENT = frozenset("script style template noscript iframe object svg".split())
+TO_THE_END = frozenset(("script", "style"))
 LINES = frozenset("address article aside blockquote br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol option p pre section table td th tr ul".split())
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)|<!--|<[!?]")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]", re.A)
+END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.A | re.I) for name in (*SILENT, "title")}
 BLANKS, LINE_BLANKS = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
 RESPONSE = "record_id string, target_uri string, date string, headers map<string,string>, block binary"
 
@@ -76,10 +80,7 @@ def end_of_tag(text: str, at: int) -> int:
 
 def plain_text(page: str) -> tuple[str, str]:
     """Visible text of a page, and its title."""
-    out, at, title = [], 0, ""
-    low = page.lower() if "<" in page else ""
-    if len(low) != len(page):  # a letter changed its length: look for tags as they are
-        low = page
+    out, at, title, endless = [], 0, "", set()
     while m := TAG.search(page, at):
         out.append(page[at : m.start()])
         if m.group(0) == "<!--":
@@ -90,20 +91,18 @@ def plain_text(page: str) -> tuple[str, str]:
         if not m.group(2):
             continue
         name = m.group(2).lower()
-        if name == "title" and not m.group(1):
-            end = low.find("</title", at)
-            end = len(page) if end < 0 else end
-            title = title or " ".join(html.unescape(page[at:end]).split())
-            at = end
-        elif name in SILENT and not m.group(1) and page[at - 2 : at] != "/>":
-            end = low.find("</" + name, at)
-            if name == "head":
-                start = low.find("<title", at)
-                if 0 <= start and (end < 0 or start < end):
-                    begin = end_of_tag(page, start)
-                    stop = low.find("</title", begin)
-                    title = title or " ".join(html.unescape(page[begin : stop if stop >= 0 else len(page)]).split())
-            at = len(page) if end < 0 else end_of_tag(page, end)
+        if name in END and not m.group(1) and page[at - 2 : at] != "/>":
+            end = None if name in endless else END[name].search(page, at)
+            if not end:  # nor has any that follows
+                endless.add(name)
+            if name == "title":
+                stop = end or TAG.search(page, at)
+                begin, at = at, stop.start() if stop else len(page)
+                title = title or " ".join(html.unescape(page[begin:at]).split())
+            elif end:
+                at = end_of_tag(page, end.end())
+            elif name in TO_THE_END:
+                at = len(page)
         elif name in LINES:
             out.append("\n")
         else:
@@ -151,12 +150,14 @@ def derive_one(source_id: str, uri: str | None, date: str, headers: dict[str, st
     block_digest = headers.get("WARC-Block-Digest") or sha1(block)
     payload_digest = headers.get("WARC-Payload-Digest") or sha1(body)
     ids = {t: record_id(source_id, t) for t in ("metadata", "conversion")}
-    is_text = kind.split(";")[0].strip().lower() in ("text/html", "application/xhtml+xml", "text/plain", "")
+    media = kind.split(";")[0].strip().lower()
+    is_html = media in ("text/html", "application/xhtml+xml", "")
+    is_text = is_html or media.startswith("text/")
     text = title = ""
     charset = charset_of(kind)
     if is_text:
         page = decoded(body, named).decode(charset, "replace")
-        text, title = (page, "") if kind.lower().startswith("text/plain") else plain_text(page)
+        text, title = plain_text(page) if is_html else (page, "")
     clean = lambda v: re.sub(r"[\r\n]+", " ", v)
     lines = [("source-record-id", source_id), ("source-date", date), ("source-block-digest", block_digest), ("source-payload-digest", payload_digest), ("source-block-length", str(len(block)))]
     lines += [("http-status", status)] * bool(status) + [(f"http-header-{k.lower()}", v) for k, v in fields]
