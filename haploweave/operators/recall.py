@@ -4,7 +4,9 @@ Reads are clipped to a region; those of the two haplotypes of a phase set (or, i
 there is none, all reads, split where they differ most evenly) give one or two
 consensus sequences; what these differ in from the reference are the region's
 sites: on both sequences homozygous, on one heterozygous. New sites and the
-reads' alleles are merged into the tile, and the tile is phased again.
+reads' alleles are merged into the tile, and the tile is phased again. Reads of
+the haplotypes that reach only one end of a region have a say in what they cover,
+unless it is a homopolymer.
 """
 from __future__ import annotations
 
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from ..functions.repeats import Window
 from ..options import Options
 from ..schemas import GERMLINE
-from .align import consensus, gapped
+from .align import consensus, gapped, prefix_reached, suffix_reached
 from .phase import Phaser, Profile, phase
 from .sites import COUNTERS, site_key
 
@@ -123,6 +125,32 @@ def homopolymer_indel(site: dict, window: Window) -> bool:
     return site["type"] == "INS" and set(site["alt"]) == {beside}
 
 
+def homopolymer_region(ref: str, flank: int) -> bool:
+    """Whether a short region has a base five times and more on end between its flanks."""
+    if not 2 * flank <= len(ref) <= 2 * flank + 50:
+        return False
+    run = 0
+    for i in range(max(1, flank - 1), min(len(ref), len(ref) - flank + 1)):
+        run = run + 1 if ref[i] == ref[i - 1] else 0
+        if run >= 5:
+            return True
+    return False
+
+
+def covered(ref: str, c: Clip, o: Options) -> tuple[int, int]:
+    """The part of a region's reference, from and to, that a clipped read covers."""
+    if c.full:
+        return 0, len(ref)
+    return (0, prefix_reached(ref, c.seq, o)) if c.left else (len(ref) - suffix_reached(ref, c.seq, o), len(ref))
+
+
+def shows(site: dict, beg: int, fin: int, c: Clip) -> bool:
+    """Whether a site lies in the part from beg to fin (not included) that a read covers, and no gap at its open end."""
+    gap = site["type"] != "SNP"
+    low, high = beg + (gap and not c.left), fin - (gap and not c.right)
+    return low <= site["pos"] and site["pos"] + site["ref_len"] <= high
+
+
 def best_phase_set(clips: list[Clip], p: Phaser, o: Options) -> int | None:
     """Phase set that has both haplotypes with enough reads, of several the one with most reads over the whole region."""
     found: dict[int, list[list[int]]] = {}
@@ -166,15 +194,18 @@ def call_region(region: tuple[int, int, int], reads: list[dict], p: Phaser, wind
     ref = "".join(window.base(i) for i in range(beg, fin + 1))
     ps = best_phase_set(clips, p, o)
     full = [c for c in clips if c.full]
+    parts: list[list[Clip]] = [[], []]
     if ps is not None:
         groups = [[c for c in full if p.phase_set[c.read] == ps and p.hap[c.read] == h] for h in (1, 2)]
+        if not homopolymer_region(ref, o.noisy_flank):
+            parts = [[c for c in clips if c.left != c.right and p.phase_set[c.read] == ps and p.hap[c.read] == h] for h in (1, 2)]
     elif len(full) >= o.min_depth:
         groups = split(full, ref, beg, o)
     else:
         return None
     if any(not g for g in groups):
         return None
-    sequences = [consensus([c.seq for c in g], o) for g in groups]
+    sequences = [consensus([c.seq for c in g], o, left=[c.seq for c in part if c.left], right=[c.seq for c in part if c.right]) for g, part in zip(groups, parts)]
     found = [{site_key(s): s for s in sites_of(ref, s, beg, o)} for s in sequences]
     sites = []
     for key in sorted({k for f in found for k in f}):
@@ -183,10 +214,13 @@ def call_region(region: tuple[int, int, int], reads: list[dict], p: Phaser, wind
         s |= dict.fromkeys(COUNTERS, 0) | {"category": "NOISY_CAND_HOM" if all(where) else "NOISY_CAND_HET", "init_category": "LOW_COV", "alt_ref_base": 4, "homopolymer": homopolymer_indel(s, window)}
         sites.append(s)
     shown: list[Profile | None] = [None] * len(reads)
-    for c in full:
+    for c in full + parts[0] + parts[1]:
         profile = Profile()
+        first, last = covered(ref, c, o)
         for i, s in enumerate(sites):
-            a = read_allele(ref, c.seq, beg, s, o)
+            if not c.full and not shows(s, beg + first, beg + last, c):
+                continue
+            a = read_allele(ref[first:last], c.seq, beg + first, s, o)
             profile.put(i, a)
             s["total_cov"] += 1
             s["ref_cov"] += a == 0
