@@ -11,9 +11,13 @@ linked that way bounds how far the future reaches back; ``lookahead`` computes i
 from the merge list, and tokens that end further from the end of what has been
 read are final. Memory: one window of symbols, whatever the length of a word.
 
-Texts are read in pieces cut before white space (or, in very long unspaced runs,
-between two letters, with the word left open), so that a text of any length needs
-one piece and one window. Decoding feeds ids to a machine that holds at most one
+Texts are read in pieces, through three machines that each hold a bounded rest:
+what may be the beginning of a special token or may still compose with the next
+character (NFC; a run of combining marks is held whole), what may still become
+another word of the split pattern, and the open word's own window. A word that
+outgrows what is held is opened and goes on as long as its run does, whatever it
+is made of. Every word, short or long, goes through the transducer; a bounded cache
+remembers its output. Decoding feeds ids to a machine that holds at most one
 incomplete UTF-8 sequence.
 
 Defined results: null is the empty text: no ids. Special tokens are recognised in
@@ -73,7 +77,8 @@ def later_letters() -> regex.Pattern:
     return regex.compile("[" + "".join(f"\\U{int(e[0], 16):08x}-\\U{int(e[-1], 16):08x}" for e in ends) + "]")
 
 
-LETTER, NUMBER, SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
+#: What is held back of a text: more than any special token, and more than the split pattern looks ahead.
+MARGIN = 64
 
 
 class Vocabulary:
@@ -93,12 +98,13 @@ class Vocabulary:
             self.tokens[i] = t
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.plain_words = regex.compile(pattern).findall
+        self.plain = regex.compile(pattern)
         self.rare = later_letters()
-        self.rare_words = regex.compile(pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{self.rare.pattern}]").replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{self.rare.pattern})"), regex.V1).findall if r"[\p{L}]" in pattern else self.plain_words
+        self.wide = regex.compile(pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{self.rare.pattern}]").replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{self.rare.pattern})"), regex.V1) if r"[\p{L}]" in pattern else self.plain
         characters = byte_characters()
         self.first = [self.ids[c] for c in characters]
         self.last = [self.ids[c + self.suffix] for c in characters]
+        self.ending = dict(zip(self.first, self.last))
         self.merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.rank, self.made = {}, []
         for r, (a, b) in enumerate(self.merges):
@@ -109,8 +115,13 @@ class Vocabulary:
         self.bytes = [t.encode() if t in self.special else bytes(back[c] for c in t.removesuffix(self.suffix)) + b" " * t.endswith(self.suffix) for t in self.tokens]
         self.window = max(256, 4 * self.lookahead)
 
-    def words(self, text: str) -> list[str]:
-        return self.plain_words(text) if text.isascii() or not self.rare.search(text) else self.rare_words(text)
+    def splitter(self, text: str) -> regex.Pattern:
+        """The pattern of words for a normalised text."""
+        try:
+            text.encode("latin-1")  # quick, and most texts pass
+            return self.plain
+        except UnicodeEncodeError:
+            return self.wide if self.rare.search(text) else self.plain
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -181,11 +192,10 @@ class Word:
         return out
 
     def finish(self) -> list[int]:
-        if not self.held:
-            return []
-        b = self.v.first.index(self.held[-1])
-        ids, self.held = self.v.merge([*self.held[:-1], self.v.last[b]]), []
-        return ids
+        held, self.held = self.held, []
+        if held:
+            held[-1] = self.v.ending[held[-1]]
+        return self.v.merge(held)
 
 
 class Cache(dict):
@@ -198,16 +208,8 @@ class Cache(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            raw = word.encode()
-            v = self.v
-            if len(raw) <= v.window:
-                ids = [v.first[b] for b in raw]
-                ids[-1] = v.last[raw[-1]]
-                ids = v.merge(ids)
-            else:
-                w = Word(v)
-                ids = w.feed(raw) + w.finish()
-            found = array("I", ids).tobytes()
+            w = Word(self.v)
+            found = array("I", w.feed(word.encode()) + w.finish()).tobytes()
             if len(word) > 64:
                 return found
         if len(self) >= self.most:
@@ -229,78 +231,89 @@ def normal(text: str) -> str:
     return text.translate(LATER_SMALL) if LATER_CAPITAL.search(text) else text
 
 
-def kind(c: str) -> str:
-    return "L" if LETTER.match(c) else "N" if NUMBER.match(c) else " " if SPACE.match(c) else "O"
+def apart(text: str, at: int) -> bool:
+    """Whether what comes before and after a place in a text is normalised apart."""
+    if unicodedata.combining(text[at]):
+        return False
+    left, right = text[max(0, at - 32) : at], text[at : at + 32]
+    return normal(left + right) == normal(left) + normal(right)
 
 
 class Encoder:
-    """Text in pieces, ids (bytes of little-endian unsigned 32-bit numbers) out. State: one piece of text and one word."""
+    """Text in pieces, ids (bytes of little-endian unsigned 32-bit numbers) out."""
 
     def __init__(self, vocabulary: Vocabulary, cache: Cache | None = None):
         self.v = vocabulary
         self.cache = cache if cache is not None else Cache(vocabulary)
-        self.text, self.word = "", None
+        self.text = ""  # as it came
+        self.held = ""  # normalised, not yet split into words
+        self.word, self.stem = None, ""  # a word that is open, and its last characters
 
     def feed(self, text: str) -> bytes:
         self.text += text
-        out = []
-        while len(self.text) > PIECE:
-            at, is_open = self._cut()
-            if not at:
-                break
-            head, self.text = self.text[:at], self.text[at:]
-            out.append(self._encode(head, is_open))
-        return b"".join(out)
+        return self._read(False) if len(self.text) > PIECE else b""
 
     def finish(self) -> bytes:
-        out = self._encode(self.text, False)
-        self.text = ""
-        return out
+        return self._read(True)
+
+    def _read(self, is_end: bool) -> bytes:
+        """Parts the text at special tokens and normalises what is between."""
+        v, out, text = self.v, [], self.text
+        if any(s in text for s in v.special):
+            *parts, text = v.split_special.split(text)
+            for plain, special in zip(parts[::2], parts[1::2]):
+                out += [self._split(normal(plain), True), array("I", [v.special[special]]).tobytes()]
+        if is_end:
+            at = len(text)
+        else:
+            at = max(0, len(text) - MARGIN)
+            while at and not apart(text, at):
+                at -= 1
+        self.text = text[at:]
+        out.append(self._split(normal(text[:at]), is_end))
+        return b"".join(out)
 
-    def _cut(self) -> tuple[int, bool]:
-        """Where the held text can be cut, and whether inside a word."""
-        text = self.text
-        end = len(text) - 64
-        for at in range(end, max(0, end - PIECE // 2), -1):
-            if text[at].isspace() and SPACE.match(text[at]):
-                return at, False
-        for at in range(end, 64, -1):
-            a, b = text[at - 1], text[at]
-            near = text[at - 32 : at + 32]
-            if "'" not in near and "|" not in near and len(n := normal(a + b)) == 2 and n == normal(a) + normal(b) and not unicodedata.combining(b) and (k := kind(n[0])) == kind(n[1]):
-                return at, k in "LO"
-        return 0, False
-
-    def _encode(self, text: str, is_open: bool) -> bytes:
-        v, out = self.v, []
-        parts = v.split_special.split(text) if "<|" in text else [text]
-        for k, part in enumerate(parts):
-            if k % 2:
-                out.append(self._close() + array("I", [v.special[part]]).tobytes())
-                continue
-            words = v.words(normal(part))
-            last = k == len(parts) - 1
-            if self.word is not None and (words or not last):
-                if k == 0 and words:  # the text went on inside a word
-                    out.append(array("I", self.word.feed(words.pop(0).encode())).tobytes())
-                    if words or not (last and is_open):
-                        out.append(self._close())
-                else:
-                    out.append(self._close())
-            if last and is_open and words:
-                tail = words.pop()
-                out += map(self.cache.__getitem__, words)
-                self.word = Word(v)
-                out.append(array("I", self.word.feed(tail.encode())).tobytes())
-            else:
-                out += map(self.cache.__getitem__, words)
-        if not is_open:
+    def _split(self, text: str, is_end: bool) -> bytes:
+        """Words of the pattern, as far as what follows can't change them."""
+        out: list[bytes] = []
+        text = self.held + text if self.held else text
+        pattern = self.v.splitter(text)
+        settled = len(text) if is_end else len(text) - MARGIN
+        at = 0
+        if self.word is not None:
+            run = pattern.match(self.stem + text)  # goes on as the word's run does
+            at = min(run.end() - len(self.stem), max(0, settled))
+            out.append(self._feed(text[:at]))
+            if run.end() - len(self.stem) > settled:
+                self.held = text[at:]
+                return b"".join(out)
             out.append(self._close())
+        if is_end:
+            self.held = ""
+            out += map(self.cache.__getitem__, pattern.findall(text, at))
+            return b"".join(out)
+        for m in pattern.finditer(text, at):
+            if m.end() > settled:
+                at = m.start()
+                if settled - at > MARGIN:  # a long run: read it before its end is known
+                    self.word = Word(self.v)
+                    out.append(self._feed(text[at:settled]))
+                    at = settled
+                break
+            out.append(self.cache[m.group()])
+            at = m.end()
+        else:
+            at = max(at, settled)  # white space
+        self.held = text[at:]
         return b"".join(out)
 
+    def _feed(self, part: str) -> bytes:
+        self.stem = (self.stem + part)[-8:]
+        return array("I", self.word.feed(part.encode())).tobytes()
+
     def _close(self) -> bytes:
-        word, self.word = self.word, None
-        return array("I", word.finish()).tobytes() if word else b""
+        word, self.word, self.stem = self.word, None, ""
+        return array("I", word.finish()).tobytes()
 
 
 def encode(text: str | None, vocabulary: Vocabulary, cache: Cache | None = None) -> bytes:
@@ -332,7 +345,7 @@ class Decoder:
 def transcode(docs: DataFrame, path: str, emit, columns: str, text_col: str = "text", keep: list[str] | None = None, joined: bool = False, at_once: int = 8192) -> DataFrame:
     """Encodes each text and decodes it again.
 
-    emit() makes an object for each text: ids(bytes) gets the ids and text(str) the decoded text, piece by piece;
+    emit(vocabulary) makes an object for each text: ids(bytes) gets the ids and text(str) the decoded text, piece by piece;
     result() gives the values of columns (a DDL list). ``keep``: columns of docs that are passed on."""
     kept = docs.columns if keep is None else keep
     made = [c.strip().split()[0] for c in columns.split(",")]
@@ -349,7 +362,7 @@ def transcode(docs: DataFrame, path: str, emit, columns: str, text_col: str = "t
             for first in range(0, whole.num_rows, 128):
                 batch, rows = whole.slice(first, 128), []
                 for text in batch.column(position).to_pylist():
-                    encoder, decoder, to = Encoder(v, cache), Decoder(v, joined), emit()
+                    encoder, decoder, to = Encoder(v, cache), Decoder(v, joined), emit(v)
                     text = text or ""
                     for at in range(0, len(text) + 1, PIECE):
                         raw = encoder.feed(text[at : at + PIECE])

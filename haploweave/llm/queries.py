@@ -2,11 +2,12 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from .bpe import transcode
+from . import bpe
 from .common import read
 from .exact_dedup import report
 from .lm import score
@@ -52,25 +53,34 @@ def op6_importance_resampling(spark, sf_dir):
 
 
 class Digest:
-    """Digests of a text's ids and of their decoding, piece by piece."""
+    """Digests of a text's ids and of their decoding, piece by piece. Besides the joined tokens that the tokenizer file
+    (without a decoder) gives, ids go through the byte-to-text machine."""
 
-    def __init__(self):
-        self.n, self.of_ids, self.of_text = 0, hashlib.sha256(), hashlib.sha256()
+    def __init__(self, vocabulary: bpe.Vocabulary):
+        self.n, self.of_ids, self.of_text, self.of_bytes = 0, hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+        self.machine = bpe.Decoder(vocabulary)
 
     def ids(self, raw: bytes) -> None:
         self.n += len(raw) // 4
         self.of_ids.update(raw)
+        ids = array("I")
+        ids.frombytes(raw)
+        for at in range(0, len(ids), 8192):
+            self.of_bytes.update(self.machine.feed(ids[at : at + 8192]).encode())
 
     def text(self, text: str) -> None:
         self.of_text.update(text.encode())
 
     def result(self):
-        return self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()
+        self.of_bytes.update(self.machine.finish().encode())
+        return self.n, self.of_ids.hexdigest(), self.of_text.hexdigest(), self.of_bytes.hexdigest()
 
 
 def op7_bpe_encode_decode(spark, sf_dir, path=None):
+    """bytes_sha256: of the text that the byte-to-text machine makes of the ids, each word with a space after it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return transcode(docs, path or public_tokenizers.path("word_bpe_49k.json"), Digest, "n_tokens long, ids_sha256 string, decoded_sha256 string", keep=["doc_id"], joined=True)
+    columns = "n_tokens long, ids_sha256 string, decoded_sha256 string, bytes_sha256 string"
+    return bpe.transcode(docs, path or public_tokenizers.path("word_bpe_49k.json"), Digest, columns, keep=["doc_id"], joined=True)
 
 
 def op8_exact_dedup(spark, sf_dir):
