@@ -13,16 +13,18 @@ or documents by their first reading (in ``ordered``) are range-sorted by that
 position, ties by place in the source, source and row.
 
 Distribution. Word counts come from one scan; a source's running sums are built
-in two levels, buckets of a hash within a source and rows within a bucket, with
-as many buckets as shuffle partitions. So a source with a third of all rows is
-spread over all tasks, and what is summed in one place is a row a source and
-bucket. The driver gets one row a source.
+in two levels, ranges of the row's hash within a source and rows within a range.
+There are as many ranges as shuffle partitions, but as they follow the order of
+the hash, neither the order nor what is taken depends on their number. So a source
+with a third of all rows is spread over all tasks, and what is summed in one place
+is a row a source and range. The driver gets one row a source, for at most
+``MOST_SOURCES`` of them; more are refused with an error.
 
 Defined results: a null text has size 0; documents of size 0 are taken once a
 full pass of their source and add nothing; null is a source of its own (after all
 others); repeated rows are documents of their own, in an order that depends on
-their content only; no rows give no rows. Columns of the input are passed on
-untouched whatever their names.
+their content only; no rows give no rows. All of the caller's columns travel
+inside one struct column, ``row``, so no name of theirs can clash.
 """
 from __future__ import annotations
 
@@ -34,6 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD_PATTERN, partitions
 
+#: Sources that the driver works out shares for: a row of a name and two numbers each.
+MOST_SOURCES = 1_000_000
+
 
 def source_weights(sources: Sequence[str | None], pattern: Sequence[float] = (1.0, 2.0, 3.0)) -> dict[str | None, float]:
     """Sources by code point, null last, weigh as the pattern says, repeating."""
@@ -89,88 +94,94 @@ CURRICULUM = (Schedule((2.0, 1.0, 0.0)), Schedule((1.0, 1.0)), Schedule((0.0, 1.
 
 
 def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1.0, 2.0, 3.0), schedules: Sequence[Schedule] = CURRICULUM, most_repeats: float = 3.0, keep: Sequence[str] | None = None) -> DataFrame:
-    """Columns of docs (or those of ``keep``) and __size, __source_size, __target, __start (words of its source before it), __taken, __schedule, __demand, __key (hash of the row)."""
-    buckets = partitions(docs.sparkSession)
-    rows = docs.withColumn("__size", F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long"))
-    per_source = rows.groupBy(F.col(source_col).alias("s")).agg(F.sum("__size").alias("n")).collect()
-    sizes = {r["s"]: r["n"] for r in per_source}
+    """row (a struct of docs' columns, or of those of ``keep``) and source, size, source_size, target, start (words of its
+    source before it), full (whole readings), part (words of the cut one), demand, schedule, key (hash of the row)."""
+    ranges = partitions(docs.sparkSession)
+    kept = list(docs.columns if keep is None else keep)
+    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if c in (text_col, source_col) or t in ("bigint", "int", "string")]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(*hashed).alias("key"),
+        F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
+    )
+    per_source = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
+    if len(per_source) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["source"]: r["n"] for r in per_source}
     weight = source_weights(list(sizes), weights)
     order = list(source_weights(list(sizes), range(len(sizes))).items())
     share = {s: weight[s] * schedules[i % len(schedules)].integral() for s, i in order}
     target = share_out(sizes, share, sum(sizes.values()), most_repeats)
-    demand = {s: round(t) for s, t in target.items()}
-    facts = [(s, sizes[s], target[s], demand[s], i % len(schedules)) for s, i in order]
-    table = docs.sparkSession.createDataFrame(facts, "s string, __source_size long, __target double, __demand long, __schedule int")
-    key = F.xxhash64(*[F.col(c) for c in docs.columns if c in (text_col, source_col) or dict(docs.dtypes)[c] in ("bigint", "int", "string")])
-    rows = rows.withColumn("__key", key).withColumn("__bucket", F.pmod(F.xxhash64("__key"), F.lit(buckets)).cast("int"))
-    kept = list(docs.columns if keep is None else keep)
-    rows = rows.select(*kept, F.col(source_col).alias("__s"), "__size", "__key", "__bucket")
-    per_bucket = rows.groupBy("__s", "__bucket").agg(F.sum("__size").alias("__n"))
-    before = Window.partitionBy("__s").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # A row a source and bucket: as many as sources times shuffle partitions.
-    offsets = per_bucket.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).select(F.col("__s").alias("__s2"), F.col("__bucket").alias("__b2"), "__offset")
-    if len(facts) * buckets <= 100_000:  # an upper bound of its rows
+    facts = [(s, sizes[s], target[s], round(target[s]), i % len(schedules)) for s, i in order]
+    table = docs.sparkSession.createDataFrame(facts, "of string, source_size long, target double, demand long, schedule int")
+    # Ranges of the hash, in its order: the upper 32 bits, as a number from 0 on, scaled.
+    rows = rows.withColumn("range", F.shiftright((F.shiftright("key", 32) + (1 << 31)) * ranges, 32).cast("int"))
+    per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a source and range: as many as sources times shuffle partitions.
+    offsets = per_range.select(F.col("source").alias("of_source"), F.col("range").alias("of_range"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    if len(facts) * ranges <= 100_000:  # an upper bound of its rows
         offsets = F.broadcast(offsets)
-    within = Window.partitionBy("__s", "__bucket").orderBy("__key", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("__in", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    placed = placed.join(offsets, placed["__s"].eqNullSafe(F.col("__s2")) & (placed["__bucket"] == F.col("__b2")), "left")
+    within = Window.partitionBy("source", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("in_range", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("range") == F.col("of_range")), "left")
     # A row a source, and the driver has them: broadcast while they are few.
-    small = F.broadcast(table) if len(facts) <= 100_000 else table
-    placed = placed.join(small, placed["__s"].eqNullSafe(F.col("s")), "left")
-    start = F.col("__in") + F.col("__offset")
-    full = F.when(F.col("__source_size") > 0, F.expr("__demand div __source_size")).otherwise(F.lit(0))
-    rest = F.col("__demand") - full * F.col("__source_size")
-    part = F.greatest(F.least(rest - start, F.col("__size")), F.lit(0))
-    return placed.select(*kept, F.col("__s").alias("__source"), "__size", "__source_size", "__target", start.alias("__start"), full.alias("__full"), part.alias("__part"), (full * F.col("__size") + part).alias("__taken"), "__demand", "__schedule", "__key")
+    placed = placed.join(F.broadcast(table) if len(facts) <= 100_000 else table, F.col("source").eqNullSafe(F.col("of")), "left")
+    start = F.col("in_range") + F.col("offset")
+    full = F.when(F.col("source_size") > 0, F.expr("demand div source_size")).otherwise(F.lit(0))
+    rest = F.col("demand") - full * F.col("source_size")
+    part = F.greatest(F.least(rest - start, F.col("size")), F.lit(0))
+    return placed.select("row", "source", "size", "source_size", "target", start.alias("start"), full.alias("full"), part.alias("part"), "demand", "schedule", "key")
 
 
 def timed(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
-    """Planned columns and __readings: epoch, words and position of each reading of the document, in order."""
-    whole = F.when(F.col("__full") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("__full") - 1)).otherwise(F.array().cast("array<bigint>"))
-    epochs = F.concat(whole, F.when(F.col("__part") > 0, F.array(F.col("__full"))).otherwise(F.array().cast("array<bigint>")))
+    """Planned columns and readings: epoch, words and position of each reading of the document, in order."""
+    none = F.array().cast("array<bigint>")
+    whole = F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)).otherwise(none)
+    epochs = F.concat(whole, F.when(F.col("part") > 0, F.array(F.col("full"))).otherwise(none))
 
     def reading(epoch):
-        part = F.when(F.col("__demand") > 0, (epoch * F.col("__source_size") + F.col("__start")) / F.col("__demand")).otherwise(F.lit(0.0))
+        part = F.when(F.col("demand") > 0, (epoch * F.col("source_size") + F.col("start")) / F.col("demand")).otherwise(F.lit(0.0))
         place = F.lit(None).cast("double")
         for i, s in enumerate(schedules):
-            place = F.when(F.col("__schedule") == i, s.inverse(part)).otherwise(place)
-        words = F.when(epoch < F.col("__full"), F.col("__size")).otherwise(F.col("__part"))
+            place = F.when(F.col("schedule") == i, s.inverse(part)).otherwise(place)
+        words = F.when(epoch < F.col("full"), F.col("size")).otherwise(F.col("part"))
         return F.struct(epoch.alias("epoch"), words.alias("words"), place.alias("position"))
 
-    return planned.withColumn("__readings", F.transform(epochs, reading))
+    return planned.withColumn("readings", F.transform(epochs, reading))
 
 
 def readings(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
-    """A row for each reading of a document: planned columns, __epoch, __words (taken in it), __position in [0, 1]."""
-    rows = timed(planned, schedules).withColumn("__reading", F.explode("__readings"))
-    parts = [F.col(f"__reading.{c}").alias(f"__{c}") for c in ("epoch", "words", "position")]
-    return rows.select(*planned.columns, *parts)
+    """A row for each reading of a document: planned columns, epoch, words (taken in it), position in [0, 1]."""
+    rows = timed(planned, schedules).withColumn("reading", F.explode("readings"))
+    return rows.select(*planned.columns, "reading.epoch", "reading.words", "reading.position")
 
 
 def ordered(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """A row for each document, range-sorted by its first reading (unread ones last): planned columns, with __taken summed
-    over the readings, and __positions, the training times of its readings."""
+    """A row for each document, range-sorted by its first reading (unread ones last): planned columns, taken (words of all its
+    readings) and positions, the training times of its readings."""
     rows = timed(plan(docs, text_col, source_col, **options), options.get("schedules", CURRICULUM))
-    rows = rows.withColumn("__taken", F.aggregate("__readings.words", F.lit(0).cast("bigint"), lambda n, w: n + w)).withColumn("__positions", F.col("__readings.position"))
-    order = [F.get("__positions", F.lit(0)).asc_nulls_last(), "__start", "__source", "__key"]
-    return rows.drop("__readings").repartitionByRange(*order).sortWithinPartitions(*order)
+    taken = F.aggregate("readings.words", F.lit(0).cast("bigint"), lambda n, w: n + w)
+    rows = rows.withColumn("taken", taken).withColumn("positions", F.col("readings.position"))
+    order = [F.get("positions", F.lit(0)).asc_nulls_last(), "start", "source", "key"]
+    return rows.drop("readings").repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 #: What readings are sorted by.
-ORDER = ("__position", "__start", "__epoch", "__source", "__key")
+ORDER = ("position", "start", "epoch", "source", "key")
 
 
 def mix(docs: DataFrame, text_col: str = "text", source_col: str = "source", length_col: str | None = None, **options) -> DataFrame:
     """The training order: docs' columns, a row for each reading, range-sorted by position. A source's last reading ends
     where its demand ends, after a word; ``length_col`` (characters) follows the text."""
     rows = readings(plan(docs, text_col, source_col, **options), options.get("schedules", CURRICULUM))
-    text = F.when(F.col("__words") < F.col("__size"), _first_words(text_col)).otherwise(F.col(text_col))
-    out = rows.withColumn(text_col, text)
+    cut, text = F.col("words") < F.col("size"), F.col("row")[text_col]
+    made = {text_col: F.when(cut, _first_words(text)).otherwise(text)}
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("__words") < F.col("__size"), F.length(text_col).cast(dict(docs.dtypes)[length_col])).otherwise(F.col(length_col)))
-    return out.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER).select(*docs.columns)
+        made[length_col] = F.when(cut, F.length(made[text_col]).cast(dict(docs.dtypes)[length_col])).otherwise(F.col("row")[length_col])
+    out = rows.repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return out.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
-def _first_words(text_col: str):
-    """The first __words words of a text, with a space between."""
-    return F.expr(rf"array_join(slice(filter(split({text_col}, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> ''), 1, CAST(__words AS INT)), ' ')")
+def _first_words(text):
+    """The first ``words`` words of a text, with a space between."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""), 1, F.col("words").cast("int")), " ")

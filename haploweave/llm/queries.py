@@ -33,7 +33,7 @@ def op2_toxicity_chain(spark, sf_dir):
 def op3_curriculum_mixing(spark, sf_dir):
     """Words taken of each document and the training times of its readings, in the order of the first."""
     planned = ordered(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return planned.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), F.col("__positions").alias("positions"))
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken", "positions")
 
 
 def op4_backoff_lm_scoring(spark, sf_dir):

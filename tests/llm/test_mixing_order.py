@@ -47,7 +47,7 @@ def test_shares_follow_the_integral(spark):
     docs = spark.createDataFrame([(i, "w " * 10, s) for i in range(50) for s in "ab"], "doc_id long, text string, source string")
     schedules = (mixing.Schedule((3.0, 3.0)), mixing.Schedule((0.0, 2.0)))
     planned = mixing.plan(docs, weights=(1.0, 1.0), schedules=schedules).collect()
-    assert {(r["__source"], r["__target"]) for r in planned} == {("a", 750.0), ("b", 250.0)}
+    assert {(r["source"], r["target"]) for r in planned} == {("a", 750.0), ("b", 250.0)}
 
 
 def test_pipeline_keeps_the_training_order(spark):
@@ -59,7 +59,7 @@ def test_pipeline_keeps_the_training_order(spark):
     want = mixing.readings(mixing.plan(docs)).orderBy(*mixing.ORDER).collect()
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(r.position for r in rows) == list(range(len(want)))
-    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in want]
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.row.doc_id for r in want]
 
 
 def test_places_follow_the_files(spark, tmp_path):

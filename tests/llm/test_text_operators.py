@@ -162,36 +162,78 @@ def test_lm_scores(docs):
     assert lm.score(docs.limit(0)).count() == 0
 
 
+def brute_mix(keyed, weights=(1.0, 2.0, 3.0), most=3.0):
+    """[(source, size, target, taken, positions)] of rows (source, size, key), one document after another."""
+    sources = sorted({s for s, _, _ in keyed if s is not None}, key=str.encode) + [None] * any(s is None for s, _, _ in keyed)
+    total = Counter()
+    for s, n, _ in keyed:
+        total[s] += n
+    weight = {s: weights[i % 3] * 1.0 for i, s in enumerate(sources)}  # every curve of the curriculum covers an area of 1
+    target = mixing.share_out({s: total[s] for s in sources}, weight, sum(total.values()), most)
+    out = []
+    for i, s in enumerate(sources):
+        order = sorted((k, n) for t, n, k in keyed if t == s)
+        demand, at = round(target[s]), 0
+        taken, places = [0] * len(order), [[] for _ in order]
+        for epoch in range(4):
+            for j, (_, n) in enumerate(order):
+                words = min(n, demand - at)
+                if words > 0 or (n == 0 and total[s] and (epoch + 1) * total[s] <= demand):
+                    part = at / demand
+                    places[j].append([1 - math.sqrt(max(0.0, 1 - part)), part, math.sqrt(part)][i % 3])
+                    taken[j] += words
+                at += words if total[s] else 0
+        out += [(s, n, target[s], t, p) for (_, n), t, p in zip(order, taken, places)]
+    return out
+
+
 def test_mixing(spark, docs):
+    from pyspark.sql import functions as F
+
     rows = sample_rows()
     size = lambda t: len((t or "").encode().split())
     total = Counter()
     for r in rows:
         total[r[3]] += size(r[1])
-    planned = mixing.plan(docs).collect()
+    planned = mixing.ordered(docs).collect()
     assert len(planned) == len(rows)
-    taken = Counter()
+    hashed = [c for c, t in docs.dtypes if t in ("bigint", "int", "string")]
+    keyed = [(r["source"], size(r["text"]), r["k"]) for r in docs.withColumn("k", F.xxhash64(*hashed)).collect()]
+    want = sorted(brute_mix(keyed), key=lambda w: (str(w[0]), w[1], w[3], w[4]))
+    got = sorted(((r.source, r["size"], r.target, r.taken, r.positions) for r in planned), key=lambda w: (str(w[0]), w[1], w[3], w[4]))
+    for g, w in zip(got, want):
+        assert g[:4] == w[:4] and g[4] == pytest.approx(w[4], abs=1e-9)
     for r in planned:
-        assert r["__size"] == size(r["text"]) and r["__source_size"] == total[r["source"]]
-        assert 0 <= r["__taken"] <= 3 * r["__size"]
-        taken[r["source"]] += r["__taken"]
-    targets = {r["source"]: r["__target"] for r in planned}
-    assert sum(targets.values()) == pytest.approx(min(sum(total.values()), 3 * sum(total.values())))
-    for s, t in targets.items():
-        assert abs(taken[s] - t) <= 0.5 and t <= 3 * total[s] + 1e-9
-    again = mixing.plan(docs.repartition(2)).collect()
+        assert r["size"] == size(r.row.text) and r["source_size"] == total[r["source"]] and 0 <= r["taken"] <= 3 * r["size"]
+    again = mixing.ordered(docs.repartition(2)).collect()
     assert Counter(map(str, again)) == Counter(map(str, planned))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "13")  # neither order nor quota depends on the session
+        assert Counter(map(str, mixing.ordered(docs).collect())) == Counter(map(str, planned))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     mixed = mixing.mix(docs, length_col="n_chars")
     assert mixed.columns == docs.columns
     words = Counter()
     for r in mixed.collect():
         words[r["source"]] += size(r["text"])
+    taken = Counter()
+    for r in planned:
+        taken[r.source] += r.taken
     assert words == +taken
-    places = [r["__position"] for r in mixing.readings(mixing.plan(docs)).collect()]
-    assert all(0 <= x <= 1 for x in places)
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_passes_any_column_on(docs):
+    from pyspark.sql import functions as F
+
+    names = ["s", "of", "size", "row", "__size", "range", "position", "words", "demand", "key", "a.b"]
+    wide = docs.select("*", *[F.col("doc_id").cast("string").alias(n) for n in names])
+    rows = mixing.mix(wide).collect()
+    assert rows and all(r[n] == (None if r.doc_id is None else str(r.doc_id)) for r in rows for n in names)
+
+
 def test_share_out():
     assert mixing.share_out({"a": 10, "b": 90, None: 0}, {"a": 3, "b": 1, None: 2}, 100) == {"a": 30, "b": 70, None: 0}
 
