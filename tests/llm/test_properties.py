@@ -37,6 +37,13 @@ def test_word_transducer_emits_only_final_ids(word, step):
     assert out + w.finish() == LIBRARY.encode(word, add_special_tokens=False).ids
 
 
+@COMMON
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=80))
+def test_packed_keys(keys):
+    keys = np.array(sorted(keys), np.uint64)
+    assert np.array_equal(lm.unpack_keys(lm.pack_keys(keys), len(keys)), keys)
+
+
 @COMMON
 @given(st.lists(st.integers(0, 2**40), max_size=50))
 def test_packed_counts(n):

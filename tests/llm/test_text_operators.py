@@ -157,12 +157,14 @@ def test_lm_scores(docs):
     total = sum(n for g, n in counts.items() if len(g) == 1)
     distinct = sum(1 for g in counts if len(g) == 1)
 
+    new = {k: sum(len(g) == k for g in counts) / sum(n for g, n in counts.items() if len(g) == k) for k in (2, 3)}  # of those met, the part that is new
+
     def p(g):
         if len(g) == 1:
             return (counts[g] + 1) / (total + distinct + 1)
         if not histories[g[:-1]]:
             return p(g[1:])
-        k = prior + share * histories[g[:-1]]
+        k = prior + share * new[len(g)] * histories[g[:-1]]
         return (counts[g] + k * p(g[1:])) / (histories[g[:-1]] + k)
 
     want = {}
@@ -171,7 +173,7 @@ def test_lm_scores(docs):
         base = sum(math.log10(p((w,))) for w in t[1:])
         model = sum(math.log10(p(tuple(t[max(0, i - order + 1) : i + 1]))) for i in range(1, len(t)))
         want[r[0]] = (out(r), len(t) - 1, sum(counts[(w,)] > 0 for w in t[1:]), total, base, model)
-    got = lm.score(docs, order=order, prior=prior, share=share).collect()
+    got = lm.score(docs, order=order, prior=prior, share=share, at_once=7).collect()
     assert len(got) == len(rows)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
