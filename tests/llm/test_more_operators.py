@@ -219,7 +219,7 @@ def brute_top(rows, k, every):
     return Counter(out)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 60, "block_rows": 2, "leaf_rows": 8}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_rows": 60, "block_rows": 2, "leaf_rows": 8}, {"shard_rows": 20, "sample_rows": 64, "block_rows": 3, "leaf_rows": 4}])
 def test_top_k(spark, sizes):
     r = random.Random(6)
     rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300)]
@@ -233,6 +233,34 @@ def test_top_k(spark, sizes):
     assert topk.top_k(df.filter("vec_id in (50, 51, 52)"), every=50).count() == 2
 
 
+def test_branches_are_cut():
+    """Vectors in tight balls: the search opens few leaves, and a floor from elsewhere closes the shard at its root."""
+    r = np.random.default_rng(4)
+    points = (r.normal(0, 1, (64, 16))[r.integers(0, 64, 8000)] * 1000 + r.normal(0, 5, (8000, 16))).astype(np.int64)
+    ids, tree = np.arange(len(points)), topk.BallTree(points, 32)
+    leaves = sum(not kid for kid in tree.kids)
+    queries, floors = points[:20], np.full(20, -(2**63))
+    found, opened = topk.search(tree, ids, points, ids[:20], queries, floors, 5)
+    assert opened < 20 * leaves / 4
+    for row in range(20):
+        scores = points @ queries[row]
+        want = sorted((-int(s), i) for i, s in enumerate(scores) if i != row)[:5]
+        assert [(-s, i) for x, i, s in found if x == row] == want
+    assert topk.search(tree, ids, points, ids[:20], queries, np.full(20, 10**9), 5) == ([], 0)
+
+
+def test_shards_are_balls(spark):
+    """Placing follows the vectors, and parts of a shard that can't be split are searched all."""
+    r = np.random.default_rng(5)
+    points = np.outer(np.repeat(np.arange(8), 125) * 500, np.ones(8, int)) + r.integers(-3, 4, (1000, 8))
+    places = topk.Places(points[::5], 8)
+    shard = places.place(points)
+    assert len(places.centres) == 8 and places.away(points, shard).max() < 40
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(300 + i, [float(i), -1.0]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, topk.top_k(df, every=50, shard_rows=40, leaf_rows=8).collect())) == brute_top(rows, 10, 50)
+
+
 def test_products_stay_exact():
     big = np.array([[2**40, -(2**40), 3]], np.int64)
     assert topk.products(big, np.array([[2**20, 1, 1]], np.int64))[0, 0] == 2**60 - 2**40 + 3
