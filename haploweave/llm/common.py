@@ -62,3 +62,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+#: Words of the bit map that ``maybe`` broadcasts, a power of two: 2^17 rows of two longs at most, whatever the size of the table.
+FILTER_WORDS = 1 << 17
+
+
+def maybe(rows: DataFrame, among: DataFrame, *key: str) -> DataFrame:
+    """rows and ``maybe``: false where the row's key is surely not among the keys of ``among`` (columns of the same names).
+
+    The keys are told to all tasks by a bit map of fixed size, so rows need no shuffle to be told apart; where there are
+    very many keys the map fills up and more rows than need be are in doubt."""
+    word = lambda: F.xxhash64(*key).bitwiseAND(FILTER_WORDS - 1)
+    bit = lambda: F.shiftrightunsigned(F.xxhash64(*key), 40).bitwiseAND(63).cast("int").alias("bit")
+    bits = among.select(word().alias("word"), F.expr("1L").alias("one"), bit()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
+    found = rows.select("*", word().alias("word"), bit()).join(F.broadcast(bits), "word", "left")
+    return found.withColumn("maybe", F.coalesce(F.expr("shiftrightunsigned(bits, bit) & 1 = 1"), F.lit(False))).drop("word", "bit", "bits")

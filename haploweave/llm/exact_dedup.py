@@ -8,7 +8,7 @@ all rows reaches a task as one row for each map task.
 
 Texts are hashed where they are scanned, they never move for it: which pairs of
 length and prefix survived is told to all tasks by a bit map of fixed size
-(``FILTER_WORDS`` words of 64 bits, broadcast). Its false hits, and a map that fills
+(``common.maybe``, broadcast). Its false hits, and a map that fills
 up when there are very many pairs, cost hashing and nothing else: what counts as
 equal is settled by the full hash alone. The same map, made of the groups that
 have copies, lets ``exact_dedup`` pass all other rows on without a shuffle; the rows
@@ -26,11 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpoint
-
-#: Words of the bit map, a power of two: 2^17 rows of two longs at most are broadcast, whatever the size of the table.
-FILTER_WORDS = 1 << 17
-
+from .common import ascii_lower, checkpoint, maybe
 
 def _raw(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -51,22 +47,6 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> D
     )
 
 
-def _word() -> Column:
-    return F.xxhash64("len", "prefix").bitwiseAND(FILTER_WORDS - 1)
-
-
-def _bit() -> Column:
-    return F.shiftrightunsigned(F.xxhash64("len", "prefix"), 40).bitwiseAND(63).cast("int")
-
-
-def _tested(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """rows (with len and prefix) and maybe: false where the pair is surely not among ``pairs``."""
-    bits = pairs.select(_word().alias("word"), F.expr("1L").alias("one"), _bit().alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("bits"))
-    # At most FILTER_WORDS rows.
-    found = rows.select("*", _word().alias("word"), _bit().alias("bit")).join(F.broadcast(bits), "word", "left")
-    return found.withColumn("maybe", F.coalesce(F.expr("shiftrightunsigned(bits, bit) & 1 = 1"), F.lit(False))).drop("word", "bit", "bits")
-
-
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """Groups of two or more equal texts: sha (32 bytes), len, prefix, keep_id, group_size, keep_rows (rows with keep_id)."""
     rows = _marked(docs, id_col, text_col, prefix_chars)
@@ -76,7 +56,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # One struct as key: so that a hot length is counted in every task that its rows are split over, not where the join put them.
     pair = F.struct("len", "prefix").alias("pair")
     prefixes = narrow.join(lengths, F.col("len") * 2 == F.col("twice"), "left_semi").select(pair).groupBy("pair").count().filter("count > 1").select("pair.len", "pair.prefix")
-    whole = _tested(rows.select("id", "raw", "len", "prefix"), prefixes).filter("maybe").select("id", "len", "prefix", _sha(F.col("raw")).alias("sha"))
+    whole = maybe(rows.select("id", "raw", "len", "prefix"), prefixes, "len", "prefix").filter("maybe").select("id", "len", "prefix", _sha(F.col("raw")).alias("sha"))
     by_id = whole.groupBy("sha", "id").agg(F.count("*").alias("n"), F.first("len").alias("len"), F.first("prefix").alias("prefix"))
     return (
         by_id.groupBy("sha")
@@ -105,7 +85,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 256) -> DataFrame:
     """The rows of docs that stay, with docs' columns."""
     groups = checkpoint(duplicate_groups(docs, id_col, text_col, prefix_chars))
-    tested = _tested(_marked(docs, id_col, text_col, prefix_chars), groups.select("len", "prefix"))
+    tested = maybe(_marked(docs, id_col, text_col, prefix_chars), groups, "len", "prefix")
     alone = tested.filter("NOT maybe").select("row")
     doubtful = tested.filter("maybe").select("row", "id", _sha(F.col("raw")).alias("sha"))
     told = groups.select(_apart(F.col("sha")).alias("key"), "keep_id", "keep_rows")

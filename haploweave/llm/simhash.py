@@ -6,15 +6,19 @@ differing bits, components are the transitive closure.
 
 Search. Two fingerprints within 3 bits are within 1 bit in one 32-bit half
 (pigeonhole), so there is one vantage-point tree over each half, searched with
-radius // 2. The upper part of each tree is built on the driver from a bounded
-sample of distinct fingerprints (``sample_rows``, it only places boundaries);
-every fingerprint descends it as a candidate to its own shard, and by the
-triangle bounds as a query to all shards whose ball or shell it may touch. In a
-shard the tree goes on, down to leaves that are compared exactly on all 64 bits.
-A shard's links are reduced to a spanning forest before they leave the task, so
-a group of n near copies costs at most n edges a shard, never n^2. Shards with
-many rows are cut into blocks of queries by blocks of candidates; no candidate
-is ever dropped.
+radius // 2. The upper part of each tree only places boundaries: its top is built
+on the driver from a bounded sample of distinct fingerprints (``sample_rows``), and
+where that is too small to part all shards, each of its leaves is split further by
+a task from that leaf's own sample, so shards stay at about ``shard_rows`` however
+large the table. What reaches the driver is the tree, 14 bytes a shard. Every
+fingerprint descends it as a candidate to its own shard, and by the triangle bounds
+as a query to all shards whose ball or shell it may touch. In a shard the tree goes
+on, down to leaves that are compared exactly on all 64 bits; where all candidates
+agree in the tree's half, by the other half with the full radius. A shard's links are
+reduced to a spanning forest before they leave the task, so a group of n near copies
+costs at most n edges a shard, never n^2. Only a shard that no boundary can part
+(fingerprints alike in one half, ``block_rows`` of them and more) is cut into blocks
+of queries by blocks of candidates; no candidate is ever dropped.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle are one shingle; equal fingerprints are one
@@ -30,7 +34,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, checkpoint, words_of
+from .common import as_binary, checkpoint, maybe, words_of
 from .components import components
 
 LANES = 0x0101010101010101
@@ -80,29 +84,58 @@ def vantage(points: np.ndarray, tries: int = 16) -> tuple[np.uint32, int, np.nda
     return picks[best], radius, d
 
 
-def build(points: np.ndarray, depth: int):
-    """Upper part of a tree, as nested (vantage point, radius, ball, shell); None is a shard."""
-    if depth == 0 or len(points) < 32:
-        return None
-    p, radius, d = vantage(points)
-    inside = d <= radius
-    if inside.all():
-        return None
-    return p, radius, build(points[inside], depth - 1), build(points[~inside], depth - 1)
-
-
-def descend(node, points: np.ndarray, index: np.ndarray, home: np.ndarray, reach: int, leaf: list[int], out: list) -> None:
-    """Appends (shard, rows, whether it is their home) for each shard that rows may find partners in."""
-    if node is None:
-        out.append((leaf[0], index, home))
-        leaf[0] += 1
-        return
-    p, radius, ball, shell = node
-    d = np.bitwise_count(points ^ p)
-    go = d <= radius + reach
-    descend(ball, points[go], index[go], home[go] & (d[go] <= radius), reach, leaf, out)
-    go = d + reach > radius
-    descend(shell, points[go], index[go], home[go] & (d[go] > radius), reach, leaf, out)
+class Tree:
+    """The upper part of a tree: vantage points, radii of their balls, and what is in the ball and beyond it: the number
+    of a node, or -1 - shard."""
+
+    def __init__(self, points: np.ndarray, depth: int, least: int = 32):
+        point, radii, kids, todo = [], [], [], [(points, depth, -1, 0)]
+        self.shards = 0
+        while todo:
+            points, depth, parent, side = todo.pop()
+            here = -1 - self.shards
+            if depth and len(points) >= least:
+                p, radius, d = vantage(points)
+                inside = d <= radius
+                if not inside.all():
+                    here = len(point)
+                    point.append(p), radii.append(radius), kids.append([0, 0])
+                    todo += [(points[~inside], depth - 1, here, 1), (points[inside], depth - 1, here, 0)]
+            self.shards += here < 0
+            if parent >= 0:
+                kids[parent][side] = here
+        self.point, self.radius, self.kids = np.array(point, np.uint32), np.array(radii, np.int16), np.array(kids, np.int32).reshape(-1, 2)
+
+    def grafted(self, below: dict[int, Tree]) -> Tree:
+        """The tree with trees in place of some shards."""
+        out, trees = Tree(self.point[:0], 0), [below.get(s) for s in range(self.shards)]
+        points, radii, leaf = [self.point], [self.radius], np.zeros(self.shards, np.int32)
+        kids, nodes, out.shards = [], len(self.point), 0
+        for s, t in enumerate(trees):
+            if t is None or not len(t.point):
+                leaf[s] = -1 - out.shards
+                out.shards += 1
+                continue
+            leaf[s] = nodes
+            points.append(t.point), radii.append(t.radius), kids.append(np.where(t.kids >= 0, t.kids + nodes, t.kids - out.shards))
+            nodes, out.shards = nodes + len(t.point), out.shards + t.shards
+        own = np.where(self.kids >= 0, self.kids, leaf[np.minimum(-1 - self.kids, self.shards - 1)])
+        out.point, out.radius, out.kids = np.concatenate(points), np.concatenate(radii), np.concatenate([own, *kids]).astype(np.int32)
+        return out
+
+    def route(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, shard, whether it is the row's home) for each shard that rows may find partners in, level by level."""
+        row, home = np.arange(len(points)), np.ones(len(points), bool)
+        node = np.zeros(len(points), np.int32) if len(self.point) else np.full(len(points), -1, np.int32)
+        done = []
+        while len(row):
+            leaf = node < 0
+            done.append((row[leaf], -1 - node[leaf], home[leaf]))
+            row, node, home = row[~leaf], node[~leaf], home[~leaf]
+            d, r = np.bitwise_count(points[row] ^ self.point[node]).astype(np.int16), self.radius[node]
+            ball, shell = d <= r + reach, d + reach > r
+            row, home, node = np.concatenate([row[ball], row[shell]]), np.concatenate([(home & (d <= r))[ball], (home & (d > r))[shell]]), np.concatenate([self.kids[node[ball], 0], self.kids[node[shell], 1]])
+        return tuple(np.concatenate(x) for x in zip(*done)) if done else (row, node, home)
 
 
 class Forest:
@@ -132,16 +165,20 @@ class Forest:
                 self.root[max(x, y)] = min(x, y)
 
 
-def search(q: np.ndarray, c: np.ndarray, fps: np.ndarray, halves: np.ndarray, radius: int, reach: int, forest: Forest, leaf_rows: int) -> None:
-    """Joins in forest all pairs of a query and a candidate (indices into fps) within radius, going down a tree over the candidates."""
+def search(q: np.ndarray, c: np.ndarray, fps: np.ndarray, halves: np.ndarray, radius: int, reach: int, forest: Forest, leaf_rows: int, others: np.ndarray | None = None) -> None:
+    """Joins in forest all pairs of a query and a candidate (indices into fps) within radius, going down a tree over the
+    candidates' halves, and over their other halves (if given) where these are all alike."""
     if not len(q) or not len(c):
         return
     if len(c) > leaf_rows:
         p, r, d = vantage(halves[c])
         if not (d <= r).all():
             dq = np.bitwise_count(halves[q] ^ p)
-            search(q[dq <= r + reach], c[d <= r], fps, halves, radius, reach, forest, leaf_rows)
-            search(q[dq + reach > r], c[d > r], fps, halves, radius, reach, forest, leaf_rows)
+            search(q[dq <= r + reach], c[d <= r], fps, halves, radius, reach, forest, leaf_rows, others)
+            search(q[dq + reach > r], c[d > r], fps, halves, radius, reach, forest, leaf_rows, others)
+            return
+        if others is not None:
+            search(q, c, fps, others, radius, radius, forest, leaf_rows)
             return
     step = max(1, 1_000_000 // len(c))
     for i in range(0, len(q), step):
@@ -149,45 +186,77 @@ def search(q: np.ndarray, c: np.ndarray, fps: np.ndarray, halves: np.ndarray, ra
         forest.join(q[i + x], c[y])
 
 
-def links(nodes: DataFrame, radius: int = 3, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384) -> DataFrame:
+def trees_of(nodes: DataFrame, total: int, sample_rows: int, shard_rows: int) -> list[Tree]:
+    """The upper trees over the two halves, with shards of about shard_rows."""
+    depth = max(0, int(np.ceil(np.log2(max(1, total / shard_rows)))))
+    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+    top = max(0, min(depth, int(np.log2(max(1, len(sample) / 64)))))
+    trees = [Tree(half(sample, t), top) for t in (0, 1)]
+    if top == depth:
+        return trees
+    # About 64 points a shard, in the tree's leaf that they lie in.
+    part = nodes.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(1, shard_rows // 64))) == 0)
+
+    def placed(batches):
+        for batch in batches:
+            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for t, tree in enumerate(trees):
+                halves = half(fps, t)
+                row, shard, _ = tree.route(halves, 0)
+                yield pa.RecordBatch.from_arrays([pa.array((2 * shard + t).astype(np.int32)), pa.array(halves[row].astype(np.int64))], ["shard", "half"])
+
+    def split(key, table):  # no hints: PySpark would try to read them
+        tree = Tree(np.sort(table.column("half").to_numpy().astype(np.uint32)), depth - top)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([tree.shards], pa.int32()), "point": [tree.point.tobytes()], "radius": [tree.radius.tobytes()], "kids": [tree.kids.tobytes()]})
+
+    below: list[dict[int, Tree]] = [{}, {}]
+    for r in part.mapInArrow(placed, "shard int, half long").groupBy("shard").applyInArrow(split, "shard int, shards int, point binary, radius binary, kids binary").collect():
+        tree = Tree(sample[:0].astype(np.uint32), 0)
+        tree.shards, tree.point, tree.radius, tree.kids = r["shards"], np.frombuffer(r["point"], np.uint32), np.frombuffer(r["radius"], np.int16), np.frombuffer(r["kids"], np.int32).reshape(-1, 2)
+        below[r["shard"] % 2][r["shard"] // 2] = tree
+    return [tree.grafted(b) for tree, b in zip(trees, below)]
+
+
+def links(nodes: DataFrame, radius: int = 3, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384, most_cut: int = 10_000) -> DataFrame:
     """Spanning links (a, b) between distinct fingerprints fp of nodes that are within radius."""
     spark, reach = nodes.sparkSession, radius // 2
-    total = nodes.count()
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
-    depth = max(0, int(np.ceil(np.log2(max(1, total / shard_rows)))))
-    trees = [build(half(sample, t), depth) for t in (0, 1)]
+    sent = spark.sparkContext.broadcast(trees_of(nodes, nodes.count(), sample_rows, shard_rows))
 
     def route(batches):
+        trees = sent.value
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             for t, tree in enumerate(trees):
-                out: list = []
-                descend(tree, half(fps.view(np.uint64), t), np.arange(len(fps)), np.ones(len(fps), bool), reach, [0], out)
-                for shard, rows, home in out:
-                    if len(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array(fps[rows]), pa.array(np.full(len(rows), 2 * shard + t, np.int32)), pa.array(home)], ["fp", "shard", "home"])
-
-    routed = nodes.select("fp").mapInArrow(route, "fp long, shard int, home boolean")
-    # One row a shard; the number of shards is bounded by sample_rows.
-    sizes = routed.groupBy("shard").agg(F.count("*").alias("q"), F.count_if("home").alias("c")).filter("c > 0")
-    cut = F.broadcast(sizes.select("shard", F.ceil(F.col("q") / block_rows).cast("int").alias("qb"), F.ceil(F.col("c") / block_rows).cast("int").alias("cb")))
-    rows = routed.join(cut, "shard")
-    own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n).cast("long")).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    queries = rows.select("fp", "shard", own("qb", 1).alias("i"), F.explode(every("cb")).alias("j"), F.lit(False).alias("candidate"))
-    candidates = rows.filter("home").select("fp", "shard", F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(True).alias("candidate"))
+                row, shard, home = tree.route(half(fps.view(np.uint64), t), reach)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(2 * shard.astype(np.int64) + t), pa.array(home)], ["fp", "shard", "home"])
+
+    routed = nodes.select("fp").mapInArrow(route, "fp long, shard long, home boolean")
+    # Every row is a query, those at home are candidates too.
+    rows = routed.select("fp", "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("query"), F.col("home").alias("candidate"))
+    sizes = routed.groupBy("shard").agg(F.count("*").alias("q"), F.count_if("home").alias("c")).filter((F.col("q") > block_rows) & (F.col("c") > 0))
+    cut = sizes.select("shard", F.ceil(F.col("q") / block_rows).cast("int").alias("qb"), F.ceil(F.col("c") / block_rows).cast("int").alias("cb"))
+    if large := cut.limit(most_cut + 1).collect():
+        if len(large) <= most_cut:
+            cut = F.broadcast(spark.createDataFrame(large, cut.schema))
+        own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n).cast("long")).cast("int")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        blocks = routed.join(cut, "shard")
+        queries = blocks.select("fp", "shard", own("qb", 1).alias("i"), F.explode(every("cb")).alias("j"), F.lit(True).alias("query"), F.lit(False).alias("candidate"))
+        candidates = blocks.filter("home").select("fp", "shard", F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("candidate"))
+        rows = rows.join(cut.select("shard"), "shard", "left_anti").unionByName(queries).unionByName(candidates)
 
     def linked(key, table):  # no hints: PySpark would try to read them
         tree = key[0].as_py() % 2
-        fps, candidate = table.column("fp").to_numpy().view(np.uint64), table.column("candidate").to_numpy(zero_copy_only=False)
+        fps = table.column("fp").to_numpy().view(np.uint64)
+        query, candidate = (table.column(c).to_numpy(zero_copy_only=False) for c in ("query", "candidate"))
         fps, place = np.unique(fps, return_inverse=True)
         forest = Forest(len(fps))
-        search(np.unique(place[~candidate]), np.unique(place[candidate]), fps, half(fps, tree), radius, reach, forest, leaf_rows)
+        search(np.unique(place[query]), np.unique(place[candidate]), fps, half(fps, tree), radius, reach, forest, leaf_rows, half(fps, 1 - tree))
         root = forest.flat()
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": fps[moved].view(np.int64), "b": fps[root[moved]].view(np.int64)})
 
-    return queries.unionByName(candidates).groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long")
+    return rows.groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, **sizes) -> DataFrame:
@@ -201,6 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay, with docs' columns: of each component the document with the smallest doc_id, and rows without a doc_id."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    """The rows of docs that stay, with docs' columns: of each component the document with the smallest doc_id, and rows without a doc_id.
+
+    Only rows whose id may be among those that go are shuffled."""
+    found = checkpoint(near_duplicates(docs, id_col, text_col, **options).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("NOT stays").select(F.col("doc_id").alias("id")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    tested = maybe(rows, found, "id")
+    out = tested.filter("NOT maybe OR id IS NULL").select("row").unionByName(tested.filter("maybe AND id IS NOT NULL").join(found, "id", "left_anti").select("row"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from haploweave.llm import bpe, exact_dedup, lm, mixing, simhash
+from haploweave.llm import bpe, common, exact_dedup, lm, mixing, simhash
 from haploweave.llm.queries import Digest
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, len long, fp string, block int, kept string"
@@ -67,7 +67,7 @@ def test_exact_dedup_with_a_full_filter(docs, monkeypatch):
     """A bit map of one word has a false hit for every row; nothing but work changes."""
     want = Counter(map(str, exact_dedup.report(docs).collect()))
     kept = Counter(r.text for r in exact_dedup.exact_dedup(docs).collect())
-    monkeypatch.setattr(exact_dedup, "FILTER_WORDS", 1)
+    monkeypatch.setattr(common, "FILTER_WORDS", 1)
     assert Counter(map(str, exact_dedup.report(docs).collect())) == want
     assert Counter(r.text for r in exact_dedup.exact_dedup(docs).collect()) == kept
 
@@ -307,3 +307,52 @@ def test_decoder_holds_incomplete_sequences():
     assert "".join(d.feed([i]) for i in ids) + d.finish() == "日本語 żółw "
     d = bpe.Decoder(v)
     assert d.feed([v.first[0xE6]]) == "" and d.finish() == "�"
+
+
+def test_upper_trees_grow_with_the_table(spark):
+    """A small sample parts few shards; their own samples part them further, and home is the same shard on both ways."""
+    import numpy as np
+
+    points = np.random.default_rng(8).integers(0, 2**64, 20_000, np.uint64)
+    nodes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    for t, tree in enumerate(simhash.trees_of(nodes, len(points), 128, 256)):
+        halves = simhash.half(points, t)
+        row, shard, home = tree.route(halves, 1)
+        sizes = np.bincount(shard[home], minlength=tree.shards)
+        assert tree.shards >= 40 and sizes.sum() == len(points) and sizes.max() < 2500
+        own = np.empty(len(points), int)
+        own[row[home]] = shard[home]
+        found = set(zip(row.tolist(), shard.tolist()))
+        assert len(found) == len(row)
+        for bit in range(0, 32, 5):  # a point one bit away lies in a shard that the query reaches
+            r, s, h = tree.route(halves ^ np.uint32(1 << bit), 0)
+            assert h.all() and all(x in found for x in zip(r.tolist(), s.tolist()))
+
+
+def test_fingerprints_alike_in_one_half(spark):
+    """No boundary parts them by that half: blocks, and trees over the other half."""
+    import numpy as np
+
+    r = np.random.default_rng(9)
+    low = np.unique(np.concatenate([x := r.integers(0, 2**32, 1500, np.uint64), x[:300] ^ np.uint64(5), x[:40] ^ np.uint64(0x70000)]))
+    fps = low | np.uint64(0xABCD << 32)
+    nodes = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
+    plain, got = simhash.Forest(len(fps)), simhash.Forest(len(fps))
+    plain.join(*np.nonzero(near))
+    place = {int(f): i for i, f in enumerate(fps.view(np.int64))}
+    for e in simhash.links(nodes, sample_rows=500, shard_rows=100, block_rows=400, leaf_rows=16).collect():
+        got.join(np.array([place[e.a]]), np.array([place[e.b]]))
+    a, b = got.flat(), plain.flat()
+    assert np.array_equal(a[:, None] == a[None, :], b[:, None] == b[None, :])
+
+
+def test_near_dedup_passes_any_column_on(docs):
+    from pyspark.sql import functions as F
+
+    names = [n for n in ("__kept", "row", "id", "maybe", "word", "bit", "bits", "fp", "root", "component_id", "a.b") if n not in docs.columns]
+    wide = docs.select("*", *[F.col("doc_id").cast("string").alias(n) for n in names])
+    found = simhash.near_dedup(wide)
+    assert found.columns == wide.columns
+    rows = found.collect()
+    assert rows and all(r[n] == (None if r.doc_id is None else str(r.doc_id)) for r in rows for n in names)
