@@ -93,7 +93,7 @@ def op9_ball_tree_top_k(spark, sf_dir):
 
 def op10_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(read(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("node")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity_chain, op3_curriculum_mixing, op4_backoff_lm_scoring, op5_minimax_sharding, op6_importance_resampling, op7_bpe_encode_decode, op8_exact_dedup, op9_ball_tree_top_k, op10_simhash_near_dedup)}

@@ -20,6 +20,15 @@ costs at most n edges a shard, never n^2. Only a shard that no boundary can part
 (fingerprints alike in one half, ``block_rows`` of them and more) is cut into blocks
 of queries by blocks of candidates; no candidate is ever dropped.
 
+Longer fingerprints. ``length`` words of 64 bits (further ones from the same hashes,
+mixed) tell similarities apart that 64 bits can't: ``bits_apart`` gives the radius for
+a Jaccard similarity of the shingle sets. Every 32-bit half of every word then has its
+tree, searched with radius 1. That is no longer exhaustive: a pair is found if any of
+its halves differs in one bit at most, which for 32 halves is nearly sure from a
+similarity of 0.85 on (the README has measured figures). In a shard a pair is told by
+the first 128 bits, with a margin; what a shard links is a pair, and each linked pair
+is then held against the radius on all bits.
+
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle are one shingle; equal fingerprints are one
 node with the smallest doc_id; rows that repeat a doc_id are one document, rows
@@ -27,45 +36,65 @@ without a doc_id take part but never name a component unless nothing else does.
 """
 from __future__ import annotations
 
+import math
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_binary, checkpoint, maybe, words_of
 from .components import components
+from .lm import mix
 
 LANES = 0x0101010101010101
+CHUNK = 255 * 256  # shingles that are counted at once
 
 
-def fingerprint(raw: bytes | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of a UTF-8 text as an unsigned 64-bit number."""
+def signature(raw: bytes | None, words: int = 3, seed: int = 42, length: int = 1) -> np.ndarray:
+    """SimHash of a UTF-8 text: ``length`` unsigned 64-bit numbers, the first over the hashes as they are."""
     w = words_of(raw)
-    if not w:
-        return 0
     n = max(1, len(w) - words + 1)
-    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64, n)
-    starts, bits = np.arange(0, n, 255), 0
-    for k in range(8):  # eight bits a pass: byte lanes count up to 255 hashes at once
-        lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(LANES), starts)
-        ones = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-        for lane in np.flatnonzero(2 * ones > n):
-            bits |= 1 << (8 * int(lane) + k)
-    return bits
+    counts = np.zeros((length, 8, 8), np.int64)  # of set bits, by word, bit within a byte, byte
+    for first in range(0, n if w else 0, CHUNK):  # memory is bounded for texts of any length
+        part = w[first : first + CHUNK + words - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(words)))) if len(w) >= words else [b" ".join(w)]
+        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.uint64)
+        h = np.concatenate([h[None, :], mix(np.arange(1, length, dtype=np.uint64)[:, None], h[None, :])]) if length > 1 else h[None, :]
+        starts = np.arange(0, h.shape[1], 255)
+        for k in range(8):  # eight bits a pass: byte lanes count up to 255 hashes at once
+            lanes = np.add.reduceat((h >> np.uint64(k)) & np.uint64(LANES), starts, axis=1)
+            counts[:, k] += lanes.astype("<u8").view(np.uint8).reshape(length, -1, 8).sum(axis=1, dtype=np.int64)
+    bits = (2 * counts > n).transpose(0, 2, 1)
+    return np.packbits(bits.reshape(length, 64), axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint(raw: bytes | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of a UTF-8 text as an unsigned 64-bit number."""
+    return int(signature(raw, words, seed)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def bits_apart(similarity: float, length: int) -> int:
+    """In how many bits fingerprints of shingle sets with a Jaccard similarity differ: what is expected of sets of one
+    size, and half a standard deviation more."""
+    bits, part = 64 * length, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * part + math.sqrt(bits * part * (1 - part)) / 2)
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, length: int = 1) -> DataFrame:
+    """doc_id, node (a long: the 64 bits, or a hash of more), fp (array of the words as signed longs)."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, words, seed) for t in as_binary(batch.column(1)).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            texts = as_binary(batch.column(1)).to_pylist()
+            fps = np.array([signature(t, words, seed, length) for t in texts], np.uint64).reshape(-1, length)
+            node = fps[:, 0] if length == 1 else np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in fps), np.uint64, len(fps))
+            lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, length, dtype=np.int32), pa.array(fps.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node.view(np.int64)), lists], ["doc_id", "node", "fp"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, "doc_id long, node long, fp array<long>")
 
 
 def half(fps: np.ndarray, tree: int) -> np.ndarray:
@@ -139,10 +168,10 @@ class Tree:
 
 
 class Forest:
-    """Union-find whose unions come in blocks."""
+    """Union-find whose unions come in blocks; ``pairs`` are those that joined two trees."""
 
     def __init__(self, n: int):
-        self.root = np.arange(n)
+        self.root, self.pairs = np.arange(n), []
 
     def find(self, i: int) -> int:
         while self.root[i] != i:
@@ -157,116 +186,154 @@ class Forest:
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
         root = self.flat()
-        a, b = root[a], root[b]
-        apart = a != b
-        for x, y in np.unique(np.stack([a[apart], b[apart]], 1), axis=0).tolist():
-            x, y = self.find(x), self.find(y)
+        apart = np.flatnonzero(root[a] != root[b])
+        a, b = a[apart], b[apart]
+        _, at = np.unique(root[a] * len(root) + root[b], return_index=True)
+        for i, j in zip(a[at].tolist(), b[at].tolist()):
+            x, y = self.find(i), self.find(j)
             if x != y:
                 self.root[max(x, y)] = min(x, y)
+                self.pairs.append((i, j))
 
 
-def search(q: np.ndarray, c: np.ndarray, fps: np.ndarray, halves: np.ndarray, radius: int, reach: int, forest: Forest, leaf_rows: int, others: np.ndarray | None = None) -> None:
-    """Joins in forest all pairs of a query and a candidate (indices into fps) within radius, going down a tree over the
-    candidates' halves, and over their other halves (if given) where these are all alike."""
+def search(q: np.ndarray, c: np.ndarray, halves: np.ndarray, reach: int, forest: Forest, leaf_rows: int, near, others: np.ndarray | None = None, radius: int = 0) -> None:
+    """Joins in forest all pairs of a query and a candidate (indices into halves) that are near, going down a tree over the
+    candidates' halves, and over their other halves (if given, with the radius) where these are all alike."""
     if not len(q) or not len(c):
         return
     if len(c) > leaf_rows:
         p, r, d = vantage(halves[c])
         if not (d <= r).all():
             dq = np.bitwise_count(halves[q] ^ p)
-            search(q[dq <= r + reach], c[d <= r], fps, halves, radius, reach, forest, leaf_rows, others)
-            search(q[dq + reach > r], c[d > r], fps, halves, radius, reach, forest, leaf_rows, others)
+            search(q[dq <= r + reach], c[d <= r], halves, reach, forest, leaf_rows, near, others, radius)
+            search(q[dq + reach > r], c[d > r], halves, reach, forest, leaf_rows, near, others, radius)
             return
         if others is not None:
-            search(q, c, fps, others, radius, radius, forest, leaf_rows)
+            search(q, c, others, radius, forest, leaf_rows, near)
             return
     step = max(1, 1_000_000 // len(c))
     for i in range(0, len(q), step):
-        x, y = np.nonzero(np.bitwise_count(fps[q[i : i + step], None] ^ fps[c][None, :]) <= radius)
+        x, y = np.nonzero(near(q[i : i + step], c))
         forest.join(q[i + x], c[y])
 
 
-def trees_of(nodes: DataFrame, total: int, sample_rows: int, shard_rows: int) -> list[Tree]:
-    """The upper trees over the two halves, with shards of about shard_rows."""
-    depth = max(0, int(np.ceil(np.log2(max(1, total / shard_rows)))))
-    sample = np.array([r[0] for r in nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()], np.int64).view(np.uint64)
+def nearness(words: np.ndarray, halves: np.ndarray, reach: int, radius: int, length: int):
+    """The test of two rows in a leaf. One word: that it differs in radius bits at most. Of more words the first two are
+    there: that the tree's half is within reach, and that they differ in no more than four standard deviations above
+    what the radius on all bits leaves them."""
+    if length == 1:
+        return lambda q, c: np.bitwise_count(words[q, 0][:, None] ^ words[c, 0][None, :]) <= radius
+    part = radius / (64 * length)
+    limit = math.ceil(128 * part + 4 * math.sqrt(128 * part * (1 - part)))
+
+    def near(q, c):
+        close = np.bitwise_count(halves[q][:, None] ^ halves[c][None, :]) <= reach
+        x, y = np.nonzero(close)
+        close[x, y] = (np.bitwise_count(words[q[x], 0] ^ words[c[y], 0]).astype(np.int16) + np.bitwise_count(words[q[x], 1] ^ words[c[y], 1])) <= limit
+        return close
+
+    return near
+
+
+def matrix(column: pa.Array, length: int) -> np.ndarray:
+    """Lists of length longs as rows of unsigned numbers."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, length)
+
+
+def trees_of(nodes: DataFrame, total: int, sample_rows: int, shard_rows: int, length: int = 1) -> list[Tree]:
+    """The upper trees over all halves, with shards of about shard_rows."""
+    depth, trees = max(0, int(np.ceil(np.log2(max(1, total / shard_rows))))), 2 * length
+    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("fp").collect()], np.int64).view(np.uint64).reshape(-1, length)
     top = max(0, min(depth, int(np.log2(max(1, len(sample) / 64)))))
-    trees = [Tree(half(sample, t), top) for t in (0, 1)]
+    upper = [Tree(half(sample[:, t // 2], t % 2), top) for t in range(trees)]
     if top == depth:
-        return trees
+        return upper
     # About 64 points a shard, in the tree's leaf that they lie in.
     part = nodes.select("fp").filter(F.pmod(F.xxhash64("fp", F.lit(7)), F.lit(max(1, shard_rows // 64))) == 0)
 
     def placed(batches):
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for t, tree in enumerate(trees):
-                halves = half(fps, t)
+            fps = matrix(batch.column(0), length)
+            for t, tree in enumerate(upper):
+                halves = half(fps[:, t // 2], t % 2)
                 row, shard, _ = tree.route(halves, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((2 * shard + t).astype(np.int32)), pa.array(halves[row].astype(np.int64))], ["shard", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64) * trees + t), pa.array(halves[row].astype(np.int64))], ["shard", "half"])
 
     def split(key, table):  # no hints: PySpark would try to read them
         tree = Tree(np.sort(table.column("half").to_numpy().astype(np.uint32)), depth - top)
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "shards": pa.array([tree.shards], pa.int32()), "point": [tree.point.tobytes()], "radius": [tree.radius.tobytes()], "kids": [tree.kids.tobytes()]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "shards": pa.array([tree.shards], pa.int32()), "point": [tree.point.tobytes()], "radius": [tree.radius.tobytes()], "kids": [tree.kids.tobytes()]})
 
-    below: list[dict[int, Tree]] = [{}, {}]
-    for r in part.mapInArrow(placed, "shard int, half long").groupBy("shard").applyInArrow(split, "shard int, shards int, point binary, radius binary, kids binary").collect():
-        tree = Tree(sample[:0].astype(np.uint32), 0)
+    below: list[dict[int, Tree]] = [{} for _ in upper]
+    for r in part.mapInArrow(placed, "shard long, half long").groupBy("shard").applyInArrow(split, "shard long, shards int, point binary, radius binary, kids binary").collect():
+        tree = Tree(np.zeros(0, np.uint32), 0)
         tree.shards, tree.point, tree.radius, tree.kids = r["shards"], np.frombuffer(r["point"], np.uint32), np.frombuffer(r["radius"], np.int16), np.frombuffer(r["kids"], np.int32).reshape(-1, 2)
-        below[r["shard"] % 2][r["shard"] // 2] = tree
-    return [tree.grafted(b) for tree, b in zip(trees, below)]
+        below[r["shard"] % trees][r["shard"] // trees] = tree
+    return [tree.grafted(b) for tree, b in zip(upper, below)]
 
 
-def links(nodes: DataFrame, radius: int = 3, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384, most_cut: int = 10_000) -> DataFrame:
-    """Spanning links (a, b) between distinct fingerprints fp of nodes that are within radius."""
-    spark, reach = nodes.sparkSession, radius // 2
-    sent = spark.sparkContext.broadcast(trees_of(nodes, nodes.count(), sample_rows, shard_rows))
+def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384, most_cut: int = 10_000) -> DataFrame:
+    """Spanning links (a, b) between nodes (distinct node and fp) within radius. Of one word none is missed; see above for more."""
+    spark, reach, count = nodes.sparkSession, max(1, radius // 2) if length == 1 else 1, 2 * length
+    sent = spark.sparkContext.broadcast(trees_of(nodes, nodes.count(), sample_rows, shard_rows, length))
+    first = [f"w{i}" for i in range(min(2, length))]
 
     def route(batches):
         trees = sent.value
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            node, fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), matrix(batch.column(1), length)
             for t, tree in enumerate(trees):
-                row, shard, home = tree.route(half(fps.view(np.uint64), t), reach)
-                yield pa.RecordBatch.from_arrays([pa.array(fps[row]), pa.array(2 * shard.astype(np.int64) + t), pa.array(home)], ["fp", "shard", "home"])
-
-    routed = nodes.select("fp").mapInArrow(route, "fp long, shard long, home boolean")
+                halves = half(fps[:, t // 2], t % 2)
+                row, shard, home = tree.route(halves, reach)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[row]), pa.array(halves[row].astype(np.int64)), *(pa.array(fps[row, i].view(np.int64)) for i in range(len(first))), pa.array(shard.astype(np.int64) * count + t), pa.array(home)],
+                    ["node", "half", *first, "shard", "home"],
+                )
+
+    routed = nodes.select("node", "fp").mapInArrow(route, f"node long, half long, {', '.join(f'{w} long' for w in first)}, shard long, home boolean")
+    kept = ["node", "half", *first, "shard"]
     # Every row is a query, those at home are candidates too.
-    rows = routed.select("fp", "shard", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("query"), F.col("home").alias("candidate"))
+    rows = routed.select(*kept, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("query"), F.col("home").alias("candidate"))
     sizes = routed.groupBy("shard").agg(F.count("*").alias("q"), F.count_if("home").alias("c")).filter((F.col("q") > block_rows) & (F.col("c") > 0))
     cut = sizes.select("shard", F.ceil(F.col("q") / block_rows).cast("int").alias("qb"), F.ceil(F.col("c") / block_rows).cast("int").alias("cb"))
     if large := cut.limit(most_cut + 1).collect():
         if len(large) <= most_cut:
             cut = F.broadcast(spark.createDataFrame(large, cut.schema))
-        own = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n).cast("long")).cast("int")
+        own = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n).cast("long")).cast("int")
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         blocks = routed.join(cut, "shard")
-        queries = blocks.select("fp", "shard", own("qb", 1).alias("i"), F.explode(every("cb")).alias("j"), F.lit(True).alias("query"), F.lit(False).alias("candidate"))
-        candidates = blocks.filter("home").select("fp", "shard", F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("candidate"))
-        rows = rows.join(cut.select("shard"), "shard", "left_anti").unionByName(queries).unionByName(candidates)
+        queries = blocks.select(*kept, own("qb", 1).alias("i"), F.explode(every("cb")).alias("j"), F.lit(True).alias("query"), F.lit(False).alias("candidate"))
+        candidates = blocks.filter("home").select(*kept, F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("candidate"))
+        rows = rows.join(cut.select("shard"), "shard", "left_anti").select(rows.columns).unionByName(queries).unionByName(candidates)
 
     def linked(key, table):  # no hints: PySpark would try to read them
-        tree = key[0].as_py() % 2
-        fps = table.column("fp").to_numpy().view(np.uint64)
+        tree = key[0].as_py() % count
+        nodes, at, place = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
         query, candidate = (table.column(c).to_numpy(zero_copy_only=False) for c in ("query", "candidate"))
-        fps, place = np.unique(fps, return_inverse=True)
-        forest = Forest(len(fps))
-        search(np.unique(place[query]), np.unique(place[candidate]), fps, half(fps, tree), radius, reach, forest, leaf_rows, half(fps, 1 - tree))
-        root = forest.flat()
-        moved = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"a": fps[moved].view(np.int64), "b": fps[root[moved]].view(np.int64)})
-
-    return rows.groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, **sizes) -> DataFrame:
-    """A row for each row of docs: doc_id, fp (signed long), component_id."""
-    fps = checkpoint(fingerprints(docs, id_col, text_col, words, seed))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    label = components(links(nodes, radius, **sizes))
-    rooted = nodes.join(label.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+        halves = table.column("half").to_numpy()[at].astype(np.uint32)
+        words = np.stack([table.column(w).to_numpy()[at].view(np.uint64) for w in first], 1)
+        forest = Forest(len(nodes))
+        others = half(words[:, 0], 1 - tree) if length == 1 else None
+        search(np.unique(place[query]), np.unique(place[candidate]), halves, reach, forest, leaf_rows, nearness(words, halves, reach, radius, length), others, radius)
+        pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
+        return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
+
+    found = rows.groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long")
+    if length == 1:
+        return found
+    found = checkpoint(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("fp").alias(f"fp_{c}"))
+    apart = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+    return found.join(side("a"), "a").join(side("b"), "b").filter(apart <= radius).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, length: int = 1, **sizes) -> DataFrame:
+    """A row for each row of docs: doc_id, node, fp (array of signed longs), component_id."""
+    fps = checkpoint(fingerprints(docs, id_col, text_col, words, seed, length))
+    nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"))
+    label = components(links(nodes, radius, length, **sizes))
+    rooted = nodes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -4,6 +4,7 @@ import os
 from array import array
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -12,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from haploweave.llm import mixing  # noqa: E402
-from haploweave.llm.simhash import fingerprint  # noqa: E402
+from haploweave.llm.simhash import bits_apart, signature  # noqa: E402
 from haploweave.llm.toxicity import classify  # noqa: E402
 
 
@@ -38,15 +39,21 @@ def test_stages(spark, tmp_path):
     for i, t in zip(clean.doc_id, clean.text):
         keep[lower(t)] = max(i, keep.get(lower(t), i))
     assert set(once.doc_id) == set(keep.values())
-    fps = [fingerprint((t or "").encode()) for t in once.text]
-    ids = list(once.doc_id)
-    reach = list(ids)
-    for _ in ids:
-        new = [min(reach[j] for j in range(len(ids)) if (fps[i] ^ fps[j]).bit_count() <= 3) for i in range(len(ids))]
-        if new == reach:
-            break
+    # Against all pairs: what goes has a near copy in its group, of each group of near copies something stays, and copies
+    # that differ little are not kept both.
+    fps = np.array([signature((t or "").encode(), 5, length=16) for t in once.text])
+    apart_bits = np.array([np.bitwise_count(fps ^ f).sum(axis=1, dtype=int) for f in fps])
+    ids = np.array(once.doc_id)
+    near = apart_bits <= bits_apart(0.8, 16)
+    gone = ~np.isin(ids, apart.doc_id)
+    assert set(apart.doc_id) <= set(ids) and len(apart) == len(set(apart.doc_id))
+    assert all((near[i] & (ids < ids[i])).any() or near[i].sum() > 2 for i in np.flatnonzero(gone))
+    reach = ids.copy()
+    while not np.array_equal(new := np.array([reach[n].min() for n in near]), reach):
         reach = new
-    assert set(apart.doc_id) == set(reach) and len(apart) == len(set(reach))
+    assert set(reach) <= set(apart.doc_id)
+    close = (apart_bits <= bits_apart(0.93, 16)) & ~np.eye(len(ids), dtype=bool)
+    assert not (close & ~gone[:, None] & ~gone[None, :]).any()
     size = lambda t: len((t or "").encode().split())
     total, taken = Counter(), Counter()
     for s, t in zip(apart.source, apart.text):

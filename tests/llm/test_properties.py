@@ -66,7 +66,9 @@ def test_trees_lose_no_pair(points, bit, leaf):
     linked = simhash.Forest(len(points))
     every = np.arange(len(points))
     for t in (0, 1):
-        simhash.search(every, every, points, simhash.half(points, t), 3, 1, linked, leaf)
+        halves = simhash.half(points, t)
+        near = simhash.nearness(points[:, None], halves, 1, 3, 1)
+        simhash.search(every, every, halves, 1, linked, leaf, near, simhash.half(points, 1 - t), 3)
     plain = simhash.Forest(len(points))
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
     plain.join(*np.nonzero(near))

@@ -90,7 +90,7 @@ def test_fingerprints_and_components(docs):
     for c, r in zip(reach, rows):
         least[c] = min((x for x in (least.get(c), r[0]) if x is not None), default=None)
     found = simhash.near_duplicates(docs).collect()
-    assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in found) == Counter((r[0], f, least[c]) for r, f, c in zip(rows, fps, reach))
+    assert Counter((r.doc_id, r.fp[0] & (2**64 - 1), r.component_id) for r in found) == Counter((r[0], f, least[c]) for r, f, c in zip(rows, fps, reach))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash.near_dedup(docs)
     assert kept.columns == docs.columns
@@ -121,7 +121,7 @@ def test_links_match_brute_force(spark):
             if (a ^ b).bit_count() <= 3:
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in fps], "fp long")
+    nodes = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f, [f - 2**64 if f >= 2**63 else f]) for f in fps], "node long, fp array<long>")
     links = simhash.links(nodes, sample_rows=500, shard_rows=100, block_rows=64, leaf_rows=16)
     got = {f: f for f in fps}
 
@@ -314,7 +314,7 @@ def test_upper_trees_grow_with_the_table(spark):
     import numpy as np
 
     points = np.random.default_rng(8).integers(0, 2**64, 20_000, np.uint64)
-    nodes = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long")
+    nodes = spark.createDataFrame([(int(p), [int(p)]) for p in points.view(np.int64)], "node long, fp array<long>")
     for t, tree in enumerate(simhash.trees_of(nodes, len(points), 128, 256)):
         halves = simhash.half(points, t)
         row, shard, home = tree.route(halves, 1)
@@ -336,7 +336,7 @@ def test_fingerprints_alike_in_one_half(spark):
     r = np.random.default_rng(9)
     low = np.unique(np.concatenate([x := r.integers(0, 2**32, 1500, np.uint64), x[:300] ^ np.uint64(5), x[:40] ^ np.uint64(0x70000)]))
     fps = low | np.uint64(0xABCD << 32)
-    nodes = spark.createDataFrame([(int(p),) for p in fps.view(np.int64)], "fp long")
+    nodes = spark.createDataFrame([(int(p), [int(p)]) for p in fps.view(np.int64)], "node long, fp array<long>")
     near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3
     plain, got = simhash.Forest(len(fps)), simhash.Forest(len(fps))
     plain.join(*np.nonzero(near))
@@ -356,3 +356,33 @@ def test_near_dedup_passes_any_column_on(docs):
     assert found.columns == wide.columns
     rows = found.collect()
     assert rows and all(r[n] == (None if r.doc_id is None else str(r.doc_id)) for r in rows for n in names)
+
+
+def test_long_fingerprints_find_near_copies(spark):
+    """Copies with a few words changed, among texts of chance words: one group each, held against all pairs."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(12)
+    rows = []
+    for g in range(60):
+        words = [f"w{r.randrange(3000)}" for _ in range(r.choice((60, 200, 400)))]
+        for c in range(r.choice((1, 2, 6))):
+            own = list(words)
+            for _ in range(len(words) // 120 if c else 0):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), g, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, g int, text string")
+    length, radius = 16, simhash.bits_apart(0.8, 16)
+    fps = np.array([simhash.signature(t.encode(), 5, length=length) for _, _, t in rows])
+    near = np.array([np.bitwise_count(fps ^ f).sum(axis=1, dtype=int) for f in fps]) <= radius
+    reach = np.arange(len(rows))
+    while not np.array_equal(new := np.array([reach[n].min() for n in near]), reach):
+        reach = new
+    assert simhash.bits_apart(1.0, 16) == 0 and 150 < radius < 180
+    for sizes in ({}, {"shard_rows": 40, "sample_rows": 128, "leaf_rows": 8, "block_rows": 50}):
+        found = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs, words=5, length=length, radius=radius, **sizes).collect()}
+        assert found == dict(enumerate(reach))
+    kept = simhash.near_dedup(docs, words=5, length=length, radius=radius)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted(set(reach.tolist()))
