@@ -117,7 +117,7 @@ def test_resampling(spark):
     found = resampling.resample(docs, target, k=400).collect()
     assert len(found) == 504 and sum(r.kept for r in found) == 400
     kept, dropped = [r.key for r in found if r.kept], [r.key for r in found if not r.kept]
-    assert min(kept) >= max(dropped) - 2**-19
+    assert min(kept) >= max(dropped)
     junk = {i for i, q, _ in labels if q == 0}
     assert sum(r.kept for r in found if r.doc_id in junk) < 0.2 * len(junk)
 
@@ -134,12 +134,33 @@ def test_resampling(spark):
     for i, _ in rows[:50]:
         assert by[i].log_weight == pytest.approx(ratio[f[i]].sum()) and by[i].n_features == len(f[i])
     assert by[900].log_weight == 0.0
+    # The draw: log weight and Gumbel noise of a hash of id and text, the k largest.
+    import xxhash
+
+    drawn = []
+    for i, t in [*rows, (None, "null id"), (900, None), (901, ""), (901, "")]:
+        u = (xxhash.xxh64_intdigest(f"{i} ".encode() + (t or "").encode(), 1) + 0.5) / 2**64
+        x = resampling.features((t or "").encode(), keys, 2, n)
+        drawn.append((-(ratio[x].sum() - math.log(-math.log(u))), -1 if i is None else i))
+    assert Counter(i for _, i in sorted(drawn)[:400]) == Counter(-1 if r.doc_id is None else r.doc_id for r in found if r.kept)
     again = resampling.resample(docs.repartition(3), target, k=400).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, found))
     assert resampling.resample(docs.limit(0), target, k=5).count() == 0
     assert resampling.resample(docs, target.limit(0), share=0.5).filter("kept").count() == 252
 
 
+def test_rows_alike_at_the_threshold(spark):
+    """Of rows that repeat id and text as many are kept as k leaves room for, whatever the partitions."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(50, "again")] * 40 + [(None, "")] * 30, "doc_id long, text string").repartition(5)
+    target = spark.createDataFrame([(1,), (2,)], "doc_id long")
+    for k in (1, 17, 35, 52, 71, 89, 90):
+        found = resampling.resample(docs, target, k=k).collect()
+        assert len(found) == 90 and sum(r.kept for r in found) == k
+        assert min(r.key for r in found if r.kept) >= max((r.key for r in found if not r.kept), default=-math.inf)
+    keys = np.array(sorted([0.0, -0.0, 1e-300, -1e-300, 5.5, -5.5, 1e18, -1e18, -1e-5, 2**-30]))
+    assert (np.diff(resampling.place_of(keys)) >= 0).all() and len(set(resampling.place_of(keys).tolist())) == 9
+
+
 def test_kth_key(spark):
     r = random.Random(8)
     values = [r.randint(-(2**62), 2**62) for _ in range(300)] + [5] * 40 + [-(2**63), 2**63 - 1]
