@@ -10,29 +10,34 @@ where it has none. Record ids are name-based (a hash of source id and type), so
 a lost task that runs again writes the same records.
 
 All of it is a map over rows: no shuffle, one record in memory at a time. Files
-are read with the binaryFile source (a WARC file must fit in a task, as the usual
-1 GB files do) and written with the text sink, whose line separator is the
-record separator, so both work on any file system that Spark knows.
+are read and written with Spark's text source and sink, whose line separator is what
+ends a record, so both work on any file system that Spark knows: plain files are
+split, compressed ones (gzip members, one a record or not) are read as a stream, and
+no task holds a file. A record's Content-Length decides where it ends; where its
+block holds a separator (a blank line and WARC/), the pieces are put together again,
+but for a plain file that is split at just that place.
 
 Defined results: a null payload is an empty one; a null or empty URI gives records
 without a target URI; no HTTP header block gives no status; broken markup never
 fails: an unclosed comment, tag, script or style ends at the end of the page, an
 unclosed title at the next tag, and other unclosed elements hide nothing; a head
 needs no end, as text in it counts as the body's;
-bytes that are not in the stated charset become U+FFFD; rows are mapped one by
+bytes that are not in the stated charset become U+FFFD, and a charset that is none
+(unknown, or no text encoding) is read as UTF-8; rows are mapped one by
 one, so repeated rows give repeated records and an empty table gives none; other
 columns of the input are passed on by ``keep``.
 """
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import re
 import uuid
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +52,8 @@ LINES = frozenset("address article aside blockquote br caption dd div dl dt fiel
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)|<!--|<[!?]", re.A)
 END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.A | re.I) for name in (*SILENT, "title")}
 BLANKS, LINE_BLANKS = re.compile(r"[^\S\n]+"), re.compile(r" ?\n[ \n]*")
+#: Codecs of Python that no page is written in.
+NO_CHARSETS = frozenset(("idna", "punycode", "undefined", "raw-unicode-escape", "unicode-escape"))
 RESPONSE = "record_id string, target_uri string, date string, headers map<string,string>, block binary"
 
 
@@ -135,11 +142,14 @@ def decoded(body: bytes, fields: dict[str, str]) -> bytes:
 
 
 def charset_of(kind: str) -> str:
+    """The charset of a content type if it is a text encoding that decodes anything; else UTF-8."""
     m = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind, re.I)
     try:
-        return "utf-8" if not m else "".encode(m[1]) and "" or m[1]
-    except LookupError:
-        return "utf-8"
+        if m and isinstance(b"\x41\xc3\x80.\x00".decode(m[1], "replace"), str) and codecs.lookup(m[1]).name not in NO_CHARSETS:
+            return m[1]
+    except (LookupError, UnicodeError, ValueError, AssertionError):
+        pass
+    return "utf-8"
 
 
 def derive_one(source_id: str, uri: str | None, date: str, headers: dict[str, str], block: bytes) -> list[dict]:
@@ -231,39 +241,59 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     serialized(records).write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
-def parse(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of a WARC file, gzip members or plain."""
-    data = raw
-    if raw[:2] == b"\x1f\x8b":
-        parts, rest = [], raw
-        while rest[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            parts.append(d.decompress(rest) + d.flush())
-            rest = d.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        fields = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:]) if colon}
-        size = next((int(v) for k, v in fields.items() if k.lower() == "content-length" and v.isdigit()), 0)
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+#: What stands between the records of a file: the end of one and how the next begins.
+SEPARATOR = b"\r\n\r\nWARC/"
+
+
+class Records:
+    """Puts records together from what stands between separators: state is one record."""
+
+    def __init__(self):
+        self.held, self.fields, self.start, self.end = bytearray(), None, 0, 0
+
+    def feed(self, piece: bytes) -> tuple[dict[str, str], bytes] | None:
+        """A record, if the piece ends one."""
+        if self.fields is None:
+            piece = piece.lstrip(b"\r\n").removeprefix(SEPARATOR[4:])
+            self.start = piece.find(b"\r\n\r\n") + 4
+            if not piece[:1].isdigit() or self.start < 4:
+                return None
+            lines = piece[: self.start - 4].decode("utf-8", "replace").split("\r\n")[1:]
+            self.fields = {k.strip(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+            self.end = self.start + next((int(v) for k, v in self.fields.items() if k.lower() == "content-length" and v.isdigit()), 0)
+            self.held = bytearray(piece)
+        else:  # its block holds a separator
+            self.held += SEPARATOR + piece
+        return self.finish() if len(self.held) >= self.end else None
+
+    def finish(self) -> tuple[dict[str, str], bytes] | None:
+        """The record that is open, if any, as far as it goes."""
+        fields, self.fields = self.fields, None
+        return (fields, bytes(self.held[self.start : self.end])) if fields is not None else None
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC files: record_type and the columns of RESPONSE."""
     schema = "record_type string, " + RESPONSE
 
+    def made(records):
+        rows = [({k.lower(): v for k, v in fields.items()}, fields, block) for fields, block in records]
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([low.get(k) for low, _, _ in rows], pa.string()) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")), pa.array([list(fields.items()) for _, fields, _ in rows], pa.map_(pa.string(), pa.string())), pa.array([block for _, _, block in rows], pa.binary())],
+            ["record_type", "record_id", "target_uri", "date", "headers", "block"],
+        )
+
     def run(batches):
+        records, file = Records(), None
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                for fields, block in parse(raw or b""):
-                    low = {k.lower(): v for k, v in fields.items()}
-                    yield pa.RecordBatch.from_arrays(
-                        [*(pa.array([low.get(k)], pa.string()) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")), pa.array([list(fields.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())],
-                        ["record_type", "record_id", "target_uri", "date", "headers", "block"],
-                    )
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+            out = []
+            for name, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if name != file:
+                    out.append(records.finish())
+                    file = name
+                out.append(records.feed(piece))
+            yield made([r for r in out if r])
+        yield made([r for r in [records.finish()] if r])
+
+    pieces = spark.read.option("lineSep", SEPARATOR.decode()).text(path)
+    return pieces.select(F.col("_metadata.file_path"), F.col("value").cast("binary")).mapInArrow(run, schema)
