@@ -2,8 +2,11 @@
 
 Atomic groups are equal texts, in the order of their smallest doc_id. The least
 capacity is found by binary search: a capacity is feasible if filling shards
-greedily, group after group, needs no more than the given number of shards; the
-groups are then cut where the greedy filling of the least capacity cuts them.
+greedily, group after group, needs no more than the given number of shards. Within
+that capacity the groups are then cut evenly: each cut is the group boundary nearest
+to an equal division, no further than the capacity lets the shard reach, and no
+earlier than the greedy filling from the other end needs for what remains. So the
+largest shard is the least possible and the last is not left short.
 
 The driver never sees the groups. It holds a histogram of them along the order
 (``cells`` cells at most: first key, bytes, largest group), and searches with
@@ -11,7 +14,8 @@ it twice, once as if a cell were one indivisible group (an upper bound) and once
 as if it were divisible (a lower bound). Only cells in which a cut can fall for
 some capacity between both bounds stay open; they are divided and counted again,
 with whatever lies between them as one closed run, until each open cell is one
-group and both bounds agree. Every round divides the doubt by about the number of
+group and both bounds agree; then, likewise, the cells in which the even cuts fall.
+Every round divides the doubt by about the number of
 cells a shard, so a handful of rounds settles any number of groups.
 
 The order starts with what fits: a group larger than an equal share of what it and
@@ -78,6 +82,43 @@ class Cells:
                 high = mid
         return low
 
+    def needed(self, capacity: int, shards: int, late: bool) -> list[int]:
+        """Where each shard after the first may start at the earliest, for the rest to fit: greedy filling from the end. In a
+        cell of several groups only bounds are known; ``late`` takes the later one."""
+        at, out = self.total, []
+        for _ in range(shards - 1):
+            at = max(0, at - capacity)
+            i = bisect_right(self.before, at) - 1
+            if i < len(self.rows) and self.before[i] < at:
+                _, _, _, most, groups = self.rows[i]
+                at = self.before[i + 1] if groups == 1 else min(self.before[i + 1], at + most - 1) if late else at
+            out.append(at)
+        return out[::-1]
+
+    def even(self, capacity: int, needed: list[int], shards: int) -> tuple[list[int], set[int]]:
+        """Starts of the shards after the first, near equal and none above a capacity that suffices; and the cells of several
+        groups that a start was looked for in, without which the starts are not settled."""
+        at, cuts, doubtful = 0, [], set()
+        for j, least in enumerate(needed, 1):
+            ideal = self.total * j // shards
+            i = min(bisect_right(self.before, ideal), len(self.rows)) - 1
+            new = min(self.before[i : i + 2], key=lambda x: (abs(x - ideal), x))
+            if new < least:
+                new, i = least, -1
+            if new <= at:  # the shard before ended beyond its share: one group at least
+                i = bisect_right(self.before, at) - 1
+                new = self.before[min(i + 1, len(self.rows))]
+            if new > at + capacity:
+                i = bisect_right(self.before, at + capacity) - 1
+                new = self.before[i]
+            if 0 <= i < len(self.rows) and self.rows[i][4] > 1:
+                doubtful.add(i)
+            if not at < new < self.total:
+                break
+            cuts.append(new)
+            at = new
+        return cuts, doubtful
+
     def between(self, a: int, b: int) -> range:
         """Cells that bytes a to b fall into."""
         return range(bisect_right(self.before, a) - 1, min(bisect_right(self.before, b), len(self.rows)))
@@ -88,7 +129,7 @@ def cuts_of(groups: DataFrame, shards: int, cells: int = 4096) -> list[int]:
     first, last, total, most = groups.agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size")).first()
     if first is None:
         return []
-    spans, settled = [(first, last)], []
+    spans, settled, capacity = [(first, last)], [], None
     while True:
         each = max(2, cells // len(spans))
         steps = [-(-(hi - lo + 1) // each) for lo, hi in spans]
@@ -101,14 +142,22 @@ def cuts_of(groups: DataFrame, shards: int, cells: int = 4096) -> list[int]:
         # At most ``cells`` rows, whatever the number of groups.
         counted = cell.groupBy("span", "cell").agg(F.min("key"), F.max("key"), F.sum("size"), F.max("size"), F.count("*")).collect()
         state = Cells(settled + [tuple(r)[2:] for r in counted])
-        low = state.least(max(most, -(-total // shards)), shards, early=False)
-        high = state.least(low, shards, early=True)
-        least, furthest = state.fill(high, shards, early=True), state.fill(high, shards, early=False)
-        # For the true capacity, between low and high, a shard starts between these bounds.
-        from_ = _padded(state, low, shards)
-        open_cells = {i for a, b in zip(from_, furthest + [state.total] * shards) for i in state.between(a, b) if state.rows[i][4] > 1}
-        if not open_cells:
-            return [state.rows[bisect_right(state.before, a) - 1][0] for a in least]
+        if capacity is None:
+            low = state.least(max(most, -(-total // shards)), shards, early=False)
+            high = state.least(low, shards, early=True)
+            furthest = state.fill(high, shards, early=False)
+            # For the true capacity, between low and high, a shard starts between these bounds.
+            from_ = _padded(state, low, shards)
+            open_cells = {i for a, b in zip(from_, furthest + [state.total] * shards) for i in state.between(a, b) if state.rows[i][4] > 1}
+            if not open_cells:
+                capacity = high
+        if capacity is not None:
+            early, late = state.needed(capacity, shards, False), state.needed(capacity, shards, True)
+            open_cells = {i for a, b in zip(early, late) if a < b for i in state.between(a, b) if state.rows[i][4] > 1}
+            cuts, looked = state.even(capacity, late, shards)
+            open_cells |= looked
+            if not open_cells:
+                return [state.rows[bisect_right(state.before, a) - 1][0] for a in cuts]
         spans = [state.rows[i][:2] for i in sorted(open_cells)]
         settled = [r for i, r in enumerate(state.rows) if i not in open_cells]
 

@@ -202,7 +202,14 @@ def test_cuts_against_brute_force(spark, n, cells, wide):
     r = random.Random(n + cells)
     groups = [(k, r.choice([8, 60, 900, r.randint(1, 50_000)])) for k in r.sample(range(-(10**wide), 10**wide), n)]
     df = spark.createDataFrame(groups, "key long, size long")
-    assert sharding.cuts_of(df, 7, cells) == brute_cuts(groups, 7)
+    sizes = lambda cuts: [sum(n for k, n in groups if a <= k < b) for a, b in zip([-math.inf, *cuts], [*cuts, math.inf])]
+    cuts, greedy = sharding.cuts_of(df, 7, cells), sizes(brute_cuts(groups, 7))
+    assert cuts == sorted(set(cuts) & {k for k, _ in groups}) and len(cuts) == (6 if n >= 700 else len(cuts)) <= n
+    even = sizes(cuts)
+    assert max(even) <= max(greedy)  # the least capacity, by trying every one that is a sum of neighbours
+    if n >= 700:
+        assert max(even) - min(even) <= 2 * max(size for _, size in groups)
+    assert cuts == sharding.cuts_of(df, 7, 4096)
 
 
 def test_sharding(spark):
