@@ -22,7 +22,7 @@ its own n-grams once (64-bit keys, sorted, sent as differences), and sends each
 slice of the key space to the shard that owns it as one packed row; a shard adds the
 counts up and sends each block just the counts of the keys it asked for, in its
 order; a block then builds, batch of texts by batch, the part of the automaton that
-the batch can reach, and traverses it. Every n-gram of the whole corpus is counted,
+the batch can reach (states, arcs, failure arcs), and traverses it. Every n-gram of the whole corpus is counted,
 none is capped or dropped, and no model has to fit into one machine: blocks and
 shards are as many as the session has shuffle partitions, so a task's memory is
 set by that number. A frequent n-gram costs one entry a block.
@@ -38,7 +38,7 @@ columns of the input are not used, whatever their names.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,52 +144,54 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """The part of the model that a run of tokens can reach.
+    """The part of the model that a batch of texts can reach: its states, and the arcs and failure arcs that lead on in some text.
 
     ``arcs`` gives the number of the arc of state * words + word, ``weight`` and ``target`` what is on the arc of a number;
-    ``failure`` and ``shorter`` are the weight and the target of each state's failure arc. State 0 is the root."""
-
-    def __init__(self, tokens: np.ndarray, first: np.ndarray, grams: Sequence[np.ndarray], counts: list[np.ndarray], weights: list[np.ndarray], ends: float, heavy: list):
-        """first: whether a token begins a text; grams, counts and weights: by order, of the n-gram that ends at each token;
-        heavy: by order, K(h) of a history's count."""
-        order, n = len(grams), len(tokens)
-        words, self.word = np.unique(tokens, return_inverse=True)
-        self.words = len(words)
-        there = [np.flatnonzero(c > 0) for c in counts]  # the n-grams that are arcs, and, but for the longest, states
-        names = [np.array([START])] + [grams[j][there[j]] for j in range(order - 1)]
-        known, number = np.unique(np.concatenate(names), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in names])
-        self.start = int(number[0]) + 1 if order > 1 and ends > 0 else 0
-        state = [np.zeros(n, np.int64)]  # by order, the state of the history that ends at each token (0 if it is none)
-        for j in range(1, order):
-            state.append(np.zeros(n, np.int64))
-            state[j][there[j - 1]] = number[cuts[j - 1] : cuts[j]] + 1
-        failure, shorter = np.zeros(len(known) + 1), np.zeros(len(known) + 1, np.int64)
-        if self.start:
-            failure[self.start] = np.log10(heavy[1](ends) / (ends + heavy[1](ends)))
-        for j in range(1, order):
-            c, at = counts[j - 1][there[j - 1]], state[j][there[j - 1]]
-            failure[at], shorter[at] = np.log10(heavy[j](c) / (c + heavy[j](c))), state[j - 1][there[j - 1]]
-        keys, numbers, targets = [self.word], [np.arange(n)], [state[min(1, order - 1)]]
-        before = [np.where(first, self.start if j == 1 else 0, np.concatenate([[0], state[j][:-1]])) for j in range(order)]
+    ``failures`` the number of a state's failure arc, ``failure`` and ``shorter`` its weight and target. State 0 is the
+    root, 1 the start of a text; n-grams are known by their numbers in the block."""
+
+    def __init__(self, numbers: list[np.ndarray], distinct: list[int], first: np.ndarray, counts: list[np.ndarray], weights: list[np.ndarray], ends: float, heavy: list):
+        """numbers, counts, weights: by order, of the n-gram that ends at each token; distinct: how many a block has of
+        each order; first: whether a token begins a text; heavy: by order, K(h) of a history's count."""
+        order, n = len(counts), len(first)
+        self.words = distinct[0]
+        below = [2 + sum(distinct[:j]) for j in range(order)]  # numbers of states of shorter histories
+        # By order, the state of the history that ends at each token, and of the one before the token (0 if it is none).
+        state = [np.zeros(n, np.int64)] + [np.where(counts[j] > 0, numbers[j] + below[j], 0) for j in range(order - 1)]
+        self.start = int(order > 1 and ends > 0)
+        before = [np.where(first, self.start if j == 1 else 0, np.concatenate([[0], x[:-1]])) for j, x in enumerate(state)]
+        # An arc of the longest history that has one; every longer history that is a state fails.
+        longest = np.ones(n, np.int8)
         for k in range(2, order + 1):
-            at = there[k - 1]
-            keys.append(before[k - 1][at] * self.words + self.word[at])
-            numbers.append(at + (k - 1) * n)
-            targets.append(state[min(k, order - 1)])
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), np.concatenate(numbers).tolist()))
-        self.weight, self.target = np.concatenate(weights).tolist(), np.concatenate(targets).tolist()
-        self.failure, self.shorter = failure.tolist(), shorter.tolist()
+            longest[counts[k - 1] > 0] = k
+        keys, found, targets, fails, loss, to = [], [], [], [], [], []
+        for k in range(1, order + 1):
+            at = np.flatnonzero(longest == k)
+            keys.append(before[k - 1][at] * self.words + numbers[0][at])
+            found.append(weights[k - 1][at])
+            targets.append(state[min(k, order - 1)][at])
+            if k < order:
+                at = np.flatnonzero((before[k] > 0) & (longest <= k))
+                c = np.where(first[at], ends, counts[k - 1][at - 1])
+                h = heavy[k](c)
+                fails.append(before[k][at]), loss.append(np.log10(h / (c + h))), to.append(before[k - 1][at])
+        keys = np.concatenate(keys).tolist()
+        self.arcs = dict(zip(keys, range(n)))
+        self.weight, self.target = memoryview(np.concatenate(found)), memoryview(np.concatenate(targets))
+        fails = np.concatenate(fails).tolist() if fails else []
+        self.failures = dict(zip(fails, range(len(fails))))
+        self.failure, self.shorter = (memoryview(np.concatenate(x) if x else np.zeros(0)) for x in (loss, to))
 
     def traverse(self, words: list[int]) -> float:
         """Weight of the path of a text, read once from left to right."""
-        arc, width, weight, target, failure, shorter = self.arcs.get, self.words, self.weight, self.target, self.failure, self.shorter
+        arc, width, weight, target = self.arcs.get, self.words, self.weight, self.target
         state, total = self.start, 0.0
         for word in words:
             taken = arc(state * width + word)
             while taken is None:
-                total += failure[state]
-                state = shorter[state]
+                fails = self.failures[state]
+                total += self.failure[fails]
+                state = self.shorter[fails]
                 taken = arc(state * width + word)
             total += weight[taken]
             state = target[taken]
@@ -256,16 +258,23 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         place = {x: s for s, x in enumerate(labels)}
         told["slices"] = sorted(range(answers.num_rows), key=lambda i: (told["order"][i], place[told["shard"][i]]))
         total, distinct = ([sum(x for x, o in zip(told[c], told["order"]) if o == k) for k in range(1, order + 1)] for c in "nv")
-        counts = []
+        counts, numbers, kinds = [], [], []
         for k, (g, there) in enumerate(ngrams_of(tokens, starts, order), 1):
             by_key, begin = grouped(g[there])
+            kinds.append(len(begin))
             known = np.concatenate([unpack(told["counts"][i]) for i in told["slices"] if told["order"][i] == k])
             kind = np.int32 if known.max(initial=0) < 2**31 else np.int64
             each = np.empty(len(by_key), kind)
-            each[by_key] = np.repeat(known.astype(kind), np.diff(np.append(begin, len(by_key))))
+            sizes = np.diff(np.append(begin, len(by_key)))
+            each[by_key] = np.repeat(known.astype(kind), sizes)
             counts.append(np.zeros(len(g), kind))
             counts[-1][there] = each
-        del told, answers, by_key, begin, each
+            if k < max(2, order):  # of the longest no more than the count is needed
+                place_of = np.empty(len(by_key), np.int32 if len(begin) < 2**31 else np.int64)
+                place_of[by_key] = np.repeat(np.arange(len(begin)), sizes)
+                numbers.append(np.zeros(len(g), place_of.dtype))
+                numbers[-1][there] = place_of
+        del told, answers, by_key, begin, each, sizes, place_of
         first = np.zeros(len(tokens), bool)
         first[starts[:-1]] = True
         # Each text has one end, so its count is that of training texts and of the start mark as a history.
@@ -277,18 +286,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             b = max(a + 1, int(np.searchsorted(starts, starts[a] + at_once, "right")) - 1)
             part = slice(starts[a], starts[b])
             c, fresh, local = [x[part].astype(float) for x in counts], first[part], starts[a : b + 1] - starts[a]
-            grams, there = zip(*ngrams_of(tokens[part], local, order))
+            at = np.arange(len(fresh)) - np.repeat(local[:-1], np.diff(local))
             p = [(c[0] + 1.0) / (total[0] + distinct[0] + 1.0)]
             for k in range(2, order + 1):
                 h = np.where(fresh, ends if k == 2 else 0.0, np.concatenate([[0.0], c[k - 2][:-1]]))
-                h = np.where(there[k - 1], h, 0.0)
+                h = np.where(at >= k - 2, h, 0.0)
                 heap = heavy[k - 1](h)
                 p.append((c[k - 1] + heap * p[-1]) / (h + heap))
-            automaton = Automaton(tokens[part], fresh, grams, c, [np.log10(x) for x in p], ends, heavy)
+            automaton = Automaton([x[part].astype(np.int64) for x in numbers], kinds, fresh, c, [np.log10(x) for x in p], ends, heavy)
             local = local.tolist()
             uni[a:b] = np.add.reduceat(np.log10(p[0]), local[:-1])
             known[a:b] = np.add.reduceat((c[0] > 0).astype(np.int64), local[:-1])
-            path = automaton.word.tolist()
+            path = numbers[0][part].tolist()
             for i in range(a, b):
                 model[i] = automaton.traverse(path[local[i - a] : local[i - a + 1]])
             a = b
