@@ -14,7 +14,8 @@ large the table. What reaches the driver is the tree, 14 bytes a shard. Every
 fingerprint descends it as a candidate to its own shard, and by the triangle bounds
 as a query to all shards whose ball or shell it may touch. In a shard the tree goes
 on, down to leaves that are compared exactly on all 64 bits; where all candidates
-agree in the tree's half, by the other half with the full radius. A shard's links are
+agree in the tree's half, by the other half with the full radius, and at last by balls
+whose members need no comparison among themselves. A shard's links are
 reduced to a spanning forest before they leave the task, so a group of n near copies
 costs at most n edges a shard, never n^2. Only a shard that no boundary can part
 (fingerprints alike in one half, ``block_rows`` of them and more) is cut into blocks
@@ -37,6 +38,7 @@ without a doc_id take part but never name a component unless nothing else does.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -185,6 +187,7 @@ class Forest:
         return self.root
 
     def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = np.broadcast_arrays(a, b)
         root = self.flat()
         apart = np.flatnonzero(root[a] != root[b])
         a, b = a[apart], b[apart]
@@ -196,45 +199,66 @@ class Forest:
                 self.pairs.append((i, j))
 
 
-def search(q: np.ndarray, c: np.ndarray, halves: np.ndarray, reach: int, forest: Forest, leaf_rows: int, near, others: np.ndarray | None = None, radius: int = 0) -> None:
-    """Joins in forest all pairs of a query and a candidate (indices into halves) that are near, going down a tree over the
-    candidates' halves, and over their other halves (if given, with the radius) where these are all alike."""
+class Nearness:
+    """The test of two rows. One word: that it differs in radius bits at most. Of more words the first two are there: that
+    the tree's half is within reach, and that they differ in no more than four standard deviations above what the radius
+    on all bits leaves them."""
+
+    def __init__(self, words: np.ndarray, halves: np.ndarray, reach: int, radius: int, length: int):
+        self.words, self.halves, self.reach = words, halves, None if length == 1 else reach
+        part = radius / (64 * length)
+        self.limit = radius if length == 1 else math.ceil(128 * part + 4 * math.sqrt(128 * part * (1 - part)))
+
+    def apart(self, rows, others) -> np.ndarray:
+        return sum(np.bitwise_count(w[rows] ^ w[others]).astype(np.int16) for w in self.words.T)
+
+    def pairs(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in q and in c of the pairs that are near."""
+        if self.reach is None:
+            return np.nonzero(self.apart(q[:, None], c[None, :]) <= self.limit)
+        x, y = np.nonzero(np.bitwise_count(self.halves[q][:, None] ^ self.halves[c][None, :]) <= self.reach)
+        close = self.apart(q[x], c[y]) <= self.limit
+        return x[close], y[close]
+
+
+def search(q: np.ndarray, c: np.ndarray, halves: np.ndarray, reach: int, forest: Forest, leaf_rows: int, near: Nearness, others: np.ndarray | None = None) -> None:
+    """Joins in forest all pairs of a query and a candidate (indices into halves) that are near, or joins them through
+    others, going down a tree over the candidates' halves, and over their other halves (if given) where these are all alike."""
     if not len(q) or not len(c):
         return
     if len(c) > leaf_rows:
         p, r, d = vantage(halves[c])
         if not (d <= r).all():
             dq = np.bitwise_count(halves[q] ^ p)
-            search(q[dq <= r + reach], c[d <= r], halves, reach, forest, leaf_rows, near, others, radius)
-            search(q[dq + reach > r], c[d > r], halves, reach, forest, leaf_rows, near, others, radius)
+            search(q[dq <= r + reach], c[d <= r], halves, reach, forest, leaf_rows, near, others)
+            search(q[dq + reach > r], c[d > r], halves, reach, forest, leaf_rows, near, others)
             return
         if others is not None:
-            search(q, c, others, radius, forest, leaf_rows, near)
+            search(q, c, others, near.limit, forest, leaf_rows, near)
             return
-    step = max(1, 1_000_000 // len(c))
-    for i in range(0, len(q), step):
-        x, y = np.nonzero(near(q[i : i + step], c))
+        # All alike in the half, so that its distance to a query is one number. A ball of the limit around one of them: all in
+        # it are joined with it. Pairs are left with one or both outside, and none across more than two limits.
+        q, held = q[np.bitwise_count(halves[q] ^ halves[c[0]]) <= reach], 1.0
+        while len(c) > leaf_rows and held > 1 / 64:
+            v = c[len(c) // 2]
+            dq, dc = near.apart(q, v), near.apart(c, v)
+            q_in, c_in, q_close, c_close = dq <= near.limit, dc <= near.limit, dq <= 2 * near.limit, dc <= 2 * near.limit
+            forest.join(np.concatenate([q[q_in], c[c_in]]), v)
+            compare(q[q_in], c[c_close & ~c_in], forest, near)
+            compare(q[q_close & ~q_in], c[c_in], forest, near)
+            held = c_in.mean()
+            q, c = q[~q_in], c[~c_in]
+    compare(q, c, forest, near)
+
+
+def compare(q: np.ndarray, c: np.ndarray, forest: Forest, near: Nearness) -> None:
+    """Joins all pairs that are near, by holding each query against each candidate, in blocks."""
+    step = max(1, 1_000_000 // max(1, len(c)))
+    for i in range(0, len(q) if len(c) else 0, step):
+        x, y = near.pairs(q[i : i + step], c)
         forest.join(q[i + x], c[y])
 
 
-def nearness(words: np.ndarray, halves: np.ndarray, reach: int, radius: int, length: int):
-    """The test of two rows in a leaf. One word: that it differs in radius bits at most. Of more words the first two are
-    there: that the tree's half is within reach, and that they differ in no more than four standard deviations above
-    what the radius on all bits leaves them."""
-    if length == 1:
-        return lambda q, c: np.bitwise_count(words[q, 0][:, None] ^ words[c, 0][None, :]) <= radius
-    part = radius / (64 * length)
-    limit = math.ceil(128 * part + 4 * math.sqrt(128 * part * (1 - part)))
-
-    def near(q, c):
-        close = np.bitwise_count(halves[q][:, None] ^ halves[c][None, :]) <= reach
-        x, y = np.nonzero(close)
-        close[x, y] = (np.bitwise_count(words[q[x], 0] ^ words[c[y], 0]).astype(np.int16) + np.bitwise_count(words[q[x], 1] ^ words[c[y], 1])) <= limit
-        return close
-
-    return near
-
-
 def matrix(column: pa.Array, length: int) -> np.ndarray:
     """Lists of length longs as rows of unsigned numbers."""
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).reshape(-1, length)
@@ -293,7 +317,21 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
     kept = ["node", "half", *first, "shard"]
     # Every row is a query, those at home are candidates too.
     rows = routed.select(*kept, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("query"), F.col("home").alias("candidate"))
-    sizes = routed.groupBy("shard").agg(F.count("*").alias("q"), F.count_if("home").alias("c")).filter((F.col("q") > block_rows) & (F.col("c") > 0))
+
+
+    def counted(batches):
+        """Rows and candidates by shard, of a task's fingerprints."""
+        trees, q, c = sent.value, Counter(), Counter()
+        for batch in batches:
+            fps = matrix(batch.column(0), length)
+            for t, tree in enumerate(trees):
+                _, shard, home = tree.route(half(fps[:, t // 2], t % 2), reach)
+                for counter, of in ((q, shard), (c, shard[home])):
+                    found, n = np.unique(of, return_counts=True)
+                    counter.update(dict(zip((found.astype(np.int64) * count + t).tolist(), n.tolist())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(q), pa.int64()), pa.array(list(q.values()), pa.int64()), pa.array([c[s] for s in q], pa.int64())], ["shard", "q", "c"])
+
+    sizes = nodes.select("fp").mapInArrow(counted, "shard long, q long, c long").groupBy("shard").agg(F.sum("q").alias("q"), F.sum("c").alias("c")).filter((F.col("q") > block_rows) & (F.col("c") > 0))
     cut = sizes.select("shard", F.ceil(F.col("q") / block_rows).cast("int").alias("qb"), F.ceil(F.col("c") / block_rows).cast("int").alias("cb"))
     if large := cut.limit(most_cut + 1).collect():
         if len(large) <= most_cut:
@@ -313,7 +351,7 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
         words = np.stack([table.column(w).to_numpy()[at].view(np.uint64) for w in first], 1)
         forest = Forest(len(nodes))
         others = half(words[:, 0], 1 - tree) if length == 1 else None
-        search(np.unique(place[query]), np.unique(place[candidate]), halves, reach, forest, leaf_rows, nearness(words, halves, reach, radius, length), others, radius)
+        search(np.unique(place[query]), np.unique(place[candidate]), halves, reach, forest, leaf_rows, Nearness(words, halves, reach, radius, length), others)
         pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 

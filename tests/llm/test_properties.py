@@ -67,8 +67,8 @@ def test_trees_lose_no_pair(points, bit, leaf):
     every = np.arange(len(points))
     for t in (0, 1):
         halves = simhash.half(points, t)
-        near = simhash.nearness(points[:, None], halves, 1, 3, 1)
-        simhash.search(every, every, halves, 1, linked, leaf, near, simhash.half(points, 1 - t), 3)
+        near = simhash.Nearness(points[:, None], halves, 1, 3, 1)
+        simhash.search(every, every, halves, 1, linked, leaf, near, simhash.half(points, 1 - t))
     plain = simhash.Forest(len(points))
     near = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
     plain.join(*np.nonzero(near))
@@ -76,6 +76,20 @@ def test_trees_lose_no_pair(points, bit, leaf):
     assert np.array_equal(a[:, None] == a[None, :], b[:, None] == b[None, :])
 
 
+@COMMON
+@given(st.lists(st.integers(0, 2**24 - 1), min_size=2, max_size=80, unique=True), st.integers(1, 9))
+def test_balls_lose_no_pair(points, leaf):
+    """All alike in the tree's half: joined through the ball's centre or compared."""
+    points = np.array(sorted(points), np.uint64)
+    linked, plain = simhash.Forest(len(points)), simhash.Forest(len(points))
+    every, halves = np.arange(len(points)), np.full(len(points), 7, np.uint32)
+    simhash.search(every, every, halves, 1, linked, leaf, simhash.Nearness(points[:, None], halves, 1, 4, 1))
+    plain.join(*np.nonzero(np.bitwise_count(points[:, None] ^ points[None, :]) <= 4))
+    a, b = linked.flat(), plain.flat()
+    assert np.array_equal(a[:, None] == a[None, :], b[:, None] == b[None, :])
+    assert all(np.bitwise_count(points[i] ^ points[j]) <= 4 for i, j in linked.pairs)
+
+
 @COMMON
 @given(st.text(alphabet="<>/!-ab \"'&;p=scriptbody\n", max_size=120))
 def test_markup_never_fails(page):
