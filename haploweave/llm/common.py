@@ -64,6 +64,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def sampled(df: DataFrame, total: int, rows: int, *key: str) -> DataFrame:
+    """About ``rows`` of df's ``total`` rows, by a hash of their key; twice as many at most, even if one key is hot.
+
+    A filter, not a sort: no task sends the driver more than its share of the sample."""
+    if total <= rows:
+        return df
+    return df.filter(F.xxhash64(*key, F.lit(11)) < F.lit(rows * 2**64 // total - 2**63)).limit(2 * rows)
+
+
 #: Words of the bit map that ``maybe`` broadcasts, a power of two: 2^17 rows of two longs at most, whatever the size of the table.
 FILTER_WORDS = 1 << 17
 

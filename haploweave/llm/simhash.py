@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, checkpoint, maybe, words_of
+from .common import as_binary, checkpoint, maybe, sampled, words_of
 from .components import components
 from .lm import mix
 
@@ -267,7 +267,7 @@ def matrix(column: pa.Array, length: int) -> np.ndarray:
 def trees_of(nodes: DataFrame, total: int, sample_rows: int, shard_rows: int, length: int = 1) -> list[Tree]:
     """The upper trees over all halves, with shards of about shard_rows."""
     depth, trees = max(0, int(np.ceil(np.log2(max(1, total / shard_rows))))), 2 * length
-    sample = np.array([r[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(sample_rows).select("fp").collect()], np.int64).view(np.uint64).reshape(-1, length)
+    sample = np.array([r[0] for r in sampled(nodes, total, sample_rows, "node").select("fp").collect()], np.int64).view(np.uint64).reshape(-1, length)
     top = max(0, min(depth, int(np.log2(max(1, len(sample) / 64)))))
     upper = [Tree(half(sample[:, t // 2], t % 2), top) for t in range(trees)]
     if top == depth:

@@ -40,6 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import sampled
+
 EXACT = 2**53
 
 
@@ -191,7 +193,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     whole = F.transform(x, lambda c: F.least(F.greatest(F.floor(c.cast("double") * scale).cast("double"), F.lit(-9.2e18)), F.lit(9.2e18)).cast("long"))
     rows = vectors.filter(usable).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
     n = rows.count()
-    sample = [r["v"] for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).select("v").collect()]
+    sample = [r["v"] for r in sampled(rows, n, sample_rows, "id", "v").select("v").collect()]
     d = max(map(len, sample), default=0)
     points = np.array([v + [0] * (d - len(v)) for v in sample], np.int64).reshape(len(sample), d)
     places = Places(points, -(-n // shard_rows))
