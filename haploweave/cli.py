@@ -45,15 +45,16 @@ def run(argv: list[str], spark=None) -> dict[str, int]:
     if paths["read_support"]:
         tables.write(tables.support_rows(result.support, contigs), paths["read_support"], ["CHROM", "POS", "QNAME"])
     if paths["phase_read_tsv"]:
-        tables.write(tables.read_rows(result.reads, contigs), paths["phase_read_tsv"], ["CHUNK_ID", "READ_BEG", "QNAME"])
+        tables.write(tables.read_rows(result.reads, contigs, result.grid), paths["phase_read_tsv"], ["CHUNK_ID", "READ_BEG", "QNAME"])
     if paths["out_cram"]:
         raise ValueError("CRAM is not supported")
     if paths["out_sam"] or paths["out_bam"]:
         tagged = out.tagged(refine(reads, result) if options.refine_aln else reads, result.reads).filter(F.col("tid") >= 0)
+        lines = src.header_lines(spark, first)
         if paths["out_sam"]:
-            out.write_sam(tagged, paths["out_sam"], sizes, " ".join(argv))
+            out.write_sam(tagged, paths["out_sam"], sizes, " ".join(argv), lines)
         if paths["out_bam"]:
-            out.write_bam(tagged, paths["out_bam"], sizes)
+            out.write_bam(tagged, paths["out_bam"], sizes, " ".join(argv), lines)
     return summary(result)
 
 

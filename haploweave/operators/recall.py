@@ -117,12 +117,8 @@ def read_allele(ref: str, seq: str, beg: int, site: dict, o: Options) -> int:
 
 
 def homopolymer_indel(site: dict, window: Window) -> bool:
-    """Whether an indel's bases repeat the base beside it."""
-    beside = window.base(site["pos"])
-    if site["type"] == "DEL":
-        bases = [window.base(site["pos"] + k) for k in range(site["ref_len"] + 1)]
-        return len(set(bases)) == 1 and beside != "N"
-    return site["type"] == "INS" and set(site["alt"]) == {beside}
+    """Whether a deletion lies in a homopolymer: all bases that go, and five from its first, are alike. Insertions never do."""
+    return site["type"] == "DEL" and len({window.base(site["pos"] + k) for k in range(max(5, site["ref_len"]))}) == 1
 
 
 def homopolymer_region(ref: str, flank: int) -> bool:

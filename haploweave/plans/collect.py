@@ -11,6 +11,7 @@ chunk_size.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -71,7 +72,7 @@ def process_tile(reads: list[dict], window: Window, beg: int, fin: int, options:
 
 @dataclass
 class Result:
-    """DataFrames of a run. ``tiles`` has what each tile gave and is cut from lineage."""
+    """DataFrames of a run. ``tiles`` has what each tile gave, kept as ``kept`` says; ``grid`` is the tiling."""
 
     tiles: DataFrame
     candidates: DataFrame
@@ -80,6 +81,7 @@ class Result:
     contigs: DataFrame
     reference: DataFrame
     options: Options
+    grid: DataFrame
 
 
 def with_reference(alignments: DataFrame, reference: DataFrame) -> DataFrame:
@@ -92,17 +94,19 @@ def with_reference(alignments: DataFrame, reference: DataFrame) -> DataFrame:
 
 def collect_variation(spark: SparkSession, alignments: DataFrame, reference: DataFrame, contigs: DataFrame, options: Options = Options(), regions: DataFrame | None = None, sidecar: DataFrame | None = None) -> Result:
     """alignments: schemas.ALIGNMENT; reference: chrom, tile, beg, seq; contigs: tid, name, len; regions: chrom, beg, fin;
-    sidecar: set_id, thread."""
+    sidecar: set_id, thread. Regions of the argument and all that the options name are united, as they are."""
     o = options
     names = {r["name"]: r["len"] for r in contigs.collect()}  # one row a contig
-    if regions is None and o.regions:
-        regions = text.regions(spark, list(o.regions))
-    if regions is None and o.region_file:
-        regions = text.bed(spark, o.region_file)
-    if regions is None and o.autosome:
-        regions = text.autosomes(contigs)
-    if regions is None:
-        regions = contigs.select(F.col("name").alias("chrom"), F.lit(1).cast("long").alias("beg"), F.col("len").alias("fin"))
+    asked = [regions] if regions is not None else []
+    if o.regions:
+        asked.append(text.regions(spark, list(o.regions)))
+    if o.region_file:
+        asked.append(text.bed(spark, o.region_file))
+    if o.autosome:
+        asked.append(text.autosomes(contigs, reference.filter("tile = 0").select(F.col("chrom").alias("name"))))
+    if not asked:
+        asked = [contigs.select(F.col("name").alias("chrom"), F.lit(1).cast("long").alias("beg"), F.col("len").alias("fin"))]
+    regions = reduce(DataFrame.unionByName, asked)
     grid = tiles.number(tiles.cut(text.resolve(regions, contigs), o.chunk_size))
     usable = alignments.filter(read_filter(o))
     reads = parse_alignments(with_reference(usable, reference), names, o)
@@ -124,9 +128,20 @@ def collect_variation(spark: SparkSession, alignments: DataFrame, reference: Dat
         made = process_tile(rows, Window(seq, start), beg, fin, o)
         return pa.Table.from_pylist([{"chunk_id": key[0].as_py(), "tid": tid, "beg": beg, "fin": fin} | made], schema=schema)
 
-    done = dealt.groupBy("chunk_id").cogroup(pieces.groupBy("w_chunk")).applyInArrow(tile, CHUNK).persist()
+    done = dealt.groupBy("chunk_id").cogroup(pieces.groupBy("w_chunk")).applyInArrow(tile, CHUNK)
+    done = kept(done)
     folded = fold(summaries(done, sidecar), o, sidecar is not None)
-    return Result(done, candidates(done, folded), phased_reads(done, folded), observations(done), contigs, reference, o)
+    return Result(done, candidates(done, folded), phased_reads(done, folded), observations(done), contigs, reference, o, grid)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df, computed once: cut from lineage in the session's checkpoint folder (spark.checkpoint.dir), or, where there is none,
+    in executors' memory and disks, so that a lost executor's share is computed again."""
+    sc = df.sparkSession.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    return df.persist() if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
 
 
 def summaries(done: DataFrame, sidecar: DataFrame | None) -> DataFrame:

@@ -33,6 +33,8 @@ ALIGNMENT = (
     "read_id bigint, qname string, flag int, tid int, chrom string, pos bigint, mapq int, cigar string, seq string, qual binary, "
     "nm int, md string, cs string, sa string, hs array<bigint>, input_idx int"
 )
+#: What readers give besides: the mate's contig (null: none) and place, template length, and all other tags as SAM writes them.
+MATE = "mate_chrom string, mate_pos bigint, tlen int, tags string"
 READ = (
     "read_id bigint, qname string, tid int, beg bigint, fin bigint, rev boolean, mapq int, flag int, nm int, input_idx int, seq string, qual binary, hs array<bigint>, "
     f"digars array<{DIGAR}>, noisy array<{INTERVAL}>, events int, palindrome boolean, skipped boolean"

@@ -20,7 +20,7 @@ from ..functions.repeats import Window as Reference
 from ..operators.align import gapped
 from ..operators.digars import cigar_ops
 from ..options import Options
-from ..schemas import ALIGNMENT
+from ..schemas import ALIGNMENT, MATE
 
 PROGRAM = "collect-variation"
 COLUMNS = [c.split()[0] for c in ALIGNMENT.split(", ")]
@@ -43,24 +43,34 @@ def by_coordinate(rows: DataFrame) -> DataFrame:
     return rows.orderBy(F.col("tid") < 0, "tid", "pos", "read_id")
 
 
-def sam_header(contigs: Sequence[tuple[str, int]], command: str = "", sort: str = "coordinate") -> str:
-    lines = [f"@HD\tVN:1.6\tSO:{sort}"] + [f"@SQ\tSN:{n}\tLN:{size}" for n, size in contigs]
-    return "\n".join([*lines, f"@PG\tID:{PROGRAM}\tPN:{PROGRAM}" + (f"\tCL:{command}" if command else "")]) + "\n"
+def sam_header(contigs: Sequence[tuple[str, int]], command: str = "", sort: str = "coordinate", kept: Sequence[str] = ()) -> str:
+    """kept: the input's lines of read groups, programs and comments; this program follows the last of its programs."""
+    lines = [f"@HD\tVN:1.6\tSO:{sort}"] + [f"@SQ\tSN:{n}\tLN:{size}" for n, size in contigs] + list(kept)
+    ids = [f[3:] for line in kept if line.startswith("@PG") for f in line.split("\t") if f.startswith("ID:")]
+    own = PROGRAM if PROGRAM not in ids else f"{PROGRAM}.{len(ids)}"
+    return "\n".join([*lines, f"@PG\tID:{own}\tPN:{PROGRAM}" + (f"\tPP:{ids[-1]}" if ids else "") + (f"\tCL:{command}" if command else "")]) + "\n"
+
+
+def with_mates(rows: DataFrame) -> DataFrame:
+    """rows with the columns of MATE: as they are, or, where an input had none, no mate and no further tags."""
+    kinds = dict(c.rsplit(" ", 1) for c in MATE.split(", "))
+    return rows.withColumns({c: F.lit({"mate_pos": -1, "tlen": 0}.get(c)).cast(t) for c, t in kinds.items() if c not in rows.columns}).fillna({"mate_pos": -1, "tlen": 0})
 
 
 def sam_lines(rows: DataFrame) -> DataFrame:
-    """One text column. Needs the columns of ALIGNMENT and hp, ps."""
-    c = F.col
+    """One text column. Needs the columns of ALIGNMENT and hp, ps; those of MATE are written where there are any."""
+    c, rows = F.col, with_mates(rows)
+    mate = F.when(c("mate_chrom").isNull(), "*").when(c("mate_chrom") == c("chrom"), "=").otherwise(c("mate_chrom"))
     quality = F.when(c("qual").isNull(), "*").otherwise(F.array_join(F.transform(F.filter(F.split(F.regexp_replace(F.hex("qual"), "(..)", "$1,"), ","), lambda x: x != ""), lambda x: F.chr(F.conv(x, 16, 10).cast("int") + 33)), ""))
     tag = lambda name, kind, col: F.when(col.isNotNull(), F.concat(F.lit(f"{name}:{kind}:"), col.cast("string")))
     hs = F.when(F.size("hs") > 0, F.concat(F.lit("hs:B:I,"), F.array_join(F.transform("hs", lambda x: x.cast("string")), ",")))
-    base = [c("qname"), c("flag").cast("string"), F.coalesce("chrom", F.lit("*")), (c("pos") + 1).cast("string"), c("mapq").cast("string"), F.when(c("cigar") == "", "*").otherwise(c("cigar")), F.lit("*"), F.lit("0"), F.lit("0"), F.when(c("seq") == "", "*").otherwise(c("seq")), quality]
-    tags = [tag("NM", "i", c("nm")), tag("MD", "Z", c("md")), tag("cs", "Z", c("cs")), tag("SA", "Z", c("sa")), hs, tag("HP", "i", c("hp")), tag("PS", "i", c("ps"))]
+    base = [c("qname"), c("flag").cast("string"), F.coalesce("chrom", F.lit("*")), (c("pos") + 1).cast("string"), c("mapq").cast("string"), F.when(c("cigar") == "", "*").otherwise(c("cigar")), mate, (c("mate_pos") + 1).cast("string"), c("tlen").cast("string"), F.when(c("seq") == "", "*").otherwise(c("seq")), quality]
+    tags = [F.nullif(c("tags"), F.lit("")), tag("NM", "i", c("nm")), tag("MD", "Z", c("md")), tag("cs", "Z", c("cs")), tag("SA", "Z", c("sa")), hs, tag("HP", "i", c("hp")), tag("PS", "i", c("ps"))]
     return rows.select(F.concat_ws("\t", *base, *tags).alias("value"))
 
 
-def write_sam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]], command: str = "") -> None:
-    rows.sparkSession.createDataFrame([(sam_header(contigs, command).rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/header")
+def write_sam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]], command: str = "", kept: Sequence[str] = ()) -> None:
+    rows.sparkSession.createDataFrame([(sam_header(contigs, command, kept=kept).rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path}/header")
     sam_lines(by_coordinate(rows)).write.text(f"{path}/records")
 
 
@@ -183,8 +193,8 @@ def refined(aln: dict, digars: list[dict], ref: Reference) -> dict:
 # --- BAM ---
 
 
-def bam_bytes(contigs: Sequence[tuple[str, int]], command: str = "") -> bytes:
-    text = sam_header(contigs, command).encode()
+def bam_bytes(contigs: Sequence[tuple[str, int]], command: str = "", kept: Sequence[str] = ()) -> bytes:
+    text = sam_header(contigs, command, kept=kept).encode()
     head = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
     return head + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
 
@@ -198,7 +208,24 @@ def bin_of(beg: int, end: int) -> int:
     return 0
 
 
-def record_bytes(a: dict) -> bytes:
+def tag_bytes(text: str) -> bytes:
+    """A tag as BAM holds it, of a tag as SAM writes it."""
+    name, kind, value = text.split(":", 2)
+    form = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+    out = name.encode() + kind.encode()
+    if kind in "ZH":
+        return out + value.encode() + b"\0"
+    if kind == "A":
+        return out + value.encode()[:1]
+    if kind == "B":
+        of, *values = value.split(",")
+        return out + of.encode() + struct.pack(f"<i{len(values)}{form[of]}", len(values), *(float(v) if of == "f" else int(v) for v in values))
+    if kind == "f":
+        return out + struct.pack("<f", float(value))
+    return name.encode() + (b"i" + struct.pack("<i", int(value)) if -(2**31) <= int(value) < 2**31 else b"I" + struct.pack("<I", int(value)))
+
+
+def record_bytes(a: dict, tids: dict[str, int] | None = None) -> bytes:
     ops = cigar_ops(a["cigar"])
     seq, qual = a["seq"] or "", a["qual"]
     codes = ["=ACMGRSVTWYHKDBN".find(c) if c in "=ACMGRSVTWYHKDBN" else 15 for c in seq.upper()] + [0]
@@ -208,8 +235,10 @@ def record_bytes(a: dict) -> bytes:
     tags += b"".join(name + b"i" + struct.pack("<i", int(v)) for name, v in ((b"NM", a.get("nm")), (b"HP", a.get("hp")), (b"PS", a.get("ps"))) if v is not None)
     if a.get("hs"):
         tags += b"hsBI" + struct.pack(f"<i{len(a['hs'])}I", len(a["hs"]), *a["hs"])
+    tags = b"".join(tag_bytes(t) for t in (a.get("tags") or "").split("\t") if t) + tags
+    mate = (tids or {}).get(a.get("mate_chrom"), -1)
     name = a["qname"].encode() + b"\0"
-    body = struct.pack("<iiBBHHHiiii", a["tid"], a["pos"], len(name), a["mapq"], bin_of(max(0, a["pos"]), max(0, a["pos"]) + span), len(ops), a["flag"], len(seq), -1, -1, 0)
+    body = struct.pack("<iiBBHHHiiii", a["tid"], a["pos"], len(name), a["mapq"], bin_of(max(0, a["pos"]), max(0, a["pos"]) + span), len(ops), a["flag"], len(seq), mate, a.get("mate_pos", -1) if mate >= 0 else -1, a.get("tlen") or 0)
     body += name + b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(op)) for op, n in ops) + packed + (bytes(qual) if qual is not None else b"\xff" * len(seq)) + tags
     return struct.pack("<i", len(body)) + body
 
@@ -235,14 +264,15 @@ class BamWriter(DataSourceWriter):
     def __init__(self, options, columns):
         self.path, self.columns = options["path"], columns
         self.contigs = [(x.rsplit(":", 1)[0], int(x.rsplit(":", 1)[1])) for x in options.get("contigs", "").split(",") if x]
+        self.command, self.kept = options.get("command", ""), [x for x in options.get("kept", "").split("\n") if x]
 
     def write(self, rows):
         os.makedirs(self.path, exist_ok=True)
         name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.bam")
         with open(name + ".tmp", "wb") as f:
-            held = bam_bytes(self.contigs)
+            held, tids = bam_bytes(self.contigs, self.command, self.kept), {n: i for i, (n, _) in enumerate(self.contigs)}
             for r in rows:
-                held += record_bytes(dict(zip(self.columns, r)))
+                held += record_bytes(dict(zip(self.columns, r)), tids)
                 if len(held) >= 1 << 20:
                     f.write(bgzf(held))
                     held = b""
@@ -271,10 +301,11 @@ class BamSink(DataSource):
         return BamWriter(self.options, [f.name for f in schema])
 
 
-def write_bam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]]) -> None:
+def write_bam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]], command: str = "", kept: Sequence[str] = ()) -> None:
     """Sorted part files. CRAM is refused: its codec is not there."""
     if path.endswith(".cram"):
         raise ValueError("CRAM is not supported")
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(BamSink)
-    by_coordinate(rows.select(*COLUMNS, "hp", "ps")).write.format("bam_file").option("contigs", ",".join(f"{n}:{s}" for n, s in contigs)).mode("append").save(path)
+    full = with_mates(rows).select(*COLUMNS, *[c.split()[0] for c in MATE.split(", ")], "hp", "ps")
+    by_coordinate(full).write.format("bam_file").option("contigs", ",".join(f"{n}:{s}" for n, s in contigs)).option("command", command).option("kept", "\n".join(kept)).mode("append").save(path)

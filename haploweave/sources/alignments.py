@@ -1,10 +1,12 @@
 """Alignments from SAM text and from BAM.
 
 SAM goes through the text source: lines are split with SQL functions, so columns
-that are not asked for are not made and filters run before any parsing. BAM is a
-Python data source: the driver plans byte ranges at BGZF block borders, tasks
-inflate and parse theirs. Both give the columns of schemas.ALIGNMENT. CRAM needs a
-codec that is not there and is refused.
+that are not asked for are not made and filters run before any parsing. BAM goes
+through the binaryFile source, or a Python data source for ranges of files on a
+shared folder; a task has one file, which it inflates block by block and parses
+record by record, holding a block and a record. Both give the columns of
+schemas.ALIGNMENT and of schemas.MATE, so that a writer can hand on what it got.
+CRAM needs a codec that is not there and is refused.
 """
 from __future__ import annotations
 
@@ -12,6 +14,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +22,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..schemas import ALIGNMENT
+from ..schemas import ALIGNMENT, MATE
 
+FULL = f"{ALIGNMENT}, {MATE}"
+#: Tags that have columns of their own, or are written anew.
+OWN_TAGS = ("NM", "MD", "cs", "SA", "hs", "HP", "PS")
 SEQ_CODE, CIGAR_CODE = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 
 
@@ -33,45 +39,86 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.row_number().over(Window.orderBy("k")) - 1).cast("int").alias("tid"), field("SN").alias("name"), field("LN").cast("long").alias("len"))
 
 
-def read_sam(spark: SparkSession, path: str, input_idx: int = 0) -> DataFrame:
-    """Alignments of a SAM file. read_id numbers the lines, the same in every run over the same file."""
+def header_lines(spark: SparkSession, path: str) -> list[str]:
+    """Lines of a SAM or BAM header but for the dictionary's and the first: read groups, programs, comments."""
+    if path.endswith(".parquet"):
+        return []
+    if path.endswith((".sam", ".sam.gz")):
+        found = [r["value"] for r in spark.read.text(path).filter(F.col("value").rlike("^@(RG|PG|CO)\t")).collect()]
+    else:
+        found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_header_texts, "value string").first()["value"].split("\n")
+    return [x for x in found if x.startswith(("@RG", "@PG", "@CO"))]
+
+
+def _header_texts(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([next(bam_parts(blocks(raw)))[0] for raw in batch.column(0).to_pylist()], pa.string())], ["value"])
+
+
+def read_sam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 64) -> DataFrame:
+    """Alignments of a SAM file. read_id numbers the lines, the same in every run over the same file, apart from those of
+    ``inputs`` other files."""
     contigs = F.broadcast(sam_contigs(spark, path).select("tid", "name"))
-    rows = spark.read.text(path).filter(~F.col("value").startswith("@")).select((F.monotonically_increasing_id() * 64 + input_idx).alias("read_id"), F.split("value", "\t").alias("f"))
+    rows = spark.read.text(path).filter(~F.col("value").startswith("@")).select((F.monotonically_increasing_id() * max(64, inputs) + input_idx).alias("read_id"), F.split("value", "\t").alias("f"))
     cell = lambda i: F.get("f", F.lit(i))
-    tag = lambda name, kind: F.nullif(F.regexp_extract(F.array_join(F.slice("f", 12, 1000), "\t"), rf"(?:^|\t){name}:{kind}:([^\t]*)", 1), F.lit(""))
+    tag = lambda name, kind: F.nullif(F.regexp_extract(F.array_join(F.slice("f", 12, F.size("f")), "\t"), rf"(?:^|\t){name}:{kind}:([^\t]*)", 1), F.lit(""))
     quality = F.when(cell(10) == "*", F.lit(None)).otherwise(F.unhex(F.array_join(F.transform(F.filter(F.split(cell(10), ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c) - 33), 2, "0")), "")))
     hs = F.transform(F.filter(F.split(F.regexp_replace(F.coalesce(tag("hs", "B"), F.lit("")), "^[a-zA-Z],", ""), ","), lambda x: x != ""), lambda x: x.cast("long"))
     out = rows.select(
         "read_id", cell(0).alias("qname"), cell(1).cast("int").alias("flag"), cell(2).alias("chrom"), (cell(3).cast("long") - 1).alias("pos"), cell(4).cast("int").alias("mapq"), cell(5).alias("cigar"),
         F.when(cell(9) == "*", "").otherwise(cell(9)).alias("seq"), quality.alias("qual"), tag("NM", "[a-zA-Z]").try_cast("int").alias("nm"), tag("MD", "Z").alias("md"), tag("cs", "Z").alias("cs"), tag("SA", "Z").alias("sa"), hs.alias("hs"),
         F.lit(input_idx).alias("input_idx"),
+        F.when(cell(6) == "=", cell(2)).when(cell(6) != "*", cell(6)).alias("mate_chrom"), (cell(7).cast("long") - 1).alias("mate_pos"), cell(8).cast("int").alias("tlen"),
+        F.array_join(F.filter(F.slice("f", 12, F.size("f")), lambda x: ~F.substring(x, 1, 2).isin(*OWN_TAGS)), "\t").alias("tags"),
     )
     joined = out.join(contigs, F.col("chrom") == F.col("name"), "left").withColumn("tid", F.coalesce("tid", F.lit(-1)))
-    return joined.select(*[c.split()[0] for c in ALIGNMENT.split(", ")])
+    return joined.select(*[c.split()[0] for c in FULL.split(", ")])
 
 
 # --- BAM ---
 
 
+def block_size(data: bytes, at: int) -> int:
+    """Size of the BGZF block at an offset."""
+    p, end = at + 12, at + 12 + struct.unpack_from("<H", data, at + 10)[0]
+    while p < end:
+        a, b, n = struct.unpack_from("<BBH", data, p)
+        if (a, b, n) == (66, 67, 2):
+            return struct.unpack_from("<H", data, p + 4)[0] + 1
+        p += 4 + n
+    raise ValueError("not a BGZF file: a block has no size")
+
+
 def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
     """(offset, inflated bytes) of the BGZF blocks of a file."""
     at = 0
     while at + 18 <= len(data):
         if data[at : at + 2] != b"\x1f\x8b":
             raise ValueError("not a BGZF file")
-        extra = struct.unpack_from("<H", data, at + 10)[0]
-        size, p = 0, at + 12
-        while p < at + 12 + extra:
-            a, b, n = struct.unpack_from("<BBH", data, p)
-            if (a, b, n) == (66, 67, 2):
-                size = struct.unpack_from("<H", data, p + 4)[0] + 1
-            p += 4 + n
-        if not size:
-            raise ValueError("not a BGZF file: a block has no size")
+        extra, size = struct.unpack_from("<H", data, at + 10)[0], block_size(data, at)
         yield at, zlib.decompress(data[at + 12 + extra : at + size - 8], -15)
         at += size
 
 
+def blocks_of(f) -> Iterator[tuple[int, bytes]]:
+    """(offset, inflated bytes) of the BGZF blocks of an open file, one after another."""
+    at = 0
+    while head := f.read(18):
+        if len(head) < 18 or head[:2] != b"\x1f\x8b":
+            raise ValueError("not a BGZF file")
+        head += f.read(max(0, 12 + struct.unpack_from("<H", head, 10)[0] - 18))
+        size = block_size(head, 0)
+        yield at, next(blocks(head + f.read(size - len(head))))[1]
+        at += size
+
+
+def reference_end(raw: bytes) -> int:
+    """Where a record's alignment ends on the reference (0-based, not included); a read without bases there takes one."""
+    pos, name_len, n_cigar = struct.unpack_from("<i", raw, 4)[0], raw[8], struct.unpack_from("<H", raw, 12)[0]
+    ops = struct.unpack_from(f"<{n_cigar}I", raw, 32 + name_len)
+    return pos + (sum(c >> 4 for c in ops if CIGAR_CODE[c & 15] in "MDN=X") or 1)
+
+
 def bam_header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
     """Header text, contigs, and where records begin, of inflated BAM."""
     if data[:4] != b"BAM\x01":
@@ -110,9 +157,58 @@ def tags(raw: bytes) -> dict:
     return out
 
 
+def bam_parts(inflated: Iterator[tuple[int, bytes]]) -> Iterator:
+    """(header text, contigs), then the records (without their sizes) of inflated blocks."""
+    held = bytearray()
+    for _, block in inflated:
+        held += block
+        try:
+            text, contigs, at = bam_header(bytes(held))
+            break
+        except (struct.error, IndexError):
+            continue  # the header goes on in the next block
+    else:
+        text, contigs, at = bam_header(bytes(held))
+    yield text, contigs
+    while True:
+        while at + 4 <= len(held) and at + 4 + (size := struct.unpack_from("<i", held, at)[0]) <= len(held):
+            yield bytes(held[at + 4 : at + 4 + size])
+            at += 4 + size
+        del held[:at]
+        at = 0
+        _, block = next(inflated, (0, None))
+        if block is None:
+            return
+        held += block
+
+
+def tag_texts(raw: bytes) -> str:
+    """Auxiliary fields as SAM writes them, but for those with columns of their own."""
+    out, at = [], 0
+    forms = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+    shown = lambda v: str(np.float32(v)) if isinstance(v, float) else str(v)
+    while at + 3 <= len(raw):
+        name, kind = raw[at : at + 2].decode(), chr(raw[at + 2])
+        at += 3
+        if kind in "ZH":
+            end = raw.index(0, at)
+            text, at = f"{kind}:{raw[at:end].decode()}", end + 1
+        elif kind == "B":
+            form, n = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)[0]
+            values = struct.unpack_from(f"<{n}{forms[form]}", raw, at + 5)
+            text, at = ",".join([f"B:{form}", *map(shown, values)]), at + 5 + n * struct.calcsize(forms[form])
+        elif kind == "A":
+            text, at = f"A:{chr(raw[at])}", at + 1
+        else:
+            text, at = f"{'f' if kind == 'f' else 'i'}:{shown(struct.unpack_from('<' + forms[kind], raw, at)[0])}", at + struct.calcsize(forms[kind])
+        if name not in OWN_TAGS:
+            out.append(f"{name}:{text}")
+    return "\t".join(out)
+
+
 def bam_record(raw: bytes, contigs: list[tuple[str, int]], read_id: int, input_idx: int) -> tuple:
-    """Columns of schemas.ALIGNMENT of a record (without its size)."""
-    tid, pos, name_len, mapq, _, n_cigar, flag, n_seq, _, _, _ = struct.unpack_from("<iiBBHHHiiii", raw)
+    """Columns of schemas.ALIGNMENT and MATE of a record (without its size)."""
+    tid, pos, name_len, mapq, _, n_cigar, flag, n_seq, mate_tid, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
     at = 32
     qname = raw[at : at + name_len - 1].decode()
     at += name_len
@@ -128,6 +224,7 @@ def bam_record(raw: bytes, contigs: list[tuple[str, int]], read_id: int, input_i
     return (
         read_id, qname, flag, tid, contigs[tid][0] if tid >= 0 else None, pos, mapq, "".join(f"{c >> 4}{CIGAR_CODE[c & 15]}" for c in ops), seq, None if qual[:1] == b"\xff" else qual,
         t.get("NM"), t.get("MD"), t.get("cs"), t.get("SA"), hs if isinstance(hs, list) else [], input_idx,
+        contigs[mate_tid][0] if mate_tid >= 0 else None, mate_pos, tlen, tag_texts(raw[at:]),
     )
 
 
@@ -137,7 +234,8 @@ class BamPartition(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    """One partition a file. Options: path, paths (comma-separated), and tid, beg, fin for a range."""
+    """One partition a file. Options: path, paths (comma-separated) on a folder that all tasks reach, and tid, beg, fin for
+    reads that overlap a range (0-based, fin not included; 0: to the end)."""
 
     def __init__(self, options):
         self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
@@ -154,16 +252,13 @@ class BamReader(DataSourceReader):
     def read(self, partition):
         path, number, want, beg, fin = partition.value
         with open(path, "rb") as f:
-            data = b"".join(x for _, x in blocks(f.read()))
-        _, contigs, at = bam_header(data)
-        n = 0
-        while at + 4 <= len(data):
-            size = struct.unpack_from("<i", data, at)[0]
-            row = bam_record(data[at + 4 : at + 4 + size], contigs, n * 64 + number, number)
-            at += 4 + size
-            n += 1
-            if want < 0 or (row[3] == want and row[5] < fin):
-                yield row
+            parts = bam_parts(blocks_of(f))
+            _, contigs = next(parts)
+            for n, raw in enumerate(parts):
+                tid, pos = struct.unpack_from("<ii", raw)
+                if want >= 0 and (tid != want or (fin and pos >= fin) or reference_end(raw) <= beg):
+                    continue
+                yield bam_record(raw, contigs, n * max(64, len(self.paths)) + number, number)
 
 
 class BamSource(DataSource):
@@ -174,7 +269,7 @@ class BamSource(DataSource):
         return "bam"
 
     def schema(self) -> str:
-        return ALIGNMENT
+        return FULL
 
     def reader(self, schema):
         return BamReader(self.options)
@@ -184,30 +279,27 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
 
 
-def read_bam(spark: SparkSession, path: str, input_idx: int = 0) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 64) -> DataFrame:
     """Alignments of BAM files on any file system that Spark reads: a file goes to a task whole, through the binaryFile source.
 
     Convert large files to Parquet once; a scan of that prunes by contig and position."""
     if path.endswith(".cram"):
         raise ValueError(f"CRAM is not supported: {path}")
-    schema = to_arrow_schema(StructType.fromDDL(ALIGNMENT))
+    schema = to_arrow_schema(StructType.fromDDL(FULL))
 
     def run(batches):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                data = b"".join(x for _, x in blocks(raw))
-                _, contigs, at = bam_header(data)
-                rows, n = [], 0
-                while at + 4 <= len(data):
-                    size = struct.unpack_from("<i", data, at)[0]
-                    rows.append(dict(zip(schema.names, bam_record(data[at + 4 : at + 4 + size], contigs, n * 64 + input_idx, input_idx))))
-                    at, n = at + 4 + size, n + 1
+                parts, rows = bam_parts(blocks(raw)), []
+                _, contigs = next(parts)
+                for n, record in enumerate(parts):
+                    rows.append(dict(zip(schema.names, bam_record(record, contigs, n * max(64, inputs) + input_idx, input_idx))))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ALIGNMENT)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FULL)
 
 
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
@@ -215,7 +307,7 @@ def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                _, contigs, _ = bam_header(b"".join(x for _, x in blocks(raw)))
+                _, contigs = next(bam_parts(blocks(raw)))
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(contigs)), pa.int32()), pa.array([c[0] for c in contigs], pa.string()), pa.array([c[1] for c in contigs], pa.int64())], ["tid", "name", "len"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "tid int, name string, len long")
@@ -225,5 +317,5 @@ def read_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
     """All inputs of a sample, one after another, told apart by input_idx."""
     from functools import reduce
 
-    read = lambda i, p: read_sam(spark, p, i) if p.endswith((".sam", ".sam.gz")) else spark.read.parquet(p) if p.endswith(".parquet") else read_bam(spark, p, i)
-    return reduce(DataFrame.unionByName, [read(i, p) for i, p in enumerate(paths)])
+    read = lambda i, p: read_sam(spark, p, i, len(paths)) if p.endswith((".sam", ".sam.gz")) else spark.read.parquet(p) if p.endswith(".parquet") else read_bam(spark, p, i, len(paths))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [read(i, p) for i, p in enumerate(paths)])

@@ -64,12 +64,11 @@ def fasta_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def autosomes(contigs: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """Whole autosomes as regions: chr1 to chr22, or else 1 to 22, where both dictionaries have them."""
+    """Whole autosomes as regions, each under the name that both dictionaries have for it: chr1 to chr22, or else 1 to 22."""
     both = contigs.join(others.select("name"), "name", "left_semi") if others is not None else contigs
-    named = both.select("name", "len", F.regexp_extract("name", r"^(chr)?([1-9]|1\d|2[0-2])$", 0).alias("hit")).filter("hit <> ''")
-    prefixed = named.withColumn("p", F.col("name").startswith("chr"))
-    any_p = prefixed.agg(F.max("p")).first()[0]
-    return prefixed.filter(F.col("p") == F.lit(bool(any_p))).select(F.col("name").alias("chrom"), F.lit(1).cast("long").alias("beg"), F.col("len").alias("fin"))
+    named = both.select("name", "len", F.regexp_extract("name", r"^(?:chr)?([1-9]|1\d|2[0-2])$", 1).alias("number")).filter("number <> ''")
+    one = named.groupBy("number").agg(F.min_by(F.struct("name", "len"), F.when(F.col("name").startswith("chr"), 0).otherwise(1)).alias("c"))
+    return one.select(F.col("c.name").alias("chrom"), F.lit(1).cast("long").alias("beg"), F.col("c.len").alias("fin"))
 
 
 def resolve(regions: DataFrame, contigs: DataFrame) -> DataFrame:
