@@ -11,7 +11,7 @@ from ..functions.fisher import strand_pvalue, strand_pvalue_column
 from ..functions.repeats import Window, is_repeat_indel
 from ..options import Options
 from ..schemas import DROPPED_CATEGORIES
-from .ranges import cluster, containment_semi_join, overlap_join
+from .ranges import cluster, containment_semi_join, overlap_counts, overlap_join
 
 
 def initial_category(sites: DataFrame, options: Options, repeat: str | None = None, name: str = "category") -> DataFrame:
@@ -49,8 +49,6 @@ def with_span(sites: DataFrame, beg: str = "beg", fin: str = "fin") -> DataFrame
 
 def density(sites: DataFrame, key: Sequence[str], on: Sequence[str] = ("tid",)) -> DataFrame:
     """key columns and n_ov, how many sites (itself too) a site's span overlaps."""
-    from .ranges import overlap_counts
-
     return overlap_counts(sites, sites, key, on)
 
 
@@ -75,8 +73,7 @@ def prune(sites: DataFrame, name: str = "category") -> DataFrame:
 
 def noisy_support(noisy: DataFrame, reads: DataFrame, read_noisy: DataFrame, options: Options, key: Sequence[str], on: Sequence[str] = ("tid",)) -> DataFrame:
     """Noisy intervals with n_total (reads over them), n_noisy (those that are noisy there) and kept."""
-    over = overlap_join(noisy.select(*key, *[c for c in (*on, "beg", "fin") if c not in key]), reads.select(*on, "read_id", "beg", "fin"), on)
-    total = over.groupBy(*key).agg(F.count("*").alias("n_total"))
+    total = overlap_counts(noisy, reads, key, on, name="n_total").distinct()
     own = overlap_join(noisy.select(*key, *[c for c in (*on, "beg", "fin") if c not in key]), read_noisy.select(*on, "read_id", "beg", "fin"), on)
     bad = own.select(*key, "r_read_id").distinct().groupBy(*key).agg(F.count("*").alias("n_noisy"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import mean_quality
 from ..options import Options
 from ..schemas import CATEGORY_BIT, CLEAN
+from .ranges import STRETCH, numbered
 from .sites import first_site, site_key, site_of
 
 HET_SNP, HET_INDEL, HOM = (CATEGORY_BIT[c] for c in ("CLEAN_HET_SNP", "CLEAN_HET_INDEL", "CLEAN_HOM"))
@@ -334,7 +335,7 @@ def neighbour_links(observations: DataFrame, consensus: DataFrame, order: list[s
     A read's neighbours come from one window over its own sites."""
     obs = observations.join(consensus, site)
     sites = obs.select(on, site, *[c for c in order if c not in (on, site)]).distinct()
-    ranked = sites.withColumn("k", F.row_number().over(Window.partitionBy(on).orderBy(*order)))
+    ranked = numbered(sites, [on], order, "k")
     obs = obs.join(ranked.select(site, "k"), site)
     own = lambda h, a, b: F.when(F.col(h) == 1, F.col(a)).otherwise(F.col(b))
     obs = obs.withColumn("mine", own("hap", "cons1", "cons2")).withColumn("other", own("hap", "cons2", "cons1"))
@@ -344,9 +345,16 @@ def neighbour_links(observations: DataFrame, consensus: DataFrame, order: list[s
 
 
 def carry_anchors(sites: DataFrame, on: str, order: list[str], anchor, starts, name: str = "phase_set") -> DataFrame:
-    """Anchor of the last site that starts a phase set, carried along the order."""
-    w = Window.partitionBy(on).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return sites.withColumn(name, F.last(F.when(starts, anchor), ignorenulls=True).over(w))
+    """Anchor of the last site that starts a phase set, carried along the order, which begins with the place on the contig.
+
+    In two levels, within stretches of a contig and from stretch to stretch, so that no task holds a contig."""
+    rows = sites.withColumn("__stretch", F.floor(F.col(order[0]) / STRETCH)).withColumn("__start", F.when(starts, anchor))
+    ends = rows.groupBy(F.col(on).alias("__of"), F.col("__stretch").alias("__at")).agg(F.max_by("__start", F.when(F.col("__start").isNotNull(), F.struct(*order))).alias("__last"))
+    carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy("__of").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)))
+    within = Window.partitionBy(on, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("__here", F.last("__start", ignorenulls=True).over(within))
+    joined = here.join(carried.select("__of", "__at", "__carried"), F.col(on).eqNullSafe(F.col("__of")) & F.col("__stretch").eqNullSafe(F.col("__at")))
+    return joined.select(*sites.columns, F.coalesce("__here", "__carried").alias(name))
 
 
 def read_phase_sets(observations: DataFrame, order: list[str]) -> DataFrame:

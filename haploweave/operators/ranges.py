@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 12
+#: Bases of a contig that one task sums over.
+STRETCH = 1 << 18
 
 
 def _bins(df: DataFrame, beg: str, fin: str, size: int, name: str) -> DataFrame:
@@ -77,12 +79,60 @@ def extend_over(intervals: DataFrame, masks: DataFrame, on: Sequence[str] = ("ti
     return joined.select(*out, F.least(F.col(span[0]), F.coalesce("__beg", F.col(span[0]))).alias(span[0]), F.greatest(F.col(span[1]), F.coalesce("__fin", F.col(span[1]))).alias(span[1])).select(*intervals.columns)
 
 
-def overlap_counts(intervals: DataFrame, others: DataFrame, key: Sequence[str], on: Sequence[str] = ("tid",), span: tuple[str, str] = ("beg", "fin"), other_span: tuple[str, str] = ("beg", "fin"), name: str = "n_ov", bin_size: int = BIN) -> DataFrame:
-    """key columns and how many of others each interval overlaps; 0 for none."""
+def overlap_counts(intervals: DataFrame, others: DataFrame, key: Sequence[str], on: Sequence[str] = ("tid",), span: tuple[str, str] = ("beg", "fin"), other_span: tuple[str, str] = ("beg", "fin"), name: str = "n_ov", stretch: int = STRETCH) -> DataFrame:
+    """key columns and how many of others each interval overlaps; 0 for none.
+
+    Counted, not paired: those that begin up to its end, less those that end before its beginning. Both are running
+    counts along a contig, so work grows with the intervals, however densely they lie."""
     left = intervals.select(*dict.fromkeys([*key, *on, *span]))
-    pairs = overlap_join(left, others.select(*on, *other_span), on, span, other_span, "o_", bin_size=bin_size)
-    counted = pairs.groupBy(*key).agg(F.count("*").alias(name))
-    return left.select(*key).join(counted, list(key), "left").select(*key, F.coalesce(name, F.lit(0)).cast("long").alias(name))
+    asked = left.filter(F.col(span[0]) <= F.col(span[1])).select(*key, *[c for c in (*on, *span) if c not in key])
+    given = others.filter(F.col(other_span[0]) <= F.col(other_span[1]))
+    for c in on:  # as in a join, an unknown contig is none
+        asked, given = asked.filter(F.col(c).isNotNull()), given.filter(F.col(c).isNotNull())
+    none = [F.lit(None).cast(dict(asked.dtypes)[c]).alias(f"__k_{c}") for c in key]
+    own = [F.col(c).alias(f"__k_{c}") for c in key]
+
+    def points(df, at, turn, begun, ended, keys, sign):
+        """Points of a contig; at one place those that ask for ends, then begins, ends, and those that ask for begins."""
+        return df.select(*[F.col(c).alias(f"__on_{i}") for i, c in enumerate(on)], F.col(at).cast("long").alias("__at"), F.lit(turn).alias("__turn"), F.lit(begun).alias("__begun"), F.lit(ended).alias("__ended"), F.lit(sign).alias("__sign"), *keys)
+
+    rows = points(given, other_span[0], 1, 1, 0, none, 0).unionByName(points(given, other_span[1], 2, 0, 1, none, 0))
+    rows = rows.unionByName(points(asked, span[1], 3, 0, 0, own, 1)).unionByName(points(asked, span[0], 0, 0, 0, own, -1))
+    places = [f"__on_{i}" for i in range(len(on))]
+    summed = running_sums(rows, places, ["__at", "__turn"], {"__begun": "__b", "__ended": "__e"}, stretch)
+    told = summed.filter("__sign <> 0").groupBy(*[F.col(f"__k_{c}") for c in key]).agg(F.sum(F.when(F.col("__sign") == 1, F.col("__b")).otherwise(-F.col("__e"))).alias("__n"))
+    match = None
+    for c in key:
+        x = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+        match = x if match is None else match & x
+    return left.join(told, match, "left").select(*key, F.coalesce("__n", F.lit(0)).cast("long").alias(name))
+
+
+def running_sums(rows: DataFrame, on: Sequence[str], order: Sequence, sums: dict[str, str], stretch: int = STRETCH) -> DataFrame:
+    """rows with sums of columns over all rows of a group up to and with the own; order begins with a place along the group.
+
+    In two levels, within stretches of the group and over the stretches' totals, so that no task holds a group."""
+    cut = rows.withColumn("__stretch", F.floor(order_column(order[0]) / stretch))
+    within = Window.partitionBy(*on, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*[f"__of_{c}" for c in on]).orderBy("__of_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*[F.col(c).alias(f"__of_{c}") for c in on], F.col("__stretch").alias("__of_stretch")).agg(*[F.sum(c).alias(f"__sum_{i}") for i, c in enumerate(sums)])
+    # A row a stretch.
+    offsets = totals.select(*[f"__of_{c}" for c in on], "__of_stretch", *[F.coalesce(F.sum(f"__sum_{i}").over(before), F.lit(0)).alias(f"__off_{i}") for i in range(len(sums))])
+    match = F.col("__stretch").eqNullSafe(F.col("__of_stretch"))
+    for c in on:
+        match &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    summed = cut.withColumns({f"__in_{i}": F.sum(c).over(within) for i, c in enumerate(sums)}).join(offsets, match)
+    return summed.select(*rows.columns, *[(F.col(f"__in_{i}") + F.col(f"__off_{i}")).alias(name) for i, name in enumerate(sums.values())])
+
+
+def order_column(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def numbered(rows: DataFrame, on: Sequence[str], order: Sequence, name: str, stretch: int = STRETCH) -> DataFrame:
+    """rows numbered from 1 within their group; order is total and begins with a place along the group."""
+    one = running_sums(rows.withColumn("__one", F.lit(1)), on, order, {"__one": name}, stretch)
+    return one.drop("__one").withColumn(name, F.col(name).cast("int"))
 
 
 def cluster(intervals: list[tuple[int, int, int]], window: int | None = None) -> list[tuple[int, int, int]]:
@@ -98,6 +148,8 @@ def cluster(intervals: list[tuple[int, int, int]], window: int | None = None) ->
             if used[i]:
                 continue
             for j in range(i + 1, len(now)):
+                if now[j][0] > end + (label if window is None else window):
+                    break  # starts rise, and no label reaches further than the own
                 if not used[j] and end + (min(label, now[j][2]) if window is None else window) >= now[j][0]:
                     used[j] = True
                     beg, end, label = min(beg, now[j][0]), max(end, now[j][1]), max(label, now[j][2])

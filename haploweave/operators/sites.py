@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import allele_fraction, base_code, base_codes, mean_quality, sort_pos, type_code
 from ..options import Options
 from ..schemas import TYPE_CODE
+from .ranges import numbered
 
 #: Order codes of clips and equal runs among event types, as in alignment operation numbers.
 EVENT_CODE = TYPE_CODE | {"SOFT": 4, "HARD": 5, "EQ": 7}
@@ -136,7 +137,7 @@ def count_alleles(observations: DataFrame, key: list[str], alt="alt_seen", low="
 def order_candidates(sites: DataFrame, name: str = "ord") -> DataFrame:
     """Numbers sites within their contig in the total order, ties by site_id where there is one."""
     ties = [F.col("site_id")] if "site_id" in sites.columns else []
-    return sites.withColumn(name, F.row_number().over(Window.partitionBy("tid").orderBy(*site_order()[1:], *ties)))
+    return numbered(sites, ["tid"], [*site_order()[1:], *ties], name)
 
 
 def distinct_sites(sites: DataFrame, key: list[str], chunk: str = "chunk_id", ord_col: str = "ord", passes: str = "region_pass") -> DataFrame:
