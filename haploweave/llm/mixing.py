@@ -89,6 +89,21 @@ class Schedule:
         return out
 
 
+def inverse_sql(schedule: Schedule, part: str) -> str:
+    """``Schedule.inverse`` in SQL, operation for operation."""
+    n, done, whole, out = len(schedule.knots) - 1, 0.0, schedule.integral(), "1e0"
+    pieces = []
+    for i, (a, b) in enumerate(zip(schedule.knots, schedule.knots[1:])):
+        rest = f"((({part}) * {whole!r}e0 - {done!r}e0) * {n})"
+        root = f"sqrt(greatest({a * a!r}e0 + {2 * (b - a)!r}e0 * {rest}, 0e0))"
+        x = f"coalesce(2 * {rest} / nullif({a!r}e0 + {root}, 0), 0e0)"
+        done += (a + b) / 2 / n
+        pieces.append((done, f"({i} + least(greatest({x}, 0e0), 1e0)) / {n}"))
+    for end, t in reversed(pieces):
+        out = f"CASE WHEN ({part}) * {whole!r}e0 <= {end!r}e0 THEN {t} ELSE {out} END"
+    return out
+
+
 #: Early sources fade, late sources rise, others hold: the curriculum that weights repeat over.
 CURRICULUM = (Schedule((2.0, 1.0, 0.0)), Schedule((1.0, 1.0)), Schedule((0.0, 1.0, 2.0)))
 
@@ -98,9 +113,9 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", we
     source before it), full (whole readings), part (words of the cut one), demand, schedule, key (hash of the row)."""
     ranges = partitions(docs.sparkSession)
     kept = list(docs.columns if keep is None else keep)
-    hashed = [F.col(f"`{c}`") for c, t in docs.dtypes if c in (text_col, source_col) or t in ("bigint", "int", "string")]
+    hashed = [F.col(f"`{c}`").cast("string") for c, t in docs.dtypes if c in (text_col, source_col) or t in ("bigint", "int", "string")]
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source_col}`").alias("source"), F.xxhash64(*hashed).alias("key"),
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{source_col}`").alias("source"), _number(F.md5(F.concat_ws("\x1f", *hashed))).alias("key"),
         F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
     )
     per_source = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -113,8 +128,8 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", we
     target = share_out(sizes, share, sum(sizes.values()), most_repeats)
     facts = [(s, sizes[s], target[s], round(target[s]), i % len(schedules)) for s, i in order]
     table = docs.sparkSession.createDataFrame(facts, "of string, source_size long, target double, demand long, schedule int")
-    # Ranges of the hash, in its order: the upper 32 bits, as a number from 0 on, scaled.
-    rows = rows.withColumn("range", F.shiftright((F.shiftright("key", 32) + (1 << 31)) * ranges, 32).cast("int"))
+    # Ranges of the hash, in its order: its upper 32 of 60 bits, scaled.
+    rows = rows.withColumn("range", F.shiftright(F.shiftright("key", 28) * ranges, 32).cast("int"))
     per_range = rows.groupBy("source", "range").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # A row a source and range: as many as sources times shuffle partitions.
@@ -133,6 +148,11 @@ def plan(docs: DataFrame, text_col: str = "text", source_col: str = "source", we
     return placed.select("row", "source", "size", "source_size", "target", start.alias("start"), full.alias("full"), part.alias("part"), "demand", "schedule", "key")
 
 
+def _number(digest):
+    """The first 60 bits of a digest in hexadecimal digits."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def timed(planned: DataFrame, schedules: Sequence[Schedule] = CURRICULUM) -> DataFrame:
     """Planned columns and readings: epoch, words and position of each reading of the document, in order."""
     none = F.array().cast("array<bigint>")

@@ -11,7 +11,7 @@ from . import bpe
 from .common import read
 from .exact_dedup import report
 from .lm import score
-from .mixing import ordered
+from .mixing import CURRICULUM, inverse_sql, ordered
 from .resampling import resample
 from .sharding import shard
 from .simhash import near_duplicates
@@ -31,9 +31,10 @@ def op2_toxicity_chain(spark, sf_dir):
 
 
 def op3_curriculum_mixing(spark, sf_dir):
-    """Words taken of each document and the training times of its readings, in the order of the first."""
+    """Words taken of each document, how often it is read, and the training times of its first and last reading, in the order
+    of the first."""
     planned = ordered(read(spark, sf_dir, "documents"), keep=["doc_id"])
-    return planned.select("row.doc_id", "size", "source_size", "target", "taken", "positions")
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("n_readings"), F.get("positions", F.lit(0)).alias("first_position"), F.get("positions", F.size("positions") - 1).alias("last_position"))
 
 
 def op4_backoff_lm_scoring(spark, sf_dir):
@@ -100,7 +101,41 @@ QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_toxicity_chain, op3
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _position(part: str) -> str:
+    return "CASE i % 3 " + " ".join(f"WHEN {i} THEN {inverse_sql(s, part)}" for i, s in enumerate(CURRICULUM)) + " END"
+
+
 ORACLE_SQL = {
+    "op3_curriculum_mixing": f"""
+        WITH d AS (
+          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORDS}')), 0) AS size,
+                 CAST('0x' || substr(md5(concat_ws(chr(31), doc_id, text, lang, source, n_chars)), 1, 15) AS BIGINT) AS key FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
+        w AS (SELECT *, CAST(1 + i % 3 AS DOUBLE) AS w, 3e0 * n / (1 + i % 3) AS ratio FROM s),
+        f AS (
+          SELECT *, sum(3e0 * n) OVER o AS capped, sum(w) OVER () - sum(w) OVER o AS left_w, row_number() OVER o AS k, lead(ratio) OVER o AS next_ratio, sum(n) OVER () AS total, sum(w) OVER () AS all_w, min(ratio) OVER () AS least
+          FROM w WINDOW o AS (ORDER BY ratio, i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+        -- The number of sources that stop at three times their size, and what a weight of one gets of the rest.
+        c AS (
+          SELECT k, (total - capped) / left_w AS per, next_ratio AS beyond FROM f WHERE left_w > 0
+          UNION ALL SELECT 0, CAST(total AS DOUBLE) / all_w, least FROM f WHERE k = 1
+          UNION ALL SELECT k, 0e0, NULL FROM f WHERE left_w <= 0),
+        b AS (SELECT k, per FROM c WHERE beyond IS NULL OR beyond > per ORDER BY k LIMIT 1),
+        t AS (SELECT source, n, i, CASE WHEN f.k <= b.k THEN 3e0 * n ELSE b.per * w END AS target FROM f, b),
+        p AS (
+          SELECT d.doc_id, d.size, t.n, t.i, t.target, CAST(round_even(t.target, 0) AS BIGINT) AS demand,
+                 coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        q AS (SELECT *, CASE WHEN n > 0 THEN demand // n ELSE 0 END AS whole FROM p),
+        r AS (SELECT *, greatest(least(demand - whole * n - start, size), 0) AS part FROM q),
+        e AS (SELECT *, CAST(whole + CAST(part > 0 AS INT) AS INT) AS n_readings FROM r)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(whole * size + part AS BIGINT) AS taken, n_readings,
+               CASE WHEN n_readings > 0 THEN {_position("CAST(start AS DOUBLE) / demand")} END AS first_position,
+               CASE WHEN n_readings > 0 THEN {_position("CAST((n_readings - 1) * n + start AS DOUBLE) / demand")} END AS last_position
+        FROM e""",
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -1,6 +1,7 @@
 """Training positions of the mix: against numeric integration, and kept in order by the query and the pipeline."""
 import os
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 
@@ -22,12 +23,16 @@ def part_done(knots, t, steps=2000):
 
 def test_query_returns_training_positions(spark):
     found = queries.op3_curriculum_mixing(spark, SF)
-    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "positions"]
-    rows = found.collect()
+    assert found.columns == ["doc_id", "size", "source_size", "target", "taken", "n_readings", "first_position", "last_position"]
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    assert sorted(r.doc_id for r in rows) == sorted(docs)
-    first = [r.positions[0] if r.positions else 2.0 for r in rows]
+    told = found.collect()
+    assert sorted(r.doc_id for r in told) == sorted(docs)
+    first = [2.0 if r.first_position is None else r.first_position for r in told]
     assert first == sorted(first) and min(first) == 0.0
+    rows = [r.asDict() | {"doc_id": r.row.doc_id} for r in mixing.ordered(spark.read.parquet(f"{SF}/documents.parquet")).collect()]
+    rows = [SimpleNamespace(**r) for r in rows]
+    places = {r.doc_id: r.positions for r in rows}
+    assert all((r.n_readings, r.first_position, r.last_position) == (len(p := places[r.doc_id]), *((p[0], p[-1]) if p else (None, None))) for r in told)
     knots = dict(zip(sorted({d.source for d in docs.values()}), [s.knots for s in mixing.CURRICULUM] * len(docs)))
     by_source = defaultdict(list)
     for r in rows:

@@ -210,8 +210,6 @@ def brute_mix(keyed, weights=(1.0, 2.0, 3.0), most=3.0):
 
 
 def test_mixing(spark, docs):
-    from pyspark.sql import functions as F
-
     rows = sample_rows()
     size = lambda t: len((t or "").encode().split())
     total = Counter()
@@ -220,7 +218,8 @@ def test_mixing(spark, docs):
     planned = mixing.ordered(docs).collect()
     assert len(planned) == len(rows)
     hashed = [c for c, t in docs.dtypes if t in ("bigint", "int", "string")]
-    keyed = [(r["source"], size(r["text"]), r["k"]) for r in docs.withColumn("k", F.xxhash64(*hashed)).collect()]
+    digest = lambda r: int(hashlib.md5("\x1f".join(str(r[c]) for c in hashed if r[c] is not None).encode()).hexdigest()[:15], 16)
+    keyed = [(r["source"], size(r["text"]), digest(r)) for r in docs.collect()]
     want = sorted(brute_mix(keyed), key=lambda w: (str(w[0]), w[1], w[3], w[4]))
     got = sorted(((r.source, r["size"], r.target, r.taken, r.positions) for r in planned), key=lambda w: (str(w[0]), w[1], w[3], w[4]))
     for g, w in zip(got, want):
