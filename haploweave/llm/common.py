@@ -47,10 +47,13 @@ def even_labels(spark: SparkSession, n: int, most: int = 4096) -> list[int]:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session shares between driver and executors, spark.checkpoint.dir.
 
-    Only where that is unset (single-machine tests) a temporary folder is used."""
+    Where that is unset a temporary folder is used if driver and executors are one process (tests); a cluster without it is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -3,6 +3,9 @@
 Each round is made of aggregations and joins on node ids, so a hub with many
 neighbours is pre-aggregated before its shuffle and its join can be split. Links
 and labels stay distributed; the driver sees one count and one checksum a round.
+
+Defined results: edges may repeat, point either way and to themselves; an edge with
+a null end is none; no edges give no rows.
 """
 from __future__ import annotations
 

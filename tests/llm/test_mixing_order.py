@@ -71,8 +71,8 @@ def test_places_follow_the_files(spark, tmp_path):
     import corpus_pipeline
 
     # Later files are larger, so that a scan takes them first.
-    rows = spark.createDataFrame([(i, "é" * (i % 7) + str(i) * i) for i in range(400)], "n long, text string").repartitionByRange(6, "n").sortWithinPartitions("n")
+    rows = spark.createDataFrame([(i, "é" * (i % 7) + str(i) * i, "s") for i in range(400)], "doc_id long, text string, source string").repartitionByRange(6, "doc_id").sortWithinPartitions("doc_id")
     rows.write.option("maxRecordsPerFile", 30).parquet(str(tmp_path / "w"))
     found = corpus_pipeline.numbered(spark.read.parquet(str(tmp_path / "w")))
-    assert found.columns == ["n", "text", "__place"]
-    assert all(r["n"] == r["__place"] for r in found.collect()) and found.count() == 400
+    assert found.columns == ["doc_id", "source", "text", "place"]
+    assert all(r["doc_id"] == r["place"] for r in found.collect()) and found.count() == 400

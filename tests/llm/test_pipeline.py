@@ -74,3 +74,48 @@ def test_stages(spark, tmp_path):
     assert all(hashlib.sha256(array("I", x).tobytes()).hexdigest() == h for x, h in zip(encoded.ids, encoded.ids_sha256))
     whole = corpus_pipeline.run(spark, SF).toPandas()
     assert Counter(zip(whole.doc_id, whole.ids_sha256)) == Counter(zip(encoded.doc_id, encoded.ids_sha256))
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty, blank and very long texts, rows that repeat, an id with two texts, columns with other
+    meanings of names that the stages use; and no rows at all."""
+    labels = [(i, i % 2, int(i % 7 == 0)) for i in range(40)] + [(None, 1, 1), (3, None, 1), (4, 1, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    rows = [(i, f"text number {i} of {i * i} words and {'idiot' if i % 7 == 0 else 'more'}", "ab"[i % 2], 30) for i in range(40)]
+    rows += [(None, None, None, None), (None, "", "a", 0), (None, "no id here", None, None), (50, None, "b", None), (51, "  \t ", "b", 4), (52, long, "a", len(long)), (53, long.upper(), "a", len(long))]
+    rows += [(54, "row that repeats", "b", 16)] * 5 + [(55, "one id", "a", 6), (55, "two texts", "a", 9), (56, "x", "\u00e9\ud7ff", 1)]
+    names = ["row", "scores", "key", "sha", "file", "place", "position", "maybe", "__scores", "id"]
+    docs = spark.createDataFrame([(*r, *[f"{n}-{k}" if k % 5 else None for n in names]) for k, r in enumerate(rows)], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    whole = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0 if k < 4 else True
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        if k == 0:  # what stays is as it was
+            assert not Counter(map(str, docs.collect())) - Counter(map(str, whole.collect()))
+            assert docs.filter("text IS NULL").count() == 2
+        if k == 1:
+            texts = [(r.text or "").lower() for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and long in texts
+            assert docs.filter("doc_id = 53").count() == 1 and docs.filter("doc_id = 52").count() == 0 and docs.filter("doc_id = 50").count() + docs.filter("doc_id IS NULL AND text = ''").count() == 1
+        if k < 4:
+            assert docs.columns == whole.columns
+            kept = {(r.doc_id, tuple(r[n] for n in names)) for r in docs.collect()}
+            assert kept <= {(r.doc_id, tuple(r[n] for n in names)) for r in whole.collect()}
+    assert docs.columns == ["doc_id", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256", "bytes_sha256", "position"]
+    assert docs.filter("n_tokens > 50000").count() >= 1
+    empty = whole.limit(0)
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from haploweave.llm import common
+
+    empty = SimpleNamespace(isEmpty=lambda: True)
+    sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty, isLocal=lambda: False)), getConf=lambda: SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError):
+        common.shared_folder(SimpleNamespace(sparkContext=sc))
