@@ -309,14 +309,12 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
                 halves = half(fps[:, t // 2], t % 2)
                 row, shard, home = tree.route(halves, reach)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[row]), pa.array(halves[row].astype(np.int64)), *(pa.array(fps[row, i].view(np.int64)) for i in range(len(first))), pa.array(shard.astype(np.int64) * count + t), pa.array(home)],
-                    ["node", "half", *first, "shard", "home"],
+                    [pa.array(node[row]), pa.array(halves[row].astype(np.int64) * 2 + home), *(pa.array(fps[row, i].view(np.int64)) for i in range(len(first))), pa.array(shard.astype(np.int64) * count + t)],
+                    ["node", "spot", *first, "shard"],
                 )
 
-    routed = nodes.select("node", "fp").mapInArrow(route, f"node long, half long, {', '.join(f'{w} long' for w in first)}, shard long, home boolean")
-    kept = ["node", "half", *first, "shard"]
-    # Every row is a query, those at home are candidates too.
-    rows = routed.select(*kept, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(True).alias("query"), F.col("home").alias("candidate"))
+    routed = nodes.select("node", "fp").mapInArrow(route, f"node long, spot long, {', '.join(f'{w} long' for w in first)}, shard long")
+    kept = ["node", "spot", *first, "shard"]  # spot: the half, and in the lowest bit whether the shard is home
 
 
     def counted(batches):
@@ -340,14 +338,18 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
         every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
         blocks = routed.join(cut, "shard")
         queries = blocks.select(*kept, own("qb", 1).alias("i"), F.explode(every("cb")).alias("j"), F.lit(True).alias("query"), F.lit(False).alias("candidate"))
-        candidates = blocks.filter("home").select(*kept, F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("candidate"))
-        rows = rows.join(cut.select("shard"), "shard", "left_anti").select(rows.columns).unionByName(queries).unionByName(candidates)
+        candidates = blocks.filter("spot & 1 = 1").select(*kept, F.explode(every("qb")).alias("i"), own("cb", 2).alias("j"), F.lit(False).alias("query"), F.lit(True).alias("candidate"))
+        blocked = queries.unionByName(candidates)
+        routed = routed.join(cut.select("shard"), "shard", "left_anti").select(kept)
 
     def linked(key, table):  # no hints: PySpark would try to read them
         tree = key[0].as_py() % count
         nodes, at, place = np.unique(table.column("node").to_numpy(), return_index=True, return_inverse=True)
-        query, candidate = (table.column(c).to_numpy(zero_copy_only=False) for c in ("query", "candidate"))
-        halves = table.column("half").to_numpy()[at].astype(np.uint32)
+        spot = table.column("spot").to_numpy()
+        query, candidate = np.ones(len(spot), bool), spot & 1 == 1  # every row is a query, those at home are candidates too
+        if "query" in table.column_names:  # of a block, either
+            query, candidate = (table.column(c).to_numpy(zero_copy_only=False) for c in ("query", "candidate"))
+        halves = (spot[at] >> 1).astype(np.uint32)
         words = np.stack([table.column(w).to_numpy()[at].view(np.uint64) for w in first], 1)
         forest = Forest(len(nodes))
         others = half(words[:, 0], 1 - tree) if length == 1 else None
@@ -355,7 +357,9 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
         pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 
-    found = rows.groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long")
+    found = routed.groupBy("shard").applyInArrow(linked, "a long, b long")
+    if large:
+        found = found.unionByName(blocked.groupBy("shard", "i", "j").applyInArrow(linked, "a long, b long"))
     if length == 1:
         return found
     found = checkpoint(found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
