@@ -26,7 +26,7 @@ mixed) tell similarities apart that 64 bits can't: ``bits_apart`` gives the radi
 a Jaccard similarity of the shingle sets. Every 32-bit half of every word then has its
 tree, searched with radius 1. That is no longer exhaustive: a pair is found if any of
 its halves differs in one bit at most, which for 32 halves is nearly sure from a
-similarity of 0.85 on (the README has measured figures). In a shard a pair is told by
+similarity of 0.85 on. In a shard a pair is told by
 the first 128 bits, with a margin; what a shard links is a pair, and each linked pair
 is then held against the radius on all bits.
 
