@@ -1,46 +1,79 @@
 """Calling again inside noisy regions by alignment of consensus sequences.
 
 Reads are clipped to a region; those of the two haplotypes of a phase set (or, if
-there is none, all reads, split where they differ most evenly) give one or two
-consensus sequences; what these differ in from the reference are the region's
-sites: on both sequences homozygous, on one heterozygous. New sites and the
-reads' alleles are merged into the tile, and the tile is phased again. Reads of
-the haplotypes that reach only one end of a region have a say in what they cover,
-unless it is a homopolymer.
+there is none, all reads over the region, in the two groups that their alignment
+tells apart) give one or two consensus sequences by partial-order alignment; what
+these differ in from the reference are the region's sites: on both sequences
+homozygous, on one heterozygous. A read's alleles are read off its row against its
+consensus. New sites and the reads' alleles are merged into the tile, and the tile
+is phased again. Reads of the haplotypes that reach only one end of a region have
+a say in what they cover, unless it is a homopolymer.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from ..functions.repeats import Window
+from ..functions.scalar import error_rate
 from ..options import Options
 from ..schemas import GERMLINE
-from .align import consensus, gapped, prefix_reached, suffix_reached
+from .align import gapped
 from .phase import Phaser, Profile, phase
+from .poa import GAP, joined, trimmed
 from .sites import COUNTERS, site_key
 
 
+def exchanged(rows: list, behind: Callable) -> list:
+    """Rows in the order of an exchange sort: each place in turn takes what stands behind it and should not.
+
+    Where rows are equal the order is that of the exchanges, not that of the input."""
+    rows = list(rows)
+    for i in range(len(rows) - 1):
+        for j in range(i + 1, len(rows)):
+            if behind(rows[i], rows[j]):
+                rows[i], rows[j] = rows[j], rows[i]
+    return rows
+
+
 @dataclass
 class Clip:
+    """The part of a read in a region. It covers an end that it reaches, unless with a deletion longer than the flank."""
+
     read: int
     seq: str
     left: bool
     right: bool
+    left_gap: bool = False
+    right_gap: bool = False
+    qual: bytes = b""
 
     @property
     def full(self) -> bool:
         return self.left and self.right
 
+    @property
+    def whole(self) -> bool:
+        """Whether it goes from end to end, be it with a gap at one."""
+        return (self.left or self.left_gap) and (self.right or self.right_gap)
+
+    @property
+    def rank(self) -> int:
+        """Reads that cover both ends come first, then those of the left end, of the right, and of none."""
+        return 3 if self.full else 2 if self.left else 1 if self.right else 0
+
 
-def clip(read: dict, number: int, beg: int, fin: int) -> Clip:
-    """The part of a read between two reference positions, by its events; whether it reaches either end."""
+def clip(read: dict, number: int, beg: int, fin: int, flank: int = Options.noisy_flank) -> Clip:
+    """The part of a read between two reference positions, by its events; whether it covers either end."""
     lo = hi = None
+    gap = [False, False]
     for d in read["digars"]:
         n_ref = d["len"] if d["type"] in ("EQ", "SNP", "DEL") else 0
         if d["type"] in ("SOFT", "HARD") or d["pos"] > fin + (d["type"] == "INS") or d["pos"] + max(n_ref, 1) - 1 < beg:
             continue
         if d["type"] == "DEL":
             a = b = d["qi"]
+            gap = [g or (d["len"] > flank and d["pos"] <= x <= d["pos"] + d["len"] - 1) for g, x in zip(gap, (beg, fin))]
         elif d["type"] == "INS":
             a, b = d["qi"], d["qi"] + d["len"]
         else:
@@ -49,38 +82,54 @@ def clip(read: dict, number: int, beg: int, fin: int) -> Clip:
         lo = a if lo is None else min(lo, a)
         hi = b if hi is None else max(hi, b)
     seq = (read.get("seq") or "")[lo:hi].upper() if lo is not None else ""
-    return Clip(number, seq, read["beg"] <= beg, read["fin"] >= fin)
+    reaches = read["beg"] <= beg, read["fin"] >= fin
+    return Clip(number, seq, *[r and not g for r, g in zip(reaches, gap)], *[r and g for r, g in zip(reaches, gap)], (read.get("qual") or b"")[lo:hi] if seq else b"")
 
 
 def region_order(regions):
-    """Regions by label, then length; ties as they come."""
-    return sorted(regions, key=lambda r: (r[2], r[1] - r[0]))
+    """Regions by label, then length."""
+    return exchanged(regions, lambda a, b: (a[2], a[1] - a[0]) > (b[2], b[1] - b[0]))
 
 
-def sites_of(ref: str, cons: str, beg: int, o: Options) -> list[dict]:
-    """Sites where a consensus differs from the reference, left-aligned; a mismatch beside a gap belongs to the gap."""
-    x, y = gapped(ref, cons, o)
-    out, pos, i = [], beg, 0
+def clip_order(clips: list[Clip], sampling: bool) -> list[Clip]:
+    """Clips by what they cover, in sampling mode then by error rate, then the longest first."""
+    rate = {c.read: error_rate(c.qual) if sampling else 0.0 for c in clips}
+
+    def behind(a: Clip, b: Clip) -> bool:
+        return (-a.rank, rate[a.read], -len(a.seq)) > (-b.rank, rate[b.read], -len(b.seq))
+
+    return exchanged(clips, behind)
+
+
+def placed_sites(x: str, y: str, beg: int) -> list[tuple[dict, int]]:
+    """Sites where a consensus (row y) differs from the reference (row x), left-aligned, each with its place in the consensus; a
+    mismatch before a gap belongs to the gap."""
+    out, pos, at, i = [], beg, 0, 0
     while i < len(x):
-        if x[i] == "-":
+        if x[i] == GAP:
             k = i
-            while k < len(x) and x[k] == "-":
+            while k < len(x) and x[k] == GAP:
                 k += 1
-            out.append({"pos": pos, "type": "INS", "ref_len": 0, "alt": y[i:k]})
-            i = k
-        elif y[i] == "-":
+            out.append(({"pos": pos, "type": "INS", "ref_len": 0, "alt": y[i:k]}, at))
+            at, i = at + k - i, k
+        elif y[i] == GAP:
             k = i
-            while k < len(y) and y[k] == "-":
+            while k < len(y) and y[k] == GAP:
                 k += 1
-            out.append({"pos": pos, "type": "DEL", "ref_len": k - i, "alt": ""})
+            out.append(({"pos": pos, "type": "DEL", "ref_len": k - i, "alt": ""}, at))
             pos, i = pos + k - i, k
         else:
-            if x[i] != y[i] and not (i + 1 < len(x) and "-" in (x[i + 1], y[i + 1])):
-                out.append({"pos": pos, "type": "SNP", "ref_len": 1, "alt": y[i]})
-            pos, i = pos + 1, i + 1
+            if x[i] != y[i] and not (i + 1 < len(x) and GAP in (x[i + 1], y[i + 1])):
+                out.append(({"pos": pos, "type": "SNP", "ref_len": 1, "alt": y[i]}, at))
+            pos, at, i = pos + 1, at + 1, i + 1
     return out
 
 
+def sites_of(ref: str, cons: str, beg: int, o: Options) -> list[dict]:
+    """Sites where a consensus differs from the reference."""
+    return [s for s, _ in placed_sites(*gapped(ref, cons, o), beg)]
+
+
 def read_allele(ref: str, seq: str, beg: int, site: dict, o: Options) -> int:
     """Whether a clipped read shows a site's alternate (1), the reference (0) or neither (-1)."""
     x, y = gapped(ref, seq, o)
@@ -133,49 +182,66 @@ def homopolymer_region(ref: str, flank: int) -> bool:
     return False
 
 
-def covered(ref: str, c: Clip, o: Options) -> tuple[int, int]:
-    """The part of a region's reference, from and to, that a clipped read covers."""
-    if c.full:
-        return 0, len(ref)
-    return (0, prefix_reached(ref, c.seq, o)) if c.left else (len(ref) - suffix_reached(ref, c.seq, o), len(ref))
+class Row:
+    """A read's row against its consensus: alleles are told by columns, each consensus base's own and the insertions behind it."""
+
+    def __init__(self, cons: str, read: str, first: int, last: int):
+        self.cons, self.read, self.first, self.last = cons, read, first, last
+        self.column = [k for k, c in enumerate(cons) if c != GAP] + [len(cons)]
+
+    def covers(self, beg: int, fin: int) -> bool:
+        """Whether the read counts at both of two places of the consensus."""
+        beg = max(beg, 0)
+        return 0 <= fin < len(self.column) - 1 and beg < len(self.column) - 1 and all(self.column[p] < self.last and self.column[p + 1] > self.first for p in (beg, fin))
 
+    def shows(self, at: int, size: int) -> bool:
+        """Whether the read has the bases of the consensus from a place on: all of a few, nine in ten of ten and more."""
+        here = range(max(self.first, self.column[at]), min(self.last, self.column[at + size]))
+        same = sum(self.cons[k] == self.read[k] for k in here)
+        return same >= 0.9 * size if size >= 10 else same == size == len(here)
 
-def shows(site: dict, beg: int, fin: int, c: Clip) -> bool:
-    """Whether a site lies in the part from beg to fin (not included) that a read covers, and no gap at its open end."""
-    gap = site["type"] != "SNP"
-    low, high = beg + (gap and not c.left), fin - (gap and not c.right)
-    return low <= site["pos"] and site["pos"] + site["ref_len"] <= high
+    def joins(self, at: int) -> bool:
+        """Whether the read has nothing between the base before a place and the place."""
+        return all(self.read[k] == GAP for k in range(self.column[at - 1] + 1 if at else 0, self.column[at]))
+
+
+def allele(site: dict, row: Row, own: int | None, places: list[int], beg: int) -> int | None:
+    """Allele of a read at a site: 1 if the site is its consensus's own (at the place ``own``) and the read shows it, else 0; None
+    where it does not count. places: of each base of the reference, the consensus base that it stands over or before."""
+    if own is not None:
+        if site["type"] == "DEL":
+            return int(row.joins(own)) if row.covers(own - 1, own) else None
+        size = len(site["alt"])
+        return int(row.shows(own, size)) if row.covers(own, own + size - 1) else None
+    at = site["pos"] - beg
+    if site["type"] != "DEL":
+        return 0 if at < len(places) and row.covers(places[at], places[at]) else None
+    after = at + site["ref_len"]
+    return 0 if after < len(places) and row.covers(places[at - 1] if at else 0, places[after]) else None
 
 
 def best_phase_set(clips: list[Clip], p: Phaser, o: Options) -> int | None:
-    """Phase set that has both haplotypes with enough reads, of several the one with most reads over the whole region."""
-    found: dict[int, list[list[int]]] = {}
+    """Phase set with most reads over the whole region on its poorer haplotype, then on the richer; the first of equals. None if
+    it has too few, or too few in all on either: reads that cover one end count if they are as long as the shortest over
+    the whole region before them."""
+    full: dict[int, list[int]] = {}
+    count: dict[int, list[int]] = {}
+    shortest: dict[int, list[float]] = {}
     for c in clips:
         hap, ps = p.hap[c.read], p.phase_set[c.read]
-        if hap in (1, 2) and ps > 0:
-            counts = found.setdefault(ps, [[0, 0], [0, 0]])
-            counts[hap - 1][0] += c.full
-            counts[hap - 1][1] += 1
-    good = [(min(a[0], b[0]), a[1] + b[1], -ps) for ps, (a, b) in found.items() if min(a[0], b[0]) >= o.min_hap_full_reads and min(a[1], b[1]) >= o.min_hap_reads]
-    return -max(good)[2] if good else None
-
-
-def split(clips: list[Clip], ref: str, beg: int, o: Options) -> list[list[Clip]]:
-    """Reads in two groups by the difference that splits them most evenly, or in one where none has enough reads on both sides."""
-    shown: dict[tuple, set[int]] = {}
-    keys: dict[tuple, dict] = {}
-    for k, c in enumerate(clips):
-        for s in sites_of(ref, c.seq, beg, o):
-            key = site_key(s)
-            keys[key] = s
-            shown.setdefault(key, set()).add(k)
-    n = len(clips)
-    good = [(min(len(v), n - len(v)), key) for key, v in shown.items() if min(len(v), n - len(v)) >= max(o.min_alt_depth, o.min_af * n)]
-    if not good:
-        return [clips]
-    best = max(g for g, _ in good)
-    alt = shown[min(key for g, key in good if g == best)]
-    return [[c for k, c in enumerate(clips) if k not in alt], [c for k, c in enumerate(clips) if k in alt]]
+        if hap not in (1, 2):
+            continue
+        n, m, least = full.setdefault(ps, [0, 0]), count.setdefault(ps, [0, 0]), shortest.setdefault(ps, [float("inf")] * 2)
+        if c.full:
+            n[hap - 1] += 1
+            m[hap - 1] += 1
+            least[hap - 1] = min(least[hap - 1], len(c.seq))
+        elif c.rank:
+            m[hap - 1] += len(c.seq) >= least[hap - 1]
+    if not full:
+        return None
+    best = max(full, key=lambda ps: (min(full[ps]), max(full[ps])))  # the first of equals
+    return best if best > 0 and min(full[best]) >= o.min_hap_full_reads and min(count[best]) >= o.min_hap_reads else None
 
 
 def call_region(region: tuple[int, int, int], reads: list[dict], p: Phaser, window: Window, o: Options) -> tuple[list[dict], list[Profile | None]] | None:
@@ -186,42 +252,52 @@ def call_region(region: tuple[int, int, int], reads: list[dict], p: Phaser, wind
     over = [r for r, x in enumerate(reads) if not x["skipped"] and x["beg"] <= fin and x["fin"] > beg]
     if not over or len(over) > o.max_noisy_reg_reads:
         return None
-    clips = [c for c in (clip(reads[r], r, beg, fin) for r in over) if c.seq]
+    sampling = fin - beg + 1 >= o.sampling_reg_len
+    clips = clip_order([c for c in (clip(reads[r], r, beg, fin, o.noisy_flank) for r in over) if c.seq], sampling)
     ref = "".join(window.base(i) for i in range(beg, fin + 1))
     ps = best_phase_set(clips, p, o)
     full = [c for c in clips if c.full]
-    parts: list[list[Clip]] = [[], []]
     if ps is not None:
-        groups = [[c for c in full if p.phase_set[c.read] == ps and p.hap[c.read] == h] for h in (1, 2)]
-        if not homopolymer_region(ref, o.noisy_flank):
-            parts = [[c for c in clips if c.left != c.right and p.phase_set[c.read] == ps and p.hap[c.read] == h] for h in (1, 2)]
+        only_full = homopolymer_region(ref, o.noisy_flank)
+        groups = [[c for c in clips if p.phase_set[c.read] == ps and p.hap[c.read] == h and (c.full or c.rank and not only_full)] for h in (1, 2)]
+        if any(not g or not g[0].full for g in groups):
+            return None
+        graphs = [joined([(c.seq, c.left or c.whole, c.right or c.whole) for c in g], o, sampling) for g in groups]
+        parts = [(g, graph, list(range(len(g)))) for g, graph in zip(groups, graphs)]
     elif len(full) >= o.min_depth:
-        groups = split(full, ref, beg, o)
+        graph = joined([(c.seq, True, True) for c in full], o)
+        parts = [(full, graph, which) for which in graph.clusters(o.min_af)]
     else:
         return None
-    if any(not g for g in groups):
-        return None
-    sequences = [consensus([c.seq for c in g], o, left=[c.seq for c in part if c.left], right=[c.seq for c in part if c.right]) for g, part in zip(groups, parts)]
-    found = [{site_key(s): s for s in sites_of(ref, s, beg, o)} for s in sequences]
+    rows = [graph.consensus(which) for _, graph, which in parts]
+    against = [gapped(ref, row.replace(GAP, ""), o) for row in rows]
+    found = [{site_key(s): (s, at) for s, at in placed_sites(x, y, beg)} for x, y in against]
+    keys = sorted({k for f in found for k in f})
     sites = []
-    for key in sorted({k for f in found for k in f}):
-        where = [key in f for f in found]
-        s = dict(next(f[key] for f in found if key in f))
-        s |= dict.fromkeys(COUNTERS, 0) | {"category": "NOISY_CAND_HOM" if all(where) else "NOISY_CAND_HET", "init_category": "LOW_COV", "alt_ref_base": 4, "homopolymer": homopolymer_indel(s, window)}
+    for key in keys:
+        s = dict(next(f[key][0] for f in found if key in f))
+        s |= dict.fromkeys(COUNTERS, 0) | {"category": "NOISY_CAND_HOM" if all(key in f for f in found) else "NOISY_CAND_HET", "init_category": "LOW_COV", "alt_ref_base": 4, "homopolymer": homopolymer_indel(s, window)}
         sites.append(s)
     shown: list[Profile | None] = [None] * len(reads)
-    for c in full + parts[0] + parts[1]:
-        profile = Profile()
-        first, last = covered(ref, c, o)
-        for i, s in enumerate(sites):
-            if not c.full and not shows(s, beg + first, beg + last, c):
-                continue
-            a = read_allele(ref[first:last], c.seq, beg + first, s, o)
-            profile.put(i, a)
-            s["total_cov"] += 1
-            s["ref_cov"] += a == 0
-            s["alt_cov"] += a == 1
-        shown[c.read] = profile
+    for (clips_, graph, which), cons, own, (x, y) in zip(parts, rows, found, against):
+        places, at = [], 0
+        for a, b in zip(x, y):
+            if a != GAP:
+                places.append(at)
+            at += b != GAP
+        shapes = graph.rows()
+        for k in which:
+            c, profile = clips_[k], Profile()
+            if graph.paths[k]:
+                row = Row(*trimmed(cons, shapes[k], c.left or c.whole, c.right or c.whole))
+                for i, (key, s) in enumerate(zip(keys, sites)):
+                    a = allele(s, row, own[key][1] if key in own else None, places, beg)
+                    if a is not None:
+                        profile.put(i, a)
+                        s["total_cov"] += 1
+                        s["ref_cov"] += a == 0
+                        s["alt_cov"] += a == 1
+            shown[c.read] = profile
     for s in sites:
         s["allele_covs"] = [s["ref_cov"], s["alt_cov"]]
         s["af"] = s["alt_cov"] / s["total_cov"] if s["total_cov"] else 0.0

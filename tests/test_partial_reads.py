@@ -5,7 +5,8 @@ import pytest
 
 from haploweave.functions.repeats import Window
 from haploweave.operators import recall
-from haploweave.operators.align import consensus, prefix_reached, suffix_reached
+from haploweave.operators.align import prefix_reached, suffix_reached
+from haploweave.operators.poa import consensus
 from haploweave.options import Options
 from haploweave.plans import simulate
 
@@ -41,9 +42,10 @@ def test_coverage_counts_partial_reads(middle, all_):
     alt = ref[: at - 1] + OTHER[ref[at - 1]] + ref[at:]
     reads = []
     for hap in (ref, alt):
-        reads += [made(hap, 1, len(ref))] + [made(hap[: at + 15], 1, at + 15)] * 3 + [made(hap[at + 5 :], at + 6, len(ref))] * 2
-    phaser = SimpleNamespace(hap=[1] * 6 + [2] * 6, phase_set=[7] * 12)
+        # Two over the whole region: shorter reads do not count towards the reads that a phase set needs.
+        reads += [made(hap, 1, len(ref))] * 2 + [made(hap[: at + 15], 1, at + 15)] * 3 + [made(hap[at + 5 :], at + 6, len(ref))] * 2
+    phaser = SimpleNamespace(hap=[1] * 7 + [2] * 7, phase_set=[7] * 14)
     sites, shown = recall.call_region((beg, fin, 0), reads, phaser, Window(ref, 1), O)
     assert [(s["pos"], s["alt"], s["category"]) for s in sites] == [(at, alt[at - 1], "NOISY_CAND_HET")]
-    assert sites[0]["allele_covs"] == ([4, 4] if all_ else [1, 1])
-    assert [x is not None and x.get(0) for x in shown[1:4]] == ([0] * 3 if all_ else [False] * 3)
+    assert sites[0]["allele_covs"] == ([5, 5] if all_ else [2, 2])
+    assert [x is not None and x.get(0) for x in shown[2:5]] == ([0] * 3 if all_ else [False] * 3)

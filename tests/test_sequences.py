@@ -3,7 +3,8 @@ import pytest
 
 from haploweave.functions.repeats import Window
 from haploweave.operators import classify, digars, phase, recall, sites, stitch
-from haploweave.operators.align import align, consensus, gapped
+from haploweave.operators.align import align, gapped
+from haploweave.operators.poa import consensus
 from haploweave.options import Options
 from haploweave.plans import simulate
 from haploweave.plans.collect import process_tile
