@@ -59,6 +59,10 @@ LATER_LETTERS = """
 """
 
 
+#: Numbers of the same kind.
+LATER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+
+
 #: Capitals (or ranges of them) that Python's Unicode version has no small letter for, and the first small letter.
 LATER_CAPITALS = "1C89:1C8A A7CB:264 A7CC:A7CD A7CE:A7CF A7D2:A7D3 A7D4:A7D5 A7DA:A7DB A7DC:19B 10D50-10D65:10D70 16EA0-16EB8:16EBB"
 
@@ -72,9 +76,10 @@ def later_small() -> dict[int, int]:
     return small
 
 
-def later_letters() -> regex.Pattern:
-    ends = [r.split("-") for r in LATER_LETTERS.split()]
-    return regex.compile("[" + "".join(f"\\U{int(e[0], 16):08x}-\\U{int(e[-1], 16):08x}" for e in ends) + "]")
+def any_of(ranges: str) -> str:
+    """Class of the regex module for ranges of code points."""
+    ends = [r.split("-") for r in ranges.split()]
+    return "[" + "".join(f"\\U{int(e[0], 16):08x}-\\U{int(e[-1], 16):08x}" for e in ends) + "]"
 
 
 #: What is held back of a text: more than any special token, and more than the split pattern looks ahead.
@@ -99,8 +104,10 @@ class Vocabulary:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.plain = regex.compile(pattern)
-        self.rare = later_letters()
-        self.wide = regex.compile(pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{self.rare.pattern}]").replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{self.rare.pattern})"), regex.V1) if r"[\p{L}]" in pattern else self.plain
+        letters, numbers = any_of(LATER_LETTERS), any_of(LATER_NUMBERS)
+        self.rare = regex.compile(f"{letters}|{numbers}")
+        wide = pattern.replace(r"[^\s\p{L}\p{N}]", rf"(?:[^\s\p{{L}}\p{{N}}]|{self.rare.pattern})").replace(r"[\p{L}]", rf"[\p{{L}}--{letters}]").replace(r"[\p{N}]", rf"[\p{{N}}--{numbers}]")
+        self.wide = regex.compile(wide, regex.V1)
         characters = byte_characters()
         self.first = [self.ids[c] for c in characters]
         self.last = [self.ids[c + self.suffix] for c in characters]

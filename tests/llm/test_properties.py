@@ -103,3 +103,11 @@ def test_labels_are_even(spark):
     labels = even_labels(spark, 37)
     parts = spark.createDataFrame([(x,) for x in labels], "x int").select(F.pmod(F.hash("x"), F.lit(37)).alias("p"))
     assert parts.distinct().count() == 37 == len(set(labels))
+
+
+@pytest.mark.parametrize("before", [":", "a", "1"])
+def test_bpe_equals_the_library_on_every_code_point(before):
+    v, step = bpe.Vocabulary.load(PATH), 512
+    for low in range(0, 0x110000, step):
+        text = " ".join(before + chr(c) for c in range(low, low + step) if not 0xD800 <= c < 0xE000)
+        assert array("I", bpe.encode(text, v)).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, hex(low)
