@@ -24,11 +24,14 @@ of queries by blocks of candidates; no candidate is ever dropped.
 Longer fingerprints. ``length`` words of 64 bits (further ones from the same hashes,
 mixed) tell similarities apart that 64 bits can't: ``bits_apart`` gives the radius for
 a Jaccard similarity of the shingle sets. Every 32-bit half of every word then has its
-tree, searched with radius 1. That is no longer exhaustive: a pair is found if any of
-its halves differs in one bit at most, which for 32 halves is nearly sure from a
-similarity of 0.85 on. In a shard a pair is told by
-the first 128 bits, with a margin; what a shard links is a pair, and each linked pair
-is then held against the radius on all bits.
+tree, searched with ``reach`` 2: ``found_part`` tells what part of the pairs some half
+brings together (0.98 at a similarity of 0.8 with 32 halves). In a shard a pair is told by
+the first ``TOLD`` words, with a margin, and what a shard links is the spanning forest
+of least distances, so that a copy is linked to what it is nearest to. Each linked pair
+is then held against the radius on all bits, and, with a ``similarity``, against the
+Jaccard similarity of the two texts' shingle sets, so no link is below it. What can be
+lost are pairs that no half brings together, and links that a forest replaces by
+shorter ones which then fail: with many copies of one text that are unlike each other.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle are one shingle; equal fingerprints are one
@@ -53,6 +56,7 @@ from .lm import mix
 
 LANES = 0x0101010101010101
 CHUNK = 255 * 256  # shingles that are counted at once
+TOLD = 8  # words of a fingerprint that go to the shards
 
 
 def signature(raw: bytes | None, words: int = 3, seed: int = 42, length: int = 1) -> np.ndarray:
@@ -78,15 +82,21 @@ def fingerprint(raw: bytes | None, words: int = 3, seed: int = 42) -> int:
     return int(signature(raw, words, seed)[0])
 
 
-def bits_apart(similarity: float, length: int) -> int:
+def bits_apart(similarity: float, length: int, deviations: float = 0.5) -> int:
     """In how many bits fingerprints of shingle sets with a Jaccard similarity differ: what is expected of sets of one
-    size, and half a standard deviation more."""
+    size, and some standard deviations more."""
     bits, part = 64 * length, math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * part + math.sqrt(bits * part * (1 - part)) / 2)
+    return round(bits * part + math.sqrt(bits * part * (1 - part)) * deviations)
+
+
+def found_part(apart: float, length: int, reach: int) -> float:
+    """Part of the pairs that differ in that part of their bits that some half of a long fingerprint brings together."""
+    within = sum(math.comb(32, k) * apart**k * (1 - apart) ** (32 - k) for k in range(reach + 1))
+    return 1 - (1 - within) ** (2 * length)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42, length: int = 1) -> DataFrame:
-    """doc_id, node (a long: the 64 bits, or a hash of more), fp (array of the words as signed longs)."""
+    """doc_id, node (a long: the 64 bits, or a hash of more), fp (array of the words as signed longs), key (hash of the text)."""
 
     def run(batches):
         for batch in batches:
@@ -94,9 +104,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([signature(t, words, seed, length) for t in texts], np.uint64).reshape(-1, length)
             node = fps[:, 0] if length == 1 else np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in fps), np.uint64, len(fps))
             lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, length, dtype=np.int32), pa.array(fps.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node.view(np.int64)), lists], ["doc_id", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node.view(np.int64)), lists, batch.column(2)], ["doc_id", "node", "fp", "key"])
 
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(run, "doc_id long, node long, fp array<long>")
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long"), text, F.xxhash64(F.coalesce(text, F.lit(""))))
+    return rows.mapInArrow(run, "doc_id long, node long, fp array<long>, key long")
 
 
 def half(fps: np.ndarray, tree: int) -> np.ndarray:
@@ -199,26 +211,64 @@ class Forest:
                 self.pairs.append((i, j))
 
 
+class Shortest(Forest):
+    """Spanning forest of the least distances. Pairs come in blocks and are held until there are many, then only those of the
+    forest stay: where a pair is given up, pairs of less distance each connect its ends."""
+
+    def __init__(self, n: int, most: int = 1 << 20):
+        super().__init__(n)
+        self.n, self.most, self.held, self.count = n, most, [], 0
+
+    def near(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
+        self.held.append(np.stack([*np.broadcast_arrays(a, b), d.astype(np.int64)], 1)[a != b])
+        self.count += len(self.held[-1])
+        if self.count > self.most + 2 * self.n:
+            self.boiled()
+
+    def boiled(self) -> np.ndarray:
+        """Rows (a, b, distance) of the forest: round by round each tree takes its shortest pair."""
+        rows = np.concatenate(self.held) if self.held else np.empty((0, 3), np.int64)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 2]))]
+        trees, taken, at = Forest(self.n), np.zeros(len(rows), bool), np.arange(len(rows))
+        while True:
+            root = trees.flat()
+            at = at[root[rows[at, 0]] != root[rows[at, 1]]]
+            if not len(at):
+                break
+            best = np.full(self.n, len(rows))
+            for side in (0, 1):
+                np.minimum.at(best, root[rows[at, side]], at)
+            chosen = np.unique(best[best < len(rows)])
+            taken[chosen] = True
+            trees.join(rows[chosen, 0], rows[chosen, 1])
+        self.held, self.count = [rows[taken]], int(taken.sum())
+        return rows[taken]
+
+
 class Nearness:
-    """The test of two rows. One word: that it differs in radius bits at most. Of more words the first two are there: that
+    """The test of two rows. One word: that it differs in radius bits at most. Of more words the first TOLD are there: that
     the tree's half is within reach, and that they differ in no more than four standard deviations above what the radius
     on all bits leaves them."""
 
     def __init__(self, words: np.ndarray, halves: np.ndarray, reach: int, radius: int, length: int):
         self.words, self.halves, self.reach = words, halves, None if length == 1 else reach
         part = radius / (64 * length)
-        self.limit = radius if length == 1 else math.ceil(128 * part + 4 * math.sqrt(128 * part * (1 - part)))
+        bits = 64 * words.shape[1]
+        self.limit = radius if length == 1 else math.ceil(bits * part + 4 * math.sqrt(bits * part * (1 - part)))
 
     def apart(self, rows, others) -> np.ndarray:
         return sum(np.bitwise_count(w[rows] ^ w[others]).astype(np.int16) for w in self.words.T)
 
-    def pairs(self, q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in q and in c of the pairs that are near."""
+    def join(self, q: np.ndarray, c: np.ndarray, forest: Forest) -> None:
+        """Joins the pairs of a query and a candidate that are near."""
         if self.reach is None:
-            return np.nonzero(self.apart(q[:, None], c[None, :]) <= self.limit)
+            x, y = np.nonzero(self.apart(q[:, None], c[None, :]) <= self.limit)
+            forest.join(q[x], c[y])
+            return
         x, y = np.nonzero(np.bitwise_count(self.halves[q][:, None] ^ self.halves[c][None, :]) <= self.reach)
-        close = self.apart(q[x], c[y]) <= self.limit
-        return x[close], y[close]
+        d = self.apart(q[x], c[y])
+        close = d <= self.limit
+        forest.near(q[x[close]], c[y[close]], d[close])
 
 
 def search(q: np.ndarray, c: np.ndarray, halves: np.ndarray, reach: int, forest: Forest, leaf_rows: int, near: Nearness, others: np.ndarray | None = None) -> None:
@@ -243,7 +293,10 @@ def search(q: np.ndarray, c: np.ndarray, halves: np.ndarray, reach: int, forest:
             v = c[len(c) // 2]
             dq, dc = near.apart(q, v), near.apart(c, v)
             q_in, c_in, q_close, c_close = dq <= near.limit, dc <= near.limit, dq <= 2 * near.limit, dc <= 2 * near.limit
-            forest.join(np.concatenate([q[q_in], c[c_in]]), v)
+            if near.reach is None:
+                forest.join(np.concatenate([q[q_in], c[c_in]]), v)
+            else:
+                forest.near(np.concatenate([q[q_in], c[c_in]]), v, np.concatenate([dq[q_in], dc[c_in]]))
             compare(q[q_in], c[c_close & ~c_in], forest, near)
             compare(q[q_close & ~q_in], c[c_in], forest, near)
             held = c_in.mean()
@@ -255,8 +308,7 @@ def compare(q: np.ndarray, c: np.ndarray, forest: Forest, near: Nearness) -> Non
     """Joins all pairs that are near, by holding each query against each candidate, in blocks."""
     step = max(1, 1_000_000 // max(1, len(c)))
     for i in range(0, len(q) if len(c) else 0, step):
-        x, y = near.pairs(q[i : i + step], c)
-        forest.join(q[i + x], c[y])
+        near.join(q[i : i + step], c, forest)
 
 
 def matrix(column: pa.Array, length: int) -> np.ndarray:
@@ -295,11 +347,11 @@ def trees_of(nodes: DataFrame, total: int, sample_rows: int, shard_rows: int, le
     return [tree.grafted(b) for tree, b in zip(upper, below)]
 
 
-def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384, most_cut: int = 10_000) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 3, length: int = 1, reach: int | None = None, sample_rows: int = 16_384, shard_rows: int = 8_192, block_rows: int = 65_536, leaf_rows: int = 384, most_cut: int = 10_000) -> DataFrame:
     """Spanning links (a, b) between nodes (distinct node and fp) within radius. Of one word none is missed; see above for more."""
-    spark, reach, count = nodes.sparkSession, max(1, radius // 2) if length == 1 else 1, 2 * length
+    spark, reach, count = nodes.sparkSession, max(1, radius // 2) if length == 1 else reach or 2, 2 * length
     sent = spark.sparkContext.broadcast(trees_of(nodes, nodes.count(), sample_rows, shard_rows, length))
-    first = [f"w{i}" for i in range(min(2, length))]
+    first = [f"w{i}" for i in range(min(TOLD, length))]
 
     def route(batches):
         trees = sent.value
@@ -351,10 +403,10 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
             query, candidate = (table.column(c).to_numpy(zero_copy_only=False) for c in ("query", "candidate"))
         halves = (spot[at] >> 1).astype(np.uint32)
         words = np.stack([table.column(w).to_numpy()[at].view(np.uint64) for w in first], 1)
-        forest = Forest(len(nodes))
+        forest = Forest(len(nodes)) if length == 1 else Shortest(len(nodes))
         others = half(words[:, 0], 1 - tree) if length == 1 else None
         search(np.unique(place[query]), np.unique(place[candidate]), halves, reach, forest, leaf_rows, Nearness(words, halves, reach, radius, length), others)
-        pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
+        pairs = np.array(forest.pairs, np.int64).reshape(-1, 2) if length == 1 else forest.boiled()
         return pa.table({"a": nodes[pairs[:, 0]], "b": nodes[pairs[:, 1]]})
 
     found = routed.groupBy("shard").applyInArrow(linked, "a long, b long")
@@ -368,11 +420,45 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, sample_rows: int =
     return found.join(side("a"), "a").join(side("b"), "b").filter(apart <= radius).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, length: int = 1, **sizes) -> DataFrame:
-    """A row for each row of docs: doc_id, node, fp (array of signed longs), component_id."""
+def shingles_of(raw: bytes | None, words: int) -> set[bytes]:
+    w = words_of(raw)
+    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def alike(pairs: DataFrame, docs: DataFrame, fps: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b of nodes) whose texts' shingle sets have a Jaccard similarity of so much. A node's text is that of
+    least hash; only texts of nodes in a pair are moved."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = checkpoint(fps.groupBy("node").agg(F.min("key").alias("key")).join(ends, "node"))
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
+    found = maybe(rows, wanted.select("key"), "key").filter("maybe").groupBy("key").agg(F.first("text").alias("text"))
+    texts = checkpoint(wanted.join(found, "key").select("node", "text"))
+    # Joined by an expression, so that both sides are exchanged for the join and a node with many pairs is split.
+    side = lambda c: texts.select((F.col("node").cast("decimal(20,0)") + 1).alias(f"of_{c}"), F.col("text").alias(f"text_{c}"))
+    at = lambda c: F.col(c).cast("decimal(20,0)") + 1 == F.col(f"of_{c}")
+    both = pairs.join(side("a"), at("a")).join(side("b"), at("b")).select("a", "b", "text_a", "text_b")
+
+    def run(batches):
+        last, last_set = None, set()
+        for batch in batches:
+            good = []
+            for x, y in zip(as_binary(batch.column(2)).to_pylist(), as_binary(batch.column(3)).to_pylist()):
+                if x != last:
+                    last, last_set = x, shingles_of(x, words)
+                other = shingles_of(y, words)
+                good.append(len(last_set & other) >= similarity * len(last_set | other))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, length: int = 1, similarity: float | None = None, **sizes) -> DataFrame:
+    """A row for each row of docs: doc_id, node, fp (array of signed longs), component_id. With a similarity, linked pairs are
+    held against the Jaccard similarity of their shingle sets."""
     fps = checkpoint(fingerprints(docs, id_col, text_col, words, seed, length))
     nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"))
-    label = components(links(nodes, radius, length, **sizes))
+    linked = links(nodes, radius, length, **sizes)
+    label = components(linked if similarity is None else alike(checkpoint(linked), docs, fps, text_col, words, similarity))
     rooted = nodes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "fp", "component_id")

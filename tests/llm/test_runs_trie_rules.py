@@ -190,7 +190,8 @@ def slow_measures(text):
 
 def made_documents():
     rng = random.Random(9)
-    texts = [None, "", "\n\n", "one two", "a b c d a b c", "x\nx\n x\nx", "é# ü* <&>|", "A " * 60, "word " * 60, "w1 w2 ... \nq…"]
+    good = " ".join("abcdefghijklmnopqrstuvwxyz"[i % 26] * 2 + "bcdfg"[i // 26] * 3 for i in range(80))
+    texts = [good, None, "", "\n\n", "one two", "a b c d a b c", "x\nx\n x\nx", "é# ü* <&>|", "A " * 60, "word " * 60, "w1 w2 ... \nq…"]
     for k in range(80):
         pool = [rng.choice(["lorem", "ipsum", "dolor", "Été", "X#$", "12", "AB!!", "-"]) + "abcdefghij"[: rng.randint(0, 9)] for _ in range(rng.randint(2, 80))]
         texts.append("".join(rng.choice(pool) + rng.choice([" ", " ", " ", "\n", "...\n"]) for _ in range(rng.randint(1, 300))))
@@ -208,7 +209,7 @@ def test_measures_and_verdict(spark):
         assert {n: r[n] for n in names} == {n: want[n] for n in names}
         says = [x.name for x in rules.RULES if x.says(rules.Measures((r.text or "").encode()))]
         assert (r.rejected_by in says) if says else r.rejected_by is None
-    assert {r.rejected_by for r in found} > {None, "few_words"}
+    assert {r.rejected_by for r in found} > {None} and next(r for r in found if r.doc_id == 0).rejected_by is None
     assert rules.judge(docs, keep=["n_words"]).columns == ["n_words", "rejected_by"]
     assert rules.judge(docs.limit(0)).count() == 0
 
