@@ -3,7 +3,7 @@
     python -m haploweave.cli ref.fa reads.bam chr11:1-2000000 --hifi -o sites.tsv --phased-vcf-output phased
 
 Outputs are folders of part files in order; a header, where the format has one,
-lies beside them.
+lies beside them. BAM is one sorted file with its index.
 """
 from __future__ import annotations
 
@@ -54,7 +54,7 @@ def run(argv: list[str], spark=None) -> dict[str, int]:
         if paths["out_sam"]:
             out.write_sam(tagged, paths["out_sam"], sizes, " ".join(argv), lines)
         if paths["out_bam"]:
-            out.write_bam(tagged, paths["out_bam"], sizes, " ".join(argv), lines)
+            out.write_bam(tagged, paths["out_bam"], sizes, " ".join(argv), lines, one_file=True)
     return summary(result)
 
 

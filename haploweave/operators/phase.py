@@ -6,7 +6,9 @@ neighbouring het sites, anchors carried along) has DataFrame forms below.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +124,10 @@ class Phaser:
             s.setdefault("homopolymer", False)
             s.setdefault("phase_set", -1)
         self.counts = [None] * len(sites)
+        # Reads by the first site of their profile, those sites, and the furthest last site up to each.
+        self.by_first = sorted((r for r, p in enumerate(read_profiles) if p.first >= 0 and not reads[r]["skipped"]), key=lambda r: read_profiles[r].first)
+        self.firsts = [read_profiles[r].first for r in self.by_first]
+        self.furthest = list(accumulate((read_profiles[r].last for r in self.by_first), max))
 
     def slots(self, i: int) -> int:
         return max(2, len(self.sites[i].get("allele_covs") or ()))
@@ -203,9 +209,15 @@ class Phaser:
                         self.refresh(i, h)
 
     def covering(self, low: int, high: int) -> list[int]:
-        """Reads whose profile meets the sites from low to high, by the first site of their profile."""
-        found = [r for r, p in enumerate(self.profiles) if p.first >= 0 and p.first <= high and p.last >= low and not self.reads[r]["skipped"]]
-        return sorted(found, key=lambda r: self.profiles[r].first)
+        """Reads whose profile meets the sites from low to high, by the first site of their profile. Looks back from the last
+        that begins in time, as far as any read before it reaches."""
+        found = []
+        for k in range(bisect_right(self.firsts, high) - 1, -1, -1):
+            if self.furthest[k] < low:
+                break
+            if self.profiles[self.by_first[k]].last >= low:
+                found.append(self.by_first[k])
+        return found[::-1]
 
     def sweep(self) -> None:
         """First assignment, from the pivot to the left end, then to the right."""

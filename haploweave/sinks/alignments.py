@@ -6,7 +6,6 @@ is a range partitioning, not one task.
 """
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 import zlib
@@ -21,6 +20,8 @@ from ..operators.align import gapped
 from ..operators.digars import cigar_ops
 from ..options import Options
 from ..schemas import ALIGNMENT, MATE
+from ..sources.alignments import located
+from ..sources.bam_index import Index, bin_of
 
 PROGRAM = "collect-variation"
 COLUMNS = [c.split()[0] for c in ALIGNMENT.split(", ")]
@@ -199,15 +200,6 @@ def bam_bytes(contigs: Sequence[tuple[str, int]], command: str = "", kept: Seque
     return head + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
 
 
-def bin_of(beg: int, end: int) -> int:
-    """Index bin of a span, as the format defines it."""
-    end -= 1
-    for shift, offset in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if beg >> shift == end >> shift:
-            return offset + (beg >> shift)
-    return 0
-
-
 def tag_bytes(text: str) -> bytes:
     """A tag as BAM holds it, of a tag as SAM writes it."""
     name, kind, value = text.split(":", 2)
@@ -243,12 +235,16 @@ def record_bytes(a: dict, tids: dict[str, int] | None = None) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
+#: Inflated bytes of a block.
+BLOCK = 65280
+
+
 def bgzf(data: bytes) -> bytes:
     """BGZF blocks of data, without the end marker."""
     out = []
-    for at in range(0, len(data), 65280):
+    for at in range(0, len(data), BLOCK):
         c = zlib.compressobj(6, zlib.DEFLATED, -15)
-        part = data[at : at + 65280]
+        part = data[at : at + BLOCK]
         body = c.compress(part) + c.flush()
         out.append(struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part)))
     return b"".join(out)
@@ -258,38 +254,123 @@ def bgzf(data: bytes) -> bytes:
 END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
 
+class Blocks:
+    """Records as BGZF blocks, block by block, and their index; blocks are counted from byte 1, so that no place is 0."""
+
+    def __init__(self, contigs: int):
+        self.held, self.done, self.begins, self.index = bytearray(), 0, [1], Index(contigs)
+        self.waiting: list[tuple[int, int, int, int, int]] = []  # records whose blocks are not written yet
+
+    def add(self, record: bytes) -> None:
+        first = self.done + len(self.held)
+        self.held += record
+        tid, pos, name, n_cigar = *struct.unpack_from("<iiB", record, 4), struct.unpack_from("<H", record, 16)[0]
+        if tid >= 0:
+            ops = struct.unpack_from(f"<{n_cigar}I", record, 36 + name)
+            span = sum(c >> 4 for c in ops if "MIDNSHP=X"[c & 15] in "MDN=X") or 1
+            self.waiting.append((tid, max(0, pos), max(0, pos) + span, first, self.done + len(self.held)))
+
+    def take(self, all_: bool = False) -> bytes:
+        """Full blocks, and what is left at the end."""
+        out, at = [], 0
+        while len(self.held) - at >= BLOCK or (all_ and at < len(self.held)):
+            out.append(bgzf(bytes(self.held[at : at + BLOCK])))
+            self.begins.append(self.begins[-1] + len(out[-1]))
+            at += BLOCK
+        del self.held[:at]
+        self.done += at
+        ready = [w for w in self.waiting if all_ or w[4] <= self.done]
+        self.waiting = self.waiting[len(ready) :]
+        last = len(self.begins) - 1
+        for *where, first, end in ready:
+            a, b = first // BLOCK, min(end // BLOCK, last)
+            self.index.add(*where, self.begins[a] << 16 | first % BLOCK, self.begins[b] << 16 | (end % BLOCK if b * BLOCK <= end < (b + 1) * BLOCK and b < last else 0))
+        return b"".join(out)
+
+
 class BamWriter(DataSourceWriter):
-    """A BAM file a task, in a folder that all tasks reach. A failed job leaves nothing behind."""
+    """A BAM file a task in a folder, or (option ``one_file``) one file with its index beside it. A failed job leaves nothing behind.
+
+    For one file tasks write their blocks beside it; when all have ended they are put together in the order of the tasks' rows,
+    stream by stream, and only a whole file takes the name."""
 
     def __init__(self, options, columns):
-        self.path, self.columns = options["path"], columns
+        self.path, self.columns = options["path"].rstrip("/"), columns
         self.contigs = [(x.rsplit(":", 1)[0], int(x.rsplit(":", 1)[1])) for x in options.get("contigs", "").split(",") if x]
         self.command, self.kept = options.get("command", ""), [x for x in options.get("kept", "").split("\n") if x]
+        self.one = options.get("one_file", "false") == "true"
+        self.run = uuid.uuid4().hex
+        self.folder = f"{self.path}.parts-{self.run}" if self.one else self.path
+
+    def header(self) -> bytes:
+        return bgzf(bam_bytes(self.contigs, self.command, self.kept))
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{uuid.uuid4().hex}.bam")
-        with open(name + ".tmp", "wb") as f:
-            held, tids = bam_bytes(self.contigs, self.command, self.kept), {n: i for i, (n, _) in enumerate(self.contigs)}
-            for r in rows:
-                held += record_bytes(dict(zip(self.columns, r)), tids)
-                if len(held) >= 1 << 20:
-                    f.write(bgzf(held))
-                    held = b""
-            f.write(bgzf(held) + END)
+        from pyspark import TaskContext
+
+        files, folder = located(self.folder)
+        files.create_dir(folder, recursive=True)
         message = WriterCommitMessage()
-        message.name = name
+        message.part, message.name = TaskContext.get().partitionId(), f"part-{uuid.uuid4().hex}.bam"
+        blocks, tids = Blocks(len(self.contigs)), {n: i for i, (n, _) in enumerate(self.contigs)}
+        with files.open_output_stream(f"{folder}/{message.name}.{self.run}") as f:
+            if not self.one:
+                f.write(self.header())
+            for r in rows:
+                blocks.add(record_bytes(dict(zip(self.columns, r)), tids))
+                if len(blocks.held) >= 1 << 20:
+                    f.write(blocks.take())
+            f.write(blocks.take(True))
+            if not self.one:
+                f.write(END)
+        message.index = blocks.index.bytes() if self.one else b""
         return message
 
     def commit(self, messages):
-        for m in messages:
-            if m is not None:
-                os.replace(m.name + ".tmp", m.name)
+        files, folder = located(self.folder)
+        parts = sorted((m for m in messages if m is not None), key=lambda m: m.part)
+        if not self.one:
+            for m in parts:
+                files.move(f"{folder}/{m.name}.{self.run}", f"{folder}/{m.name}")
+            self.clean(files, folder)
+            return
+        _, path = located(self.path)
+        index, size = Index(len(self.contigs)), 0
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/whole") as f:
+            head = self.header()
+            f.write(head)
+            size += len(head)
+            for m in parts:
+                index.append(Index.parse(m.index), size - 1)
+                with files.open_input_stream(f"{folder}/{m.name}.{self.run}") as part:
+                    while piece := part.read(8 << 20):
+                        f.write(piece)
+                        size += len(piece)
+            f.write(END)
+        with files.open_output_stream(f"{folder}/index") as f:
+            f.write(index.bytes())
+        files.move(f"{folder}/whole", path)
+        files.move(f"{folder}/index", f"{path}.bai")
+        files.delete_dir(folder)
+
+    def clean(self, files, folder: str) -> None:
+        """Deletes what this job's failed attempts have left in the folder."""
+        from pyarrow import fs
+
+        for x in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+            if x.path.endswith(self.run):
+                files.delete_file(x.path)
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.name + ".tmp"):
-                os.remove(m.name + ".tmp")
+        from pyarrow import fs
+
+        files, folder = located(self.folder)
+        if self.one:
+            if files.get_file_info(folder).type != fs.FileType.NotFound:
+                files.delete_dir(folder)
+        else:
+            self.clean(files, folder)
 
 
 class BamSink(DataSource):
@@ -301,11 +382,12 @@ class BamSink(DataSource):
         return BamWriter(self.options, [f.name for f in schema])
 
 
-def write_bam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]], command: str = "", kept: Sequence[str] = ()) -> None:
-    """Sorted part files. CRAM is refused: its codec is not there."""
+def write_bam(rows: DataFrame, path: str, contigs: Sequence[tuple[str, int]], command: str = "", kept: Sequence[str] = (), one_file: bool = False) -> None:
+    """Sorted part files in a folder, or one sorted file with its index. CRAM is refused: its codec is not there."""
     if path.endswith(".cram"):
         raise ValueError("CRAM is not supported")
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(BamSink)
     full = with_mates(rows).select(*COLUMNS, *[c.split()[0] for c in MATE.split(", ")], "hp", "ps")
-    by_coordinate(full).write.format("bam_file").option("contigs", ",".join(f"{n}:{s}" for n, s in contigs)).option("command", command).option("kept", "\n".join(kept)).mode("append").save(path)
+    writer = by_coordinate(full).write.format("bam_file").option("contigs", ",".join(f"{n}:{s}" for n, s in contigs)).option("command", command).option("kept", "\n".join(kept))
+    writer.option("one_file", str(one_file).lower()).mode("append").save(path)

@@ -2,17 +2,21 @@
 
 SAM goes through the text source: lines are split with SQL functions, so columns
 that are not asked for are not made and filters run before any parsing. BAM goes
-through the binaryFile source, or a Python data source for ranges of files on a
-shared folder; a task has one file, which it inflates block by block and parses
-record by record, holding a block and a record. Both give the columns of
+through a Python data source: with an index beside it a file is cut into parts
+between records, and a range (by options, or by filters on tid and pos) reads only
+the blocks that the index names; without one a task has a file. A task inflates
+block by block and parses record by record, holding a block and a record. Files
+are opened through Arrow's file systems; where these don't reach, a file goes to a
+task whole through the binaryFile source. Both give the columns of
 schemas.ALIGNMENT and of schemas.MATE, so that a writer can hand on what it got.
 CRAM needs a codec that is not there and is refused.
 """
 from __future__ import annotations
 
+import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from ..schemas import ALIGNMENT, MATE
+from .bam_index import Index, cut
 
 FULL = f"{ALIGNMENT}, {MATE}"
 #: Tags that have columns of their own, or are written anew.
@@ -46,15 +51,10 @@ def header_lines(spark: SparkSession, path: str) -> list[str]:
     if path.endswith((".sam", ".sam.gz")):
         found = [r["value"] for r in spark.read.text(path).filter(F.col("value").rlike("^@(RG|PG|CO)\t")).collect()]
     else:
-        found = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_header_texts, "value string").first()["value"].split("\n")
+        found = first_parts(spark, path)[0].split("\n")
     return [x for x in found if x.startswith(("@RG", "@PG", "@CO"))]
 
 
-def _header_texts(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([next(bam_parts(blocks(raw)))[0] for raw in batch.column(0).to_pylist()], pa.string())], ["value"])
-
-
 def read_sam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 64) -> DataFrame:
     """Alignments of a SAM file. read_id numbers the lines, the same in every run over the same file, apart from those of
     ``inputs`` other files."""
@@ -100,9 +100,9 @@ def blocks(data: bytes) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
-def blocks_of(f) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of the BGZF blocks of an open file, one after another."""
-    at = 0
+def blocks_of(f, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(offset, inflated bytes) of the BGZF blocks of an open file from an offset on, one after another."""
+    f.seek(at)
     while head := f.read(18):
         if len(head) < 18 or head[:2] != b"\x1f\x8b":
             raise ValueError("not a BGZF file")
@@ -112,6 +112,80 @@ def blocks_of(f) -> Iterator[tuple[int, bytes]]:
         at += size
 
 
+def records_of(f, first: int | None = None, last: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(virtual offset, bytes without their size) of the records of an open file that begin at ``first`` or later and before
+    ``last``, both virtual offsets of records; None: the first record, and the end."""
+    inflated = blocks_of(f, (first or 0) >> 16)
+    held, ends = bytearray(), []  # what is inflated; of its blocks, where each ends there, and its offset
+    at, dropped, begun = (first or 0) & 0xFFFF, 0, 0  # begun: where the block of the record begins
+
+    def more() -> bool:
+        where, block = next(inflated, (0, None))
+        if block is None:
+            return False
+        held.extend(block)
+        ends.append((dropped + len(held), where))
+        return True
+
+    if first is None:
+        while True:
+            if not more() and not held:
+                raise ValueError("not a BAM file")
+            try:
+                at = bam_header(bytes(held))[2]
+                break
+            except (struct.error, IndexError):
+                if not more():
+                    raise
+    while True:
+        while len(held) < at + 4 or len(held) < at + 4 + struct.unpack_from("<i", held, at)[0]:
+            gone = min(at, len(held))
+            del held[:gone]
+            dropped, at = dropped + gone, at - gone
+            if not more():
+                return
+        while ends[0][0] <= dropped + at:
+            begun = ends.pop(0)[0]
+        offset = ends[0][1] << 16 | (dropped + at - begun)
+        if last is not None and offset >= last:
+            return
+        size = struct.unpack_from("<i", held, at)[0]
+        yield offset, bytes(held[at + 4 : at + 4 + size])
+        at += 4 + size
+
+
+def located(path: str) -> tuple:
+    """A file system of Arrow's and the path there."""
+    from pyarrow import fs
+
+    if ":/" not in path:
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path)
+
+
+def opened(path: str):
+    """A file for reading from any place."""
+    files, name = located(path)
+    return files.open_input_file(name)
+
+
+def index_of(path: str) -> Index | None:
+    """The index beside a BAM file, if there is one."""
+    for name in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai"):
+        try:
+            with opened(name) as f:
+                return Index.parse(f.read())
+        except FileNotFoundError:
+            continue
+    return None
+
+
+def read_number(offset: int, inputs: int, number: int) -> int:
+    """An id for the record at a virtual offset of one of several files: the same however the files are cut. No two records begin
+    in the same 32 bytes."""
+    return (offset >> 16 << 11 | (offset & 0xFFFF) >> 5) * max(64, inputs) + number
+
+
 def reference_end(raw: bytes) -> int:
     """Where a record's alignment ends on the reference (0-based, not included); a read without bases there takes one."""
     pos, name_len, n_cigar = struct.unpack_from("<i", raw, 4)[0], raw[8], struct.unpack_from("<H", raw, 12)[0]
@@ -228,41 +302,81 @@ def bam_record(raw: bytes, contigs: list[tuple[str, int]], read_id: int, input_i
     )
 
 
+#: More than all places on a contig.
+ANYWHERE = -(1 << 31), 1 << 31
+
+
 class BamPartition(InputPartition):
-    def __init__(self, path: str, number: int, tid: int = -1, beg: int = 0, fin: int = 0):
-        super().__init__((path, number, tid, beg, fin))
+    def __init__(self, path: str, number: int, first: int | None, last: int | None):
+        super().__init__((path, number, first, last))
 
 
 class BamReader(DataSourceReader):
-    """One partition a file. Options: path, paths (comma-separated) on a folder that all tasks reach, and tid, beg, fin for
-    reads that overlap a range (0-based, fin not included; 0: to the end)."""
+    """Options: path, paths (one a line); tid, beg, fin for reads that overlap a range (0-based, fin not included; 0: to the
+    end); numbers (the inputs' own, one a path) and inputs, for ids; split, about how many bytes a part has at least (32 MB)."""
 
-    def __init__(self, options):
-        self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
+    def __init__(self, options, schema: StructType | None = None):
+        self.schema = to_arrow_schema(schema or StructType.fromDDL(FULL))  # tasks have no session to parse it
+        self.paths = [p for p in (options.get("paths") or options.get("path") or "").split("\n") if p]
         if not self.paths:
             raise ValueError("a path is needed")
         for p in self.paths:
             if p.endswith(".cram"):
                 raise ValueError(f"CRAM is not supported: {p}")
-        self.range = tuple(int(options.get(k, d)) for k, d in (("tid", -1), ("beg", 0), ("fin", 0)))
+        self.tid, self.beg, self.fin = (int(options.get(k, d)) for k, d in (("tid", -1), ("beg", 0), ("fin", 0)))
+        self.numbers = [int(n) for n in options["numbers"].split(",")] if "numbers" in options else list(range(len(self.paths)))
+        self.inputs, self.split = int(options.get("inputs", len(self.paths))), int(options.get("split", 32 << 20))
+        self.starts = list(ANYWHERE)  # what filters ask of pos: from, to excluded
 
     def partitions(self):
-        return [BamPartition(p, i, *self.range) for i, p in enumerate(self.paths)]
+        out = []
+        for path, number in zip(self.paths, self.numbers):
+            index, parts = index_of(path), [(None, None)]
+            if index is not None:
+                if self.tid >= 0:  # a read over a place from which on reads are asked for may begin before it
+                    beg, fin = max(self.beg, self.starts[0], 0), min(self.fin or 1 << 29, self.starts[1], 1 << 29)
+                    parts = index.stretches(self.tid, beg, fin) if beg < fin else []
+                cuts = index.cuts()
+                parts = [p for part in parts for p in cut(part, cuts, self.split)]
+            out += [BamPartition(path, number, *p) for p in parts]
+        return out
 
     def read(self, partition):
-        path, number, want, beg, fin = partition.value
-        with open(path, "rb") as f:
-            parts = bam_parts(blocks_of(f))
-            _, contigs = next(parts)
-            for n, raw in enumerate(parts):
+        if partition is None:  # no part has reads
+            return
+        path, number, first, last = partition.value
+        schema, rows = self.schema, []
+        with opened(path) as f:
+            _, contigs = next(bam_parts(blocks_of(f)))
+            for offset, raw in records_of(f, first, last):
                 tid, pos = struct.unpack_from("<ii", raw)
-                if want >= 0 and (tid != want or (fin and pos >= fin) or reference_end(raw) <= beg):
+                if self.tid >= 0 and (tid != self.tid or (self.fin and pos >= self.fin) or reference_end(raw) <= self.beg) or not self.starts[0] <= pos < self.starts[1]:
                     continue
-                yield bam_record(raw, contigs, n * max(64, len(self.paths)) + number, number)
+                rows.append(dict(zip(schema.names, bam_record(raw, contigs, read_number(offset, self.inputs, number), number))))
+                if len(rows) == 1024:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows = []
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+class FilteringBamReader(BamReader):
+    """For sessions that push filters into Python sources (spark.sql.python.filterPushdown.enabled)."""
+
+    def pushFilters(self, filters: Sequence[Filter]) -> Iterator[Filter]:
+        """Takes tid and pos into the choice of blocks; Spark applies all filters again."""
+        for f in filters:
+            value = getattr(f, "value", None)
+            if getattr(f, "attribute", None) == ("tid",) and isinstance(f, EqualTo) and self.tid in (-1, value):
+                self.tid = value
+            elif getattr(f, "attribute", None) == ("pos",) and isinstance(value, int):
+                low = {GreaterThan: value + 1, GreaterThanOrEqual: value, EqualTo: value}.get(type(f))
+                high = {LessThan: value, LessThanOrEqual: value + 1, EqualTo: value + 1}.get(type(f))
+                self.starts = [max(self.starts[0], self.starts[0] if low is None else low), min(self.starts[1], self.starts[1] if high is None else high)]
+            yield f
 
 
 class BamSource(DataSource):
-    """spark.read.format("bam").load(path)"""
+    """spark.read.format("bam").load(path); with the option pushdown = true it takes filters, as the session's setting must say too."""
 
     @classmethod
     def name(cls) -> str:
@@ -272,28 +386,51 @@ class BamSource(DataSource):
         return FULL
 
     def reader(self, schema):
-        return BamReader(self.options)
+        return (FilteringBamReader if self.options.get("pushdown") == "true" else BamReader)(self.options, schema)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
 
 
-def read_bam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 64) -> DataFrame:
-    """Alignments of BAM files on any file system that Spark reads: a file goes to a task whole, through the binaryFile source.
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Files that a path or pattern names, on any file system that Spark knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    if not found:
+        raise FileNotFoundError(path)
+    return sorted(str(x.getPath().toString()) for x in found)
+
 
-    Convert large files to Parquet once; a scan of that prunes by contig and position."""
+def read_bam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 64, split: int = 32 << 20) -> DataFrame:
+    """Alignments of BAM files on any file system that Spark reads. Several files of a pattern are one input; ids are by file."""
     if path.endswith(".cram"):
         raise ValueError(f"CRAM is not supported: {path}")
+    files = files_of(spark, path)
+    many = max(inputs, len(files))
+    try:
+        for f in files:
+            opened(f).close()
+    except Exception:  # not a file system of Arrow's: each file goes to a task whole
+        return _read_whole(spark, path, input_idx, many)
+    register(spark)
+    reader = spark.read.format("bam").option("paths", "\n".join(files)).option("split", split).option("inputs", many)
+    reader = reader.option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    if len(files) == 1:
+        return reader.option("numbers", input_idx).load()
+    return reader.load().withColumn("input_idx", F.lit(input_idx))
+
+
+def _read_whole(spark: SparkSession, path: str, input_idx: int, inputs: int) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(FULL))
 
     def run(batches):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
-                parts, rows = bam_parts(blocks(raw)), []
-                _, contigs = next(parts)
-                for n, record in enumerate(parts):
-                    rows.append(dict(zip(schema.names, bam_record(record, contigs, n * max(64, inputs) + input_idx, input_idx))))
+                f, rows = io.BytesIO(raw), []
+                _, contigs = next(bam_parts(blocks_of(f)))
+                for offset, record in records_of(f):
+                    rows.append(dict(zip(schema.names, bam_record(record, contigs, read_number(offset, inputs, input_idx), input_idx))))
                     if len(rows) == 4096:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
@@ -302,15 +439,27 @@ def read_bam(spark: SparkSession, path: str, input_idx: int = 0, inputs: int = 6
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FULL)
 
 
+def first_parts(spark: SparkSession, path: str) -> tuple[str, list[tuple[str, int]]]:
+    """Header text and contigs of a BAM file, of its first blocks."""
+    file = files_of(spark, path)[0]
+    try:
+        f = opened(file)
+    except Exception:  # not a file system of Arrow's: through Spark, in a task
+
+        def run(batches):
+            for batch in batches:
+                text, contigs = next(bam_parts(blocks(batch.column(0)[0].as_py())))
+                yield pa.RecordBatch.from_pylist([{"text": text, "names": [n for n, _ in contigs], "sizes": [k for _, k in contigs]}])
+
+        r = spark.read.format("binaryFile").load(file).select("content").mapInArrow(run, "text string, names array<string>, sizes array<long>").first()
+        return r["text"], list(zip(r["names"], r["sizes"]))
+    with f:
+        return next(bam_parts(blocks_of(f)))
+
+
 def bam_contigs(spark: SparkSession, path: str) -> DataFrame:
     """Contig dictionary of a BAM file: tid, name, len."""
-    def run(batches):
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                _, contigs = next(bam_parts(blocks(raw)))
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(contigs)), pa.int32()), pa.array([c[0] for c in contigs], pa.string()), pa.array([c[1] for c in contigs], pa.int64())], ["tid", "name", "len"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "tid int, name string, len long")
+    return spark.createDataFrame([(i, n, size) for i, (n, size) in enumerate(first_parts(spark, path)[1])], "tid int, name string, len long")
 
 
 def read_inputs(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -3,11 +3,10 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import normal_base
+from . import fasta
 
 REGION = re.compile(r"^(?P<chrom>[^:]+)(?::(?P<beg>[\d,]+)(?:-(?P<fin>[\d,]+))?)?$")
 REGIONS = "chrom string, beg long, fin long"
@@ -60,7 +59,11 @@ def contigs_of(index: DataFrame) -> DataFrame:
 
 
 def fasta_index(spark: SparkSession, path: str) -> DataFrame:
-    return contigs_of(spark.read.text(path))
+    """tid, name, len of a FASTA index file; where there is none, of the FASTA file beside it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return contigs_of(spark.read.text(path))
+    return fasta.index(spark, path.removesuffix(".fai")).select("tid", "name", "len")
 
 
 def autosomes(contigs: DataFrame, others: DataFrame | None = None) -> DataFrame:
@@ -79,24 +82,8 @@ def resolve(regions: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def fasta_tiles(spark: SparkSession, path: str, tile: int = 10_000) -> DataFrame:
-    """chrom, tile, beg (1-based), seq: a FASTA file cut into tiles, bases normalised.
-
-    The file is read as records split at '>' and cut inside the task that reads it, so one contig has to fit there."""
-    records = spark.read.option("lineSep", ">").text(path).filter(F.col("value") != "")
-
-    def run(batches):
-        for batch in batches:
-            for record in batch.column(0).to_pylist():
-                head, _, body = record.partition("\n")
-                seq = re.sub(r"\s+", "", body)
-                name = head.split()[0] if head.split() else ""
-                starts = list(range(0, len(seq), tile))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(starts), pa.string()), pa.array([s // tile for s in starts], pa.int64()), pa.array([s + 1 for s in starts], pa.int64()), pa.array([seq[s : s + tile] for s in starts], pa.string())], ["chrom", "tile", "beg", "seq"]
-                )
-
-    tiles = records.mapInArrow(run, "chrom string, tile long, beg long, seq string")
-    return tiles.withColumn("seq", normal_base(F.col("seq")))
+    """chrom, tile, beg (1-based), seq: a FASTA file cut into tiles, bases normalised."""
+    return fasta.tiles(spark, path, tile)
 
 
 def slices(spans: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_000, name: str = "ref_seq", start: str = "ref_beg") -> DataFrame:

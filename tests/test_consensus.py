@@ -299,3 +299,22 @@ def test_alleles_are_read_off_rows():
     # On the other haplotype: the reference, where the read goes over all of it.
     assert recall.allele(gone, recall.Row("ACTTGT", "ACTTGT", 0, 6), None, [0, 1, 2, 3, 4, 5], 1) == 0
     assert recall.allele(gone, recall.Row("ACTTGT", "ACTTGT", 0, 4), None, [0, 1, 2, 3, 4, 5], 1) is None
+
+
+def test_reads_over_a_range_of_sites():
+    from haploweave.operators.phase import Phaser, Profile
+
+    rng = random.Random(6)
+    profiles, reads = [], []
+    for _ in range(200):
+        p = Profile()
+        for i in range(first := rng.randrange(60), first + rng.choice([0, 1, 3, 30])):
+            p.put(i, 0)
+        profiles.append(p)
+        reads.append({"skipped": rng.random() < 0.1})
+    phaser = Phaser([], reads, profiles, O, 0)
+    for _ in range(200):
+        low = rng.randrange(70)
+        high = low + rng.choice([0, 0, 1, 5])
+        want = [r for r, p in enumerate(profiles) if 0 <= p.first <= high and p.last >= low and not reads[r]["skipped"]]
+        assert phaser.covering(low, high) == sorted(want, key=lambda r: profiles[r].first)
