@@ -9,6 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ranges import overlap_join
+from ..schemas import ALIGNMENT
+from ..sources.text import slices
+
+#: Reads go so far beyond the last start, and contigs with them.
+BEYOND = 2000
+#: Sites are shown by reads that go so many bases beyond them.
+MARGIN = 40
+#: Number of the base at a place, of A, C, G and T.
+BASE = "(((pos * 2654435761 + tid * 40503) >> 16) % 4)"
 
 VIEWS = {
     "fx_g": "SELECT 10 * COUNT(*) AS g FROM orders",
@@ -20,6 +29,7 @@ VIEWS = {
     "fx_chunks": "SELECT DISTINCT tid, pos - (pos - 1) % 5000 AS beg, pos - (pos - 1) % 5000 + 4999 AS fin FROM fx_sites",
     "fx_sidecar": "SELECT s_suppkey AS set_id, CAST(s_nationkey AS BIGINT) AS thread FROM supplier UNION SELECT s_suppkey, 100 + s_suppkey % 7 FROM supplier",
     "fx_hs": "SELECT read_id, read_id % n AS set_id FROM fx_reads CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c UNION SELECT read_id, (read_id * 3 + 1) % n FROM fx_reads CROSS JOIN (SELECT COUNT(*) AS n FROM supplier) c",
+    "fx_shown": f"SELECT o.read_id, o.tid, r.beg, r.fin, o.pos, o.typ, CASE WHEN o.typ = 'SNP' THEN SUBSTR('ACGT', CAST(({BASE.replace('pos', 'o.pos').replace('tid', 'o.tid')} + 1 + o.site_id % 3) % 4 AS INT) + 1, 1) WHEN o.typ = 'INS' THEN SUBSTR('ACGTACGT', CAST(o.site_id % 4 AS INT) + 1, CAST(1 + s.zyg % 3 AS INT)) ELSE '' END AS alt, CAST(CASE WHEN o.typ = 'SNP' THEN 1 WHEN o.typ = 'INS' THEN 0 ELSE s.zyg + 20 END AS INT) AS ref_len FROM fx_obs o JOIN fx_reads r ON o.read_id = r.read_id JOIN fx_sites s ON o.site_id = s.site_id WHERE o.allele = 1 AND o.pos >= r.beg + {MARGIN} AND o.pos + {MARGIN} <= r.fin",
 }
 CTE = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in VIEWS.items())
 
@@ -84,3 +94,53 @@ class Fixtures:
         n = self.table("supplier").count()
         r = self.reads().select("read_id")
         return r.select("read_id", (F.col("read_id") % n).alias("set_id")).unionByName(r.select("read_id", ((F.col("read_id") * 3 + 1) % n).alias("set_id"))).distinct()
+
+    # --- Alignments: what each read shows, as rows of an alignment file, and the reference that it is aligned to ---
+
+    def contigs(self) -> DataFrame:
+        return self.spark.range(4).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("chr"), F.col("id") + 1).alias("name"), F.lit(self.g + BEYOND).cast("long").alias("len"))
+
+    def reference(self, tile: int = 10_000) -> DataFrame:
+        """chrom, tile, beg, seq: bases are a function of their place."""
+        places = F.transform(F.sequence(F.col("beg"), F.least(F.col("beg") + tile - 1, F.col("len"))), lambda p: F.substring(F.lit("ACGT"), (F.shiftright(p * F.lit(2654435761) + F.col("tid") * 40503, 16) % 4).cast("int") + F.lit(1), F.lit(1)))
+        rows = self.contigs().select("tid", F.col("name").alias("chrom"), "len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / tile))).alias("tile"))
+        return rows.withColumn("beg", F.col("tile") * tile + 1).select("chrom", "tile", "beg", F.array_join(places, "").alias("seq"))
+
+    def shown(self) -> DataFrame:
+        """Sites where a read has the alternate: read_id, pos, typ, alt, ref_len."""
+        sites = self.sites().select(F.col("site_id").alias("of"), "zyg")
+        reads = self.reads().select(F.col("read_id").alias("by"), "beg", "fin")
+        rows = self.obs().filter("allele = 1").join(sites, F.col("site_id") == F.col("of")).join(reads, F.col("read_id") == F.col("by")).filter((F.col("pos") >= F.col("beg") + MARGIN) & (F.col("pos") + MARGIN <= F.col("fin")))
+        other = (F.shiftright(F.col("pos") * F.lit(2654435761) + F.col("tid") * 40503, 16) % 4 + 1 + F.col("site_id") % 3) % 4
+        alt = F.when(F.col("typ") == "SNP", F.substring(F.lit("ACGT"), other.cast("int") + F.lit(1), F.lit(1))).when(F.col("typ") == "INS", F.substring(F.lit("ACGTACGT"), (F.col("site_id") % 4).cast("int") + F.lit(1), (1 + F.col("zyg") % 3).cast("int"))).otherwise("")
+        size = F.when(F.col("typ") == "SNP", 1).when(F.col("typ") == "INS", 0).otherwise(F.col("zyg") + 20)
+        return rows.select("read_id", "pos", "typ", alt.alias("alt"), size.cast("int").alias("ref_len"))
+
+    def alignments(self) -> DataFrame:
+        """Rows of schemas.ALIGNMENT: each read's bases and CIGAR, of the reference and what it shows."""
+        told = self.shown().groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "typ", "alt", "ref_len"))).alias("sites"))  # a read covers a few
+        reads = self.reads().join(self.contigs().select(F.col("tid").alias("of"), F.col("name").alias("chrom")), F.col("tid") == F.col("of")).drop("of")
+        pieces = slices(reads.select("read_id", "chrom", "beg", "fin"), self.reference(), ["read_id"])
+        rows = reads.join(pieces, "read_id").join(told, "read_id", "left")
+        # From each site: what matches before it, and itself; then what matches to the end.
+        last = F.lit(0).cast("int")
+        start = F.struct(last.alias("at"), F.lit("").alias("cigar"), F.lit("").alias("seq"))
+
+        def step(done, site):
+            at = (site["pos"] - F.col("beg")).cast("int")
+            before = F.concat((at - done["at"]).cast("string"), F.lit("="))
+            own = F.when(site["typ"] == "SNP", F.lit("1X")).when(site["typ"] == "INS", F.concat(F.length(site["alt"]).cast("string"), F.lit("I"))).otherwise(F.concat(site["ref_len"].cast("string"), F.lit("D")))
+            return F.struct((at + site["ref_len"]).cast("int").alias("at"), F.concat(done["cigar"], before, own).alias("cigar"), F.concat(done["seq"], F.substring(F.col("ref_seq"), done["at"] + F.lit(1), at - done["at"]), site["alt"]).alias("seq"))
+
+        def end(done):
+            rest = F.length("ref_seq") - done["at"]
+            return F.struct(F.concat(done["cigar"], rest.cast("string"), F.lit("=")).alias("cigar"), F.concat(done["seq"], F.substring(F.col("ref_seq"), done["at"] + F.lit(1), rest)).alias("seq"))
+
+        none = F.array().cast("array<struct<pos:bigint,typ:string,alt:string,ref_len:int>>")
+        made = rows.withColumn("made", F.aggregate(F.coalesce("sites", none), start, step, end))
+        values = {
+            "qname": F.format_string("r%08d", "read_id"), "pos": F.col("beg") - 1, "cigar": F.col("made.cigar"), "seq": F.col("made.seq"), "flag": F.col("flag").bitwiseOR(16 * F.col("rev")),
+            "qual": F.unhex(F.repeat(F.lit("23"), F.length("made.seq"))), "nm": F.lit(0), "hs": F.array().cast("array<bigint>"),
+        }
+        kinds = dict(c.rsplit(" ", 1) for c in ALIGNMENT.split(", "))
+        return made.select(*[values.get(c, F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])

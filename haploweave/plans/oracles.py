@@ -103,6 +103,13 @@ ORACLE_SQL = {
     "vcf_projection": """SELECT chrom, vpos AS pos, ref, valt AS alt, 'PASS' AS filter, 'END=' || (vpos + length(ref) - 1) || ';CLEAN;DP=' || total_cov || ';REFC=' || ref_cov || ';ALTC=' || alt_cov || ';LQC=' || low_qual_cov || ';AF=' ||
         printf('%.6g', af) || ';CAT=' || category AS info FROM vr""",
     "phased_gt": "SELECT chrom, vpos AS pos, ref, valt AS alt, CASE WHEN one <> 0 AND two <> 0 THEN '1|1' WHEN one <> 0 THEN '1|0' ELSE '0|1' END AS gt, CASE WHEN (one <> 0) <> (two <> 0) AND p.phase_set > 0 THEN CAST(p.phase_set AS VARCHAR) ELSE '.' END AS ps FROM vr LEFT JOIN ps p ON vr.site_id = p.site_id",
+    "digar_events": """SELECT read_id, CAST(ord AS INT) AS ord, CAST(pos AS BIGINT) AS pos, type, CAST(len AS INT) AS len, CAST(qi AS INT) AS qi, false AS low_quality, alt FROM (
+        WITH v AS (SELECT read_id, beg, pos, typ, alt, ref_len, row_number() OVER w AS k, coalesce(lag(pos + ref_len) OVER w, beg) AS before,
+                     coalesce(sum(length(alt) - ref_len) OVER (PARTITION BY read_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM fx_shown JOIN ok USING (read_id, beg, fin) WINDOW w AS (PARTITION BY read_id ORDER BY pos)),
+        t AS (SELECT read_id, count(*) AS n, max(pos + ref_len) AS at, sum(length(alt) - ref_len) AS shift FROM fx_shown GROUP BY read_id)
+        SELECT read_id, 2 * k - 2 AS ord, before AS pos, 'EQ' AS type, pos - before AS len, before - beg + shift AS qi, '' AS alt FROM v
+        UNION ALL SELECT read_id, 2 * k - 1, pos, typ, CASE typ WHEN 'SNP' THEN 1 WHEN 'INS' THEN length(alt) ELSE ref_len END, pos - beg + shift, alt FROM v
+        UNION ALL SELECT r.read_id, 2 * coalesce(t.n, 0), coalesce(t.at, r.beg), 'EQ', r.fin + 1 - coalesce(t.at, r.beg), coalesce(t.at - r.beg + t.shift, 0), '' FROM ok r LEFT JOIN t ON r.read_id = t.read_id)""",
     "pivot_variant": """SELECT tid, site_id, category, total_cov FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY CASE category WHEN 'CLEAN_HET_SNP' THEN 0 ELSE 1 END, total_cov DESC, pos, site_id) AS rn
         FROM cls WHERE category IN ('CLEAN_HET_SNP', 'CLEAN_HET_INDEL')) WHERE rn = 1""",
 }

@@ -270,49 +270,61 @@ def simulated(spark: SparkSession):
     )
 
 
-def collect_candidates(spark, sf_dir):
-    """The whole run on simulated reads: candidates after stitching."""
+def projected_run(spark, sf_dir):
+    """The whole run over the projected alignments."""
     from .collect import collect_variation
 
-    found = collect_variation(spark, *simulated(spark), Options(chunk_size=10_000, output_alignment=True)).candidates
-    return found.select("tid", "pos", "type", "ref_len", "alt", *sites.COUNTERS, "af", "category", "init_category", "phase_set", "hap_alt", "hap_ref")
+    fx = Fixtures(spark, sf_dir)
+    return collect_variation(spark, fx.alignments(), fx.reference(), fx.contigs(), Options(chunk_size=10_000, output_alignment=True))
 
 
-def phased_read_table(spark, sf_dir):
-    """Reads of simulated tiles with haplotype and phase set."""
-    from .collect import collect_variation
+def collect_candidates(spark, sf_dir):
+    """The whole run: candidates after stitching."""
+    return projected_run(spark, sf_dir).candidates.select("tid", "pos", "type", "ref_len", "alt", *sites.COUNTERS, "af", "category", "init_category", "phase_set", "hap_alt", "hap_ref")
 
-    return collect_variation(spark, *simulated(spark), Options(chunk_size=10_000, output_alignment=True)).reads.select("chunk_id", "read_id", "qname", "beg", "fin", "skipped", "hap", "phase_set")
+
+def phased_read_table(spark, sf_dir):
+    """The whole run: reads of each tile with haplotype and phase set."""
+    return projected_run(spark, sf_dir).reads.select("chunk_id", "read_id", "qname", "beg", "fin", "skipped", "hap", "phase_set")
 
 
 def digar_events(spark, sf_dir):
-    """Events of simulated alignments."""
+    """Events of all alignments."""
     from ..operators.digars import parse_alignments
 
-    alignments, _, contigs = simulated(spark)
-    reads = parse_alignments(alignments, {"chr1": 30_000}, OPTIONS)
-    return reads.select("read_id", F.explode("digars").alias("d")).select("read_id", "d.*")
+    fx = Fixtures(spark, sf_dir)
+    reads = parse_alignments(fx.alignments(), {r["name"]: r["len"] for r in fx.contigs().collect()}, OPTIONS)
+    return reads.select("read_id", F.posexplode("digars").alias("ord", "d")).select("read_id", "ord", "d.*")
 
 
 def low_complexity_mask(spark, sf_dir):
-    """DUST intervals of a made-up genome with repeats in it, by tile with an overlap of one window."""
+    """DUST intervals of the reference with repeats in it (each customer's interval, as AC on end), by tile with an overlap of
+    two windows."""
     import pyarrow as pa
 
     from ..functions.dust import low_complexity
-    from . import simulate
+    from ..sources.text import slices
 
-    ref = simulate.genome(20_000)
-    for at in range(500, 20_000, 700):
-        ref = ref[:at] + "AC" * 20 + ref[at + 40 :]
-    rows = spark.createDataFrame([(i, ref[max(0, i - 40) : i + 2040]) for i in range(0, len(ref), 2000)], "beg long, seq string")
+    fx = Fixtures(spark, sf_dir)
+    size, over = 2000, 40
+    spans = fx.contigs().select("tid", F.col("name").alias("chrom"), "len", F.explode(F.sequence(F.lit(1).cast("long"), F.col("len"), F.lit(size).cast("long"))).alias("from"))
+    spans = spans.select("tid", "chrom", "from", F.greatest(F.col("from") - over, F.lit(1)).alias("beg"), F.least(F.col("from") + size - 1 + over, F.col("len")).alias("fin"))
+    pieces = slices(spans, fx.reference(), ["tid", "from"])
+    planted = ranges.overlap_join(spans.select("tid", "from", "beg", "fin"), fx.lowcomp()).groupBy("tid", "from").agg(F.collect_set(F.struct("r_beg", "r_fin")).alias("repeats"))
 
     def run(batches):
         for batch in batches:
-            for beg, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = [(b, e) for b, e in low_complexity(seq, beg=max(1, beg - 39))]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int32()), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["tid", "beg", "fin"])
-
-    return ranges.islands(rows.mapInArrow(run, "tid int, beg long, fin long")).select("tid", "beg", "fin")
+            out = []
+            for r in batch.to_pylist():
+                bases = list(r["ref_seq"])
+                for x in r["repeats"] or []:
+                    for p in range(max(x["r_beg"], r["ref_beg"]), min(x["r_fin"], r["ref_beg"] + len(bases) - 1) + 1):
+                        bases[p - r["ref_beg"]] = "AC"[p % 2]
+                out += [(r["tid"], b, e) for b, e in low_complexity("".join(bases), beg=r["ref_beg"])]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["tid", "beg", "fin"])
+
+    found = pieces.join(planted, ["tid", "from"], "left").mapInArrow(run, "tid int, beg long, fin long")
+    return ranges.islands(found).select("tid", "beg", "fin")
 
 
 QUERIES = {
