@@ -21,11 +21,11 @@ from .simhash import near_duplicates
 from .topk import top_k
 from .toxicity import classify
 from .trie import prefix_trie, rebuilt, turns
-from .warc import derive, responses
+from .warc import RECORD_COLUMNS, derive, responses
 
 
 def op1_warc_derivatives(spark, sf_dir):
-    return derive(responses(read(spark, sf_dir, "pages")), keep=["page_id"])
+    return derive(responses(read(spark, sf_dir, "pages").select("page_id", "url", "html")), keep=["page"]).select("page.page_id", *RECORD_COLUMNS)
 
 
 def op2_toxicity_chain(spark, sf_dir):

@@ -194,18 +194,23 @@ RECORD = T.StructType([T.StructField(c, T.LongType() if c == "content_length" el
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """Pages as response records: pages' columns, then record_id, target_uri, date, headers, block (named as in RESPONSE).
+    """Pages as response records: ``page``, a struct of all of pages' columns, and the columns of RESPONSE.
 
-    Record ids are made from id, URI and content."""
+    Record ids are made from id, URI and content. As the caller's columns are in one struct, none of their names can clash."""
+    id_col, url_col, html_col = f"`{id_col}`", f"`{url_col}`", f"`{html_col}`"
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")).cast("binary")
     name = F.sha1(F.concat_ws("\u0000", F.col(id_col).cast("string"), F.col(url_col), F.sha1(body)).cast("binary"))
     urn = F.concat(F.lit("<urn:uuid:"), *[x for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.substring(name, a, n), F.lit("-" if a < 21 else ">"))])
-    return pages.select("*", urn.alias("record_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), F.create_map().cast("map<string,string>").alias("headers"), F.concat(head, body).alias("block"))
+    page = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("page")
+    return pages.select(page, urn.alias("record_id"), F.col(url_col).alias("target_uri"), F.lit(date).alias("date"), F.create_map().cast("map<string,string>").alias("headers"), F.concat(head, body).alias("block"))
 
 
 def derive(source: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Derivative records of responses (columns of RESPONSE), each with the columns named in ``keep``."""
+    """Derivative records of responses (columns of RESPONSE), each with the columns named in ``keep``, such as ``page``. A column
+    that has a record column's name can't be kept under it: rename it, or put it into a struct."""
+    if clash := set(keep) & {f.name for f in RECORD}:
+        raise ValueError(f"names of record columns can't be kept: {sorted(clash)}")
     kept = [source.schema[c] for c in keep]
     out = T.StructType([*kept, *RECORD.fields])
     rows = source.select(*keep, *[F.col(f.name).alias(f"__{f.name}") for f in T.StructType.fromDDL(RESPONSE)])

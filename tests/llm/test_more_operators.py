@@ -33,12 +33,13 @@ def test_plain_text():
 
 def test_derivatives(spark, tmp_path):
     pages = spark.createDataFrame(page_rows(), PAGES)
-    source = warc.responses(pages.withColumnRenamed("block", "b").withColumnRenamed("record_type", "t"))
-    rows = warc.derive(source, keep=["page_id"]).collect()
+    source = warc.responses(pages)
+    rows = warc.derive(source, keep=["page"]).collect()
     assert len(rows) == 2 * len(page_rows())
     by = {}
     for r in rows:
-        by.setdefault((r.page_id, r.refers_to), {})[r.record_type] = r
+        assert r.page.block == "x" and r.page.record_type == "y"
+        by.setdefault((r.page.page_id, r.refers_to), {})[r.record_type] = r
         raw = r.block.encode()
         assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode() and r.content_length == len(raw)
     for pair in by.values():
@@ -50,7 +51,13 @@ def test_derivatives(spark, tmp_path):
     assert first["metadata"].source_payload_digest == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
     assert first["conversion"].block == "One\ntwo é€\nthree" and "title: A & B" in first["metadata"].block
     assert next(v for k, v in by.items() if k[0] == 2)["conversion"].target_uri is None
-    assert warc.derive(source.limit(0), keep=["page_id"]).count() == 0
+    assert warc.derive(source.limit(0), keep=["page"]).count() == 0
+    wide = pages.selectExpr("*", "url AS date", "1 AS headers", "2 AS record_id", "3 AS target_uri", "4 AS page", "5 AS content_length", "6 AS `a.b`")
+    again = warc.derive(warc.responses(wide), keep=["page"])
+    assert Counter((r.record_type, r.record_id, r.block) for r in again.collect()) == Counter((r.record_type, r.record_id, r.block) for r in rows)
+    assert again.select("page.*").columns == wide.columns and again.filter("page.headers <> 1 OR page.content_length <> 5 OR page.`a.b` <> 6").count() == 0
+    with pytest.raises(ValueError):
+        warc.derive(warc.responses(wide).withColumn("block_digest", F.lit(1)), keep=["block_digest"])
     # Files: write, read again, records are the same.
     records = warc.derive(source)
     warc.write(records, str(tmp_path / "w"))
