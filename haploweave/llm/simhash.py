@@ -213,14 +213,23 @@ class Forest:
 
 class Shortest(Forest):
     """Spanning forest of the least distances. Pairs come in blocks and are held until there are many, then only those of the
-    forest stay: where a pair is given up, pairs of less distance each connect its ends."""
+    forest stay: where a pair is given up, pairs of less distance each connect its ends. Once there is a forest, its trees
+    at each level of distance (of LEVEL bits) tell of most pairs at once that they are not needed, so a large group of near
+    copies leaves little to hold."""
 
-    def __init__(self, n: int, most: int = 1 << 20):
+    LEVEL = 8
+
+    def __init__(self, n: int, most: int = 1 << 18):
         super().__init__(n)
-        self.n, self.most, self.held, self.count = n, most, [], 0
+        self.n, self.most, self.held, self.count, self.trees = n, most, [], 0, None
 
     def near(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> None:
-        self.held.append(np.stack([*np.broadcast_arrays(a, b), d.astype(np.int64)], 1)[a != b])
+        a, b = np.broadcast_arrays(a, b)
+        new = a != b
+        if self.trees is not None:
+            level = np.minimum(d // self.LEVEL, len(self.trees) - 1)  # trees[k]: of pairs nearer than k levels
+            new = new & (self.trees[level, a] != self.trees[level, b])
+        self.held.append(np.stack([a[new], b[new], d[new].astype(np.int64)], 1))
         self.count += len(self.held[-1])
         if self.count > self.most + 2 * self.n:
             self.boiled()
@@ -241,8 +250,15 @@ class Shortest(Forest):
             chosen = np.unique(best[best < len(rows)])
             taken[chosen] = True
             trees.join(rows[chosen, 0], rows[chosen, 1])
-        self.held, self.count = [rows[taken]], int(taken.sum())
-        return rows[taken]
+        rows = rows[taken]
+        self.held, self.count = [rows], len(rows)
+        level, trees, found = rows[:, 2] // self.LEVEL, Forest(self.n), []
+        for k in range(int(level.max()) + 2 if len(rows) else 1):
+            here = level == k - 1
+            trees.join(rows[here, 0], rows[here, 1])
+            found.append(trees.flat().astype(np.int32))
+        self.trees = np.stack(found)
+        return rows
 
 
 class Nearness:

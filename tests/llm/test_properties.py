@@ -111,3 +111,27 @@ def test_bpe_equals_the_library_on_every_code_point(before):
     for low in range(0, 0x110000, step):
         text = " ".join(before + chr(c) for c in range(low, low + step) if not 0xD800 <= c < 0xE000)
         assert array("I", bpe.encode(text, v)).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, hex(low)
+
+
+@COMMON
+@given(st.integers(2, 12), st.lists(st.tuples(st.integers(0, 11), st.integers(0, 11), st.integers(0, 60)), max_size=60), st.sampled_from([0, 5, 1000]))
+def test_forest_of_least_distances(n, pairs, most):
+    """For each limit of distance, the pairs kept connect what all pairs connect."""
+    pairs = [(a % n, b % n, d) for a, b, d in pairs]
+    forest = simhash.Shortest(n, most)
+    for at in range(0, len(pairs), 7):
+        some = np.array(pairs[at : at + 7]).reshape(-1, 3)
+        forest.near(some[:, 0], some[:, 1], some[:, 2])
+    kept = forest.boiled()
+    assert len(kept) < n
+
+    def groups(rows, limit):
+        root = list(range(n))
+        for a, b, d in rows:
+            if d <= limit:
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+        return root
+
+    for limit in range(61):
+        assert groups(kept.tolist(), limit) == groups(pairs, limit)
