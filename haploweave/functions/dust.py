@@ -7,54 +7,53 @@ span a base other than A, C, G, T.
 """
 from __future__ import annotations
 
+import re
+
+import numpy as np
+
 
 def runs(seq: str):
     """(start, sequence) of maximal runs of A, C, G, T."""
-    at = 0
-    seq = seq.upper()
-    while at < len(seq):
-        if seq[at] not in "ACGT":
-            at += 1
-            continue
-        end = at
-        while end < len(seq) and seq[end] in "ACGT":
-            end += 1
-        yield at, seq[at:end]
-        at = end
+    return ((m.start(), m.group()) for m in re.finditer("[ACGT]+", seq.upper()))
 
 
-def perfect(words: list[int], threshold: int, most: int):
-    """(first, last) word of each perfect interval, by the last word."""
-    # Scores are compared as fractions: pairs over words less one... held as integer pairs to stay exact.
-    best_inside: dict[int, tuple[int, int]] = {}  # by first word: the best (pairs, size) of intervals inside that end before
-    for last in range(len(words)):
-        counts: dict[int, int] = {}
-        pairs = 0
-        inside = (0, 1)
-        for first in range(last, max(-1, last - most), -1):
-            w = words[first]
-            pairs += counts.get(w, 0)
-            counts[w] = counts.get(w, 0) + 1
-            size = last - first
-            # Best over intervals within [first, last]: those ending here and starting later, and those ending before.
-            before = best_inside.get(first, (0, 1))
-            if before[0] * inside[1] > inside[0] * before[1]:
-                inside = before
-            if size and 10 * pairs > threshold * size and pairs * inside[1] >= inside[0] * size:
-                yield first, last
-            if size and pairs * inside[1] > inside[0] * size:
-                inside = (pairs, size)
-            best_inside[first] = inside
-        best_inside.pop(last - most, None)
+def perfect(words: np.ndarray, threshold: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) words of the perfect intervals, for all first words at once, size by size."""
+    n = len(words)
+    equal = [None] + [words[:-d] == words[d:] for d in range(1, min(most, n))]
+    pairs = np.zeros(n, np.int64)
+    # Best score of the intervals within each one of the size before, as pairs and words less one: held exact.
+    best, of = np.zeros(n, np.int64), np.ones(n, np.int64)
+    firsts, lasts = [], []
+    for size in range(1, min(most, n)):
+        pairs = pairs[: n - size].copy()
+        for d in range(1, size + 1):
+            pairs += equal[d][size - d : n - d]
+        left, left_of, right, right_of = best[: n - size], of[: n - size], best[1 : n - size + 1], of[1 : n - size + 1]
+        higher = right * left_of > left * right_of
+        best, of = np.where(higher, right, left), np.where(higher, right_of, left_of)
+        good = (10 * pairs > threshold * size) & (pairs * of >= best * size)
+        firsts.append(np.flatnonzero(good))
+        lasts.append(firsts[-1] + size)
+        higher = pairs * of > best * size
+        best, of = np.where(higher, pairs, best), np.where(higher, size, of)
+    return (np.concatenate(firsts), np.concatenate(lasts)) if firsts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+#: Numbers of the bases.
+CODES = np.zeros(256, np.int64)
+CODES[[ord(c) for c in "ACGT"]] = range(4)
 
 
 def low_complexity(seq: str, threshold: int = 5, window: int = 20, beg: int = 1) -> list[tuple[int, int]]:
     """Masked intervals, 1-based and closed if the sequence starts at beg, sorted and apart."""
     found: list[tuple[int, int]] = []
     for start, run in runs(seq):
-        codes = ["ACGT".index(c) for c in run]
-        words = [codes[i] * 16 + codes[i + 1] * 4 + codes[i + 2] for i in range(len(run) - 2)]
-        found += [(start + a, start + b + 3) for a, b in perfect(words, threshold, window - 2)]
+        codes = CODES[np.frombuffer(run.encode(), np.uint8)]
+        if len(codes) < 3:
+            continue
+        first, last = perfect(codes[:-2] * 16 + codes[1:-1] * 4 + codes[2:], threshold, window - 2)
+        found += zip((first + start).tolist(), (last + start + 3).tolist())
     out: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if out and a <= out[-1][1]:
