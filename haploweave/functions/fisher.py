@@ -2,6 +2,7 @@
 from functools import lru_cache
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -26,10 +27,11 @@ def strand_pvalue(forward: int, reverse: int) -> float:
 
 
 def strand_pvalue_column(forward, reverse):
-    """strand_pvalue over columns, in Arrow batches: SQL has no log-gamma function."""
+    """strand_pvalue over columns, in Arrow batches: SQL has no log-gamma function. A pair of counts is worked out once a batch."""
 
     @F.pandas_udf("double")
     def pvalues(f: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([strand_pvalue(int(x), int(y)) for x, y in zip(f, r)], dtype=float)
+        pairs, place = np.unique(np.stack([f, r], axis=1), axis=0, return_inverse=True)
+        return pd.Series(np.array([strand_pvalue(int(x), int(y)) for x, y in pairs], float)[place.ravel()])
 
     return pvalues(forward, reverse)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import mean_quality
 from ..options import Options
 from ..schemas import CATEGORY_BIT, CLEAN
-from .ranges import STRETCH, numbered
+from .ranges import STRETCH, beside, numbered, stretched
 from .sites import first_site, site_key, site_of
 
 HET_SNP, HET_INDEL, HOM = (CATEGORY_BIT[c] for c in ("CLEAN_HET_SNP", "CLEAN_HET_INDEL", "CLEAN_HOM"))
@@ -360,13 +360,13 @@ def carry_anchors(sites: DataFrame, on: str, order: list[str], anchor, starts, n
     """Anchor of the last site that starts a phase set, carried along the order, which begins with the place on the contig.
 
     In two levels, within stretches of a contig and from stretch to stretch, so that no task holds a contig."""
-    rows = sites.withColumn("__stretch", F.floor(F.col(order[0]) / STRETCH)).withColumn("__start", F.when(starts, anchor))
-    ends = rows.groupBy(F.col(on).alias("__of"), F.col("__stretch").alias("__at")).agg(F.max_by("__start", F.when(F.col("__start").isNotNull(), F.struct(*order))).alias("__last"))
-    carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy("__of").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)))
-    within = Window.partitionBy(on, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    here = rows.withColumn("__here", F.last("__start", ignorenulls=True).over(within))
-    joined = here.join(carried.select("__of", "__at", "__carried"), F.col(on).eqNullSafe(F.col("__of")) & F.col("__stretch").eqNullSafe(F.col("__at")))
-    return joined.select(*sites.columns, F.coalesce("__here", "__carried").alias(name))
+    rows = stretched(sites.withColumn("__start", F.when(starts, anchor)), [on], F.col(order[0]), STRETCH)
+    keys = [on, "__stretch", "__part"]
+    ends = rows.groupBy(*keys).agg(F.max_by("__start", F.when(F.col("__start").isNotNull(), F.struct(*order))).alias("__last")).select(*[F.col(c).alias(f"__of_{c}") for c in keys], "__last")
+    carried = ends.withColumn("__carried", F.last("__last", ignorenulls=True).over(Window.partitionBy(f"__of_{on}").orderBy("__of___stretch").rowsBetween(Window.unboundedPreceding, -1))).drop("__last")
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.repartition("__part").withColumn("__here", F.last("__start", ignorenulls=True).over(within))
+    return beside(here, carried, [on]).select(*sites.columns, F.coalesce("__here", "__carried").alias(name))
 
 
 def read_phase_sets(observations: DataFrame, order: list[str]) -> DataFrame:

@@ -108,20 +108,40 @@ def overlap_counts(intervals: DataFrame, others: DataFrame, key: Sequence[str],
     return left.join(told, match, "left").select(*key, F.coalesce("__n", F.lit(0)).cast("long").alias(name))
 
 
+def stretched(rows: DataFrame, on: Sequence[str], place: Column, stretch: int) -> DataFrame:
+    """rows with __stretch and __part, a hash of group and stretch. Dealt to tasks by __part, rows need no other exchange for
+    what is worked out within stretches and for a join with a row a stretch (``beside``)."""
+    cut = rows.withColumn("__stretch", F.floor(place / stretch))
+    return cut.withColumn("__part", F.xxhash64(*on, "__stretch"))
+
+
+def beside(rows: DataFrame, stretches: DataFrame, on: Sequence[str]) -> DataFrame:
+    """rows of ``stretched``, dealt by __part, joined with a row a stretch, whose group, stretch and part are named __of_<name>.
+    Only parts are the join's keys, so rows stay where they are."""
+    match = (F.col("__part") == F.col("__of___part")) & _alike("__stretch")
+    for c in on:
+        match &= _alike(c)
+    return rows.join(stretches, match)
+
+
+def _alike(c: str) -> Column:
+    """Equal, or both null, in a form that is no key of a join."""
+    a, b = F.col(c), F.col(f"__of_{c}")
+    return ((a >= b) & (a <= b)) | (a.isNull() & b.isNull())
+
+
 def running_sums(rows: DataFrame, on: Sequence[str], order: Sequence, sums: dict[str, str], stretch: int = STRETCH) -> DataFrame:
     """rows with sums of columns over all rows of a group up to and with the own; order begins with a place along the group.
 
     In two levels, within stretches of the group and over the stretches' totals, so that no task holds a group."""
-    cut = rows.withColumn("__stretch", F.floor(order_column(order[0]) / stretch))
-    within = Window.partitionBy(*on, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*[f"__of_{c}" for c in on]).orderBy("__of_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*[F.col(c).alias(f"__of_{c}") for c in on], F.col("__stretch").alias("__of_stretch")).agg(*[F.sum(c).alias(f"__sum_{i}") for i, c in enumerate(sums)])
+    cut = stretched(rows, on, order_column(order[0]), stretch)
+    keys = [*on, "__stretch", "__part"]
+    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*[f"__of_{c}" for c in on]).orderBy("__of___stretch").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys).agg(*[F.sum(c).alias(f"__sum_{i}") for i, c in enumerate(sums)]).select(*[F.col(c).alias(f"__of_{c}") for c in keys], *[f"__sum_{i}" for i in range(len(sums))])
     # A row a stretch.
-    offsets = totals.select(*[f"__of_{c}" for c in on], "__of_stretch", *[F.coalesce(F.sum(f"__sum_{i}").over(before), F.lit(0)).alias(f"__off_{i}") for i in range(len(sums))])
-    match = F.col("__stretch").eqNullSafe(F.col("__of_stretch"))
-    for c in on:
-        match &= F.col(c).eqNullSafe(F.col(f"__of_{c}"))
-    summed = cut.withColumns({f"__in_{i}": F.sum(c).over(within) for i, c in enumerate(sums)}).join(offsets, match)
+    offsets = totals.select(*[f"__of_{c}" for c in keys], *[F.coalesce(F.sum(f"__sum_{i}").over(before), F.lit(0)).alias(f"__off_{i}") for i in range(len(sums))])
+    summed = beside(cut.repartition("__part").withColumns({f"__in_{i}": F.sum(c).over(within) for i, c in enumerate(sums)}), offsets, on)
     return summed.select(*rows.columns, *[(F.col(f"__in_{i}") + F.col(f"__off_{i}")).alias(name) for i, name in enumerate(sums.values())])
 
 
