@@ -30,7 +30,7 @@ from haploweave.llm.bpe import Decoder, Vocabulary, transcode
 from haploweave.llm.common import read, shared_folder
 from haploweave.llm.exact_dedup import exact_dedup
 from haploweave.llm.mixing import mix
-from haploweave.llm.simhash import bits_apart, near_dedup
+from haploweave.llm.simhash import near_dedup
 from haploweave.llm.toxicity import classify
 
 
@@ -47,8 +47,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shingles of five words, similarity 0.8 and more, searched by 1024 bits; of each group the document with the least id stays."""
-    return near_dedup(docs, words=5, length=16, radius=bits_apart(0.8, 16, 2.5), similarity=0.8, shard_rows=131_072, block_rows=524_288)
+    """Shingles of five words, all pairs of similarity 0.8 and more; of each group the document with the least id stays."""
+    return near_dedup(docs, words=5, similarity=0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,10 +28,12 @@ tree, searched with ``reach`` 2: ``found_part`` tells what part of the pairs som
 brings together (0.98 at a similarity of 0.8 with 32 halves). In a shard a pair is told by
 the first ``TOLD`` words, with a margin, and what a shard links is the spanning forest
 of least distances, so that a copy is linked to what it is nearest to. Each linked pair
-is then held against the radius on all bits, and, with a ``similarity``, against the
-Jaccard similarity of the two texts' shingle sets, so no link is below it. What can be
-lost are pairs that no half brings together, and links that a forest replaces by
-shorter ones which then fail: with many copies of one text that are unlike each other.
+is then held against the radius on all bits. What can be lost are pairs that no half
+brings together, and links that a forest replaces by shorter ones which then fail.
+
+With a ``similarity`` documents are linked by the Jaccard similarity of their shingle sets:
+linked pairs are held against it, so no link is below it, and ``overlap`` finds the pairs
+that the fingerprints leave out, so none is missed, whatever the radius and the length.
 
 Defined results: null and wordless texts have fingerprint zero and link like any
 other; fewer words than a shingle are one shingle; equal fingerprints are one
@@ -53,6 +55,7 @@ from pyspark.sql import functions as F
 from .common import as_binary, checkpoint, maybe, sampled, words_of
 from .components import components
 from .lm import mix
+from .overlap import keyed, shingles_of, similar_components  # noqa: F401
 
 LANES = 0x0101010101010101
 CHUNK = 255 * 256  # shingles that are counted at once
@@ -436,45 +439,20 @@ def links(nodes: DataFrame, radius: int = 3, length: int = 1, reach: int | None
     return found.join(side("a"), "a").join(side("b"), "b").filter(apart <= radius).select("a", "b")
 
 
-def shingles_of(raw: bytes | None, words: int) -> set[bytes]:
-    w = words_of(raw)
-    return {b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
-
-
-def alike(pairs: DataFrame, docs: DataFrame, fps: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b of nodes) whose texts' shingle sets have a Jaccard similarity of so much. A node's text is that of
-    least hash; only texts of nodes in a pair are moved."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = checkpoint(fps.groupBy("node").agg(F.min("key").alias("key")).join(ends, "node"))
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("key"))
-    found = maybe(rows, wanted.select("key"), "key").filter("maybe").groupBy("key").agg(F.first("text").alias("text"))
-    texts = checkpoint(wanted.join(found, "key").select("node", "text"))
-    # Joined by an expression, so that both sides are exchanged for the join and a node with many pairs is split.
-    side = lambda c: texts.select((F.col("node").cast("decimal(20,0)") + 1).alias(f"of_{c}"), F.col("text").alias(f"text_{c}"))
-    at = lambda c: F.col(c).cast("decimal(20,0)") + 1 == F.col(f"of_{c}")
-    both = pairs.join(side("a"), at("a")).join(side("b"), at("b")).select("a", "b", "text_a", "text_b")
-
-    def run(batches):
-        last, last_set = None, set()
-        for batch in batches:
-            good = []
-            for x, y in zip(as_binary(batch.column(2)).to_pylist(), as_binary(batch.column(3)).to_pylist()):
-                if x != last:
-                    last, last_set = x, shingles_of(x, words)
-                other = shingles_of(y, words)
-                good.append(len(last_set & other) >= similarity * len(last_set | other))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, seed: int = 42, length: int = 1, similarity: float | None = None, **sizes) -> DataFrame:
-    """A row for each row of docs: doc_id, node, fp (array of signed longs), component_id. With a similarity, linked pairs are
-    held against the Jaccard similarity of their shingle sets."""
+    """A row for each row of docs: doc_id, node, fp (array of signed longs), component_id. With a similarity, documents
+    are linked by the Jaccard similarity of their shingle sets, all that have it."""
     fps = checkpoint(fingerprints(docs, id_col, text_col, words, seed, length))
-    nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"))
+    nodes = fps.groupBy("node", "fp").agg(F.min("doc_id").alias("first_id"), F.min("key").alias("first_key"))
     linked = links(nodes, radius, length, **sizes)
-    label = components(linked if similarity is None else alike(checkpoint(linked), docs, fps, text_col, words, similarity))
+    if similarity is not None:
+        key = lambda c: nodes.select(F.col("node").alias(c), F.col("first_key").alias(f"key_{c}"))
+        known = linked.join(key("a"), "a").join(key("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        same = fps.join(nodes.select("node", "first_key"), "node").select(F.col("key").alias("a"), F.col("first_key").alias("b"))
+        label = similar_components(keyed(docs, text_col), words, similarity, known.unionByName(same))
+        rooted = fps.join(label.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "node", "fp", F.coalesce("root", "key").alias("root"))
+        return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "node", "fp", "component_id")
+    label = components(linked)
     rooted = nodes.select("node", "first_id").join(label, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return fps.join(rooted.join(least, "root").select("node", "component_id"), "node").select("doc_id", "node", "fp", "component_id")

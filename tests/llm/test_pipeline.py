@@ -137,3 +137,33 @@ def test_a_cluster_needs_a_shared_folder(monkeypatch):
     sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty, isLocal=lambda: False)), getConf=lambda: SimpleNamespace(get=lambda *a: None))
     with pytest.raises(RuntimeError):
         common.shared_folder(SimpleNamespace(sparkContext=sc))
+
+
+def test_near_copies_are_all_found(spark):
+    """All copies with six words of 300 changed, 0.81 like the text that they are of and 0.66 like each other, and chains of
+    copies, whatever the fingerprints tell; against brute force."""
+    rng = np.random.default_rng(1)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+    rows = [(0, " ".join(base)), (1000, None), (1001, " \t"), (1002, "two words"), (1003, "Two  words")]
+    for k in range(1, 301):
+        words = list(base)
+        for at in rng.choice(300, 6, replace=False):
+            words[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(words)))
+    for chain in range(40):  # each a few words on from the one before
+        words = [f"v{x}" for x in rng.integers(0, 300, 60)]
+        for step in range(5):
+            rows.append((301 + chain * 5 + step, " ".join(words)))
+            words = words[:30] + [f"u{chain}s{step}"] + words[30 + step % 2 :] if step % 2 else words[1:]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets, root = {k: shingles_of((t or "").encode(), 5) for k, t in rows}, {k: k for k, _ in rows}
+    ids = sorted(root)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root |= {k: lo for k, r in root.items() if r == hi}
+    assert len(set(root.values())) < 250
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, words=5, similarity=0.8).collect()} == root
+    copies = corpus_pipeline.near_copies(spark, docs, SF)
+    assert {r.doc_id for r in copies.collect()} == set(root.values())
