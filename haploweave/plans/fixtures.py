@@ -5,9 +5,12 @@ in SQL is ``CTE``, for the queries' oracles.
 """
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.digars import pieces
 from ..operators.ranges import overlap_join
 from ..schemas import ALIGNMENT
 from ..sources.text import slices
@@ -34,6 +37,15 @@ VIEWS = {
 CTE = "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in VIEWS.items())
 
 
+def bases(beg: int, fin: int, tid: int) -> str:
+    """Bases of a contig from place beg to fin."""
+    return np.frombuffer(b"ACGT", np.uint8)[((np.arange(beg, fin + 1, dtype=np.int64) * 2654435761 + tid * 40503) >> 16) % 4].tobytes().decode()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Fixtures:
     """The projection as DataFrames, made with DataFrame code."""
 
@@ -102,9 +114,18 @@ class Fixtures:
 
     def reference(self, tile: int = 10_000) -> DataFrame:
         """chrom, tile, beg, seq: bases are a function of their place."""
-        places = F.transform(F.sequence(F.col("beg"), F.least(F.col("beg") + tile - 1, F.col("len"))), lambda p: F.substring(F.lit("ACGT"), (F.shiftright(p * F.lit(2654435761) + F.col("tid") * 40503, 16) % 4).cast("int") + F.lit(1), F.lit(1)))
         rows = self.contigs().select("tid", F.col("name").alias("chrom"), "len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / tile))).alias("tile"))
-        return rows.withColumn("beg", F.col("tile") * tile + 1).select("chrom", "tile", "beg", F.array_join(places, "").alias("seq"))
+        begins = F.col("tile") * tile + 1
+        # Four contigs are four rows, so tiles are dealt out before their bases are made.
+        rows = rows.select("chrom", "tile", begins.alias("beg"), F.least(begins + tile - 1, F.col("len")).alias("fin"), "tid").repartition(max(partitions(self.spark), self.spark.sparkContext.defaultParallelism), "chrom", "tile")
+
+        def made(batches):
+            for whole in batches:
+                for batch in pieces(whole, 64):
+                    seq = [bases(*x) for x in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)))]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(seq, pa.string())], ["chrom", "tile", "beg", "seq"])
+
+        return rows.mapInArrow(made, "chrom string, tile long, beg long, seq string")
 
     def shown(self) -> DataFrame:
         """Sites where a read has the alternate: read_id, pos, typ, alt, ref_len."""
