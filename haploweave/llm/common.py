@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,11 @@ def as_binary(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_binary() if large else pa.binary())
 
 
+def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch by so many rows, so that what a task holds of its texts as Python objects is small."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session has: operators size their own groups by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

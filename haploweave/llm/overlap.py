@@ -2,8 +2,9 @@
 
 Shingles have one order, rare ones first. Sets of n and m shingles with a similarity of t share at least t (n + m) / (1 + t)
 of them, so one of the first n - ceil(t n) + 1 of each is shared (the prefix), and all but ceil(t n) - 1 of the shared ones,
-with the greater of n and m, are in both prefixes (``needed``). The order is made of the counts in a bounded sample of texts
-(``order_rows``); any order gives the same pairs, a worse one only more candidates.
+with the greater of n and m, are in both prefixes (``needed``). The order is made of the counts in a sample of texts, a fixed
+share of them (``ORDER_SHARE``, or ``order_rows`` where that is more), so that a shingle is known as frequent at the same
+frequency however large the table; any order gives the same pairs, a worse one only more candidates.
 
 Candidates. A shingle in few prefixes (``few``) gives all its pairs. A crowded one first gives a star, about the text that
 has most shingles in common with others. When the pairs found so far (and those that the caller knows) are joined to
@@ -23,10 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_binary, checkpoint, maybe, sampled, words_of
+from .common import as_binary, checkpoint, maybe, pieces, words_of
 from .components import components
 
 TINY = 1e-9
+#: One text in so many tells of the shingles' order.
+ORDER_SHARE = 8
 
 
 def shingles_of(raw: bytes | None, words: int) -> set[bytes]:
@@ -52,16 +55,18 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"))
 
 
-def frequent(texts: DataFrame, words: int, order_rows: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the shingles that several texts of a sample have."""
+def frequent(texts: DataFrame, words: int, order_rows: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that several texts of a sample have; the ``most`` most frequent."""
 
     def run(batches):
-        for batch in batches:
-            for t in as_binary(batch.column(0)).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(hashed(t, words).view(np.int64))], ["token"])
-
-    some = sampled(texts, texts.count(), order_rows, "key").select("text").mapInArrow(run, "token long")
-    found = some.groupBy("token").count().filter("count > 2").orderBy(F.desc("count"), "token").limit(most).toArrow()
+        for batch in (part for whole in batches for part in pieces(whole)):
+            found, n = np.unique(np.concatenate([hashed(t, words) for t in as_binary(batch.column(0)).to_pylist()]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    # A filter by the key: the sample grows with the table and goes through no single task.
+    part = min(1 / ORDER_SHARE if (total := texts.count()) > ORDER_SHARE * order_rows else order_rows / max(1, total), 1.0)
+    some = texts if part == 1 else texts.filter(F.xxhash64("key", F.lit(11)) < F.lit(int(part * 2**64) - 2**63))
+    found = some.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "token").limit(most).toArrow()
     token, n = found.column(0).to_numpy().view(np.uint64), found.column(1).to_numpy()
     at = np.argsort(token)
     return token[at], n[at]
@@ -73,7 +78,7 @@ def prefixes(texts: DataFrame, words: int, similarity: float, order_rows: int) -
 
     def run(batches):
         known, counts = sent.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             tokens, sizes = [], []
             for t in as_binary(batch.column(1)).to_pylist():
                 h = hashed(t, words)
@@ -82,8 +87,6 @@ def prefixes(texts: DataFrame, words: int, similarity: float, order_rows: int) -
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     h = h[np.argsort(np.where(known[at] == h, counts[at], 0), kind="stable")]
                 tokens.append(h[: len(h) - least_shared(len(h), similarity) + 1] if len(h) else np.zeros(1, np.uint64))
-            if not tokens:
-                continue
             each = [len(x) for x in tokens]
             key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), each)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["token", "key", "n"])
@@ -102,7 +105,7 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, mos
 
     def run(batches):
         mine = set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             good = []
             for first, t in zip(batch.column(2).to_pylist(), as_binary(batch.column(4)).to_pylist()):
                 own = shingles_of(t, words)

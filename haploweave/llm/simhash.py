@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, checkpoint, maybe, sampled, words_of
+from .common import as_binary, checkpoint, maybe, pieces, sampled, words_of
 from .components import components
 from .lm import mix
 from .overlap import keyed, shingles_of, similar_components  # noqa: F401
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, node (a long: the 64 bits, or a hash of more), fp (array of the words as signed longs), key (hash of the text)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             texts = as_binary(batch.column(1)).to_pylist()
             fps = np.array([signature(t, words, seed, length) for t in texts], np.uint64).reshape(-1, length)
             node = fps[:, 0] if length == 1 else np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in fps), np.uint64, len(fps))

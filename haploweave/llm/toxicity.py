@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_binary, words_of
+from .common import as_binary, pieces, words_of
 
 STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SHAPES, PREFIX = 4, 5
@@ -200,7 +200,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "sc
 
     def run(batches):
         model = Chain(*sent.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             found = np.array([model.probabilities(t) for t in as_binary(batch.column(place)).to_pylist()], float).reshape(-1, len(model.categories))
             values = [pa.array(found[:, k]) for k in range(found.shape[1])] + [pa.array(found[:, k] >= t) for k, t in enumerate(model.thresholds)]
             column = pa.StructArray.from_arrays(values, fields)
