@@ -37,6 +37,9 @@ PHASED_READ = "struct<read_id:bigint,qname:string,input_idx:int,beg:bigint,fin:b
 SUPPORT = "struct<pos:bigint,type:string,ref_len:int,alt:string,qname:string,is_alt:int,low_qual:int,rev:boolean,mapq:int>"
 CHUNK = f"chunk_id bigint, tid int, beg bigint, fin bigint, sites array<{SITE}>, reads array<{PHASED_READ}>, support array<{SUPPORT}>, noisy array<struct<beg:bigint,fin:bigint,label:int>>"
 
+#: So many tiles are broadcast at most, about 100 bytes each.
+MOST_TILES = 1 << 18
+
 
 def process_tile(reads: list[dict], window: Window, beg: int, fin: int, options: Options) -> dict:
     """Sites, phased reads, observations and noisy intervals of a tile."""
@@ -86,15 +89,18 @@ class Result:
 
 def with_reference(alignments: DataFrame, reference: DataFrame) -> DataFrame:
     """Alignments beside their piece of reference, where only that tells matches from mismatches."""
-    some = alignments.filter(needs_reference() & F.col("cs").isNull() & F.col("md").isNull())
+    needs = F.coalesce(needs_reference(), F.lit(False)) & F.col("cs").isNull() & F.col("md").isNull()
+    some, rest = alignments.filter(needs), alignments.filter(~needs)
     span = F.coalesce(F.aggregate(F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), 1), F.lit(0).cast("long"), lambda n, x: n + x.cast("long")), F.lit(1).cast("long"))
     pieces = text.slices(some.select("read_id", "chrom", (F.col("pos") + 1).alias("beg"), (F.col("pos") + F.greatest(span, F.lit(1))).alias("fin")), reference, ["read_id"])
-    return alignments.join(pieces, "read_id", "left")
+    # Only those that need it are moved beside it.
+    return rest.select("*", F.lit(None).cast("string").alias("ref_seq"), F.lit(None).cast("long").alias("ref_beg")).unionByName(some.join(pieces, "read_id", "left"))
 
 
-def collect_variation(spark: SparkSession, alignments: DataFrame, reference: DataFrame, contigs: DataFrame, options: Options = Options(), regions: DataFrame | None = None, sidecar: DataFrame | None = None) -> Result:
+def collect_variation(spark: SparkSession, alignments: DataFrame, reference: DataFrame, contigs: DataFrame, options: Options = Options(), regions: DataFrame | None = None, sidecar: DataFrame | None = None, spelled: bool = False) -> Result:
     """alignments: schemas.ALIGNMENT; reference: chrom, tile, beg, seq; contigs: tid, name, len; regions: chrom, beg, fin;
-    sidecar: set_id, thread. Regions of the argument and all that the options name are united, as they are."""
+    sidecar: set_id, thread. Regions of the argument and all that the options name are united, as they are. spelled: all
+    alignments tell matches from mismatches themselves, so none is read beside the reference."""
     o = options
     names = {r["name"]: r["len"] for r in contigs.collect()}  # one row a contig
     asked = [regions] if regions is not None else []
@@ -109,8 +115,9 @@ def collect_variation(spark: SparkSession, alignments: DataFrame, reference: Dat
     regions = reduce(DataFrame.unionByName, asked)
     grid = tiles.number(tiles.cut(text.resolve(regions, contigs), o.chunk_size))
     usable = alignments.filter(read_filter(o))
-    reads = parse_alignments(with_reference(usable, reference), names, o)
-    dealt = tiles.load_reads(reads, grid)
+    reads = parse_alignments(usable if spelled else with_reference(usable, reference), names, o)
+    # A row of a few numbers a tile: told to all tasks while they are few, or reads would go through an exchange more.
+    dealt = tiles.load_reads(reads, F.broadcast(grid) if grid.count() <= MOST_TILES else grid)
     spans = dealt.filter(~F.col("skipped")).groupBy("chunk_id").agg(F.min("beg").alias("lo"), F.max("fin").alias("hi"))
     named = F.broadcast(contigs.select(F.col("tid").alias("ctid"), F.col("name").alias("chrom"), "len"))
     windows = grid.join(spans, "chunk_id", "left").join(named, F.col("tid") == F.col("ctid")).select(

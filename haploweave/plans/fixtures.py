@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..operators.digars import pieces
 from ..operators.ranges import overlap_join
 from ..schemas import ALIGNMENT
-from ..sources.text import slices
 
 #: Reads go so far beyond the last start, and contigs with them.
 BEYOND = 2000
@@ -112,12 +111,12 @@ class Fixtures:
     def contigs(self) -> DataFrame:
         return self.spark.range(4).select(F.col("id").cast("int").alias("tid"), F.concat(F.lit("chr"), F.col("id") + 1).alias("name"), F.lit(self.g + BEYOND).cast("long").alias("len"))
 
-    def reference(self, tile: int = 10_000) -> DataFrame:
-        """chrom, tile, beg, seq: bases are a function of their place."""
+    def reference(self, tile: int = 10_000, over: int = 0) -> DataFrame:
+        """chrom, tile, beg, seq: bases are a function of their place. A tile goes on over so many bases of the next."""
         rows = self.contigs().select("tid", F.col("name").alias("chrom"), "len", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / tile))).alias("tile"))
         begins = F.col("tile") * tile + 1
         # Four contigs are four rows, so tiles are dealt out before their bases are made.
-        rows = rows.select("chrom", "tile", begins.alias("beg"), F.least(begins + tile - 1, F.col("len")).alias("fin"), "tid").repartition(max(partitions(self.spark), self.spark.sparkContext.defaultParallelism), "chrom", "tile")
+        rows = rows.select("chrom", "tile", begins.alias("beg"), F.least(begins + tile - 1 + over, F.col("len")).alias("fin"), "tid").repartition(max(partitions(self.spark), self.spark.sparkContext.defaultParallelism), "chrom", "tile")
 
         def made(batches):
             for whole in batches:
@@ -141,8 +140,11 @@ class Fixtures:
         """Rows of schemas.ALIGNMENT: each read's bases and CIGAR, of the reference and what it shows."""
         told = self.shown().groupBy("read_id").agg(F.array_sort(F.collect_list(F.struct("pos", "typ", "alt", "ref_len"))).alias("sites"))  # a read covers a few
         reads = self.reads().join(self.contigs().select(F.col("tid").alias("of"), F.col("name").alias("chrom")), F.col("tid") == F.col("of")).drop("of")
-        pieces = slices(reads.select("read_id", "chrom", "beg", "fin"), self.reference(), ["read_id"])
-        rows = reads.join(pieces, "read_id").join(told, "read_id", "left")
+        # Bases come last, so that no exchange or sort carries them: a read is shorter than BEYOND, and lies in one tile that goes so far over.
+        tile = 10_000
+        rows = reads.join(told, "read_id", "left").withColumn("tile", F.floor((F.col("beg") - 1) / tile))
+        rows = rows.join(self.reference(tile, BEYOND).select("chrom", "tile", F.col("beg").alias("tb"), "seq"), ["chrom", "tile"])
+        rows = rows.withColumn("ref_seq", F.substring("seq", (F.col("beg") - F.col("tb") + 1).cast("int"), (F.col("fin") - F.col("beg") + 1).cast("int"))).drop("seq", "tb", "tile")
         # From each site: what matches before it, and itself; then what matches to the end.
         last = F.lit(0).cast("int")
         start = F.struct(last.alias("at"), F.lit("").alias("cigar"), F.lit("").alias("seq"))

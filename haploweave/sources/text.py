@@ -91,8 +91,10 @@ def slices(spans: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_00
     want = spans.select(*key, "chrom", F.greatest(F.col("beg"), F.lit(1)).alias("b"), F.col("fin").alias("f")).withColumn("tile", F.explode(F.sequence(F.floor((F.col("b") - 1) / tile), F.floor((F.col("f") - 1) / tile))))
     pieces = want.join(tiles.select("chrom", "tile", F.col("beg").alias("tb"), "seq"), ["chrom", "tile"])
     cut = F.substring("seq", F.greatest(F.col("b") - F.col("tb") + 1, F.lit(1)).cast("int"), (F.least(F.col("f"), F.col("tb") + F.length("seq") - 1) - F.greatest("b", "tb") + 1).cast("int"))
-    joined = pieces.groupBy(*key).agg(F.min(F.greatest("b", "tb")).alias(start), F.array_sort(F.collect_list(F.struct("tile", cut.alias("s")))).alias("p"))
-    return joined.select(*key, start, F.array_join(F.transform("p", lambda x: x["s"]), "").alias(name))
+    # Cut before they are grouped: a group's rows are sorted, and would be with whole tiles in them.
+    parts = pieces.select(*key, F.greatest("b", "tb").alias("__from"), F.col("tile").alias("__tile"), cut.alias("__s")).repartition(*key)
+    joined = parts.groupBy(*key).agg(F.min("__from").alias(start), F.array_sort(F.collect_list(F.struct("__tile", "__s"))).alias("__p"))
+    return joined.select(*key, start, F.array_join(F.transform("__p", lambda x: x["__s"]), "").alias(name))
 
 
 def bases_at(points: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_000) -> DataFrame:
