@@ -36,9 +36,11 @@ from haploweave.llm.toxicity import classify
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier chain does not call toxic."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    scored = classify(rows, read(spark, sf_dir, "labels"))
-    return scored.filter(~F.col("scores.is_toxic")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    # By place, so that columns may have any names and a text goes through Python once.
+    places = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias(places["doc_id"]), "quality", "toxic")
+    scored = classify(docs.toDF(*places.values()), labels, places["doc_id"], places["text"])
+    return scored.filter(~F.col("scores.is_toxic")).select(*[F.col(k).alias(c) for c, k in places.items()])
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
+from .common import small_batches
+
 PIECE = 1 << 16
 NONE = 1 << 30
 
@@ -354,6 +356,7 @@ def transcode(docs: DataFrame, path: str, emit, columns: str, text_col: str = "t
 
     emit(vocabulary) makes an object for each text: ids(bytes) gets the ids and text(str) the decoded text, piece by piece;
     result() gives the values of columns (a DDL list). ``keep``: columns of docs that are passed on."""
+    small_batches(docs.sparkSession)
     kept = docs.columns if keep is None else keep
     made = [c.strip().split()[0] for c in columns.split(",")]
     schema = docs.select(*kept).schema

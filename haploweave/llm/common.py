@@ -34,6 +34,19 @@ def pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
+#: Bytes of texts in an Arrow batch, about. Spark's own limit is 10,000 rows, some 32 MB of texts of 3 KB a column: more than its pool
+#: of buffers hands out, so each task takes them from the system, on the JVM's side and in Python, and little of that is given back.
+BATCH_BYTES = 2 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session sends Python batches of about BATCH_BYTES, unless it has been given a limit (a row is never parted).
+    Plans read it when they run, so it stays set."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """How many partitions a shuffle of this session has: operators size their own groups by it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_binary, checkpoint, maybe, pieces, sampled, words_of
+from .common import as_binary, checkpoint, maybe, pieces, sampled, small_batches, words_of
 from .components import components
 from .lm import mix
 from .overlap import keyed, shingles_of, similar_components  # noqa: F401
@@ -109,6 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             lists = pa.ListArray.from_arrays(np.arange(0, fps.size + 1, length, dtype=np.int32), pa.array(fps.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node.view(np.int64)), lists, batch.column(2)], ["doc_id", "node", "fp", "key"])
 
+    small_batches(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), text, F.xxhash64(F.coalesce(text, F.lit(""))))
     return rows.mapInArrow(run, "doc_id long, node long, fp array<long>, key long")

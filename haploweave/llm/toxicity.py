@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_binary, pieces, words_of
+from .common import as_binary, pieces, small_batches, words_of
 
 STRIP = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 SHAPES, PREFIX = 4, 5
@@ -146,7 +146,7 @@ def fit(labelled: DataFrame, categories: Sequence[str], id_col: str = "doc_id",
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def encoded(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             words = [[place[w] for w in ws if w in place] for ws in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int32())), batch.column(3)], ["id", "y", "at", "shapes"])
 
@@ -211,6 +211,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", into: str = "sc
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "scores", max_rows: int = 12_000) -> DataFrame:
     """docs and the scores of two categories, the second chained on the first: low_quality (quality is 0), toxic."""
+    small_batches(docs.sparkSession)
     chosen = labelled_sample(docs.select(id_col, text_col), labels.select(id_col, "quality", "toxic"), id_col, max_rows)
     train = chosen.select(id_col, text_col, (F.col("__quality") == 0).cast("int").alias("low_quality"), F.col("__toxic").alias("toxic"))
     return score(docs, fit(train, ["low_quality", "toxic"], id_col, text_col, max_rows), text_col, into)
