@@ -9,6 +9,9 @@ frequency however large the table; any order gives the same pairs, a worse one o
 Candidates. A shingle in few prefixes (``few``) gives all its pairs. A crowded one first gives a star, about the text that
 has most shingles in common with others. When the pairs found so far (and those that the caller knows) are joined to
 components, crowded shingles give the pairs between components, so a large group of near copies is not held pair by pair.
+These pairs share no shingle that is in few prefixes, or they were found before, so they have ``needed`` crowded ones in
+common. The first of all that they share stands, in either text, before as many others as they share at least (``first``): what a
+copy has of its own comes before what its group has in common, so copies that differ too much meet at no shingle.
 Each candidate is held against the two texts.
 
 Defined results: texts without words are alike; fewer words than a shingle are one shingle.
@@ -73,7 +76,8 @@ def frequent(texts: DataFrame, words: int, order_rows: int, most: int = 1 << 20)
 
 
 def prefixes(texts: DataFrame, words: int, similarity: float, order_rows: int) -> DataFrame:
-    """token, key, n: the prefix of each text's shingles; n is how many shingles it has. Texts without words have token 0."""
+    """token, key, n, nth: the prefix of each text's shingles; n is how many shingles it has, nth the shingle's place among them
+    (from 0). Texts without words have token 0."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent(texts, words, order_rows))
 
     def run(batches):
@@ -89,9 +93,10 @@ def prefixes(texts: DataFrame, words: int, similarity: float, order_rows: int) -
                 tokens.append(h[: len(h) - least_shared(len(h), similarity) + 1] if len(h) else np.zeros(1, np.uint64))
             each = [len(x) for x in tokens]
             key = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), each)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each))], ["token", "key", "n"])
+            nth = np.concatenate([np.arange(e, dtype=np.int32) for e in each])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(key), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(nth)], ["token", "key", "n", "nth"])
 
-    return texts.select("key", "text").mapInArrow(run, "token long, key long, n int")
+    return texts.select("key", "text").mapInArrow(run, "token long, key long, n int, nth int")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, most: int = 512) -> DataFrame:
@@ -117,10 +122,21 @@ def alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, mos
     return rows.mapInArrow(run, "a long, b long")
 
 
+def both_have(similarity: float):
+    """How many shingles texts of n and m shingles share at least, if they are so similar."""
+    return F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - TINY)
+
+
 def needed(similarity: float):
     """How many shingles the prefixes of texts of n and m shingles share, if they are so similar."""
     least = lambda c: F.ceil(F.col(c) * similarity - TINY)
-    return F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - TINY) - F.greatest(least("n"), least("m")) + 1)
+    return F.greatest(F.lit(1), both_have(similarity) - F.greatest(least("n"), least("m")) + 1)
+
+
+def first(similarity: float):
+    """Whether the first shingle that texts of n and m shingles share can be nth_a of the one and nth_b of the other: as many
+    as they share are left in both."""
+    return F.least(F.col("n") - F.col("nth_a"), F.col("m") - F.col("nth_b")) >= both_have(similarity)
 
 
 def fit(similarity: float):
@@ -130,23 +146,24 @@ def fit(similarity: float):
 
 def candidates(pairs: DataFrame, similarity: float) -> DataFrame:
     """Of rows (a, n, spare_a, b, m, spare_b), one a shared shingle, the pairs that share enough, with what may be
-    shared besides."""
-    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(c).alias(c) for c in ("n", "m", "spare_a", "spare_b")])
+    shared besides (the least of the spares of their rows)."""
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.min(c).alias(c) for c in ("n", "m", "spare_a", "spare_b")])
     return counted.filter(F.col("c") + F.least("spare_a", "spare_b") >= needed(similarity)).select("a", "b")
 
 
 def joined(rows: DataFrame, spare: str, similarity: float, label: bool = False) -> DataFrame:
-    """Pairs of rows (token, key, n) of one token whose sizes go together, and whose labels differ."""
-    side = lambda k, n, s, g: rows.select("token", F.col("key").alias(k), F.col("n").alias(n), F.col(spare).alias(s), *([F.col("label").alias(g)] if label else []))
-    both = side("a", "n", "spare_a", "label_a").join(side("b", "m", "spare_b", "label_b"), "token").filter("a < b").filter(fit(similarity))
-    return both.filter("label_a <> label_b") if label else both
+    """Pairs of rows (token, key, n) of one token whose sizes go together. With label, of rows that have nth and label: whose
+    labels differ, and which may be the first that they share."""
+    side = lambda k, n, x: rows.select("token", F.col("key").alias(k), F.col("n").alias(n), F.col(spare).alias(f"spare_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("label", "nth") if label])
+    both = side("a", "n", "a").join(side("b", "m", "b"), "token").filter("a < b").filter(fit(similarity))
+    return both.filter("label_a <> label_b").filter(first(similarity)) if label else both
 
 
 def similar_components(texts: DataFrame, words: int, similarity: float, known: DataFrame | None = None, few: int = 32, order_rows: int = 8192) -> DataFrame:
     """node, root of the texts (key, text; may repeat) that are so similar to another, directly or over others. known: pairs
     (a, b of keys) that may be so."""
     per = Window.partitionBy("token")
-    rows = prefixes(texts, words, similarity, order_rows).withColumn("lo", F.min("key").over(per)).withColumn("hi", F.max("key").over(per)).filter("lo <> hi").select("token", "key", "n").distinct()
+    rows = prefixes(texts, words, similarity, order_rows).withColumn("lo", F.min("key").over(per)).withColumn("hi", F.max("key").over(per)).filter("lo <> hi").select("token", "key", "n", "nth").distinct()
     rows = checkpoint(rows.withColumn("crowded", F.count("*").over(per) > few))
     each = rows.groupBy("key").agg(F.count_if("crowded").alias("in_crowded"), F.count_if(~F.col("crowded")).alias("in_few"))
     rows = checkpoint(rows.join(each, "key"))
@@ -161,9 +178,11 @@ def similar_components(texts: DataFrame, words: int, similarity: float, known: D
     found = checkpoint(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     links = checkpoint(alike(found, texts, words, similarity))
     label = components(links)
-    named = crowded.join(label, F.col("key") == F.col("node"), "left").select("token", "key", "n", "in_few", F.coalesce("root", "key").alias("label"))
-    apart = checkpoint(named.withColumn("lo", F.min("label").over(per)).withColumn("hi", F.max("label").over(per)).filter("lo <> hi").drop("lo", "hi"))
-    rest = checkpoint(candidates(joined(apart, "in_few", similarity, label=True), similarity).join(found, ["a", "b"], "left_anti"))
+    named = crowded.join(label, F.col("key") == F.col("node"), "left").select("token", "key", "n", "nth", F.coalesce("root", "key").alias("label"))
+    apart = named.withColumn("lo", F.min("label").over(per)).withColumn("hi", F.max("label").over(per)).filter("lo <> hi").drop("lo", "hi")
+    # What two texts share beyond the last row that joins them is among what either has left.
+    apart = checkpoint(apart.withColumn("left", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("nth"))) - 1))
+    rest = checkpoint(candidates(joined(apart, "left", similarity, label=True), similarity).join(found, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return label
     return components(links.unionByName(alike(rest, texts, words, similarity)))
