@@ -87,6 +87,12 @@ class Result:
     grid: DataFrame
 
 
+def told(grid: DataFrame) -> DataFrame:
+    """grid, for a join with reads. A row of a few numbers a tile: told to all tasks while they are few, or reads would go through
+    an exchange more; sent by key beyond, as what is made of contigs is planned as a few rows."""
+    return F.broadcast(grid) if grid.count() <= MOST_TILES else text.moved(grid)
+
+
 def with_reference(alignments: DataFrame, reference: DataFrame) -> DataFrame:
     """Alignments beside their piece of reference, where only that tells matches from mismatches."""
     needs = F.coalesce(needs_reference(), F.lit(False)) & F.col("cs").isNull() & F.col("md").isNull()
@@ -116,8 +122,7 @@ def collect_variation(spark: SparkSession, alignments: DataFrame, reference: Dat
     grid = tiles.number(tiles.cut(text.resolve(regions, contigs), o.chunk_size))
     usable = alignments.filter(read_filter(o))
     reads = parse_alignments(usable if spelled else with_reference(usable, reference), names, o)
-    # A row of a few numbers a tile: told to all tasks while they are few, or reads would go through an exchange more.
-    dealt = tiles.load_reads(reads, F.broadcast(grid) if grid.count() <= MOST_TILES else grid)
+    dealt = tiles.load_reads(reads, told(grid))
     spans = dealt.filter(~F.col("skipped")).groupBy("chunk_id").agg(F.min("beg").alias("lo"), F.max("fin").alias("hi"))
     named = F.broadcast(contigs.select(F.col("tid").alias("ctid"), F.col("name").alias("chrom"), "len"))
     windows = grid.join(spans, "chunk_id", "left").join(named, F.col("tid") == F.col("ctid")).select(

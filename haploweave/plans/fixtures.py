@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.digars import pieces
 from ..operators.ranges import overlap_join
 from ..schemas import ALIGNMENT
+from ..sources.text import moved
 
 #: Reads go so far beyond the last start, and contigs with them.
 BEYOND = 2000
@@ -143,7 +144,7 @@ class Fixtures:
         # Bases come last, so that no exchange or sort carries them: a read is shorter than BEYOND, and lies in one tile that goes so far over.
         tile = 10_000
         rows = reads.join(told, "read_id", "left").withColumn("tile", F.floor((F.col("beg") - 1) / tile))
-        rows = rows.join(self.reference(tile, BEYOND).select("chrom", "tile", F.col("beg").alias("tb"), "seq"), ["chrom", "tile"])
+        rows = rows.join(moved(self.reference(tile, BEYOND).select("chrom", "tile", F.col("beg").alias("tb"), "seq")), ["chrom", "tile"])
         rows = rows.withColumn("ref_seq", F.substring("seq", (F.col("beg") - F.col("tb") + 1).cast("int"), (F.col("fin") - F.col("beg") + 1).cast("int"))).drop("seq", "tb", "tile")
         # From each site: what matches before it, and itself; then what matches to the end.
         last = F.lit(0).cast("int")

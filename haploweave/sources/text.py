@@ -86,10 +86,16 @@ def fasta_tiles(spark: SparkSession, path: str, tile: int = 10_000) -> DataFrame
     return fasta.tiles(spark, path, tile)
 
 
+def moved(rows: DataFrame) -> DataFrame:
+    """rows, for a join that sends them to tasks by key. The planner takes a string for 20 bytes and what is made of a contig's
+    length for a row, so it would broadcast a whole reference, by way of the driver."""
+    return rows.hint("merge")
+
+
 def slices(spans: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_000, name: str = "ref_seq", start: str = "ref_beg") -> DataFrame:
     """spans (key, chrom, beg, fin) with the reference between beg and fin; what lies outside a contig is left out."""
     want = spans.select(*key, "chrom", F.greatest(F.col("beg"), F.lit(1)).alias("b"), F.col("fin").alias("f")).withColumn("tile", F.explode(F.sequence(F.floor((F.col("b") - 1) / tile), F.floor((F.col("f") - 1) / tile))))
-    pieces = want.join(tiles.select("chrom", "tile", F.col("beg").alias("tb"), "seq"), ["chrom", "tile"])
+    pieces = want.join(moved(tiles.select("chrom", "tile", F.col("beg").alias("tb"), "seq")), ["chrom", "tile"])
     cut = F.substring("seq", F.greatest(F.col("b") - F.col("tb") + 1, F.lit(1)).cast("int"), (F.least(F.col("f"), F.col("tb") + F.length("seq") - 1) - F.greatest("b", "tb") + 1).cast("int"))
     # Cut before they are grouped: a group's rows are sorted, and would be with whole tiles in them.
     parts = pieces.select(*key, F.greatest("b", "tb").alias("__from"), F.col("tile").alias("__tile"), cut.alias("__s")).repartition(*key)
@@ -99,6 +105,6 @@ def slices(spans: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_00
 
 def bases_at(points: DataFrame, tiles: DataFrame, key: list[str], tile: int = 10_000) -> DataFrame:
     """points (key, chrom, pos) with the reference base; N outside of the contig."""
-    rows = points.withColumn("tile", F.floor((F.col("pos") - 1) / tile)).join(tiles.select("chrom", "tile", F.col("beg").alias("tb"), "seq"), ["chrom", "tile"], "left")
+    rows = points.withColumn("tile", F.floor((F.col("pos") - 1) / tile)).join(moved(tiles.select("chrom", "tile", F.col("beg").alias("tb"), "seq")), ["chrom", "tile"], "left")
     base = F.substring("seq", (F.col("pos") - F.col("tb") + 1).cast("int"), F.lit(1))
     return rows.select(*key, F.when(base.isNull() | (base == ""), "N").otherwise(base).alias("base"))
