@@ -75,13 +75,18 @@ class Fixtures:
             F.substring(F.lit("ACGT"), ((F.col("p_partkey") * 7 + size) % 4).cast("int") + F.lit(1), F.lit(1)).alias("alt"), (size % 10).cast("int").alias("zyg"),
         )
 
-    def obs(self, reads: DataFrame | None = None) -> DataFrame:
-        """What each read shows at each site it covers: a banded join of reads and sites."""
-        pairs = overlap_join(reads if reads is not None else self.reads(), self.sites(), right_span=("pos", "pos"), prefix="s_", bin_size=2048)
+    def covered(self, reads: DataFrame | None = None) -> DataFrame:
+        """Reads beside each site that they cover, with what they show there: a banded join of reads and sites."""
+        # As a row of a bin a site takes many times its room in the file, so that sites are not left to be broadcast by size.
+        pairs = overlap_join(reads if reads is not None else self.reads(), moved(self.sites()), right_span=("pos", "pos"), prefix="s_", bin_size=2048)
         read, site, zyg = F.col("read_id"), F.col("s_site_id"), F.col("s_zyg")
         genotype = F.when(zyg.isin(0, 1), 1).when(zyg == 2, 0).when(zyg == 3, F.when(read % 9 == 0, 1).otherwise(0)).when((read + zyg) % 2 == 0, 1).otherwise(0)
         allele = F.when((read * 31 + site * 17) % 100 < 4, 1 - genotype).otherwise(genotype)
-        return pairs.select("read_id", "tid", "rev", site.alias("site_id"), F.col("s_pos").alias("pos"), F.col("s_typ").alias("typ"), F.col("s_alt").alias("alt"), ((read * 13 + site * 7) % 40 + 1).alias("q"), allele.alias("allele"))
+        return pairs.select("read_id", "tid", "beg", "fin", "rev", site.alias("site_id"), F.col("s_pos").alias("pos"), F.col("s_typ").alias("typ"), F.col("s_alt").alias("alt"), zyg.alias("zyg"), ((read * 13 + site * 7) % 40 + 1).alias("q"), allele.alias("allele"))
+
+    def obs(self, reads: DataFrame | None = None) -> DataFrame:
+        """What each read shows at each site it covers."""
+        return self.covered(reads).drop("beg", "fin", "zyg")
 
     def noise(self) -> DataFrame:
         lines = self.table("lineitem").filter("l_partkey % 10 = 0").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("ln"))
@@ -129,9 +134,8 @@ class Fixtures:
 
     def shown(self) -> DataFrame:
         """Sites where a read has the alternate: read_id, pos, typ, alt, ref_len."""
-        sites = self.sites().select(F.col("site_id").alias("of"), "zyg")
-        reads = self.reads().select(F.col("read_id").alias("by"), "beg", "fin")
-        rows = self.obs().filter("allele = 1").join(sites, F.col("site_id") == F.col("of")).join(reads, F.col("read_id") == F.col("by")).filter((F.col("pos") >= F.col("beg") + MARGIN) & (F.col("pos") + MARGIN <= F.col("fin")))
+        # Of the one join: keys are unique, so sites and reads need not be joined again for what only they have.
+        rows = self.covered().filter((F.col("allele") == 1) & (F.col("pos") >= F.col("beg") + MARGIN) & (F.col("pos") + MARGIN <= F.col("fin")))
         other = (F.shiftright(F.col("pos") * F.lit(2654435761) + F.col("tid") * 40503, 16) % 4 + 1 + F.col("site_id") % 3) % 4
         alt = F.when(F.col("typ") == "SNP", F.substring(F.lit("ACGT"), other.cast("int") + F.lit(1), F.lit(1))).when(F.col("typ") == "INS", F.substring(F.lit("ACGTACGT"), (F.col("site_id") % 4).cast("int") + F.lit(1), (1 + F.col("zyg") % 3).cast("int"))).otherwise("")
         size = F.when(F.col("typ") == "SNP", 1).when(F.col("typ") == "INS", 0).otherwise(F.col("zyg") + 20)

@@ -34,6 +34,14 @@ def test_alignments_get_bases_by_key(spark):
     assert not any("seq" in x for x in found)
 
 
+def test_sites_are_sent_by_key_and_joined_once(spark):
+    fx = Fixtures(spark, SF)
+    for df in (fx.obs(), fx.alignments()):
+        assert not any(x & {"p_partkey", "site_id", "s_site_id"} for x in broadcast(df))
+    plan = fx.shown()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2  # orders and part
+
+
 def test_stretches_of_the_mask_are_sent_by_key(spark):
     assert not any("__bin" in x for x in broadcast(low_complexity_mask(spark, SF)))
 
