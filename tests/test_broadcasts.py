@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from haploweave.plans import collect, tiles
 from haploweave.plans.fixtures import Fixtures
-from haploweave.plans.queries import low_complexity_mask
+from haploweave.plans.queries import low_complexity_mask, projected_run
 from haploweave.sources.text import bases_at, slices
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,17 @@ def test_tiles_beyond_a_number_are_sent_by_key(spark, monkeypatch):
     assert not any("chunk_chunk_id" in x for x in broadcast(many))
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(many) == rows(few) and len(rows(few)) > 300
+
+
+def test_whole_run_broadcasts_no_more_than_its_tiling(spark, monkeypatch):
+    """Of what is made of the tables or the reference, nothing is under a broadcast but numbers of tiles."""
+    monkeypatch.setattr(collect, "kept", lambda df: df)  # the plan is not cut
+    lines = projected_run(spark, SF).tiles._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(re.match(r"[\s:+-]*(?:\*\(\d+\) )?", x)[0])
+    assert any("FlatMapCoGroupsInArrow" in x for x in lines)
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            for under in lines[at + 1 :]:
+                if depth(under) <= depth(line):
+                    break
+                assert "FileScan" not in under and "MapInArrow" not in under
